@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import rows_per_group, stage
 
-CELL_ROWS = 20_000
+CELL_ROWS = 2_500
 
 
 def interleave(docs: DataFrame, n_shards: int = 8, seed: str = "mix", cell_rows: int = CELL_ROWS) -> DataFrame:
