@@ -3,13 +3,16 @@
 Both tokenizers' pre-tokenizers never join a character with the white space after it: no pre-token, normaliser
 or special token of theirs crosses the place before a white-space run that follows other characters.  A text
 is therefore cut there, the library encodes each distinct piece (a white-space run and the characters after
-it), and a text's ids are its pieces' ids in order.  Tests hold this against whole-text encoding.
+it), and a text's ids are its pieces' ids in order.  Letters are cut from a following ``.,;:!?`` too: no pre-token
+has both.  New pieces go to the library many at a time, with a separator between them that has an id of its own.
+Tests hold this against whole-text encoding.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -18,7 +21,9 @@ from tokenizers import Tokenizer
 
 #: Unicode White_Space, as the pre-tokenizers' ``\s`` has it (fixed values).
 WHITE = "\\t\\n\\v\\f\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-PIECE = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+PIECE = re.compile(rf"[{WHITE}]*+[^\W\d_]++(?=[.,;:!?])|[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+#: A piece that a line feed before and after it does not change.
+PLAIN = re.compile(f" ?[^{WHITE}]+").fullmatch
 
 _encoders: dict[str, "PieceEncoder"] = {}
 
@@ -33,12 +38,18 @@ def encoder(path: str) -> "PieceEncoder":
 class PieceEncoder:
     """``max_pieces`` and ``max_piece_bytes`` bound the cache's memory, never the work."""
 
-    def __init__(self, path: str, max_pieces: int = 1_000_000, max_piece_bytes: int = 64):
+    def __init__(self, path: str, max_pieces: int = 1_200_000, max_piece_bytes: int = 64):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.max_pieces, self.max_piece_bytes = max_pieces, max_piece_bytes
         self.known: dict[str, bytes] = {}
+        ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        self.lines = len(ids("\n")) == 1 and ids("a\n b") == [*ids("a"), *ids("\n"), *ids(" b")]
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special]
+        self.mark = "\n" if self.lines else special[0]
+        self.mark_id = ids(self.mark)[0]
+        self.special = re.compile("|".join(map(re.escape, {t[:2] for t in special}))).search
 
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
         """Ids of the pieces that the cache lacks; what is too long to keep comes back instead."""
@@ -46,11 +57,24 @@ class PieceEncoder:
             self.known.clear()
         passing = {}
         fast = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        for k in range(0, len(pieces), 4096):
-            part = pieces[k : k + 4096]
+        alone, joined = [], []
+        for p in pieces:
+            (joined if (not self.lines or PLAIN(p)) and not self.special(p) else alone).append(p)
+        for k in range(0, len(joined), 2048):
+            part = joined[k : k + 2048]
+            ids = np.array(fast([self.mark.join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids)).tolist()
+            if len(ends) != len(part):
+                alone += part
+                continue
+            raw, last = ids.tobytes(), 0
+            for piece, e in zip(part, ends):
+                (self.known if len(piece) <= self.max_piece_bytes else passing)[piece] = raw[4 * last : 4 * e]
+                last = e + 1
+        for k in range(0, len(alone), 2048):
+            part = alone[k : k + 2048]
             for piece, e in zip(part, fast(part, add_special_tokens=False)):
-                ids = np.array(e.ids, "<u4").tobytes()
-                (self.known if len(piece) <= self.max_piece_bytes else passing)[piece] = ids
+                (self.known if len(piece) <= self.max_piece_bytes else passing)[piece] = array("I", e.ids).tobytes()
         return passing
 
     def encode(self, texts: list[str]) -> list[bytes]:
