@@ -24,7 +24,7 @@ from .common import documents
 from .hashed import Texts, fold, groups
 from .linear import labelled, logistic
 
-MAX_FIT, MAX_FIT_BYTES, MIN_DOCS, BITS = 1500, 8_192, 6, 17
+MAX_FIT, MAX_FIT_BYTES, MIN_DOCS, BITS = 1500, 8_192, 3, 17
 #: Clean rows fitted for each toxic one, and the share of toxic documents that a score of 1/2 supposes.
 CLEAN_EACH, PRIOR = 2, 0.2
 THRESHOLD = 0.3
