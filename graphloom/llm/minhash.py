@@ -41,7 +41,7 @@ class _Words(dict):
 
     def __missing__(self, word: bytes) -> int:
         value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        if len(self) >= 500_000:
+        if len(self) >= 300_000:
             self.clear()
         self[word] = value
         return value
@@ -135,12 +135,13 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
             return recent[doc_id]
 
         for batch in batches:
-            linked = []
-            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b"))):
-                s, t = of(a, x), shingles(y, width)
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                linked.append(both > 0 and MOST * both >= LEAST * (len(s) + len(t) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+            for k in range(0, batch.num_rows, 64):  # few texts at a time as Python strings
+                part, linked = batch.slice(k, 64), []
+                for a, b, x, y in zip(*(part.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b"))):
+                    s, t = of(a, x), shingles(y, width)
+                    both = len(np.intersect1d(s, t, assume_unique=True))
+                    linked.append(both > 0 and MOST * both >= LEAST * (len(s) + len(t) - both))
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
     texts = documents(docs)
     wanted = texts.join(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
