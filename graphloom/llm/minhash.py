@@ -6,31 +6,33 @@ register a different one), which lowers the estimate's variance, and drawing sto
 
 Equal sets are grouped by a digest first; one of each, its representative, goes on.  Bands of ``ROWS`` registers
 (``BANDS`` of them: a pair at the threshold is missed with probability (1 - 0.8^4)^28 < 1e-6) deal
-representatives to buckets.  A bucket does not emit its pairs: its members are held against the member that is in the
-most crowded buckets; links are confirmed on full sets and grouped; members that are still apart from it try again
-with the next such member.  After ``HUB_ROUNDS`` the pairs of a bucket that are still in different groups are all held
-against each other, less those whose sizes or signatures rule the threshold out by more than six standard deviations.
-A group is complete when nothing is left to try, so no link between groups is lost, however large a bucket.
+representatives to buckets.  A bucket does not emit its pairs.  First its members are held against the member that is
+in the most crowded buckets (``HUB_ROUNDS`` times, with another such member for those still apart), which joins large
+groups of copies with one comparison a member.  Buckets whose members are still in different groups are then compared
+whole: documents go to cells of about ``BLOCK`` shingles, a cell holds the full sets of its documents and
+intersects them exactly, and only the links that join groups (a forest) leave it.  Buckets that share documents make
+one set of cells where it has at most ``WHOLE`` blocks, so that a text travels once and not once a bucket; larger
+ones are cut bucket by bucket, each block against each other one.  No pair of a bucket is left out.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import OrderedDict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, stage, unstage
-from .components import components
+from .components import UnionFind, components
 from .hashed import mix
 
-ROWS, BANDS, HUB_ROUNDS = 4, 28, 3
+ROWS, BANDS, HUB_ROUNDS = 4, 28, 2
 REGISTERS = ROWS * BANDS
+BLOCK, WHOLE = 1 << 18, 8
 LEAST, MOST = 4, 5  # linked where MOST * intersection >= LEAST * union
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -92,12 +94,12 @@ def super_minhash(elements: np.ndarray, owner: np.ndarray, n_docs: int, register
     return table.reshape(n_docs, registers)
 
 
-SKETCH = "doc_id long, n_shingles long, same binary, bands array<long>, signature binary"
+SKETCH = "doc_id long, n_shingles long, same binary, bands array<long>"
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, same (digest of the set; null where empty), bands, signature (a uint32 a register)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("same", pa.binary()), ("bands", pa.list_(pa.int64())), ("signature", pa.binary())])
+    """doc_id, n_shingles, same (digest of the set; null where empty), bands."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("same", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,49 +112,111 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                 key = np.zeros((len(sets), BANDS), np.uint64)
                 for r in range(ROWS):
                     key = mix(key * np.uint64(31) + values[:, r::ROWS])
-                brief = (values >> np.uint64(32)).astype("<u4")
                 yield pa.RecordBatch.from_arrays([
                     part.column("doc_id"), pa.array(sizes),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                     pa.array(list(key.view(np.int64)), pa.list_(pa.int64())),
-                    pa.array([row.tobytes() for row in brief], pa.binary()),
                 ], schema=schema)
 
     return documents(docs).mapInArrow(run, SKETCH)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """a, b, linked: the pairs held against the threshold on the full shingle sets of both texts."""
+def _joining(ids: list[int], groups: list[int], sides: list[int], sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """Linked pairs of a cell that join two groups: of side 0 with side 1, or of all where there is no side 1."""
+    local = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    ends = np.cumsum(sizes)
+    own = lambda k: local[ends[k] - sizes[k] : ends[k]]
+    if 1 in sides:
+        asking, asked = ([k for k, s in enumerate(sides) if s == side] for side in (0, 1))
+        if len(asking) > len(asked):
+            asking, asked = asked, asking
+    else:  # members of the largest group need not ask: they are linked already
+        largest = max(Counter(groups).items(), key=lambda x: (x[1], -x[0]))[0]
+        asking, asked = [k for k, g in enumerate(groups) if g != largest], list(range(len(ids)))
+    if not asking or not asked:
+        return
+    asked = np.array(asked)[np.argsort(sizes[asked], kind="stable")]
+    there, n = np.concatenate([own(k) for k in asked]), sizes[asked]
+    begin = np.cumsum(n) - n
+    mark, found = np.zeros(len(local), np.uint8), UnionFind()
+    for q in asking:
+        size = int(sizes[q])
+        lo, hi = np.searchsorted(n, -(-LEAST * size // MOST)), np.searchsorted(n, MOST * size // LEAST, "right")
+        if lo == hi:
+            continue
+        mark[own(q)] = 1
+        both = np.add.reduceat(mark[there[begin[lo] : begin[hi - 1] + n[hi - 1]]], begin[lo:hi] - begin[lo], dtype=np.int64)
+        mark[own(q)] = 0
+        for k in asked[lo:hi][MOST * both >= LEAST * (size + n[lo:hi] - both)]:
+            if found.find(groups[q]) != found.find(groups[k]):
+                found.union(groups[q], groups[k])
+                yield ids[q], ids[k]
+
+
+def confirmed(cells: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """a, b: links on the full shingle sets that join groups, from cells (cell, i, j, side, doc_id, g)."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        recent: OrderedDict[int, np.ndarray] = OrderedDict()
+        now, members = None, ([], [], [], [])
 
-        def of(doc_id: int, text: str) -> np.ndarray:
-            if doc_id not in recent:
-                if len(recent) >= 64:
-                    recent.popitem(last=False)
-                recent[doc_id] = shingles(text, width)
-            return recent[doc_id]
+        def links() -> pa.RecordBatch:
+            pairs = list(_joining(*members)) if len(members[0]) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], schema=schema)
 
         for batch in batches:
             for k in range(0, batch.num_rows, 64):  # few texts at a time as Python strings
-                part, linked = batch.slice(k, 64), []
-                for a, b, x, y in zip(*(part.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b"))):
-                    s, t = of(a, x), shingles(y, width)
-                    both = len(np.intersect1d(s, t, assume_unique=True))
-                    linked.append(both > 0 and MOST * both >= LEAST * (len(s) + len(t) - both))
-                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
-
-    texts = documents(docs)
-    wanted = texts.join(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    wanted = stage(wanted, "pair-texts")
-    full = pairs.join(wanted.toDF("a", "text_a"), "a").join(wanted.toDF("b", "text_b"), "b")
-    return full.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, linked boolean")
-
-
-def agreeing(x: pd.Series, y: pd.Series) -> pd.Series:
-    """Registers in which two signatures agree."""
-    return pd.Series([int((np.frombuffer(a, "<u4") == np.frombuffer(b, "<u4")).sum()) for a, b in zip(x, y)], dtype="int32")
+                part = batch.slice(k, 64)
+                for *cell, side, doc_id, g, text in zip(*(part.column(c).to_pylist() for c in ("cell", "i", "j", "side", "doc_id", "g", "text"))):
+                    if cell != now:
+                        yield links()
+                        now, members = cell, ([], [], [], [])
+                    for column, value in zip(members, (doc_id, g, side, shingles(text, width))):
+                        column.append(value)
+        yield links()
+
+    rows = cells.join(texts, "doc_id").select("cell", "i", "j", "side", "doc_id", "g", "text")
+    return rows.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "side", "doc_id").mapInArrow(run, "a long, b long")
+
+
+def _blocks(sums: DataFrame) -> DataFrame:
+    """cell, blocks: how many blocks a cell's ``shingles`` and ``members`` make."""
+    return sums.select("cell", F.least(F.ceil(F.col("shingles") / BLOCK), F.col("members")).cast("int").alias("blocks"))
+
+
+def _hub_cells(pairs: DataFrame) -> DataFrame:
+    """Cells of one hub (side 0) and a block of its members (side 1), from pairs (hub, hub_g, doc_id, g, n)."""
+    blocks = _blocks(pairs.groupBy(F.col("hub").alias("cell")).agg(F.sum("n").alias("shingles"), F.count(F.lit(1)).alias("members")))
+    one = pairs.select(F.col("hub").alias("cell"), "hub_g").distinct().join(blocks, "cell")
+    hubs = one.select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), F.col("cell").alias("doc_id"), F.col("hub_g").alias("g"))
+    members = pairs.withColumnRenamed("hub", "cell").join(blocks, "cell")
+    return hubs.union(members.select("cell", F.expr("pmod(xxhash64(doc_id), blocks)").cast("int"), F.lit(0), F.lit(1), "doc_id", "g"))
+
+
+def _bucket_cells(rows: DataFrame) -> DataFrame:
+    """Cells of all pairs of the buckets in ``rows`` (bucket, doc_id, n, g): each block with itself and each other."""
+    first = rows.groupBy("bucket").agg(F.min("doc_id").alias("least"))
+    rows = rows.join(first, "bucket")
+    around = components(rows.select("doc_id", "least"), "doc_id", "least").toDF("doc_id", "cell")
+    docs = rows.select("doc_id", "n", "g").distinct().join(around, "doc_id")
+    sums = (F.sum("n").alias("shingles"), F.count(F.lit(1)).alias("members"))
+    blocks = stage(_blocks(docs.groupBy("cell").agg(*sums)), "blocks")
+    whole = docs.join(blocks.filter(F.col("blocks") <= WHOLE), "cell").select("cell", "blocks", "doc_id", "g")
+    large = rows.join(docs.join(blocks.filter(F.col("blocks") > WHOLE), "cell").select("doc_id"), "doc_id").withColumnRenamed("bucket", "cell")
+    large = large.join(_blocks(large.groupBy("cell").agg(*sums)), "cell").select("cell", "blocks", "doc_id", "g")
+    placed = whole.union(large).withColumn("k", F.expr("pmod(xxhash64(doc_id), blocks)").cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return placed.select("cell", F.least("k", "other").alias("i"), F.greatest("k", "other").alias("j"), (F.col("k") > F.col("other")).cast("int").alias("side"), "doc_id", "g")
+
+
+def _with_groups(rows: DataFrame, label: DataFrame | None) -> DataFrame:
+    """Rows of buckets whose members are in different groups, with each member's group ``g``."""
+    if label is None:
+        return rows.withColumn("g", F.col("doc_id"))
+    rows = rows.join(label.toDF("doc_id", "g"), "doc_id", "left").withColumn("g", F.coalesce("g", "doc_id"))
+    mixed = rows.groupBy("bucket").agg(F.min("g").alias("g1"), F.max("g").alias("g2")).filter("g1 < g2")
+    return rows.join(mixed, "bucket", "left_semi")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
@@ -164,53 +228,36 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     made = stage(sketches(docs, width).dropDuplicates(["doc_id"]), "sketches")
     same = stage(made.filter("same is not null").groupBy("same").agg(F.min("doc_id").alias("rep")), "same")
     reps = made.join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    rows = stage(reps.select("doc_id", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "key")), "bands")
-    crowds = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    rows_of = rows.join(crowds, ["band", "key"])
-    crowd = rows_of.groupBy("doc_id").agg(F.sum(F.log2("c")).alias("crowd"))
-    rows2 = stage(rows_of.select("doc_id", "n", "band", "key").join(crowd, "doc_id"), "buckets")
-    unstage(rows)
-    links = tested = None
-    label = None
+    bands = reps.select("doc_id", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "key"))
+    bands = stage(bands.select("doc_id", "n", F.xxhash64("band", "key").alias("bucket")), "bands")
+    crowds = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    crowded = bands.join(crowds, "bucket")
+    crowd = crowded.groupBy("doc_id").agg(F.sum(F.log2("c")).alias("crowd"))
+    rows = stage(crowded.select("doc_id", "n", "bucket").join(crowd, "doc_id"), "buckets")
+    unstage(bands)
+    texts = documents(docs).join(rows.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    texts = stage(texts, "texts")
+    links = label = hubs = None
     for turn in range(HUB_ROUNDS + 1):
-        if label is None:
-            open_rows = rows2.withColumn("g", F.col("doc_id"))
-        else:
-            open_rows = rows2.join(label.toDF("doc_id", "g"), "doc_id", "left").withColumn("g", F.coalesce("g", "doc_id"))
-            mixed = open_rows.groupBy("band", "key").agg(F.min("g").alias("g1"), F.max("g").alias("g2")).filter("g1 < g2").select("band", "key")
-            open_rows = open_rows.join(mixed, ["band", "key"])
+        open_rows = _with_groups(rows, label)
         if turn < HUB_ROUNDS:
+            if hubs is not None:
+                open_rows = open_rows.join(hubs, ["bucket", "doc_id"], "left_anti")
             # the hub of a bucket: its most crowded member that is no earlier hub there
-            if turn:
-                open_rows = open_rows.join(hubs, ["band", "key", "doc_id"], "left_anti")  # noqa: F821
-            hub = open_rows.groupBy("band", "key").agg(F.max(F.struct("crowd", (-F.col("doc_id")).alias("m"), "n", "g")).alias("h"))
-            hub = hub.select("band", "key", (-F.col("h.m")).alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.g").alias("hub_g"))
-            now = hub.select("band", "key", F.col("hub").alias("doc_id"))
-            hubs = stage(now if not turn else hubs.union(now), "hubs")
-            pairs = open_rows.join(hub, ["band", "key"]).filter((F.col("g") != F.col("hub_g")))
-            pairs = pairs.filter((MOST * F.least("n", "hub_n")) >= (LEAST * F.greatest("n", "hub_n")))
-            pairs = pairs.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).filter("a != b").distinct()
+            hub = open_rows.groupBy("bucket").agg(F.max(F.struct("crowd", (-F.col("doc_id")).alias("m"), F.col("n").alias("hub_n"), F.col("g").alias("hub_g"))).alias("h"))
+            hub = hub.select("bucket", (-F.col("h.m")).alias("hub"), "h.hub_n", "h.hub_g")
+            now = hub.select("bucket", F.col("hub").alias("doc_id"))
+            hubs = stage(now if hubs is None else hubs.union(now), "hubs")
+            pairs = open_rows.join(hub, "bucket").filter("g <> hub_g").filter(MOST * F.least("n", "hub_n") >= LEAST * F.greatest("n", "hub_n"))
+            cells = _hub_cells(stage(pairs.select("hub", "hub_g", "doc_id", "g", "n").distinct(), "pairs"))
         else:
-            x = open_rows.select("band", "key", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("g").alias("ga"))
-            y = open_rows.select("band", "key", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("g").alias("gb"))
-            pairs = x.join(y, ["band", "key"]).filter("a < b and ga != gb").filter((MOST * F.least("na", "nb")) >= (LEAST * F.greatest("na", "nb")))
-            pairs = pairs.select("a", "b").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti").join(tested.toDF("b", "a"), ["a", "b"], "left_anti")
-        if turn == HUB_ROUNDS:
-            signs = made.select("doc_id", "signature")
-            pairs = pairs.join(signs.toDF("a", "sa"), "a").join(signs.toDF("b", "sb"), "b")
-            least = 0.8 * REGISTERS - 6 * (0.16 * REGISTERS) ** 0.5
-            pairs = pairs.filter(F.pandas_udf(agreeing, "int")("sa", "sb") >= least).select("a", "b")
-        pairs = stage(pairs, "pairs")
-        if pairs.isEmpty():
+            cells = _bucket_cells(stage(open_rows.select("bucket", "doc_id", "n", "g"), "open"))
+        found = stage(confirmed(cells, texts, width), "confirmed")
+        if found.isEmpty():
             continue
-        found = stage(verified(pairs, docs, width), "verified")
-        own = found.filter("linked").select("a", "b")
-        links = own if links is None else links.union(own)
-        done = found.select("a", "b")
-        tested = done if tested is None else tested.union(done)
+        links = found if links is None else links.union(found)
         label = stage(components(links), "groups")
+    unstage(texts, rows)
     out = made.select("doc_id", "n_shingles", "same").join(same, "same", "left")
     if label is not None:
         out = out.join(label.toDF("rep", "c"), "rep", "left")
