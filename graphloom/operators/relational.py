@@ -120,3 +120,38 @@ def shared_lines(texts: DataFrame, key: str, text: str, least: int = 4, ratio: f
     shared = a.join(b, "line").filter("a < b").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared"))
     share = F.col("shared") / F.least("na", "nb")
     return shared.filter((F.col("shared") >= least) & (share >= ratio)).select("a", "b", "shared", F.round(share, 6).alias("ratio"))
+
+
+def kind_is(kind: str) -> Column:
+    """``class`` stands for every kind of type."""
+    return F.col("kind").isin("class", "interface", "enum", "type") if kind == "class" else F.col("kind") == kind
+
+
+def merged_edges(edges: DataFrame, keys: list[str], confidence: str, evidence: str, n: int = 8) -> DataFrame:
+    """Edges of one key as one: their count, best confidence and first ``n`` pieces of evidence."""
+    first = top_per_key(edges.select(*keys, evidence).distinct(), keys, [F.col(evidence)], n)
+    first = first.groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_list(evidence)), " ").alias("evidence"))
+    return edges.groupBy(*keys).agg(F.count(F.lit(1)).alias("edge_count"), F.max(confidence).alias("confidence")).join(first, keys)
+
+
+def reserved_slots(df: DataFrame, key: str, kind: str, order: list[Column], reserved: int, most: int) -> DataFrame:
+    """At most ``most`` rows a key at places ``place``: the first ``reserved`` of each kind come before all others."""
+    ranked = df.withColumn("_k", F.row_number().over(W.partitionBy(key, kind).orderBy(*order)))
+    place = F.row_number().over(W.partitionBy(key).orderBy(F.when(F.col("_k") <= reserved, 0).otherwise(1), *order))
+    return ranked.withColumn("place", place).filter(F.col("place") <= most).drop("_k")
+
+
+def within_budget(df: DataFrame, keys: list[str], order: list[Column], size: str, budget: int, most: int) -> DataFrame:
+    """The first rows of a key (``most`` at most) whose sizes so far, ``used``, stay within the budget."""
+    w = W.partitionBy(*keys).orderBy(*order)
+    first = df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= most)  # a rank limit cuts groups before the sum
+    return first.withColumn("used", F.sum(size).over(w.rowsBetween(W.unboundedPreceding, 0))).filter(F.col("used") <= budget).drop("_rn")
+
+
+def priority_union(parts: dict[str, DataFrame], keys: list[str]) -> DataFrame:
+    """Each key once with the first of ``parts`` (in order) that has it, its ``origin``."""
+    every = None
+    for k, (name, df) in enumerate(parts.items()):
+        part = df.select(*keys, F.struct(F.lit(k).alias("p"), F.lit(name).alias("origin")).alias("o"))
+        every = part if every is None else every.union(part)
+    return every.groupBy(*keys).agg(F.min("o").alias("o")).select(*keys, "o.origin")
