@@ -94,6 +94,17 @@ def super_minhash(elements: np.ndarray, owner: np.ndarray, n_docs: int, register
     return table.reshape(n_docs, registers)
 
 
+def signatures(elements: np.ndarray, owner: np.ndarray, n_docs: int, at_once: int = 1 << 18) -> np.ndarray:
+    """``super_minhash`` in bounded memory: a signature is a minimum over elements, so parts of them merge exactly."""
+    table = super_minhash(elements[:at_once], owner[:at_once], n_docs)
+    for k in range(at_once, len(elements), at_once):
+        part = owner[k : k + at_once]
+        first = int(part[0])
+        own = slice(first, int(part[-1]) + 1)
+        np.minimum(table[own], super_minhash(elements[k : k + at_once], part - first, own.stop - first), out=table[own])
+    return table
+
+
 SKETCH = "doc_id long, n_shingles long, same binary, bands array<long>"
 
 
@@ -107,7 +118,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                 part = batch.slice(k, 128)
                 sets = [shingles(t, width) for t in part.column("text").to_pylist()]
                 sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-                table = super_minhash(np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes), len(sets))
+                table = signatures(np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes), len(sets))
                 values = mix(table)
                 key = np.zeros((len(sets), BANDS), np.uint64)
                 for r in range(ROWS):

@@ -302,3 +302,31 @@ def test_pipeline(spark):
     assert c == {i for i, (_, comp) in brute_groups(rows, 5).items() if i == comp}
     last = p.run(spark, SF)
     assert {r.doc_id for r in last.select("doc_id").distinct().collect()} == c
+
+
+def test_signatures_in_parts():
+    """Signatures of parts of the elements, merged, equal those of all at once; empty sets anywhere."""
+    rng, sizes = np.random.default_rng(3), np.array([0, 900, 2, 0, 130, 1, 0])
+    elements, owner = rng.integers(0, 2**63, sizes.sum()).astype(np.uint64), np.repeat(np.arange(7), sizes)
+    want = minhash.super_minhash(elements, owner, 7)
+    for at_once in (50, 131, 4096):
+        assert (minhash.signatures(elements, owner, 7, at_once) == want).all()
+
+
+def test_joining_in_blocks():
+    """A cell's links join the groups that brute force joins: within a block, and across two blocks."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**62, 60).astype(np.uint64)
+    sets = [np.unique(np.where(rng.random(60) < rng.choice([0.02, 0.08, 0.3]), rng.integers(0, 2**62, 60).astype(np.uint64), base)) for _ in range(60)]
+    linked = {(a, b) for a in range(60) for b in range(a) if minhash.MOST * len(np.intersect1d(sets[a], sets[b])) >= minhash.LEAST * len(np.union1d(sets[a], sets[b]))}
+    for sides in ([0] * 60, [k % 2 for k in range(60)]):
+        wanted, got = components.UnionFind(), components.UnionFind()
+        for a, b in linked:
+            if 1 not in sides or sides[a] != sides[b]:
+                wanted.union(a, b)
+        found = list(minhash._joining(list(range(60)), list(range(60)), sides, sets))
+        for a, b in found:
+            assert (max(a, b), min(a, b)) in linked
+            got.union(a, b)
+        assert [got.find(k) for k in range(60)] == [wanted.find(k) for k in range(60)]
+        assert len(found) < 60
