@@ -38,7 +38,7 @@ def encoder(path: str) -> "PieceEncoder":
 class PieceEncoder:
     """``max_pieces`` and ``max_piece_bytes`` bound the cache's memory, never the work."""
 
-    def __init__(self, path: str, max_pieces: int = 1_200_000, max_piece_bytes: int = 64):
+    def __init__(self, path: str, max_pieces: int = 400_000, max_piece_bytes: int = 64):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
