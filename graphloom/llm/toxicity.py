@@ -1,12 +1,12 @@
 """Operator 7: toxicity by multiple-instance learning.
 
 A document is a bag of sentences.  A sentence's score is a logistic function of its hashed features (words, and
-byte 4-, 5- and 6-grams, lower-case, each counted once a sentence); a document's is their noisy-or, 1 - prod(1 - p).
-Only documents have labels: the gradient of the bag's likelihood reaches the sentences that explain it, so the model
-also tells which sentences offend.  Fitting uses a bounded sample (``MAX_FIT`` toxic rows, ``CLEAN_EACH`` times
-as many clean ones, texts of up to
-``MAX_FIT_BYTES``) of rows outside the held-out fold, and the features that
-``MIN_DOCS`` of its toxic texts have, at least twice as often as clean ones.
+byte 4-, 5- and 6-grams, lower-case, each counted once a sentence); a document's is that of its worst sentence, so that
+no number of clean sentences makes it toxic.  Only documents have labels: fitting goes by the noisy-or of the
+sentences, 1 - prod(1 - p), whose gradient reaches all sentences that explain a bag, so the model also tells which
+sentences offend.  Fitting uses a bounded sample (``MAX_FIT`` toxic rows and ``MAX_FIT_BYTES``
+of them together, ``CLEAN_EACH`` times as much of clean ones, texts of all lengths) of rows outside the held-out fold,
+and the features that ``MIN_DOCS`` of its toxic texts have, at least twice as often as clean ones.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from .common import documents
 from .hashed import Texts, fold, groups
 from .linear import labelled, logistic
 
-MAX_FIT, MAX_FIT_BYTES, MIN_DOCS, BITS = 1500, 8_192, 3, 17
+MAX_FIT, MAX_FIT_BYTES, MIN_DOCS, BITS = 1500, 8 << 20, 3, 17
 #: Clean rows fitted for each toxic one, and the share of toxic documents that a score of 1/2 supposes.
 CLEAN_EACH, PRIOR = 2, 0.2
 THRESHOLD = 0.3
@@ -78,6 +78,11 @@ def noisy_or(z: np.ndarray, first: np.ndarray) -> np.ndarray:
     return -np.expm1(np.add.reduceat(quiet, first))
 
 
+def worst(z: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """logistic(z) of the largest z of each text."""
+    return logistic(np.maximum.reduceat(z, first))
+
+
 def fit(sample: list[tuple[str, int]], steps: int = 150, rate: float = 0.1, l1: float = 1e-4) -> Toxicity | None:
     """None where the sample does not have both classes."""
     y = np.array([v for _, v in sample], np.float64)
@@ -140,7 +145,7 @@ def held_out():
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Toxicity | None:
-    return fit(labelled(docs, labels, "toxic", MAX_FIT, MAX_FIT_BYTES, ~held_out(), (CLEAN_EACH, 1)))
+    return fit(labelled(docs, labels, "toxic", MAX_FIT, None, ~held_out(), (CLEAN_EACH, 1), MAX_FIT_BYTES))
 
 
 def score(docs: DataFrame, model: Toxicity | None, threshold: float = THRESHOLD) -> DataFrame:
@@ -158,15 +163,15 @@ def score(docs: DataFrame, model: Toxicity | None, threshold: float = THRESHOLD)
                 continue
             z, first, ends = sentence_sums(texts, m.weights)
             z += m.bias
-            p = noisy_or(z, first)
+            p = worst(z, first)
             last = np.append(first[1:], len(z))
-            worst = [int(np.argmax(z[a:b])) for a, b in zip(first, last)]
+            at = [int(np.argmax(z[a:b])) for a, b in zip(first, last)]
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "score": pa.array(p),
                 "predicted": pa.array((p >= threshold).astype(np.int32)), "n_sentences": pa.array((last - first).astype(np.int32)),
-                "worst_start": pa.array([0 if k == 0 else int(e[k - 1]) for k, e in zip(worst, ends)], pa.int32()),
-                "worst_end": pa.array([int(e[k]) for k, e in zip(worst, ends)], pa.int32()),
-                "worst_score": pa.array(logistic(z[first + np.array(worst)])),
+                "worst_start": pa.array([0 if k == 0 else int(e[k - 1]) for k, e in zip(at, ends)], pa.int32()),
+                "worst_end": pa.array([int(e[k]) for k, e in zip(at, ends)], pa.int32()),
+                "worst_score": pa.array(logistic(z[first + np.array(at)])),
             })
 
     return documents(docs, F.coalesce(held_out(), F.lit(False)).alias("held_out")).mapInArrow(run, RESULT)

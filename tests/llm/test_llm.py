@@ -223,6 +223,18 @@ def test_toxicity(spark, docs, labels, odd, none):
     assert toxicity.score(odd, m).count() == len(ODD) and toxicity.score(none, m).count() == 0 and toxicity.score(odd, None).count() == len(ODD)
 
 
+def test_toxicity_of_long_texts(spark, docs, labels):
+    m = toxicity.train(docs, labels)
+    got = toxicity.score(docs, m).filter("score < 0.05").join(labels.filter("toxic = 0"), "doc_id").join(docs.select("doc_id", "text"), "doc_id").orderBy("doc_id").limit(60).select("text", "score").collect()
+    long = spark.createDataFrame([(k, "\n".join([r.text for r in got] * k)) for k in (1, 5, 40)], "doc_id long, text string")
+    assert len(got) > 20 and all(r.score <= max(x.score for x in got) + 1e-9 for r in toxicity.score(long, m).collect())
+    # texts of all lengths are drawn; only those that no longer fit into the bytes of all are passed over
+    d = spark.createDataFrame([(k, "x " * 10_000 if k < 4 else "y") for k in range(8)], "doc_id long, text string")
+    lab = d.select("doc_id", (d.doc_id % 2).cast("int").alias("toxic"))
+    assert sum(len(t) for t, _ in linear.labelled(d, lab, "toxic", 10, None, all_bytes=1 << 20)) == 4 * 20_001
+    assert sorted(len(t) for t, _ in linear.labelled(d, lab, "toxic", 10, None, all_bytes=25_000)) == [1] * 4 + [20_000] * 2
+
+
 def test_metric_join(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(300, 8))
