@@ -3,14 +3,15 @@
 Documents are encoded, end with an id, and only longer ones are cut.  Pieces are dealt at random to groups of
 about 100,000; each group is packed on its own, which can cost one sequence a group.  In a group, equal
 lengths are interchangeable, so packing works on counts by length (4096 of them at most): best-fit decreasing
-gives the incumbent; if it is above the waste bound ceil(sum / 4096), depth-first bin completion looks for fewer
-sequences.  At each node the longest open piece opens a bin, undominated fillings around it are tried from
-the fullest, and a branch ends when its waste exceeds what one sequence fewer would leave.
+gives the incumbent; if it is above the lower bound (ceil(sum / 4096), or more where long pieces share no
+bin), depth-first bin completion looks for fewer sequences.  At each node the longest open piece opens a bin,
+undominated fillings of any number of pieces around it are tried from the fullest, and a branch ends when its waste exceeds what one sequence fewer would leave.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ from .common import documents, rows_per_group, stage
 from .encode import encoder
 
 CAPACITY, END_ID, GROUP_ROWS = 4096, 1, 100_000
-#: Nodes that the search may open in a group and fillings tried at each; the incumbent stands when they are spent.
+#: Nodes that the search may open in a group, where the incumbent stands when they are spent, and fillings first tried at each.
 MAX_NODES, MAX_FILLINGS = 20_000, 8
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, copy long"
@@ -70,78 +71,140 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def fillings(counts: np.ndarray, lengths: np.ndarray, room: int, limit: int) -> list[tuple[int, ...]]:
-    """Fillings of ``room`` by up to three open pieces, fullest first, without dominated ones.
+def lower_bound(counts: np.ndarray, capacity: int) -> int:
+    """Bins that any packing needs: pieces above half the capacity share none, small ones only fit into what those leave."""
+    n, size = np.cumsum(counts), np.cumsum(counts * np.arange(len(counts)))
+    half = capacity // 2
+    small = np.arange(1, half + 1)  # for each of them, pieces below it are left out
+    alone, large = n[-1] - n[capacity - small], n[-1] - n[half]
+    beside = (large - alone) * capacity - (size[capacity - small] - size[half])  # room beside large pieces that small ones fit in
+    more = -(-(size[half] - size[small - 1] - beside) // capacity)
+    return max(-(-int(size[-1]) // capacity), int((large + np.maximum(more, 0)).max(initial=0)))
+
+
+def _within(f: tuple[int, ...], g: tuple[int, ...]) -> bool:
+    """Pieces of ``f`` fit in place of pieces of ``g``, several for one or one for one."""
+    rooms = list(g)
+    for x in f:
+        for k, r in enumerate(rooms):
+            if x <= r:
+                rooms[k] -= x
+                break
+        else:
+            return False
+    return True
+
+
+def fillings(counts: np.ndarray, room: int, limit: int, least: int = 0) -> tuple[list[tuple[int, ...]], bool]:
+    """Fillings of ``room`` by any number of open pieces, fullest first, without dominated ones; True: there may be more.
 
-    A filling is dominated when another uses one longer piece in place of one of its pieces, or of two, and still fits.
+    Sums that pieces reach are the bits of a number for each length and all below it, so that only fillings of a sum
+    are walked.  A filling is dominated when its pieces fit in place of those of a fuller one.  The list ends
+    with ``limit`` fillings, after a fixed number of dominated ones for each, or below the sum ``least``.
     """
-    found: dict[tuple[int, ...], int] = {}
-    fits = lengths[lengths <= room]
-    if not len(fits):
-        return [()]
-    single = int(fits[-1])  # every other single is dominated by the longest that fits
-    found[(single,)] = single
-    for a in fits[::-1][: 4 * limit].tolist():
-        rest = room - a
-        inner = fits[(fits <= min(rest, a))]
-        if len(inner) and (inner[-1] != a or counts[a] > 1 or len(inner) > 1):
-            b = int(inner[-1]) if inner[-1] != a or counts[a] > 1 else int(inner[-2])
-            found[(a, b)] = a + b
-            left = rest - b
-            third = fits[fits <= min(left, b)]
-            for c in third[::-1][:2].tolist():
-                if counts[c] > (c == a) + (c == b):
-                    found[(a, b, c)] = a + b + c
-                    break
-    best = sorted(found, key=lambda f: (-found[f], len(f), tuple(-x for x in f)))
+    lengths = [x for x in np.flatnonzero(counts[: room + 1]).tolist() if x]
+    own, reach, mask = [min(int(counts[x]), room // x) for x in lengths], [1], (1 << (room + 1)) - 1
+    for x, n in zip(lengths, own):
+        r, k = reach[-1], 1
+        while n > 0:
+            r |= (r << (min(k, n) * x)) & mask
+            n, k = n - k, 2 * k
+        reach.append(r)
+
+    def parts(i: int, total: int) -> Iterator[tuple[int, ...]]:
+        if not total:
+            yield ()
+            return
+        i = min(i, bisect_right(lengths, total))
+        while i and reach[i] >> total & 1:
+            i -= 1
+            x = lengths[i]
+            for k in range(min(own[i], total // x), 0, -1):
+                if reach[i] >> (total - k * x) & 1:
+                    for rest in parts(i, total - k * x):
+                        yield (x,) * k + rest
+
     kept: list[tuple[int, ...]] = []
-    for f in best:
-        if len(kept) == limit:
-            break
-        if not any(len(g) <= len(f) and found[g] >= found[f] and set(g) >= set(f[: len(g) - 1]) and g[0] >= f[0] and g != f and len(g) < len(f) for g in kept):
-            kept.append(f)
-    return kept
+    sums, looked = reach[-1], 0
+    while sums and (total := sums.bit_length() - 1) >= least:
+        sums ^= 1 << total
+        for f in parts(len(lengths), total):
+            if len(kept) == limit or looked == 8 * limit:
+                return kept, True
+            looked += 1
+            if not any(_within(f, g) for g in kept):
+                kept.append(f)
+                if len(f) == 1 and f[0] == room:
+                    return kept, False  # it is at least as good as every other
+    return kept, False
 
 
 def bin_completion(counts: np.ndarray, capacity: int = CAPACITY, max_nodes: int = MAX_NODES, max_fillings: int = MAX_FILLINGS) -> list[list[int]]:
-    """As few bins as best fit and the bounded search find, for ``counts[length]`` pieces of each length."""
+    """As few bins as best fit and the bounded search find, for ``counts[length]`` pieces of each length.
+
+    A node opens one bin or, of equal ones, as many as there are pieces for.  Where the first ``max_fillings`` of a
+    node fail, more are looked for, so only ``max_nodes`` ends the search before its time.
+    """
     best = best_fit(counts, capacity)
     total = int((counts * np.arange(len(counts))).sum())
-    bound = -(-total // capacity)
+    bound = lower_bound(counts, capacity)
     nodes = 0
     while len(best) > bound and nodes < max_nodes:
         spare = (len(best) - 1) * capacity - total  # the waste that one bin fewer would have
         left, path, better = counts.copy(), [], None
-        wasted = 0
+        wasted, seen = 0, set()
+
+        def options(limit: int, tried: set) -> tuple[list, bool]:
+            """(bin, how many), the last one to be tried first."""
+            largest = int(np.flatnonzero(left)[-1])
+            room = capacity - largest
+            left[largest] -= 1
+            found, more = fillings(left, room, limit, room - (spare - wasted))
+            left[largest] += 1
+            most, fewer = [], []
+            for f in found:
+                if f in tried:
+                    continue
+                tried.add(f)
+                own = (largest, *f)
+                m = min(int(left[x]) // own.count(x) for x in set(own))
+                if waste := room - sum(f):
+                    m = min(m, (spare - wasted) // waste)
+                most.append((own, m))
+                while (m := m // 2) > 0:
+                    fewer.append((own, m))
+            return (most + fewer)[::-1], more
+
         while nodes < max_nodes:
-            lengths = np.flatnonzero(left)
-            if not len(lengths):
-                better = [list(p[0]) for p in path]
+            if not left.any():
+                better = [list(x) for (x, m), *_ in path for _ in range(m)]
                 break
             nodes += 1
-            largest = int(lengths[-1])
-            left[largest] -= 1
-            room = capacity - largest
-            options = []
-            for f in fillings(left, np.flatnonzero(left), room, max_fillings):
-                # pieces that no bin has room for beside another are waste that the bound must allow
-                if wasted + room - sum(f) <= spare:
-                    options.append((largest, *f))
-            left[largest] += 1
-            path.append([None, options])
+            state = (hash(left.tobytes()), wasted)
+            if state in seen:
+                path.append([None, [], False, max_fillings, set()])
+            else:
+                seen.add(state)
+                tried: set = set()
+                path.append([None, *options(max_fillings, tried), max_fillings, tried])
             # take the next option; go back where none is left
             while path:
                 here = path[-1]
                 if here[0] is not None:
-                    for x in here[0]:
-                        left[x] += 1
-                    wasted -= capacity - sum(here[0])
+                    own, m = here[0]
+                    for x in own:
+                        left[x] += m
+                    wasted -= m * (capacity - sum(own))
                     here[0] = None
+                while not here[1] and here[2] and nodes < max_nodes:
+                    here[3] *= 4
+                    nodes += (here[3] // max_fillings) ** 2  # what longer lists cost beside the first
+                    here[1], here[2] = options(here[3], here[4])
                 if here[1]:
-                    here[0] = here[1].pop(0)
-                    for x in here[0]:
-                        left[x] -= 1
-                    wasted += capacity - sum(here[0])
+                    own, m = here[0] = here[1].pop()
+                    for x in own:
+                        left[x] -= m
+                    wasted += m * (capacity - sum(own))
                     break
                 path.pop()
             if not path:

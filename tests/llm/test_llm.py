@@ -300,6 +300,24 @@ def test_bin_completion():
     assert len(packing.bin_completion(np.bincount([6, 5, 3, 2, 2, 2], minlength=11), 10)) == 2
 
 
+def test_bins_of_many_pieces():
+    # the best packing has bins of six pieces and more; best fit needs a bin more
+    for lengths, capacity, best in (([900, 800, 700, 650] * 1000, 4096, 760), ([16, 2, 6, 8, 9, 14, 5, 6, 16, 9, 4, 10, 5, 10, 6, 4, 5, 6, 15, 8, 16, 7, 8, 6, 2, 30, 6, 1], 60, 4)):
+        counts = np.bincount(lengths, minlength=capacity + 1)
+        bins = packing.bin_completion(counts, capacity)
+        assert Counter(x for b in bins for x in b) == Counter(lengths) and all(sum(b) <= capacity for b in bins)
+        assert len(bins) <= best and packing.lower_bound(counts, capacity) <= len(bins)
+    # all undominated fillings of 30 by brute force are among those found
+    rng = random.Random(5)
+    for _ in range(20):
+        counts = np.bincount([rng.randint(2, 12) for _ in range(9)], minlength=31)
+        found, more = packing.fillings(counts, 30, 1000)
+        pieces = [x for x in range(31) for _ in range(counts[x])]
+        every = {tuple(sorted((x for k, x in enumerate(pieces) if m >> k & 1), reverse=True)) for m in range(1 << len(pieces))}
+        every = {f for f in every if sum(f) <= 30}
+        assert not more and set(found) <= every and all(any(packing._within(f, g) for g in found) for f in every)
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
