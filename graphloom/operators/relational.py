@@ -105,14 +105,33 @@ def retained(snapshots: DataFrame, workspace: str, current: str, created: str, k
     return top_per_key(snapshots, [workspace], [F.desc(current), F.desc(created), F.desc(key)], n).drop("rn")
 
 
+def _lines(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """key, line: distinct non-trivial trimmed lines (8 characters or more, not only brackets)."""
+    lines = texts.select(key, F.explode(F.array_distinct(F.transform(F.split(text, "\n"), lambda x: F.trim(x)))).alias("line"))
+    return lines.filter((F.length("line") >= 8) & ~F.col("line").rlike(r"^[\[\](){};,\s]*$"))
+
+
+def _line_sets(lines: DataFrame, key: str) -> DataFrame:
+    """key, n, h: the number of lines and their sorted hashes."""
+    return lines.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.xxhash64("line"))).alias("h"))
+
+
+def line_set_members(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """key, representative, n_lines, class_size: each text that has non-trivial lines with the smallest key of those of the
+    same line set.  ``shared_lines`` pairs representatives; members of one class share all lines, at a ratio of 1."""
+    sets = _line_sets(_lines(texts, key, text), key)
+    classes = sets.groupBy("h").agg(F.min(key).alias("representative"), F.count(F.lit(1)).alias("class_size"))
+    return sets.join(classes, "h").select(key, "representative", F.col("n").alias("n_lines"), "class_size")
+
+
 def shared_lines(texts: DataFrame, key: str, text: str, least: int = 4, ratio: float = 0.6, max_docs: int | None = None) -> DataFrame:
     """a, b, shared, ratio: pairs whose non-trivial trimmed lines (8 characters or more, not only brackets) overlap.
 
-    Equal line sets are compared once, through their smallest key; the denominator is the smaller set.
+    Equal line sets are compared once, through their smallest key (``line_set_members`` tells whose it is); the
+    denominator is the smaller set.
     """
-    lines = texts.select(key, F.explode(F.array_distinct(F.transform(F.split(text, "\n"), lambda x: F.trim(x)))).alias("line"))
-    lines = lines.filter((F.length("line") >= 8) & ~F.col("line").rlike(r"^[\[\](){};,\s]*$"))
-    sizes = lines.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.xxhash64("line"))).alias("h"))
+    lines = _lines(texts, key, text)
+    sizes = _line_sets(lines, key)
     reps = sizes.groupBy("h").agg(F.min(key).alias(key), F.first("n").alias("n")).select(key, "n")
     lines = lines.join(reps, key)
     a = lines.select(F.col(key).alias("a"), F.col("n").alias("na"), "line")

@@ -216,6 +216,13 @@ def st04_shared_lines(spark, sf_dir):
     return R.shared_lines(read(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+@query("""WITH f AS (SELECT DISTINCT d.doc_id, trim(u.x, ' ') AS line FROM documents d, unnest(string_split(d.text, chr(10))) AS u(x) WHERE length(trim(u.x, ' ')) >= 8 AND regexp_matches(trim(u.x, ' '), '[^\\[\\](){};,\\s]')),
+ n AS (SELECT doc_id, count(*) AS n FROM f GROUP BY doc_id), s AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM f x JOIN f y USING (line) GROUP BY ALL)
+ SELECT s.a AS doc_id, min(s.b) AS representative, any_value(na.n) AS n_lines, count(*) AS class_size FROM s JOIN n na ON na.doc_id = s.a JOIN n nb ON nb.doc_id = s.b WHERE s.shared = na.n AND s.shared = nb.n GROUP BY s.a""")
+def st04_line_set_members(spark, sf_dir):
+    return R.line_set_members(read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 @query(sql("deps", rest="--recursive WITH walk AS (SELECT 0::BIGINT AS node, 0 AS depth UNION SELECT d.b, w.depth + 1 FROM walk w JOIN deps d ON d.a = w.node WHERE w.depth < 3) SELECT node, min(depth)::INT AS depth FROM walk GROUP BY node"))
 def gr03_bfs_reach(spark, sf_dir):
     return G.reach(dependencies(spark, sf_dir), spark.range(1).select(F.col("id").alias("node")), 3)

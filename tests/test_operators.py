@@ -105,3 +105,11 @@ def test_stream_windows(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert rows(spark.table("hourly"), "tool", "n", "total_ms") == [("a", 2, 5.0), ("b", 1, 1.0)]
+
+
+def test_line_set_members(spark):
+    same = "first line\nsecond line\nthird line\nfourth line"
+    texts = spark.createDataFrame([(5, same), (2, same + "\n}\nshort"), (7, "\n".join(reversed(same.split("\n")))), (1, same + "\nfifth line"), (9, "short")], "id long, text string")
+    got = {tuple(r) for r in R.line_set_members(texts, "id", "text").collect()}
+    assert got == {(2, 2, 4, 3), (5, 2, 4, 3), (7, 2, 4, 3), (1, 1, 5, 1)}
+    assert [tuple(r) for r in R.shared_lines(texts, "id", "text").collect()] == [(1, 2, 4, 1.0)]
