@@ -12,24 +12,42 @@ from graphloom.llm.common import stage, table
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``row``, a key of each row that every read sees alike: its file and place there.
+
+    What is not a table of files as it is read is written as one first.
+    """
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        docs = stage(docs.select(*COLUMNS), "rows")
+    paths = sorted(r.file_path for r in docs.select("_metadata.file_path").distinct().collect())
+    files = docs.sparkSession.createDataFrame(list(zip(paths, range(len(paths)))), "file_path string, file long")
+    rows = docs.select(*COLUMNS, "_metadata.file_path", "_metadata.row_index").join(F.broadcast(files), "file_path")
+    return rows.select(*COLUMNS, (F.shiftleft("file", 40) + F.col("row_index")).alias("row"))
+
+
 def _kept(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is in ``keep`` (only ids are shuffled beside the rows)."""
-    return docs.join(keep.select("doc_id").distinct(), "doc_id", "left_semi").select(*COLUMNS)
+    """The rows of ``docs`` whose ``row`` is in ``keep`` (only keys are shuffled beside the rows)."""
+    return docs.join(keep.select("row"), "row", "left_semi").select(*COLUMNS)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling draws."""
-    return _kept(docs, importance.resample(docs, table(spark, sf_dir, "labels")).filter("sampled"))
+    docs = _keyed(docs)
+    return _kept(docs, importance.resample(docs, table(spark, sf_dir, "labels"), key="row").filter("sampled"))
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the multiple-instance model does not call toxic."""
-    return _kept(docs, toxicity.toxicity(docs, table(spark, sf_dir, "labels")).filter("predicted = 0"))
+    docs = _keyed(docs)
+    return _kept(docs, toxicity.toxicity(docs, table(spark, sf_dir, "labels"), key="row").filter("predicted = 0"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group linked by five-word shingles at 0.8 or more."""
-    return _kept(docs, minhash.near_duplicates(docs, width=5).filter("kept"))
+    """One row of each group linked by five-word shingles at 0.8 or more: that of the smallest doc_id, null ids last."""
+    docs = _keyed(docs)
+    found = minhash.near_duplicates(docs.select(F.col("row").alias("doc_id"), "text"), width=5).select(F.col("doc_id").alias("row"), "component_id")
+    ids = docs.select("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row").alias("first"))
+    return _kept(docs, found.join(ids, "row").groupBy("component_id").agg(F.min("first").alias("first")).select("first.row"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -107,11 +107,12 @@ def kth_largest(df: DataFrame, key: str, tie: str, k: int, few: int = 10_000) ->
     return tuple(rows[min(k - above, len(rows)) - 1])
 
 
-def resample(docs: DataFrame, labels: DataFrame, seed: int = 7, k: int | None = None) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, seed: int = 7, k: int | None = None, key: str | None = None) -> DataFrame:
     """doc_id, n_grams, log_weight, gumbel_key, sampled: one row a document.
 
     A null or empty text has no n-grams and weight 0 and is not drawn while its key is below the k-th; rows of one id
-    share their noise; without labelled good rows the weights are 0 and every document is drawn.
+    share their noise; without labelled good rows the weights are 0 and every document is drawn.  ``key`` names a long
+    column of ``docs`` that comes along, different in each row: rows without an id get their noise by it, and ties go by it.
     """
     sample = [t.encode() for t, y in labelled(docs, labels, "quality", MAX_FIT, MAX_FIT_BYTES) if y == 1]
     raw = corpus_counts(docs)
@@ -126,17 +127,22 @@ def resample(docs: DataFrame, labels: DataFrame, seed: int = 7, k: int | None =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             w, n = log_weights([x.encode() for x in batch.column("text").to_pylist()], sent.value)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(w)], names=["doc_id", "n_grams", "log_weight"])
-
-    scored = documents(docs).mapInArrow(run, "doc_id long, n_grams long, log_weight double")
-    u = (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(w), *(batch.column(c) for c in keys)], names=["doc_id", "n_grams", "log_weight", *keys])
+
+    keys = [key] if key else []
+    scored = documents(docs, *keys).mapInArrow(run, ", ".join(["doc_id long, n_grams long, log_weight double", *(f"{c} long" for c in keys)]))
+    noise = F.xxhash64(F.lit(seed), "doc_id")
+    if key:
+        noise = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(seed), F.lit("row"), key)).otherwise(noise)
+    u = (F.pmod(noise, F.lit(1 << 52)) + 0.5) / float(1 << 52)
     scored = stage(scored.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(u))), "importance")
     if k is None:
         k = scored.filter(F.col("log_weight") >= floor * F.col("n_grams")).count() if np.isfinite(floor) else scored.count()
-    at = kth_largest(scored, "gumbel_key", "doc_id", k)
+    by = key or "doc_id"
+    at = kth_largest(scored, "gumbel_key", by, k)
     if at is None:
         drawn = F.lit(False)
     else:
-        key, tie = at
-        drawn = (F.col("gumbel_key") > key) | ((F.col("gumbel_key") == key) & (F.lit(True) if tie is None else F.coalesce(F.col("doc_id") <= tie, F.lit(False))))
+        least, tie = at
+        drawn = (F.col("gumbel_key") > least) | ((F.col("gumbel_key") == least) & (F.lit(True) if tie is None else F.coalesce(F.col(by) <= tie, F.lit(False))))
     return scored.withColumn("sampled", drawn)

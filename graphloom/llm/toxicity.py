@@ -148,9 +148,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Toxicity | None:
     return fit(labelled(docs, labels, "toxic", MAX_FIT, None, ~held_out(), (CLEAN_EACH, 1), MAX_FIT_BYTES))
 
 
-def score(docs: DataFrame, model: Toxicity | None, threshold: float = THRESHOLD) -> DataFrame:
+def score(docs: DataFrame, model: Toxicity | None, threshold: float = THRESHOLD, key: str | None = None) -> DataFrame:
     """One row a document with its score and its most offending sentence (byte offsets in the UTF-8 text).
 
+    ``key`` names a long column of ``docs`` that comes along.
     A null or empty text is one empty sentence.  Without a model (labels of one class) every score is 0.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: 4 << BITS floats
@@ -172,14 +173,16 @@ def score(docs: DataFrame, model: Toxicity | None, threshold: float = THRESHOLD)
                 "worst_start": pa.array([0 if k == 0 else int(e[k - 1]) for k, e in zip(at, ends)], pa.int32()),
                 "worst_end": pa.array([int(e[k]) for k, e in zip(at, ends)], pa.int32()),
                 "worst_score": pa.array(logistic(z[first + np.array(at)])),
+                **{k: batch.column(k) for k in keys},
             })
 
-    return documents(docs, F.coalesce(held_out(), F.lit(False)).alias("held_out")).mapInArrow(run, RESULT)
+    keys = [key] if key else []
+    return documents(docs, F.coalesce(held_out(), F.lit(False)).alias("held_out"), *keys).mapInArrow(run, ", ".join([RESULT, *(f"{k} long" for k in keys)]))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, key: str | None = None) -> DataFrame:
     """``score`` with a model trained on ``labels`` outside the held-out fold; an empty table gives no rows."""
-    return score(docs, train(docs, labels))
+    return score(docs, train(docs, labels), key=key)
 
 
 def offending_sentences(docs: DataFrame, model: Toxicity | None, threshold: float = THRESHOLD) -> DataFrame:

@@ -334,6 +334,30 @@ def test_pipeline(spark):
     assert {r.doc_id for r in last.select("doc_id").distinct().collect()} == c
 
 
+def test_pipeline_rows_without_ids_and_repeated_rows(spark, docs, labels):
+    import corpus_pipeline as p
+
+    rows = docs.select(*p.COLUMNS)
+    one = rows.join(labels.filter("quality = 1 and toxic = 0"), "doc_id", "left_semi").orderBy("doc_id").limit(30).collect()
+    bad = rows.join(labels.filter("toxic = 1"), "doc_id", "left_semi").orderBy("doc_id").limit(20).collect()
+    make = lambda x: spark.createDataFrame(x, rows.schema)
+    texts = lambda df: Counter(r.text for r in df.collect())
+    # rows without ids fare as the same rows with ids
+    good, none = make(one), make([(None, *r[1:]) for r in one])
+    assert len(one) == 30 and texts(p.toxic(spark, none, SF)) == texts(p.toxic(spark, good, SF)) and p.quality(spark, none, SF).count() > 20
+    assert texts(p.near_duplicates(spark, none, SF)) == texts(p.near_duplicates(spark, good, SF))
+    # one of repeated rows is left, one with an id where there is one
+    left = p.near_duplicates(spark, make([(None, *r[1:]) for r in one] + one + one), SF).collect()
+    assert Counter(r.text for r in left) == texts(p.near_duplicates(spark, good, SF)) and all(r.doc_id is not None for r in left)
+    # a clean row does not bring back a toxic one of its id, and both texts are compared
+    mixed = make([(r.doc_id, *b[1:]) for r, b in zip(one, bad)] + one)
+    m = toxicity.train(mixed, table(spark, SF, "labels"))
+    want = Counter(r.text for r in toxicity.score(mixed.withColumn("n", mixed.n_chars).withColumn("row", mixed.n_chars), m, key="row").filter("predicted = 0").join(mixed.select("text", "doc_id", mixed.n_chars.alias("row")), ["doc_id", "row"]).collect())
+    assert texts(p.toxic(spark, mixed, SF)) == want
+    two = make([(7, *r[1:]) for r in one])
+    assert texts(p.near_duplicates(spark, two, SF)) == texts(p.near_duplicates(spark, good, SF))
+
+
 def test_signatures_in_parts():
     """Signatures of parts of the elements, merged, equal those of all at once; empty sets anywhere."""
     rng, sizes = np.random.default_rng(3), np.array([0, 900, 2, 0, 130, 1, 0])
