@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -20,8 +21,11 @@ import regex
 from pyspark.sql import DataFrame
 
 from .common import documents
-from .encode import PIECE, WHITE
 
+#: Unicode White_Space, as the pre-tokenizers' ``\s`` has it (fixed values).
+WHITE = "\\t\\n\\v\\f\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: Pieces that no pre-token crosses: white space and the characters after it, letters cut from following punctuation.
+PIECE = re.compile(rf"[{WHITE}]*+[^\W\d_]++(?=[.,;:!?])|[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 #: The byte-level pre-tokenizer's pattern with its white space spelled out (fixed values).
 PRETOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 

@@ -15,13 +15,13 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, rows_per_group, stage
-from .encode import encoder
+from .encode import encoder, with_end
 
 CAPACITY, END_ID, GROUP_ROWS = 4096, 1, 100_000
 #: Nodes that the search may open in a group, where the incumbent stands when they are spent, and fillings first tried at each.
@@ -34,16 +34,21 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     """doc_id, piece, start, length, ids_crc32, copy (tells repeated rows apart)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, tail = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        enc = encoder(tokenizer)
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part, out = batch.slice(k, 256), []
-                for doc_id, copy, raw in zip(part.column("doc_id").to_pylist(), part.column("copy").to_pylist(), enc.encode(part.column("text").to_pylist())):
-                    raw += tail
-                    for i, at in enumerate(range(0, len(raw), 4 * capacity)):
-                        own = raw[at : at + 4 * capacity]
-                        out.append((doc_id, i, at // 4, len(own) // 4, zlib.crc32(own), copy))
-                yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32", "copy"]).astype({"piece": "int32", "doc_id": "Int64"}), preserve_index=False)
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
+                ids, edges = with_end(*enc.encode_column(part.column("text")), end_id)
+                n = -(-np.diff(edges) // capacity)
+                row = np.repeat(np.arange(len(n)), n)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                start = piece * capacity
+                first = edges[row] + start
+                length = np.minimum(edges[row + 1] - first, capacity)
+                raw = memoryview(ids).cast("B")
+                crc = [zlib.crc32(raw[4 * a : 4 * (a + m)]) for a, m in zip(first.tolist(), length.tolist())]
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(take), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), part.column("copy").take(take)], names=["doc_id", "piece", "start", "length", "ids_crc32", "copy"])
 
     return documents(docs).withColumn("copy", F.monotonically_increasing_id()).mapInArrow(run, PIECES)
 
@@ -216,19 +221,19 @@ def bin_completion(counts: np.ndarray, capacity: int = CAPACITY, max_nodes: int
 
 
 def _pack(capacity: int):
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "piece", "copy"], kind="stable").reset_index(drop=True)
-        lengths = pdf.length.to_numpy()
-        counts = np.bincount(lengths, minlength=capacity + 1)
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        group = group.take(pc.sort_indices(group, [(c, "ascending") for c in ("length", "doc_id", "piece", "copy")]))
+        counts = np.bincount(group.column("length").to_numpy(), minlength=capacity + 1)
         next_row = np.concatenate([[0], np.cumsum(counts)])[:-1].tolist()
-        seq, off = np.empty(len(pdf), np.int64), np.empty(len(pdf), np.int64)
+        seq, off = np.empty(len(group), np.int64), np.empty(len(group), np.int64)
         for b, content in enumerate(bin_completion(counts, capacity)):
             at = 0
             for x in content:
                 seq[next_row[x]], off[next_row[x]] = b, at
                 next_row[x] += 1
                 at += x
-        return pd.DataFrame({"doc_id": pdf.doc_id, "piece": pdf.piece, "start": pdf.start, "length": lengths, "ids_crc32": pdf.ids_crc32, "sequence_id": (np.int64(key[0]) << np.int64(32)) + seq, "offset": off})
+        out = group.select(["doc_id", "piece", "start", "length", "ids_crc32"])
+        return out.append_column("sequence_id", pa.array((np.int64(key[0].as_py()) << np.int64(32)) + seq)).append_column("offset", pa.array(off))
 
     return run
 
@@ -242,4 +247,4 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     groups = rows_per_group(made.count(), group_rows)
     # rows of a group: dealt by their own number, so no key can make one group large
     dealt = made.withColumn("g", F.pmod(F.xxhash64("copy", "piece", "ids_crc32"), F.lit(groups)).cast("long"))
-    return dealt.groupBy("g").applyInPandas(_pack(capacity), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return dealt.groupBy("g").applyInArrow(_pack(capacity), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -21,12 +21,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import documents, new_path, remove, rows_per_group
-from .encode import encoder
+from .common import documents, new_path, remove, rows_per_group, stage
+from .encode import encoder, with_end
 
 MIN_CHUNK, MEAN_CHUNK, MAX_CHUNK = 64, 256, 2048
 END_ID = 2
@@ -41,17 +42,19 @@ def _gear(ids: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(27))
 
 
-def cut(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one document."""
-    n = len(ids)
-    if n <= MIN_CHUNK:
-        return [n] if n else []
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Ends of ids at which the rolling hash of the last 16 ends in zeros; those before ``MIN_CHUNK`` ids of a document
+    never cut, so ids of several documents can lie one after another."""
     h = _gear(ids)
     for k in (1, 2, 4, 8):  # sum of gear << age over the last 16 ids, by doubling
         h[k:] = h[k:] + (h[:-k] << np.uint64(k))
-    at = np.flatnonzero(h >> np.uint64(8) & np.uint64(MEAN_CHUNK - 1) == 0) + 1
-    ends, last = [], 0
-    for e in at.tolist():
+    return np.flatnonzero(h >> np.uint64(8) & np.uint64(MEAN_CHUNK - 1) == 0) + 1
+
+
+def cut(first: int, n: int, at: list[int]) -> list[int]:
+    """Ends of the chunks of a document's ``n`` ids from the place ``first``; ``at``: the marks inside."""
+    ends, last, n = [], first, first + n
+    for e in at:
         while e - last > MAX_CHUNK:
             last += MAX_CHUNK
             ends.append(last)
@@ -85,31 +88,33 @@ def _objects(path: str, end_id: int):
     schema = pa.schema([("kind", pa.string()), ("key", pa.binary()), ("doc_id", pa.int64()), ("n", pa.int64()), ("width", pa.int32()), ("data", pa.binary()), ("digests", pa.list_(pa.binary())), ("root", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, tail, seen = encoder(path), np.array([end_id], "<u4").tobytes(), set()
+        enc, seen = encoder(path), set()
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
                 rows = {name: [] for name in schema.names}
 
                 def put(*row):
                     for name, x in zip(schema.names, row):
                         rows[name].append(x)
 
-                copies = part.column("copy").to_pylist()
-                for doc_id, copy, raw in zip(part.column("doc_id").to_pylist(), copies, enc.encode(part.column("text").to_pylist())):
-                    raw += tail
-                    ids, keys, last = np.frombuffer(raw, "<u4"), [], 0
-                    for e in cut(ids):
+                ids, edges = with_end(*enc.encode_column(part.column("text")), end_id)
+                raw, narrow, high = memoryview(ids).cast("B"), memoryview(ids.astype("<u2")).cast("B"), np.flatnonzero(ids > 65535)
+                at = marks(ids)
+                inside = np.searchsorted(at, edges, side="right").tolist()
+                at, edges = at.tolist(), edges.tolist()
+                for d, (doc_id, copy) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("copy").to_pylist())):
+                    keys, last = [], edges[d]
+                    for e in cut(edges[d], edges[d + 1] - edges[d], at[inside[d] : inside[d + 1]]):
                         keys.append(key := digest(raw[4 * last : 4 * e]))
                         if key not in seen:
                             if len(seen) >= 500_000:  # only saves shuffling; the aggregation below is what makes chunks unique
                                 seen.clear()
                             seen.add(key)
-                            own = ids[last:e]
-                            width = 2 if int(own.max()) < 65536 else 4
-                            put("chunk", key, None, e - last, width, own.astype("<u2").tobytes() if width == 2 else own.tobytes(), None, None)
+                            wide = len(high) and np.searchsorted(high, last) < np.searchsorted(high, e)
+                            put("chunk", key, None, e - last, 4 if wide else 2, bytes(raw[4 * last : 4 * e] if wide else narrow[2 * last : 2 * e]), None, None)
                         last = e
-                    put("recipe", digest(f"{doc_id} {copy}".encode()), doc_id, len(ids), None, None, keys, merkle(keys))
+                    put("recipe", digest(f"{doc_id} {copy}".encode()), doc_id, edges[d + 1] - edges[d], None, None, keys, merkle(keys))
                 yield pa.RecordBatch.from_pydict(rows, schema=schema)
 
     return run
@@ -140,12 +145,35 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID
     placed.repartitionByRange(runs, "at").sortWithinPartitions("at").write.parquet(f"{path}/recipes")
     remove(spark, f"{path}/sorted")
 
-    def manifest(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("at")
-        return pd.DataFrame([(key[0], pdf.doc_id.iloc[0], pdf.doc_id.iloc[-1], len(pdf), pdf.n_tokens.sum(), merkle(list(pdf.root)))], columns=["part", "first_doc", "last_doc", "n_docs", "n_tokens", "root"])
+    runs_of(spark, path).write.parquet(f"{path}/manifest")
+
+
+RUN = "part int, first_doc long, last_doc long, n_docs long, n_tokens long, root binary"
+
+
+def runs_of(spark: SparkSession, path: str) -> DataFrame:
+    """The manifest's rows as the recipes there make them."""
 
-    written = spark.read.parquet(f"{path}/recipes").select("part", "at", "doc_id", "n_tokens", "root")
-    written.groupBy("part").applyInPandas(manifest, "part int, first_doc long, last_doc long, n_docs long, n_tokens long, root binary").write.parquet(f"{path}/manifest")
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        group = group.sort_by("at")
+        ids = group.column("doc_id")
+        row = [key[0].as_py(), ids[0].as_py(), ids[-1].as_py(), len(group), pc.sum(group.column("n_tokens")).as_py(), merkle(group.column("root").to_pylist())]
+        kinds = [pa.int32(), *[pa.int64()] * 4, pa.binary()]
+        return pa.table([pa.array([x], t) for x, t in zip(row, kinds)], names=["part", "first_doc", "last_doc", "n_docs", "n_tokens", "root"])
+
+    recipes = spark.read.parquet(f"{path}/recipes").select("part", "at", "doc_id", "n_tokens", "root")
+    return recipes.groupBy("part").applyInArrow(run, RUN)
+
+
+def verify_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """part, agrees, lost for each run of recipes: held against the manifest in count, tokens, ends and Merkle root.
+
+    ``lost``: the manifest has a run that no recipe is left of (``agrees`` is false then, and for runs it does not have).
+    """
+    names = ("first_doc", "last_doc", "n_docs", "n_tokens", "root")
+    now = runs_of(spark, path).select("part", F.struct(*names).alias("now"))
+    then = spark.read.schema(RUN).parquet(f"{path}/manifest").select("part", F.struct(*names).alias("then"))
+    return now.join(then, "part", "full").select("part", F.coalesce(F.col("now").eqNullSafe(F.col("then")), F.lit(False)).alias("agrees"), F.col("now").isNull().alias("lost"))
 
 
 def _multiply(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -189,8 +217,12 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """One row a document from the files: doc_id, start, n_tokens, ids_crc32, n_chunks, whole.
 
-    ``whole``: every chunk is there with the digest of its bytes, lengths add up and the Merkle root agrees.
+    ``whole``: every chunk is there with the digest of its bytes, lengths add up, the recipe's Merkle root agrees, and
+    so does its run's with the manifest.  A run of the manifest without any recipe left is an error.
     """
+    checked = stage(verify_manifest(spark, path), "manifest-check")
+    if lost := checked.filter("lost").count():
+        raise ValueError(f"{path}: no recipes are left of {lost} runs of the manifest")
 
     @F.pandas_udf("long")
     def share(crc: pd.Series, after: pd.Series) -> pd.Series:
@@ -200,8 +232,8 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     def rooted(digests: pd.Series, root: pd.Series) -> pd.Series:
         return pd.Series([merkle(list(d)) == bytes(r) for d, r in zip(digests, root)])
 
-    recipes = spark.read.parquet(f"{path}/recipes")
-    recipes = recipes.withColumn("rooted", rooted("digests", "root"))
+    recipes = spark.read.parquet(f"{path}/recipes").join(checked.select("part", "agrees"), "part")
+    recipes = recipes.withColumn("rooted", rooted("digests", "root") & F.col("agrees"))
     refs = recipes.select("at", "doc_id", "start", "n_tokens", "rooted", F.size("digests").alias("n_chunks"), F.posexplode("digests").alias("pos", "digest"))
     refs = refs.join(read_chunks(spark, path), "digest", "left")
     upto = W.partitionBy("at").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
