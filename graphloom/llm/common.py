@@ -10,18 +10,26 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Spark SQL's pattern for one word: a run of anything but space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Staged tables' paths in the order they were made (``scratch`` deletes those of a step).
+_made: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where the session names none (tests)."""
+    """The cluster's shared folder; a temporary one only where a local session names none (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="graphloom-")
         atexit.register(shutil.rmtree, base, True)
         spark.conf.set("spark.checkpoint.dir", base)
@@ -37,6 +45,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again: lineage ends there."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    _made.append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
@@ -50,6 +59,18 @@ def unstage(*tables: DataFrame) -> None:
             remove(df.sparkSession, path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside are deleted at the end: what is still needed must have been written elsewhere."""
+    first = len(_made)
+    try:
+        yield
+    finally:
+        for path in _made[first:]:
+            remove(spark, path)
+        del _made[first:]
+
+
 def remove(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
@@ -64,6 +85,30 @@ def documents(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *columns)
 
 
+def carried(df: DataFrame, carry: tuple[str, ...], *extra: Column) -> tuple[DataFrame, dict[str, str], str]:
+    """``_id``, ``_text``, ``extra`` and the columns ``carry`` of ``df`` under names of their own, those names, and their types.
+
+    An operator that hands these columns through its Python workers needs no join to bring its result back to them.
+    """
+    names = {c: "_text" if c == "text" else f"c_{c}" for c in carry}
+    own = df.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text"), *extra, *(F.col(c).alias(n) for c, n in names.items() if c != "text"))
+    kinds = dict(df.select(*carry).dtypes) if carry else {}
+    return own, names, "".join(f", `{n}` {kinds[c]}" for c, n in names.items())
+
+
 def rows_per_group(n: int, size: int) -> int:
     """How many groups of about ``size`` rows ``n`` rows make."""
     return max(1, -(-n // size))
+
+
+def keyed(df: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` of ``df`` and ``row``, a key of each row that every read sees alike: its file and place there.
+
+    What is not a table of files as it is read is written as one first.
+    """
+    if df._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        df = stage(df.select(*columns), "rows")
+    paths = sorted(r.file_path for r in df.select("_metadata.file_path").distinct().collect())  # a row a file
+    files = df.sparkSession.createDataFrame(list(zip(paths, range(len(paths)))), "file_path string, file long")
+    rows = df.select(*columns, "_metadata.file_path", "_metadata.row_index").join(F.broadcast(files), "file_path")
+    return rows.select(*columns, (F.shiftleft("file", 40) + F.col("row_index")).alias("row"))

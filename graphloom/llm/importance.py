@@ -2,9 +2,10 @@
 
 Two generative models of hashed n-grams (words, word pairs, byte 4-grams, each ``1 << BITS`` cells with add-one
 smoothing): the target from a bounded sample of rows labelled good, the raw one counted over all documents.  A
-document's log weight is the sum over its n-grams of log(target / raw).  Gumbel noise, a hash of the id, is added, and
-the k largest are drawn: sampling without replacement in proportion to the weights.  k is the number of documents whose
-mean log weight an n-gram is at least ``floor``, the level that all but ``MISS`` of the labelled target sample reach.
+document's log weight is the sum over its n-grams of log(target / raw); its mean an n-gram is what documents of all
+lengths compare by, as if each had ``LENGTH`` n-grams.  Gumbel noise, a hash of the id, is added to ``LENGTH`` times the
+mean, and the k largest are drawn: sampling without replacement in proportion to the weights.  k is the number of documents
+whose mean is at least ``floor``, the level that all but ``MISS`` of the labelled target sample reach.
 """
 
 from __future__ import annotations
@@ -13,16 +14,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, stage
+from .common import carried, documents, stage
 from .hashed import Texts, fold, groups, pairs, sums
 from .linear import labelled
 
 BITS, MAX_FIT, MAX_FIT_BYTES = 14, 2000, 16_384
 #: Share of the target sample that may lie below the floor, and slack under it.
 MISS, SLACK = 0.002, 0.05
+#: N-grams that each document's weight is taken for, and the mean log weight that ranks documents without n-grams last.
+LENGTH, LAST = 1000, -1e6
 
 
 def _items(t: Texts) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -76,73 +79,77 @@ def log_weights(texts: list[bytes], ratio: np.ndarray) -> tuple[np.ndarray, np.n
     return w, n
 
 
-def kth_largest(df: DataFrame, key: str, tie: str, k: int, few: int = 10_000) -> tuple[float, int] | None:
-    """The k-th row by descending ``key`` and ascending ``tie``: histograms narrow it down until few rows are left."""
-    if k <= 0:
-        return None
-    lo, hi = df.agg(F.min(key), F.max(key)).first()
-    if lo is None:
-        return None
-    above, bins = 0, 4096
-    while True:
-        inside = df.filter((F.col(key) >= lo) & (F.col(key) <= hi))
-        width = (hi - lo) / bins
-        if width <= 0:
-            break
-        at = F.least(F.floor((F.col(key) - lo) / width), F.lit(bins - 1)).cast("int")
-        hist = sorted(((r.b, r.n, r.lo, r.hi) for r in inside.groupBy(at.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi")).collect()), reverse=True)
-        for _, n, b_lo, b_hi in hist:
-            if above + n >= k:
-                lo, hi, count = b_lo, b_hi, n
+def _kth_value(df: DataFrame, column: str, k: int, bins: int = 4096) -> tuple[object, int]:
+    """The k-th smallest value of ``column`` and how many rows are below it; histograms narrow it down, no row is fetched."""
+    lo, hi = df.agg(F.min(column), F.max(column)).first()
+    below = 0
+    while lo != hi:
+        inside = df.filter((F.col(column) >= lo) & (F.col(column) <= hi))
+        width = (float(hi) - float(lo)) / bins
+        at = F.greatest(F.least(F.floor((F.col(column).cast("double") - float(lo)) / width), F.lit(bins - 1)), F.lit(0)).cast("int") if width > 0 else F.lit(0)
+        rows = inside.groupBy(at.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min(column).alias("lo"), F.max(column).alias("hi")).collect()
+        if len(rows) == 1 and (rows[0].lo, rows[0].hi) == (lo, hi):  # too near for a double to tell apart: walk the values
+            above = rows[0].n
+            while below + (own := df.filter(F.col(column) == lo).count()) < k and above:
+                below, above = below + own, above - own
+                lo = df.filter(F.col(column) > lo).agg(F.min(column)).first()[0]
+            return lo, below
+        for r in sorted(rows):
+            if below + r.n >= k:
+                lo, hi = r.lo, r.hi
                 break
-            above += n
-        else:
-            return lo, None
-        if count <= few or lo == hi:
-            break
-    if lo == hi:
-        inside = df.filter(F.col(key) == lo).select(tie)
-        return lo, inside.orderBy(tie).limit(k - above).agg(F.max(tie)).first()[0] if k - above <= few else None
-    rows = df.filter((F.col(key) >= lo) & (F.col(key) <= hi)).select(key, tie).orderBy(F.desc(key), tie).collect()
-    return tuple(rows[min(k - above, len(rows)) - 1])
-
-
-def resample(docs: DataFrame, labels: DataFrame, seed: int = 7, k: int | None = None, key: str | None = None) -> DataFrame:
-    """doc_id, n_grams, log_weight, gumbel_key, sampled: one row a document.
-
-    A null or empty text has no n-grams and weight 0 and is not drawn while its key is below the k-th; rows of one id
-    share their noise; without labelled good rows the weights are 0 and every document is drawn.  ``key`` names a long
-    column of ``docs`` that comes along, different in each row: rows without an id get their noise by it, and ties go by it.
+            below += r.n
+    return lo, below
+
+
+def first_rows(df: DataFrame, columns: tuple[str, ...], k: int) -> Column:
+    """True for the first k rows in the ascending order of ``columns``; where all are equal, for all of them.
+
+    Each column's k-th value is found among the rows that tie in the columns before it.
     """
-    sample = [t.encode() for t, y in labelled(docs, labels, "quality", MAX_FIT, MAX_FIT_BYTES) if y == 1]
+    if k <= 0:
+        return F.lit(False)
+    out, tied = F.lit(False), F.lit(True)
+    for c in columns:
+        value, below = _kth_value(df, c, k)
+        out, tied = out | (tied & (F.col(c) < value)), tied & (F.col(c) == value)
+        df, k = df.filter(F.col(c) == value), k - below
+    return out | tied
+
+
+def resample(docs: DataFrame, labels: DataFrame, seed: int = 7, k: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_grams, log_weight, mean_log_weight, gumbel_key, sampled: one row a row of ``docs``, with its columns ``carry``.
+
+    Exactly k rows are drawn (all, if there are fewer): ties of keys go by hashes of the row, then by its place.  A null or
+    empty text has no n-grams, weight 0 and a null mean, and is drawn after all others.  Rows of one id share their noise;
+    rows without an id have noise of their own by their content.  Without labelled good rows all weights are 0 and every
+    row is drawn.  An empty table gives no rows.
+    """
+    sample = [t.encode() for t, y in labelled(docs, labels, "quality", MAX_FIT, MAX_FIT_BYTES, classes=(1,)) if y == 1]
     raw = corpus_counts(docs)
     ratio = log_ratio(counts(sample), raw) if sample else np.zeros(3 << BITS, np.float32)
+    floor = -np.inf
     if sample:
         w, n = log_weights(sample, ratio)
-        floor = float(np.quantile((w / np.maximum(n, 1))[n > 0], MISS)) - SLACK if (n > 0).any() else -np.inf
-    else:
-        floor = -np.inf
+        if (n > 0).any():
+            floor = float(np.quantile((w / np.maximum(n, 1))[n > 0], MISS)) - SLACK
     sent = docs.sparkSession.sparkContext.broadcast(ratio)  # of fixed size: 3 << BITS floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            w, n = log_weights([x.encode() for x in batch.column("text").to_pylist()], sent.value)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(w), *(batch.column(c) for c in keys)], names=["doc_id", "n_grams", "log_weight", *keys])
-
-    keys = [key] if key else []
-    scored = documents(docs, *keys).mapInArrow(run, ", ".join(["doc_id long, n_grams long, log_weight double", *(f"{c} long" for c in keys)]))
-    noise = F.xxhash64(F.lit(seed), "doc_id")
-    if key:
-        noise = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(seed), F.lit("row"), key)).otherwise(noise)
+            w, n = log_weights([(x or "").encode() for x in batch.column("_text").to_pylist()], sent.value)
+            yield pa.RecordBatch.from_pydict({"_id": batch.column("_id"), "n_grams": pa.array(n), "log_weight": pa.array(w), **{c: batch.column(c) for c in names.values()}})
+
+    own, names, kinds = carried(docs, carry)
+    scored = own.mapInArrow(run, "_id long, n_grams long, log_weight double" + kinds)
+    mean = F.when(F.col("n_grams") > 0, F.col("log_weight") / F.col("n_grams"))
+    noise = F.when(F.col("_id").isNull(), F.xxhash64(F.lit(seed), F.lit("row"), "n_grams", "log_weight")).otherwise(F.xxhash64(F.lit(seed), "_id"))
     u = (F.pmod(noise, F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    scored = stage(scored.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(u))), "importance")
+    scored = scored.withColumn("mean_log_weight", mean).withColumn("gumbel_key", LENGTH * F.coalesce("mean_log_weight", F.lit(LAST)) - F.log(-F.log(u)))
+    # the order of drawing: key, hash, place
+    scored = scored.select("*", (-F.col("gumbel_key")).alias("_first"), F.xxhash64("_id", "n_grams", "log_weight").alias("_then"), F.monotonically_increasing_id().alias("_place"))
+    scored = stage(scored, "importance")
     if k is None:
-        k = scored.filter(F.col("log_weight") >= floor * F.col("n_grams")).count() if np.isfinite(floor) else scored.count()
-    by = key or "doc_id"
-    at = kth_largest(scored, "gumbel_key", by, k)
-    if at is None:
-        drawn = F.lit(False)
-    else:
-        least, tie = at
-        drawn = (F.col("gumbel_key") > least) | ((F.col("gumbel_key") == least) & (F.lit(True) if tie is None else F.coalesce(F.col(by) <= tie, F.lit(False))))
-    return scored.withColumn("sampled", drawn)
+        k = scored.filter(F.col("mean_log_weight") >= floor).count() if sample else None
+    drawn = F.lit(True) if k is None or k >= scored.count() else first_rows(scored, ("_first", "_then", "_place"), k)
+    return scored.select(F.col("_id").alias("doc_id"), "n_grams", "log_weight", "mean_log_weight", "gumbel_key", drawn.alias("sampled"), *(F.col(n).alias(c) for c, n in names.items() if c != "doc_id"))

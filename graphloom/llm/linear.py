@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 from .hashed import Texts, fold, groups, pairs, sums
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, max_bytes: int | None, where: Column | None = None, per_class: tuple[float, float] = (1, 1), all_bytes: int | None = None) -> list[tuple[str, int]]:
+def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, max_bytes: int | None, where: Column | None = None, per_class: tuple[float, float] = (1, 1), all_bytes: int | None = None, classes: tuple[int, ...] = (0, 1)) -> list[tuple[str, int]]:
     """A bounded sample for fitting: up to ``most`` times ``per_class`` labelled rows of each class whose text has at most ``max_bytes`` bytes.
 
     With ``all_bytes`` the bytes of a class's texts together, up to ``all_bytes`` times ``per_class``, are bounded; only rows
     that no longer fit in are passed over.  Rows are taken in the order of a hash of their id, which no label or text decides; contradicting labels
-    count as their largest.  Only fitting is bounded; what is scored never is.
+    count as their largest; only ``classes`` are fetched.  Only fitting is bounded; what is scored never is.
     """
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).dropna()
     if where is not None:
@@ -27,7 +27,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, max_byte
     marks = marks.join(sizes.groupBy("doc_id").agg(F.max("n").alias("n")), "doc_id")
     order = F.md5(F.concat(F.lit("fit:"), F.col("doc_id").cast("string")))
     ids = []
-    for y in (0, 1):
+    for y in classes:
         room = None if all_bytes is None else int(all_bytes * per_class[y])
         for r in marks.filter(F.col("y") == y).orderBy(order, "doc_id").limit(int(most * per_class[y])).collect():
             if room is None or r.n <= room:
