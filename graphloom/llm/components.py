@@ -74,3 +74,17 @@ def components(links: DataFrame, a: str = "a", b: str = "b", part_links: int = 2
         now, was, last = small, last, sign(small)
         if last == was:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
+
+
+def named(rows: DataFrame, group: str, row: str, own_id: str) -> DataFrame:
+    """``rows`` with component_id, kept, first: what the rows of one ``group`` (null: a row alone) are called.
+
+    ``component_id`` is the smallest ``own_id`` of the group (null where no row has one), ``kept`` says that it is the row's
+    own (without ids: that the row is the first), ``first`` marks one row of each group: smallest id, then smallest ``row``.
+    """
+    least = rows.filter(F.col(group).isNotNull()).groupBy(group).agg(F.min(F.struct(F.col(own_id).isNull(), F.col(own_id).alias("low"), F.col(row).alias("at"))).alias("_m"))
+    out = rows.join(least, group, "left")
+    alone = F.col("_m").isNull()
+    component = F.when(alone, F.col(own_id)).otherwise(F.col("_m.low"))
+    first = alone | (F.col(row) == F.col("_m.at"))
+    return out.select(*rows.columns, component.alias("component_id"), F.coalesce(F.col(own_id) == component, component.isNull() & first).alias("kept"), first.alias("first"))

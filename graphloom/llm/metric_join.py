@@ -19,14 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage
-from .components import components
+from .components import components, named
 
 #: Vectors to a pivot, and the most pivots (they are broadcast: MAX_PIVOTS vectors); rows of a block.
 CELL, MAX_PIVOTS, BLOCK = 2500, 1024, 2048
 
 
 def unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """vec_id, unit (doubles; null where the vector links with nothing), dims, same."""
+    """row, vec_id, unit (doubles; null where the vector links with nothing), dims, same."""
     for batch in batches:
         units, dims, same = [], [], []
         for x in batch.column("embedding").to_pylist():
@@ -41,7 +41,7 @@ def unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 units.append(None)
                 same.append(None)
             dims.append(len(v))
-        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(units, pa.binary()), pa.array(dims, pa.int32()), pa.array(same, pa.binary())], names=["vec_id", "unit", "dims", "same"])
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("vec_id"), pa.array(units, pa.binary()), pa.array(dims, pa.int32()), pa.array(same, pa.binary())], names=["row", "vec_id", "unit", "dims", "same"])
 
 
 def _deal(pivots: dict[int, np.ndarray], reach: float):
@@ -105,12 +105,14 @@ def range_links(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of ``vec_id``, ``embedding``.
 
     Vectors that are null, empty, zero or hold null or non-finite components have no links; vectors of different
-    lengths never link; rows of one id are each a vector of that id's component.  An empty table gives no rows.
+    lengths never link.  Rows are compared whatever their ids: rows of one id, and rows without an id, each count and have a
+    result of their own; a component without any id has a null ``component_id`` and its first row is kept.  An empty table
+    gives no rows.
     """
     spark = vectors.sparkSession
-    made = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(unit_rows, "vec_id long, unit binary, dims int, same binary")
-    made = stage(made, "units")
-    distinct = made.filter("same is not null").groupBy("same").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("unit").alias("unit"), F.first("dims").alias("dims"))
+    rows = vectors.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    made = stage(rows.mapInArrow(unit_rows, "row long, vec_id long, unit binary, dims int, same binary"), "units")
+    distinct = made.filter("same is not null").groupBy("same").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("unit").alias("unit"), F.first("dims").alias("dims"))
     distinct = stage(distinct, "distinct-vectors")
     cells = {}
     for r in distinct.groupBy("dims").count().collect():
@@ -134,6 +136,6 @@ def range_links(vectors: DataFrame, least: float = 0.95) -> DataFrame:
         partners = spark.createDataFrame([], "node long, partners long")
         groups = spark.createDataFrame([], "node long, component long")
     per = distinct.select("same", "rep", "copies").join(partners.toDF("rep", "partners"), "rep", "left").join(groups.toDF("rep", "component"), "rep", "left")
-    out = made.select("vec_id", "same").join(per, "same", "left")
-    component = F.coalesce("component", "rep", "vec_id")
-    return out.select("vec_id", F.coalesce(F.col("partners") + F.col("copies") - 1, F.col("copies") - 1, F.lit(0)).alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    out = made.select("row", "vec_id", "same").join(per, "same", "left").withColumn("c", F.coalesce("component", "rep"))
+    out = out.withColumn("n_links", F.coalesce(F.col("partners") + F.col("copies") - 1, F.col("copies") - 1, F.lit(0)))
+    return named(out, "c", "row", "vec_id").select("vec_id", "n_links", "component_id", "kept")

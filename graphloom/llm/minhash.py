@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, stage, unstage
-from .components import UnionFind, components
+from .common import documents, keyed, stage, unstage
+from .components import UnionFind, components, named
 from .hashed import mix
 
 ROWS, BANDS, HUB_ROUNDS = 4, 28, 2
@@ -105,12 +105,12 @@ def signatures(elements: np.ndarray, owner: np.ndarray, n_docs: int, at_once: in
     return table
 
 
-SKETCH = "doc_id long, n_shingles long, same binary, bands array<long>"
+SKETCH = "doc_id long, own_id long, n_shingles long, same binary, bands array<long>"
 
 
-def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, same (digest of the set; null where empty), bands."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("same", pa.binary()), ("bands", pa.list_(pa.int64()))])
+def sketches(docs: DataFrame, width: int, own_id: str) -> DataFrame:
+    """doc_id, own_id, n_shingles, same (digest of the set; null where empty), bands."""
+    schema = pa.schema([("doc_id", pa.int64()), ("own_id", pa.int64()), ("n_shingles", pa.int64()), ("same", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,12 +124,12 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                 for r in range(ROWS):
                     key = mix(key * np.uint64(31) + values[:, r::ROWS])
                 yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id"), pa.array(sizes),
+                    part.column("doc_id"), part.column(own_id), pa.array(sizes),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                     pa.array(list(key.view(np.int64)), pa.list_(pa.int64())),
                 ], schema=schema)
 
-    return documents(docs).mapInArrow(run, SKETCH)
+    return documents(docs, own_id).mapInArrow(run, SKETCH)
 
 
 def _joining(ids: list[int], groups: list[int], sides: list[int], sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
@@ -230,13 +230,8 @@ def _with_groups(rows: DataFrame, label: DataFrame | None) -> DataFrame:
     return rows.join(mixed, "bucket", "left_semi")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row a document; linked at a similarity of 0.8 or more.
-
-    A document without words has an empty set, is linked with nothing and is kept.  Rows with one id are one document
-    (the text of any).  An empty table gives no rows.
-    """
-    made = stage(sketches(docs, width).dropDuplicates(["doc_id"]), "sketches")
+def _groups(made: DataFrame, docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame | None]:
+    """same, rep of the distinct sets in ``made``, and the components of their representatives (None without links)."""
     same = stage(made.filter("same is not null").groupBy("same").agg(F.min("doc_id").alias("rep")), "same")
     reps = made.join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     bands = reps.select("doc_id", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "key"))
@@ -246,7 +241,7 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     crowd = crowded.groupBy("doc_id").agg(F.sum(F.log2("c")).alias("crowd"))
     rows = stage(crowded.select("doc_id", "n", "bucket").join(crowd, "doc_id"), "buckets")
     unstage(bands)
-    texts = documents(docs).join(rows.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    texts = documents(docs).join(rows.select("doc_id").distinct(), "doc_id", "left_semi")
     texts = stage(texts, "texts")
     links = label = hubs = None
     for turn in range(HUB_ROUNDS + 1):
@@ -269,10 +264,30 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
         links = found if links is None else links.union(found)
         label = stage(components(links), "groups")
     unstage(texts, rows)
-    out = made.select("doc_id", "n_shingles", "same").join(same, "same", "left")
-    if label is not None:
-        out = out.join(label.toDF("rep", "c"), "rep", "left")
-    else:
-        out = out.withColumn("c", F.lit(None).cast("long"))
-    component = F.coalesce("c", "rep", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return same, label
+
+
+def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
+    """row, doc_id, n_shingles, component_id, kept, first: one row a row of ``docs``; linked at a similarity of 0.8 or more.
+
+    Rows are compared, whatever their ids: rows of one id, and rows without an id, each count with a text of their own.
+    ``component_id`` is the smallest doc_id linked (null where no row of the component has an id), ``kept`` says that it is
+    the row's own (null ids: that the row is the first of such a component), and ``first`` marks one row of each
+    component, that of the smallest doc_id and place.  A null or empty text, or one without words, has an
+    empty set, is linked with nothing and is kept.  An empty table gives no rows.
+    """
+    ids = keyed(docs, "doc_id", "text").select(F.col("row").alias("doc_id"), "text", F.col("doc_id").cast("long").alias("own_id"))
+    made = stage(sketches(ids, width, "own_id"), "sketches")
+    rep, component = _groups(made, ids, width)
+    out = made.select("doc_id", "own_id", "n_shingles", "same").join(rep, "same", "left")
+    out = out.join(component.toDF("rep", "c"), "rep", "left") if component is not None else out.withColumn("c", F.lit(None).cast("long"))
+    out = named(out.withColumn("c", F.coalesce("c", "rep")), "c", "doc_id", "own_id")
+    return out.select(F.col("doc_id").alias("row"), F.col("own_id").alias("doc_id"), "n_shingles", "component_id", "kept", "first")
+
+
+def first_of_groups(docs: DataFrame, columns: tuple[str, ...], width: int = 5) -> DataFrame:
+    """``columns`` of one row of each component (``first``); the places of the rows that go are what is shuffled beside the rows."""
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        docs = stage(docs, "rows")
+    gone = near_duplicates(docs, width).filter("NOT first").select("row")
+    return keyed(docs, *columns).join(gone, "row", "left_anti").select(*columns)

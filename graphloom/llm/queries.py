@@ -34,7 +34,7 @@ def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2)
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2).drop("row", "first")
 
 
 def op7_mil_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
