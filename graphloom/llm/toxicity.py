@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import carried, documents
 from .hashed import Texts, fold, groups
 from .linear import labelled, logistic
 
@@ -137,6 +137,7 @@ def fit(sample: list[tuple[str, int]], steps: int = 150, rate: float = 0.1, l1:
 
 
 RESULT = "doc_id long, held_out boolean, score double, predicted int, n_sentences int, worst_start int, worst_end int, worst_score double"
+RESULT_COLUMNS = tuple(c.split()[0] for c in RESULT.split(", "))
 
 
 def held_out():
@@ -148,10 +149,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Toxicity | None:
     return fit(labelled(docs, labels, "toxic", MAX_FIT, None, ~held_out(), (CLEAN_EACH, 1), MAX_FIT_BYTES))
 
 
-def score(docs: DataFrame, model: Toxicity | None, threshold: float = THRESHOLD, key: str | None = None) -> DataFrame:
+def score(docs: DataFrame, model: Toxicity | None, threshold: float = THRESHOLD, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row a document with its score and its most offending sentence (byte offsets in the UTF-8 text).
 
-    ``key`` names a long column of ``docs`` that comes along.
+    ``carry`` names columns of ``docs`` that come along, whatever else they are called.
     A null or empty text is one empty sentence.  Without a model (labels of one class) every score is 0.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: 4 << BITS floats
@@ -159,7 +160,7 @@ def score(docs: DataFrame, model: Toxicity | None, threshold: float = THRESHOLD,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value or Toxicity(np.zeros(4 << BITS, np.float32), -50.0)
         for batch in batches:
-            texts = [x.encode() for x in batch.column("text").to_pylist()]
+            texts = [(x or "").encode() for x in batch.column("_text").to_pylist()]
             if not texts:
                 continue
             z, first, ends = sentence_sums(texts, m.weights)
@@ -168,21 +169,22 @@ def score(docs: DataFrame, model: Toxicity | None, threshold: float = THRESHOLD,
             last = np.append(first[1:], len(z))
             at = [int(np.argmax(z[a:b])) for a, b in zip(first, last)]
             yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "score": pa.array(p),
+                "doc_id": batch.column("_id"), "held_out": batch.column("_out"), "score": pa.array(p),
                 "predicted": pa.array((p >= threshold).astype(np.int32)), "n_sentences": pa.array((last - first).astype(np.int32)),
                 "worst_start": pa.array([0 if k == 0 else int(e[k - 1]) for k, e in zip(at, ends)], pa.int32()),
                 "worst_end": pa.array([int(e[k]) for k, e in zip(at, ends)], pa.int32()),
                 "worst_score": pa.array(logistic(z[first + np.array(at)])),
-                **{k: batch.column(k) for k in keys},
+                **{c: batch.column(c) for c in names.values()},
             })
 
-    keys = [key] if key else []
-    return documents(docs, F.coalesce(held_out(), F.lit(False)).alias("held_out"), *keys).mapInArrow(run, ", ".join([RESULT, *(f"{k} long" for k in keys)]))
+    own, names, kinds = carried(docs, carry, F.coalesce(held_out(), F.lit(False)).alias("_out"))
+    out = own.mapInArrow(run, RESULT + kinds)
+    return out.select(*(c for c in RESULT_COLUMNS if c not in carry), *(F.col(n).alias(c) for c, n in names.items()))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, key: str | None = None) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """``score`` with a model trained on ``labels`` outside the held-out fold; an empty table gives no rows."""
-    return score(docs, train(docs, labels), key=key)
+    return score(docs, train(docs, labels), carry=carry)
 
 
 def offending_sentences(docs: DataFrame, model: Toxicity | None, threshold: float = THRESHOLD) -> DataFrame:
