@@ -1,14 +1,16 @@
 """Operator 4: stupid-backoff language-model scores over the corpus itself.
 
-Words are runs without white space (or NUL), A-Z lower-cased.  Each word after the first is scored by its pair with the
-word before it, count(pair) / count(word before); if no other document has the pair, by ALPHA * count(word) / words;
-if none has the word either, by ALPHA^2 / words.  The first word of a text starts at the second level.  All counts leave
+Words are runs without white space (or NUL), A-Z lower-cased.  With order 2, each word after the first is scored by its pair
+with the word before it, count(pair) / count(word before); if no other document has the pair, by ALPHA * count(word) /
+words; if none has the word either, by ALPHA^2 / words.  Higher orders begin with longer n-grams, ALPHA for each level
+they back off.  The first words of a text start at the level they have words for.  All counts leave
 the scored document out, so that a document does not vouch for itself; all documents count.
 
 Relationally: n-grams are exploded, grouped by document block (``block_bytes`` of text), and dealt by hash to count
 tables; each table adds up its n-grams over all blocks and is joined back to the blocks that hold them, where documents
-sum their scores.  N-grams travel as sorted arrays of 64-bit hashes, a row for each block and table: one document
-adds a frequent n-gram once a block, so none is a large group.
+sum their scores.  A row holds the n-grams of one block that fall into one table, as a sorted array of 64-bit hashes; no
+row is without n-grams, so there are never more rows than n-grams of blocks.  A block has a frequent n-gram once, however
+many documents hold it, so none is a large group.
 """
 
 from __future__ import annotations
@@ -26,9 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, rows_per_group, stage
-from .hashed import Texts, mix, pairs
+from .hashed import Texts, mix
 
-ALPHA = 0.4
+ALPHA, ORDER = 0.4, 2
 BLOCK_BYTES, TABLE_NGRAMS = 6 << 20, 3_000_000
 
 
@@ -74,22 +76,30 @@ def _texts(ids: list[int], body: bytes) -> list[bytes]:
 
 
 class Block:
-    """A block's n-grams: ``keys`` are the distinct hashes, ``one`` and ``two`` index them for each word and pair."""
+    """A block's n-grams: ``keys`` are the distinct hashes; ``at[k]`` indexes them for the (k + 1)-gram that begins at each
+    word, and ``real[k]`` tells where the text goes on for so long."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], order: int):
         t = Texts(texts, lower=True)
         s, _, h = t.words()
         self.first, self.last = t.spans(s)
-        two = pairs(h, s, t)
-        self.keys, at = np.unique(np.concatenate([mix(h ^ np.uint64(0x5851F42D4C957F2D)), two]), return_inverse=True)
-        self.one, self.two = at[: len(h)], at[len(h) :]
-
-    def counts(self) -> np.ndarray:
-        """How often each key occurs; a text's last word has no pair."""
-        c = np.bincount(self.one, minlength=len(self.keys))
-        real = np.ones(len(self.two), bool)
-        real[self.last[self.last > self.first] - 1] = False
-        return c + np.bincount(self.two[real], minlength=len(self.keys))
+        left = np.repeat(self.last, self.last - self.first) - np.arange(len(h))  # words from here to the text's end
+        gram, grams, self.real = h, [mix(h ^ np.uint64(0x5851F42D4C957F2D))], [np.ones(len(h), bool)]
+        for k in range(1, order):
+            after = np.zeros(len(h), np.uint64)
+            after[: max(len(h) - k, 0)] = h[k:]
+            gram = mix(gram * np.uint64(2 * k + 1) + after * np.uint64(0xD6E8FEB86659FD93))
+            grams.append(gram)
+            self.real.append(left > k)
+        used = np.concatenate([g[r] for g, r in zip(grams, self.real)])
+        self.keys, at = np.unique(used, return_inverse=True)
+        self.counted = np.bincount(at, minlength=len(self.keys))
+        ends = np.cumsum([int(r.sum()) for r in self.real])
+        self.at = []
+        for r, a, b in zip(self.real, [0, *ends], ends):
+            index = np.zeros(len(h), np.int64)
+            index[r] = at[a:b]
+            self.at.append(index)
 
 
 def _edges(keys: np.ndarray, tables: int) -> np.ndarray:
@@ -111,14 +121,15 @@ def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return keys.astype(np.uint64), np.frombuffer(zlib.decompress(raw[8 + 8 * n :]), "<u4")
 
 
-def _requests(tables: int):
+def _requests(tables: int, order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, ids, body in zip(batch.column("block").to_pylist(), batch.column("ids").to_pylist(), batch.column("body").to_pylist()):
-                b = Block(_texts(ids, body))
-                counts, edge = b.counts(), _edges(b.keys, tables)
-                packed = [_pack(b.keys[x:y], counts[x:y]) for x, y in zip(edge, edge[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(range(tables), pa.int32()), pa.array([block] * tables, pa.int64()), pa.array(packed, pa.binary())], names=["tab", "block", "grams"])
+                b = Block(_texts(ids, body), order)
+                edge = _edges(b.keys, tables)
+                some = np.flatnonzero(np.diff(edge))  # tables that hold n-grams of the block: never more rows than n-grams
+                packed = [_pack(b.keys[edge[k] : edge[k + 1]], b.counted[edge[k] : edge[k + 1]]) for k in some.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([block] * len(some), pa.int64()), pa.array(packed, pa.binary())], names=["tab", "block", "grams"])
 
     return run
 
@@ -139,29 +150,34 @@ def _own(index: np.ndarray, doc: np.ndarray, n_keys: int) -> np.ndarray:
     return c[at]
 
 
-def block_scores(texts: list[bytes], totals: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def block_scores(texts: list[bytes], totals: np.ndarray, n_words: int, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each document's words, backed-off words and summed natural logs."""
-    b = Block(texts)
+    b = Block(texts, order)
     sizes = b.last - b.first
     doc = np.repeat(np.arange(len(texts), dtype=np.int64), sizes)
-    one = (totals[b.one] - _own(b.one, doc, len(b.keys))).astype(np.float64)
-    two = np.zeros(len(one))
-    real = np.ones(len(one), bool)  # pairs, by their first word
-    real[b.last[sizes > 0] - 1] = False
-    at = np.flatnonzero(real)
-    two[at + 1] = totals[b.two[at]] - _own(b.two[at], doc[at], len(b.keys))
-    before = np.ones(len(one))
-    before[1:] = one[:-1]
+    n = len(doc)
+    # counts[k][i]: how often other documents have the (k + 1)-gram that begins at word i
+    counts = []
+    for index, real in zip(b.at, b.real):
+        c = np.zeros(n)
+        c[real] = totals[index[real]] - _own(index[real], doc[real], len(b.keys))
+        counts.append(c)
+    value = np.full(n, ALPHA**order) / np.maximum(n_words - sizes[doc], 1)
     rest = np.maximum(n_words - sizes[doc], 1)
-    low = np.where(one > 0, ALPHA * np.maximum(one, 1), ALPHA * ALPHA) / rest
-    hit = two > 0
-    value = np.log(np.where(hit, two / np.maximum(before, 1), low))
-    total = np.concatenate([[0.0], np.cumsum(value)])
+    value = np.where(counts[0] > 0, ALPHA ** (order - 1) * counts[0] / rest, value)
+    hit = counts[0] > 0 if order == 1 else np.zeros(n, bool)
+    for k in range(1, order):  # from pairs up: the longest n-gram that others have decides
+        gram, before = counts[k][: max(n - k, 0)], counts[k - 1][: max(n - k, 0)]
+        some = np.flatnonzero(gram > 0)
+        value[some + k] = ALPHA ** (order - 1 - k) * gram[some] / np.maximum(before[some], 1)
+        if k == order - 1:
+            hit[some + k] = True
+    total = np.concatenate([[0.0], np.cumsum(np.log(value))])
     missed = np.concatenate([[0], np.cumsum(~hit)])
     return sizes, missed[b.last] - missed[b.first], total[b.last] - total[b.first]
 
 
-def scores(docs: DataFrame, block_bytes: int = BLOCK_BYTES, table_ngrams: int = TABLE_NGRAMS) -> DataFrame:
+def scores(docs: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYTES, table_ngrams: int = TABLE_NGRAMS) -> DataFrame:
     """doc_id, n_words, n_backoff, log_score (sum), mean_log_score: one row a document.
 
     A null or empty text has no words, score 0 and a null mean; repeated rows count and score each; an empty table gives
@@ -169,17 +185,17 @@ def scores(docs: DataFrame, block_bytes: int = BLOCK_BYTES, table_ngrams: int =
     """
     blocks = stage(documents(docs).mapInArrow(_blocks(block_bytes), "block long, ids array<long>, n_words long, body binary"), "blocks")
     n_words = blocks.agg(F.sum("n_words")).first()[0] or 0
-    tables = rows_per_group(2 * n_words, table_ngrams)
-    asked = blocks.select("block", "ids", "body").mapInArrow(_requests(tables), "tab int, block long, grams binary")
+    tables = rows_per_group(order * n_words, table_ngrams)
+    asked = blocks.select("block", "ids", "body").mapInArrow(_requests(tables, order), "tab int, block long, grams binary")
     told = stage(asked.groupBy("tab").applyInPandas(_add_up, "block long, tab int, totals binary"), "totals")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, body, own in zip(batch.column("ids").to_pylist(), batch.column("body").to_pylist(), batch.column("told").to_pylist()):
-                totals = np.concatenate([np.frombuffer(zlib.decompress(x["totals"]), "<i8") for x in sorted(own, key=lambda x: x["tab"])])
-                n, missed, total = block_scores(_texts(ids, body), totals, n_words)
+                totals = np.concatenate([np.frombuffer(zlib.decompress(x["totals"]), "<i8") for x in sorted(own or [], key=lambda x: x["tab"])] or [np.zeros(0, np.int64)])  # none: a block without words
+                n, missed, total = block_scores(_texts(ids, body), totals, n_words, order)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n.astype(np.int64)), pa.array(missed.astype(np.int64)), pa.array(total)], names=["doc_id", "n_words", "n_backoff", "log_score"])
 
     told = told.groupBy("block").agg(F.collect_list(F.struct("tab", "totals")).alias("told"))  # a block's own n-grams
-    out = blocks.join(told, "block").select("ids", "body", "told").mapInArrow(run, "doc_id long, n_words long, n_backoff long, log_score double")
+    out = blocks.join(told, "block", "left").select("ids", "body", "told").mapInArrow(run, "doc_id long, n_words long, n_backoff long, log_score double")
     return out.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
