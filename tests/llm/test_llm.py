@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -48,10 +49,16 @@ def strange(n=1500):
 
 @pytest.mark.parametrize("path", [BYTE, WORD])
 def test_pieces_encode_as_whole_texts(path):
-    texts = strange()
+    texts = [*strange(), "\n".join(strange(300)) * 30, "é" * 70 + " " + "ab" * 40]
     whole = Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)
     own = PieceEncoder(path, max_pieces=500).encode(texts)
     assert [np.array(e.ids, "<u4").tobytes() for e in whole] == own
+    # the same with a cache that is emptied and refilled, and with long texts cut where a piece begins
+    enc = PieceEncoder(path, max_pieces=200, max_piece_bytes=9)
+    assert [x for k in range(0, len(texts), 50) for x in enc.encode(texts[k : k + 50])] == own
+    column = pa.array(texts).cast(pa.large_string())
+    ids, n = enc.encode_flat(np.frombuffer(column.buffers()[2], np.uint8), np.frombuffer(column.buffers()[1], np.int64)[: len(texts) + 1], at_once=100)
+    assert ids.tobytes() == b"".join(own) and n.tolist() == [len(x) // 4 for x in own]
 
 
 def test_segment_tree_bpe_is_the_library(docs):
@@ -90,10 +97,28 @@ def test_token_store(request, spark, which):
         assert token_store.read_ids(spark, path, [3])[3] == [*t.encode(df.filter("doc_id = 3").first().text).ids, 2]
     x = np.frombuffer(random.Random(3).randbytes(40_000), "<u4")
     y = np.concatenate([x[:500], x])
-    ends = lambda v: {v[a:b].tobytes() for a, b in zip([0, *token_store.cut(v)], token_store.cut(v))}
+    cut = lambda v: token_store.cut(0, len(v), token_store.marks(v).tolist())
+    ends = lambda v: {v[a:b].tobytes() for a, b in zip([0, *cut(v)], cut(v))}
     assert len(ends(x) & ends(y)) > 0.7 * len(ends(x))  # a shift leaves most chunks as they are
 
 
+def test_token_store_manifest(spark, docs):
+    """Recipes that are changed whole or lost are noticed, though every recipe agrees with its own root."""
+    path = new_path(spark, "store")
+    token_store.write_store(docs, path, BYTE, run_rows=60)
+    assert token_store.verify_manifest(spark, path).filter("agrees").count() == token_store.verify_manifest(spark, path).count() > 2
+    recipes = spark.createDataFrame(spark.read.parquet(f"{path}/recipes").collect(), spark.read.parquet(f"{path}/recipes").schema)
+    least = recipes.agg({"part": "min"}).first()[0]
+    some = recipes.filter(recipes.part > least).filter("doc_id <> 150")
+    some.write.mode("overwrite").parquet(f"{path}/recipes")
+    with pytest.raises(ValueError, match="no recipes are left of 1 runs"):
+        token_store.read_digests(spark, path)
+    recipes.filter("doc_id <> 150").write.mode("overwrite").parquet(f"{path}/recipes")
+    got = token_store.read_digests(spark, path).collect()
+    part = {r.doc_id: r.part for r in recipes.collect()}
+    assert all(r.whole == (part[r.doc_id] != part[150]) for r in got) and any(r.whole for r in got)
+
+
 def brute_counts(text):
     import re
 
@@ -107,6 +132,10 @@ def brute_counts(text):
 def test_quality_rules(docs, labels, odd, none):
     texts = [r.text for r in docs.collect()] + [t or "" for _, t in ODD] + strange(300) + ["a b c a b c", "x\ny\nx\n \n"]
     assert [quality_rules.base_counts(t) for t in texts] == [brute_counts(t) for t in texts]
+    # the verdict on labels that fitting has not seen
+    half = labels.filter("pmod(xxhash64(doc_id), 2) = 0")
+    unseen = quality_rules.quality(docs, half).withColumnRenamed("quality", "p").join(labels.join(half, "doc_id", "left_anti"), "doc_id").toPandas()
+    assert unseen[unseen.quality == 1].query("not base_failed").kept.mean() > 0.9 and unseen[unseen.quality == 0].kept.mean() < 0.35
     got = quality_rules.quality(docs, labels).withColumnRenamed("quality", "p").join(labels, "doc_id").toPandas()
     assert got[got.quality == 1].query("not base_failed").kept.mean() > 0.97
     assert got[got.quality == 0].kept.mean() < 0.3
@@ -140,6 +169,26 @@ def test_stupid_backoff(spark, odd, none):
         want.append((i, len(x), missed, round(s, 6)))
     got = [(r.doc_id, r.n_words, r.n_backoff, round(r.log_score, 6)) for r in lm_score.scores(df, block_bytes=60, table_ngrams=40).collect()]
     assert sorted(got) == sorted(want)
+    # order 3 and 1 by the definition: the longest n-gram that others have, ALPHA for each level below the order
+    grams = [Counter(g for x in words for g in zip(*(x[k:] for k in range(m)))) for m in (1, 2, 3)]
+    for order in (1, 3):
+        want = []
+        for (i, _), x in zip(rows, words):
+            own = [Counter(zip(*(x[k:] for k in range(m)))) for m in (1, 2, 3)]
+            rest = lambda g: grams[len(g) - 1][g] - own[len(g) - 1][g]  # noqa: E731, B023
+            s, missed = 0.0, 0
+            for k in range(len(x)):
+                for m in range(order, 0, -1):
+                    g = tuple(x[k - m + 1 : k + 1])
+                    if k - m + 1 >= 0 and rest(g) > 0:
+                        s += np.log(0.4 ** (order - m) * rest(g) / (rest(g[:-1]) if m > 1 else max(n - len(x), 1)))
+                        missed += m < order
+                        break
+                else:
+                    s, missed = s + np.log(0.4**order / max(n - len(x), 1)), missed + 1
+            want.append((i, len(x), missed, round(s, 6)))
+        got = [(r.doc_id, r.n_words, r.n_backoff, round(r.log_score, 6)) for r in lm_score.scores(df, order, block_bytes=60, table_ngrams=40).collect()]
+        assert sorted(got) == sorted(want)
     assert lm_score.scores(odd).count() == len(ODD) and lm_score.scores(none).count() == 0
 
 
@@ -149,13 +198,59 @@ def test_importance_resampling(spark, docs, labels, odd, none):
     assert big[big.quality == 1].sampled.mean() > 0.98 and big[big.quality == 0].sampled.mean() < 0.5
     got = importance.resample(docs, labels).join(labels, "doc_id", "left").toPandas()
     assert len(got) == docs.count()
-    assert got[got.quality == 0].log_weight.mean() < got[got.quality == 1].log_weight.mean()
-    assert importance.resample(docs, labels, k=25).filter("sampled").count() == 25
-    top = importance.resample(docs, labels, k=25).filter("sampled").agg({"gumbel_key": "min"}).first()[0]
-    assert (got.gumbel_key >= top).sum() == 25
+    assert got[got.quality == 0].mean_log_weight.mean() < got[got.quality == 1].mean_log_weight.mean()
+    for k in (0, 1, 25, 10**6):
+        drawn = importance.resample(docs, labels, k=k).filter("sampled").toPandas()
+        assert sorted(drawn.gumbel_key) == sorted(got.gumbel_key)[::-1][:k][::-1]
     assert importance.resample(odd, labels).count() == len(ODD) and importance.resample(none, labels).count() == 0
-    keys = spark.createDataFrame([(1.0, k) for k in range(50)], "x double, t long")
-    assert importance.kth_largest(keys, "x", "t", 7) == (1.0, 6)
+    assert importance.resample(odd, labels, k=5).filter("sampled").count() == 5
+    plain = importance.resample(odd, labels.limit(0), carry=("text", "key", "doc_id", "source"))
+    assert plain.filter("sampled").count() == len(ODD) and {"key", "text", "source"} <= set(plain.columns)
+    assert Counter(r.text for r in plain.collect()) == Counter(t for _, t in ODD)
+
+
+def test_importance_weights_by_definition(docs, labels):
+    """Log weights, their means and the order of drawing, recomputed with Counters of n-grams instead of arrays of cells."""
+    got = {r.doc_id: r for r in importance.resample(docs, labels).collect()}
+    texts = {r.doc_id: r.text.encode() for r in docs.collect()}
+    sample = [t.encode() for t, y in linear.labelled(docs, labels, "quality", importance.MAX_FIT, importance.MAX_FIT_BYTES) if y == 1]
+
+    def cells(raw):
+        """Cells of each kind of n-gram, one n-gram at a time (words, pairs with the last word's own, bytes in place)."""
+        t = importance.Texts([raw], lower=False)
+        return [Counter(np.asarray(f)[x[0] : y[0]].tolist()) for f, x, y in importance._items(t)]
+
+    add = lambda parts: [sum((p[k] for p in parts), Counter()) for k in range(3)]
+    raw, target = add([cells(t) for t in texts.values()]), add([cells(t) for t in sample])
+    size = 1 << importance.BITS
+    means, floor_of = {}, []
+    for i, t in [*texts.items(), *((None, t) for t in sample)]:
+        w = n = 0
+        for k, c in enumerate(cells(t)):
+            whole = [sum(x[k].values()) + size for x in (target, raw)]
+            for cell, m in c.items():
+                w, n = w + m * np.log((target[k][cell] + 1) / whole[0] * whole[1] / (raw[k][cell] + 1)), n + m
+        if i is None:
+            floor_of.append(w / n)
+        else:
+            assert got[i].n_grams == n and abs(got[i].log_weight - w) < 1e-3 * max(1, abs(w))
+            means[i] = w / n if n else -1e6
+    floor = np.quantile(floor_of, importance.MISS) - importance.SLACK
+    k = sum(m >= floor for m in means.values())
+    drawn = {i for i, r in got.items() if r.sampled}
+    assert abs(len(drawn) - k) <= 1
+    # what is drawn is what is above the floor, apart from noise of a few hundredths
+    assert all(means[i] > floor - 0.02 for i in drawn) and all(means[i] < floor + 0.02 for i in set(means) - drawn)
+
+
+def test_first_rows_breaks_ties(spark):
+    keys = spark.range(20_001).selectExpr("1.0D AS x", "id % 7 AS t", "id AS p")
+    assert keys.filter(importance.first_rows(keys, ("x", "t", "p"), 15_000)).count() == 15_000
+    rng = random.Random(3)
+    rows = [(rng.choice([0.5, -1.25, 1e300]), rng.choice([-(2**62), 2**62, 2**62 + 1, 5]), k) for k in range(500)]
+    df = spark.createDataFrame(rows, "x double, t long, p long")
+    for k in (1, 77, 250, 499, 500):
+        assert sorted(map(tuple, df.filter(importance.first_rows(df, ("x", "t", "p"), k)).collect())) == sorted(rows)[:k]
 
 
 def brute_groups(rows, width):
@@ -185,6 +280,23 @@ def test_near_duplicates(spark, docs, width):
     rows += [(20_000, " ".join(base)), (30_000, None), (30_001, ""), (30_002, "Hi"), (30_003, "hi")]
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_groups(rows, width)
+    assert all(r.kept == r.first == (r.doc_id == r.component_id) for r in got)
+
+
+def test_near_duplicates_of_odd_rows(spark, odd, none):
+    """A result a row: rows of one id and rows without one are compared by their own texts."""
+    base = " ".join(f"w{k}" for k in range(300))
+    rows = [(1, base), (1, "quite another text of seven words here"), (2, base + " more"), (None, base), (None, "Hi there"), (None, "hi there"), (None, "alone")]
+    df = spark.createDataFrame([(i, t, "r", 1) for i, t in rows], "doc_id long, text string, row string, component_id int")
+    got = Counter((r.doc_id, r.n_shingles, r.component_id, r.kept, r.first) for r in minhash.near_duplicates(df, 2).collect())
+    assert got == Counter([(1, 299, 1, True, True), (1, 6, 1, True, True), (2, 300, 1, False, False), (None, 299, 1, False, False), (None, 1, None, True, True), (None, 1, None, False, False), (None, 1, None, True, True)])
+    got = minhash.near_duplicates(odd, 2).collect()
+    assert len(got) == len(ODD) and sum(r.first for r in got) == len(ODD) - 2
+    assert Counter((r.doc_id, r.n_shingles) for r in got)[2, 0] == 1 and sum(r.kept for r in got if r.doc_id == 4) == 2
+    assert minhash.near_duplicates(none, 2).count() == 0
+    long = " ".join(f"w{k % 70_000}" for k in range(400_000))  # megabytes of text
+    two = spark.createDataFrame([(5, long), (9, long.upper()), (7, long[: len(long) // 2])], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(two, 5).collect()} == {i: c for i, (_, c) in brute_groups([(r.doc_id, r.text) for r in two.collect()], 5).items()}
 
 
 def test_super_minhash_estimates():
@@ -214,7 +326,8 @@ def test_toxicity(spark, docs, labels, odd, none):
     m = toxicity.train(d, lab)
     got = toxicity.score(d, m).join(lab, "doc_id").toPandas()
     out = got[got.held_out]
-    assert ((out.predicted == 1) == (out.toxic == 1)).mean() > 0.97
+    hit = ((out.predicted == 1) & (out.toxic == 1)).sum()
+    assert hit / (out.toxic == 1).sum() > 0.82 and hit / (out.predicted == 1).sum() > 0.9
     assert all((zlib.crc32(str(i).encode()) % 4 == 2) == h for i, h in zip(got.doc_id, got.held_out))
     assert got.score.between(0, 1).all()
     found = toxicity.offending_sentences(d.filter("doc_id < 400"), m).limit(50).collect()
@@ -259,6 +372,15 @@ def test_metric_join(spark):
     assert metric_join.range_links(df.limit(0)).count() == 0
 
 
+def test_metric_join_of_odd_ids(spark):
+    """Rows of one id and rows without an id each have a result; other columns may have any names."""
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.99, 0.01, 0.0]
+    rows = [(1, a), (1, b), (2, c), (None, a), (None, [0.0, 0.0, 1.0]), (None, [0.0, 0.0, 2.0]), (3, [0.0, 0.0, 0.0])]
+    df = spark.createDataFrame([(i, v, "x", 5) for i, v in rows], "vec_id long, embedding array<double>, rep string, row long")
+    got = Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in metric_join.range_links(df).collect())
+    assert got == Counter([(1, 2, 1, True), (1, 0, 1, True), (2, 2, 1, False), (None, 2, 1, False), (None, 1, None, True), (None, 1, None, False), (3, 0, 3, True)])
+
+
 @pytest.mark.parametrize("cell_rows", [15, 10_000])
 def test_sharding(docs, odd, none, cell_rows):
     got = sharding.interleave(docs, cell_rows=cell_rows).toPandas()
@@ -270,6 +392,14 @@ def test_sharding(docs, odd, none, cell_rows):
     assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
     per = got.groupby(["source", "shard"]).size().unstack(fill_value=0)
     assert (per.max(axis=1) - per.min(axis=1)).max() <= 2
+    # the order itself: seeded shuffle within each source, then the fractional rank, cut into equal parts
+    mixed = lambda i: (hashlib.md5(f"mix:{i}".encode()).hexdigest(), i)
+    order = []
+    for _, g in got.groupby("source"):
+        ids = sorted(g.doc_id, key=mixed)
+        order += [((2 * r + 1) / (2 * len(ids)), *mixed(i)) for r, i in enumerate(ids)]
+    order, n = [i for *_, i in sorted(order)], len(got)
+    assert {i: (s, t) for i, s, t in zip(got.doc_id, got.shard, got.slot)} == {i: (8 * g // n, g - -(-(8 * g // n) * n // 8)) for g, i in enumerate(order)}
     assert sharding.interleave(odd).count() == len(ODD) and sharding.interleave(none).count() == 0
 
 
@@ -352,7 +482,7 @@ def test_pipeline_rows_without_ids_and_repeated_rows(spark, docs, labels):
     # a clean row does not bring back a toxic one of its id, and both texts are compared
     mixed = make([(r.doc_id, *b[1:]) for r, b in zip(one, bad)] + one)
     m = toxicity.train(mixed, table(spark, SF, "labels"))
-    want = Counter(r.text for r in toxicity.score(mixed.withColumn("n", mixed.n_chars).withColumn("row", mixed.n_chars), m, key="row").filter("predicted = 0").join(mixed.select("text", "doc_id", mixed.n_chars.alias("row")), ["doc_id", "row"]).collect())
+    want = Counter(r.text for r in toxicity.score(mixed, m, carry=("text",)).filter("predicted = 0").collect())
     assert texts(p.toxic(spark, mixed, SF)) == want
     two = make([(7, *r[1:]) for r in one])
     assert texts(p.near_duplicates(spark, two, SF)) == texts(p.near_duplicates(spark, good, SF))
