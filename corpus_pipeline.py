@@ -4,50 +4,33 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from graphloom.llm import importance, minhash, packing, toxicity
-from graphloom.llm.common import stage, table
+from graphloom.llm.common import new_path, scratch, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``row``, a key of each row that every read sees alike: its file and place there.
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that importance resampling draws.
 
-    What is not a table of files as it is read is written as one first.
+    Rows of one id are each drawn or not by their own text; rows without an id take part like any other; a null or empty
+    text is drawn after all others.  Without labelled good rows every row stays; an empty table stays empty.
     """
-    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
-        docs = stage(docs.select(*COLUMNS), "rows")
-    paths = sorted(r.file_path for r in docs.select("_metadata.file_path").distinct().collect())
-    files = docs.sparkSession.createDataFrame(list(zip(paths, range(len(paths)))), "file_path string, file long")
-    rows = docs.select(*COLUMNS, "_metadata.file_path", "_metadata.row_index").join(F.broadcast(files), "file_path")
-    return rows.select(*COLUMNS, (F.shiftleft("file", 40) + F.col("row_index")).alias("row"))
-
-
-def _kept(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose ``row`` is in ``keep`` (only keys are shuffled beside the rows)."""
-    return docs.join(keep.select("row"), "row", "left_semi").select(*COLUMNS)
-
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that importance resampling draws."""
-    docs = _keyed(docs)
-    return _kept(docs, importance.resample(docs, table(spark, sf_dir, "labels"), key="row").filter("sampled"))
+    return importance.resample(docs, table(spark, sf_dir, "labels"), carry=COLUMNS).filter("sampled").select(*COLUMNS)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the multiple-instance model does not call toxic."""
-    docs = _keyed(docs)
-    return _kept(docs, toxicity.toxicity(docs, table(spark, sf_dir, "labels"), key="row").filter("predicted = 0"))
+    """Rows that the multiple-instance model does not call toxic, each by its own text; a null or empty text is not toxic."""
+    return toxicity.toxicity(docs, table(spark, sf_dir, "labels"), carry=COLUMNS).filter("predicted = 0").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group linked by five-word shingles at 0.8 or more: that of the smallest doc_id, null ids last."""
-    docs = _keyed(docs)
-    found = minhash.near_duplicates(docs.select(F.col("row").alias("doc_id"), "text"), width=5).select(F.col("doc_id").alias("row"), "component_id")
-    ids = docs.select("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row").alias("first"))
-    return _kept(docs, found.join(ids, "row").groupBy("component_id").agg(F.min("first").alias("first")).select("first.row"))
+    """One row of each group linked by five-word shingles at 0.8 or more: that of the smallest doc_id, null ids last.
+
+    Repeated rows are one group; rows without words are each kept.
+    """
+    return minhash.first_of_groups(docs, COLUMNS, width=5)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,5 +48,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order, each written as Parquet and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, f in STAGES:
-        docs = stage(f(spark, docs, sf_dir), f"pipeline-{name}")
+        path = new_path(spark, f"pipeline-{name}")
+        with scratch(spark):  # what a stage staged on its way goes when its result is written
+            f(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs
