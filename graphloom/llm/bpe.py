@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import documents
+from .common import documents, lean
 
 #: Unicode White_Space, as the pre-tokenizers' ``\s`` has it (fixed values).
 WHITE = "\\t\\n\\v\\f\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -283,7 +283,7 @@ def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
                 b.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], schema=schema)
 
-    return documents(docs).mapInArrow(run, DIGESTS)
+    return documents(docs).mapInArrow(lean(run), DIGESTS)
 
 
 def encode_ids(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -294,7 +294,7 @@ def encode_ids(docs: DataFrame, tokenizer: str) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(encoded(c, batch)), pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return documents(docs).mapInArrow(run, "doc_id long, ids array<int>")
+    return documents(docs).mapInArrow(lean(run), "doc_id long, ids array<int>")
 
 
 def decode_ids(encoded: DataFrame, tokenizer: str) -> DataFrame:
@@ -305,4 +305,4 @@ def decode_ids(encoded: DataFrame, tokenizer: str) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([c.decode(x.as_py() or []) for x in batch.column("ids")], pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(lean(run), "doc_id long, text string")

@@ -7,12 +7,14 @@ executors can read, so that a lost executor costs only the tasks it was running.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,8 +82,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of an Arrow batch to a Python worker: texts are long, and an executor's workers hold a batch and what is made of it.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let no Arrow batch be larger than ``BATCH_BYTES`` from now on (a session that asks for less is left as it is)."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int("".join(c for c in spark.conf.get(name) if c.isdigit() or c == "-"))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, and what it has freed given back to the system at the end of each task: Python workers outlive tasks."""
+
+    def task(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return task
+
+
 def documents(df: DataFrame, *columns: str) -> DataFrame:
     """``doc_id`` and ``text`` (null: empty) and the named columns; other columns can't clash with ours."""
+    small_batches(df.sparkSession)
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *columns)
 
 
@@ -90,6 +119,7 @@ def carried(df: DataFrame, carry: tuple[str, ...], *extra: Column) -> tuple[Data
 
     An operator that hands these columns through its Python workers needs no join to bring its result back to them.
     """
+    small_batches(df.sparkSession)
     names = {c: "_text" if c == "text" else f"c_{c}" for c in carry}
     own = df.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text"), *extra, *(F.col(c).alias(n) for c, n in names.items() if c != "text"))
     kinds = dict(df.select(*carry).dtypes) if carry else {}

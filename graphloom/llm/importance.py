@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, documents, stage
+from .common import carried, documents, lean, stage
 from .hashed import Texts, fold, groups, pairs, sums
 from .linear import labelled
 
@@ -56,7 +56,7 @@ def corpus_counts(docs: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["cell", "n"])
 
-    made = documents(docs).select("text").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    made = documents(docs).select("text").mapInArrow(lean(run), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     out = np.zeros(3 << BITS, np.int64)
     for r in made.collect():
         out[r.cell] = r.n
@@ -141,7 +141,7 @@ def resample(docs: DataFrame, labels: DataFrame, seed: int = 7, k: int | None =
             yield pa.RecordBatch.from_pydict({"_id": batch.column("_id"), "n_grams": pa.array(n), "log_weight": pa.array(w), **{c: batch.column(c) for c in names.values()}})
 
     own, names, kinds = carried(docs, carry)
-    scored = own.mapInArrow(run, "_id long, n_grams long, log_weight double" + kinds)
+    scored = own.mapInArrow(lean(run), "_id long, n_grams long, log_weight double" + kinds)
     mean = F.when(F.col("n_grams") > 0, F.col("log_weight") / F.col("n_grams"))
     noise = F.when(F.col("_id").isNull(), F.xxhash64(F.lit(seed), F.lit("row"), "n_grams", "log_weight")).otherwise(F.xxhash64(F.lit(seed), "_id"))
     u = (F.pmod(noise, F.lit(1 << 52)) + 0.5) / float(1 << 52)

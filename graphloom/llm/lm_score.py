@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, rows_per_group, stage
+from .common import documents, lean, rows_per_group, stage
 from .hashed import Texts, mix
 
 ALPHA, ORDER = 0.4, 2
@@ -183,10 +183,10 @@ def scores(docs: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYTES,
     A null or empty text has no words, score 0 and a null mean; repeated rows count and score each; an empty table gives
     no rows.
     """
-    blocks = stage(documents(docs).mapInArrow(_blocks(block_bytes), "block long, ids array<long>, n_words long, body binary"), "blocks")
+    blocks = stage(documents(docs).mapInArrow(lean(_blocks(block_bytes)), "block long, ids array<long>, n_words long, body binary"), "blocks")
     n_words = blocks.agg(F.sum("n_words")).first()[0] or 0
     tables = rows_per_group(order * n_words, table_ngrams)
-    asked = blocks.select("block", "ids", "body").mapInArrow(_requests(tables, order), "tab int, block long, grams binary")
+    asked = blocks.select("block", "ids", "body").mapInArrow(lean(_requests(tables, order)), "tab int, block long, grams binary")
     told = stage(asked.groupBy("tab").applyInPandas(_add_up, "block long, tab int, totals binary"), "totals")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,5 +197,5 @@ def scores(docs: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYTES,
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n.astype(np.int64)), pa.array(missed.astype(np.int64)), pa.array(total)], names=["doc_id", "n_words", "n_backoff", "log_score"])
 
     told = told.groupBy("block").agg(F.collect_list(F.struct("tab", "totals")).alias("told"))  # a block's own n-grams
-    out = blocks.join(told, "block", "left").select("ids", "body", "told").mapInArrow(run, "doc_id long, n_words long, n_backoff long, log_score double")
+    out = blocks.join(told, "block", "left").select("ids", "body", "told").mapInArrow(lean(run), "doc_id long, n_words long, n_backoff long, log_score double")
     return out.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, keyed, stage, unstage
+from .common import documents, keyed, lean, stage, unstage
 from .components import UnionFind, components, named
 from .hashed import mix
 
@@ -129,7 +129,7 @@ def sketches(docs: DataFrame, width: int, own_id: str) -> DataFrame:
                     pa.array(list(key.view(np.int64)), pa.list_(pa.int64())),
                 ], schema=schema)
 
-    return documents(docs, own_id).mapInArrow(run, SKETCH)
+    return documents(docs, own_id).mapInArrow(lean(run), SKETCH)
 
 
 def _joining(ids: list[int], groups: list[int], sides: list[int], sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
@@ -188,7 +188,7 @@ def confirmed(cells: DataFrame, texts: DataFrame, width: int) -> DataFrame:
         yield links()
 
     rows = cells.join(texts, "doc_id").select("cell", "i", "j", "side", "doc_id", "g", "text")
-    return rows.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "side", "doc_id").mapInArrow(run, "a long, b long")
+    return rows.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "side", "doc_id").mapInArrow(lean(run), "a long, b long")
 
 
 def _blocks(sums: DataFrame) -> DataFrame:

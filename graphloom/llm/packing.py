@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, rows_per_group, stage
+from .common import documents, lean, rows_per_group, stage
 from .encode import encoder, with_end
 
 CAPACITY, END_ID, GROUP_ROWS = 4096, 1, 100_000
@@ -50,7 +50,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(take), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), part.column("copy").take(take)], names=["doc_id", "piece", "start", "length", "ids_crc32", "copy"])
 
-    return documents(docs).withColumn("copy", F.monotonically_increasing_id()).mapInArrow(run, PIECES)
+    return documents(docs).withColumn("copy", F.monotonically_increasing_id()).mapInArrow(lean(run), PIECES)
 
 
 def best_fit(counts: np.ndarray, capacity: int) -> list[list[int]]:

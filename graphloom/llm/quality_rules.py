@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, lean
 from .linear import calibrate, fit_logistic, labelled, linear_scores, logistic, vectors
 
 MAX_FIT, MAX_FIT_BYTES, BITS = 1500, 16_384, 11
@@ -106,7 +106,7 @@ def score(docs: DataFrame, model: Quality | None, keep_at: float = KEEP_AT) -> D
                 "kept": pa.array(~failed & (p >= keep_at)),
             })
 
-    return documents(docs).mapInArrow(run, RESULT)
+    return documents(docs).mapInArrow(lean(run), RESULT)
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

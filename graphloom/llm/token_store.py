@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import documents, new_path, remove, rows_per_group, stage
+from .common import documents, lean, new_path, remove, rows_per_group, stage
 from .encode import encoder, with_end
 
 MIN_CHUNK, MEAN_CHUNK, MAX_CHUNK = 64, 256, 2048
@@ -128,7 +128,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID
     """
     spark = docs.sparkSession
     # a chunk goes to the task of its digest, a recipe to that of its row's digest
-    found = documents(docs).withColumn("copy", F.monotonically_increasing_id()).mapInArrow(_objects(tokenizer, end_id), OBJECT)
+    found = documents(docs).withColumn("copy", F.monotonically_increasing_id()).mapInArrow(lean(_objects(tokenizer, end_id)), OBJECT)
     one = found.groupBy("kind", "key").agg(*[F.first(c).alias(c) for c in ("doc_id", "n", "width", "data", "digests", "root")])
     one.write.partitionBy("kind").parquet(f"{path}/objects")
     objects = spark.read.schema("kind string, " + OBJECT.partition(", ")[2]).parquet(f"{path}/objects")
@@ -211,7 +211,7 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"digest": pa.array(keys, pa.binary()), "n": batch.column("n"), "crc": pa.array(crcs, pa.int64()), "whole": pa.array(wholes, pa.bool_())})
 
     objects = spark.read.schema("kind string, " + OBJECT.partition(", ")[2]).parquet(f"{path}/objects")
-    return objects.filter("kind = 'chunk'").select("key", "n", "width", "data").mapInArrow(verify, "digest binary, n long, crc long, whole boolean")
+    return objects.filter("kind = 'chunk'").select("key", "n", "width", "data").mapInArrow(lean(verify), "digest binary, n long, crc long, whole boolean")
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, documents
+from .common import carried, documents, lean
 from .hashed import Texts, fold, groups
 from .linear import labelled, logistic
 
@@ -178,7 +178,7 @@ def score(docs: DataFrame, model: Toxicity | None, threshold: float = THRESHOLD,
             })
 
     own, names, kinds = carried(docs, carry, F.coalesce(held_out(), F.lit(False)).alias("_out"))
-    out = own.mapInArrow(run, RESULT + kinds)
+    out = own.mapInArrow(lean(run), RESULT + kinds)
     return out.select(*(c for c in RESULT_COLUMNS if c not in carry), *(F.col(n).alias(c) for c, n in names.items()))
 
 
@@ -206,4 +206,4 @@ def offending_sentences(docs: DataFrame, model: Toxicity | None, threshold: floa
             schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("sentence", pa.string()), ("score", pa.float64())])
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return documents(docs).mapInArrow(run, "doc_id long, start long, end long, sentence string, score double")
+    return documents(docs).mapInArrow(lean(run), "doc_id long, start long, end long, sentence string, score double")
