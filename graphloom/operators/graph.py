@@ -14,6 +14,8 @@ def _cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="graphloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
@@ -21,8 +23,16 @@ def _cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _staged(edges: DataFrame) -> DataFrame:
+    return edges if edges._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation" else _cut(edges, "edges")
+
+
 def reach(edges: DataFrame, seeds: DataFrame, depth: int, a: str = "a", b: str = "b") -> DataFrame:
-    """node, depth: every node within ``depth`` edges of a seed, at its first depth; seeds have depth 0."""
+    """node, depth: every node within ``depth`` edges of a seed, at its first depth; seeds have depth 0.
+
+    Edges that are not a table of files already are written once: each level then reads them instead of making them anew.
+    """
+    edges = _staged(edges.select(a, b))
     seen = _cut(seeds.select(F.col(seeds.columns[0]).alias("node")).distinct().withColumn("depth", F.lit(0)), "reach")
     front, parts = seen, [seen]
     for d in range(1, depth + 1):
@@ -42,6 +52,7 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int, a: str = "a", b: str =
 def trace(edges: DataFrame, seeds: DataFrame, depth: int, limit: int | None = None) -> DataFrame:
     """a, b, depth, cycle: edges out of every node reached, each at its node's depth + 1; ``cycle``: it leads to a node
     that was reached no later.  A limit keeps the first edges by depth, a, b."""
+    edges = _staged(edges.select("a", "b"))
     nodes = reach(edges, seeds, depth - 1)
     out = edges.join(nodes.select(F.col("node").alias("a"), (F.col("depth") + 1).alias("depth")), "a")
     out = out.join(nodes.select(F.col("node").alias("b"), F.col("depth").alias("seen")), "b", "left")
@@ -66,14 +77,78 @@ def degrees(*edges: DataFrame) -> DataFrame:
     return both.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
 
 
-def ancestors(parent: DataFrame, depth: int = 10) -> DataFrame:
-    """child, ancestor, depth: the closure of a child-parent table; a cycle ends where a pair comes again."""
-    now = parent.selectExpr("child", "parent AS ancestor", "1 AS depth").distinct()
-    every = now
-    for d in range(2, depth + 1):
+def ancestors(parent: DataFrame, depth: int | None = None) -> DataFrame:
+    """child, ancestor, depth: the closure of a child-parent table, whole without ``depth``; a cycle ends where a pair comes again."""
+    parent = _cut(parent.select("child", "parent").distinct(), "parents")
+    now = parent.selectExpr("child", "parent AS ancestor", "1 AS depth")
+    every, d = now, 1
+    while depth is None or d < depth:
+        d += 1
         nxt = now.join(parent.selectExpr("child AS ancestor", "parent AS up"), "ancestor").selectExpr("child", "up AS ancestor", f"{d} AS depth").distinct()
         nxt = _cut(nxt.join(every, ["child", "ancestor"], "left_anti"), "ancestors")
         if nxt.isEmpty():
             break
         now, every = nxt, every.union(nxt)
     return every
+
+
+def call_chain(calls: DataFrame, start: str, depth: int = 3, per_node: int = 25, limit: int = 100) -> DataFrame:
+    """level, caller, callee, file, line, confidence: calls from a method on, ``per_node`` best of each name, breadth first.
+
+    A name stands for all callers that contain it; each is followed once.  ``calls``: of visible tiers, with ``tier_rank``.
+    """
+    from .relational import top_per_key
+    from ..functions.text import last_segments
+
+    spark = calls.sparkSession
+    calls = _cut(calls.select("caller", "callee", "file", "line", "confidence", "tier_rank"), "calls")
+    names = _cut(calls.select("caller").distinct(), "callers")
+    seen = now = spark.createDataFrame([(start,)], "name string")
+    out = None
+    for level in range(1, depth + 1):
+        # names are few (at most limit * per_node a level); callers meet them by substring
+        met = names.join(F.broadcast(now), F.contains(F.lower("caller"), F.lower("name"))).select("caller", "name")
+        found = top_per_key(met.join(calls, "caller"), ["name"], [F.col("tier_rank"), F.desc("confidence"), F.col("line"), F.col("file"), F.col("caller"), F.col("callee")], per_node)
+        found = _cut(found.select(F.lit(level).alias("level"), "name", "rn", "caller", "callee", "file", "line", "confidence").orderBy("name", "rn").limit(limit), "chain")
+        out = found if out is None else out.union(found)
+        nxt = found.select(last_segments(F.col("callee")).alias("name")).distinct().join(seen, "name", "left_anti")
+        now = _cut(nxt, "names")
+        if now.isEmpty():
+            break
+        seen = seen.union(now)
+    return out.orderBy("level", "name", "rn").limit(limit).select("level", "caller", "callee", "file", "line", "confidence")
+
+
+def seeds_of(paths: DataFrame, target: str, most: int = 100) -> DataFrame:
+    """path: files that a target names: exactly, else by suffix, else by a part, the first ``most``."""
+    low = F.lower("path")
+    rank = F.when(F.col("path") == target, 0).when(F.col("path").endswith("/" + target), 1).when(F.contains(low, F.lit(target.lower())), 2)
+    found = paths.select("path", rank.alias("rank")).filter("rank IS NOT NULL")
+    best = found.agg(F.min("rank").alias("rank"))
+    return found.join(F.broadcast(best), "rank").orderBy("path").limit(most).select("path")  # one row
+
+
+def trace_both(edges: DataFrame, seeds: DataFrame, depth: int = 2, direction: str = "both", roles: DataFrame | None = None, limit: int = 200) -> DataFrame:
+    """direction, a, b, depth, cycle: the first edges by depth in the asked directions, neighbours of known hidden roles left out."""
+    out = None
+    for way, df in (("dependencies", edges.select("a", "b")), ("dependents", edges.select(F.col("b").alias("a"), F.col("a").alias("b")))):
+        if direction in (way, "both"):
+            if roles is not None:
+                hidden = roles.filter(F.col("role").isin("test_source", "generated", "mock_source")).select(F.col("node").alias("b"))
+                df = df.join(hidden, "b", "left_anti").select("a", "b")
+            part = trace(df, seeds, depth).select(F.lit(way).alias("direction"), "a", "b", "depth", "cycle")
+            out = part if out is None else out.union(part)
+    return out.orderBy("depth", "direction", "a", "b").limit(limit)
+
+
+def trace_groups(edges: DataFrame, files: int = 8, samples: int = 3) -> DataFrame:
+    """direction, depth, n, files (by how often they occur), samples: a trace's edges in groups."""
+    from .relational import top_per_key
+
+    keys = ["direction", "depth"]
+    n = edges.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    ends = edges.select(*keys, F.explode(F.array("a", "b")).alias("file")).groupBy(*keys, "file").agg(F.count(F.lit(1)).alias("c"))
+    listed = lambda df, name: df.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rn", "x"))), lambda s: s["x"]), " ").alias(name))
+    best = top_per_key(ends, keys, [F.desc("c"), F.col("file")], files).withColumn("x", F.col("file").cast("string"))
+    few = top_per_key(edges, keys, [F.col("a"), F.col("b")], samples).withColumn("x", F.concat_ws(">", "a", "b"))
+    return n.join(listed(best, "files"), keys).join(listed(few, "samples"), keys)

@@ -50,18 +50,33 @@ def joined_path(base: Column, path: Column) -> Column:
     return F.concat(F.lit("/"), F.regexp_replace(joined, "^/|/$", ""))
 
 
-#: What a relative import may name, in order of priority.
-CANDIDATES = ("", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js")
+#: What a relative import may name after the path as it is written, in order of priority.
+CANDIDATES = (".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js")
 
 
-def import_graph(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """importer, target of relative imports (path, specifier) that name one of ``files`` (path); first candidate wins."""
-    base = F.regexp_replace(F.concat(F.regexp_replace("path", "[^/]*$", ""), "specifier"), "(^|/)\\./", "$1")
-    for _ in range(4):  # one level of ../ at a time
-        base = F.regexp_replace(base, "(^|/)(?!\\.\\.)[^/]+/\\.\\./", "$1")
-    rows = imports.filter(F.col("specifier").startswith(".")).select(F.col("path").alias("importer"), "specifier", F.posexplode(F.array(*(F.concat(base, F.lit(c)) for c in CANDIDATES))).alias("k", "target"))
+def _folded(path: Column) -> Column:
+    """A path without ``.`` and ``..``: parts are taken from the left, ``..`` drops the part before it; null above the root."""
+    start = F.array().cast("array<string>")
+    step = lambda out, p: F.when(p == "..", F.when(F.size(out) > 0, F.slice(out, F.lit(1), F.size(out) - 1)).otherwise(F.array(F.lit("..")))).when((p == ".") | (p == ""), out).otherwise(F.concat(out, F.array(p)))
+    parts = F.aggregate(F.split(path, "/"), start, step)
+    return F.when(~F.array_contains(parts, ".."), F.array_join(parts, "/"))
+
+
+def import_graph(imports: DataFrame, files: DataFrame, dependencies: DataFrame | None = None) -> DataFrame:
+    """importer, target of relative imports (path, specifier) that name one of ``files`` (path), and of ``dependencies`` (a, b).
+
+    The path as it is written comes first, then without its script extension (``./a.js`` may be ``a.ts``) with each other one;
+    the first that is a file wins.
+    """
+    bare = F.regexp_replace("specifier", r"\.(js|jsx|mjs|cjs|ts|tsx)$", "")
+    folder = F.regexp_replace("path", "[^/]*$", "")
+    whole, base = _folded(F.concat(folder, "specifier")), _folded(F.concat(folder, bare))
+    rows = imports.filter(F.col("specifier").startswith(".")).select(F.col("path").alias("importer"), "specifier", F.posexplode(F.array(whole, *(F.concat(base, F.lit(c)) for c in CANDIDATES))).alias("k", "target"))
     found = rows.join(files.select(F.col("path").alias("target")).distinct(), "target")
-    return found.groupBy("importer", "specifier").agg(F.min_by("target", "k").alias("target")).filter("importer <> target").select("importer", "target").distinct()
+    found = found.groupBy("importer", "specifier").agg(F.min_by("target", "k").alias("target")).select("importer", "target")
+    if dependencies is not None:
+        found = found.union(dependencies.select("a", "b"))
+    return found.filter("importer <> target").distinct()
 
 
 def calculation_sinks(lines: DataFrame, file: str = "file", line: str = "line") -> DataFrame:

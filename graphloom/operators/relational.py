@@ -174,3 +174,46 @@ def priority_union(parts: dict[str, DataFrame], keys: list[str]) -> DataFrame:
         part = df.select(*keys, F.struct(F.lit(k).alias("p"), F.lit(name).alias("origin")).alias("o"))
         every = part if every is None else every.union(part)
     return every.groupBy(*keys).agg(F.min("o").alias("o")).select(*keys, "o.origin")
+
+
+def side_by_side(parts: list[DataFrame]) -> DataFrame:
+    """Tables of one row each as one row."""
+    one = F.lit(1).alias("_one")
+    out = parts[0].select("*", one)
+    for p in parts[1:]:
+        out = out.join(p.select("*", one), "_one")
+    return out.drop("_one")
+
+
+def groups_with_rows(rows: DataFrame, key: Column, kind: str, row: str, order: list[Column], n: int = 10) -> DataFrame:
+    """key, n, kinds, first_rows: each group's size, distinct kinds and its first ``n`` rows in order."""
+    rows = rows.withColumn("key", key)
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_set(kind)), ",").alias("kinds"))
+    first = top_per_key(rows, ["key"], order, n).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("rn", F.col(row).alias("x")))).alias("r"))
+    return sizes.join(first.select("key", F.array_join(F.transform("r", lambda x: x["x"]), " ").alias("first_rows")), "key")
+
+
+def log_totals(log: DataFrame) -> DataFrame:
+    """One row over a log (duration_ms, stale, degraded, debug_timed, reason): counts, fallbacks, average, largest, 95th percentile."""
+    return log.agg(
+        F.count(F.lit(1)).alias("events"), *(F.count_if(c).alias(c) for c in ("stale", "degraded", "debug_timed")), F.count_if(F.col("degraded") | F.col("reason")).alias("fallback"),
+        F.floor(F.sum("duration_ms") / F.count(F.lit(1)) + 0.5).alias("avg_ms"), F.max("duration_ms").alias("max_ms"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY duration_ms)").alias("p95_ms"),
+    )
+
+
+def log_score() -> Column:
+    """A log's score of 100 and less, from its counts of invalid lines, stale, degraded and fallback answers and its slowest one."""
+    slow = F.when(F.col("max_ms") >= 5000, F.least(F.lit(12), F.floor((F.col("max_ms") - 5000) / 500))).otherwise(0)
+    lost = F.least("invalid", F.lit(25)) + F.least(F.col("stale") * 4, F.lit(20)) + F.least(F.col("degraded") * 3, F.lit(18)) + F.least(F.floor(F.col("fallback") / 2) * 2, F.lit(10)) + slow
+    return F.greatest(100 - lost, F.lit(0)).cast("bigint")
+
+
+#: The least score of each grade.
+GRADES = ((96, "A+"), (92, "A"), (84, "B+"), (76, "B"), (64, "C"), (50, "D"))
+
+
+def grade(score: str) -> Column:
+    out = F.lit("F")
+    for least, name in reversed(GRADES):
+        out = F.when(F.col(score) >= least, name).otherwise(out)
+    return out

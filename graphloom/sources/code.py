@@ -24,14 +24,24 @@ def language_of(path: Column) -> Column:
     return out
 
 
+#: How a path tells a file's role, in order of precedence.
+VENDORED = r"/(vendor|node_modules|third_party|\.m2|target|build|dist)/"
+GENERATED = r"(^|/)([^/]*[-_.])?generated([-_.][^/]*)?(/|$)|\.g\.java$"
+BUILD_FILES = ("pom.xml", "build.gradle", "build.gradle.kts", "settings.gradle", "settings.gradle.kts", "gradle.properties")
+RESOURCES = r"\.(xml|yaml|yml|properties|json)$"
+MOCKS = r"(^|/)(__mocks__|mock|mocks|fixtures|testdata|stub|stubs)(/|$)"
+TESTS = (
+    r"(^|/)(__tests__|__test__|test|tests|spec|specs)(/|$)|(^|/)(e2e|e2e_test|e2e_tests|e2e-test|e2e-tests|e2etest|e2etests)(/|$)|(^|/)(step_definitions|step-definitions|pageobjects|page_objects|page-objects)(/|$)"
+    r"|(^|/)(cypress|playwright|integration_test|integration-tests?)(/|$)|test[-_]fixtures?(/|$)|\.(test|spec)\.[cm]?[jt]sx?$|tests?\.java$|spec\.ts$|test\.ts$"
+)
+
+
 def role_of(path: Column) -> Column:
-    """vendored, generated, build_config, resource_config, unknown (no language), mock, test or main, first match first."""
-    p = F.lower(path)
+    """vendored, generated, build_config, resource_config (also what has no language), mock, test or main, first match first."""
+    p = F.lower(F.regexp_replace(path, r"\\", "/"))
     return (
-        F.when(p.rlike(r"(^|/)(vendor|third_party|node_modules)/"), "vendored_source").when(p.rlike(r"(^|/)(generated|gen)/|\.generated\."), "generated")
-        .when(p.rlike(r"(^|/)(pom\.xml|build\.gradle(\.kts)?|package\.json|tsconfig\.json|pyproject\.toml|setup\.py)$"), "build_config")
-        .when(p.rlike(r"\.(xml|ya?ml|properties|json)$"), "resource_config").when(language_of(path).isNull(), "unknown")
-        .when(p.rlike(r"(^|/)(__mocks__|mocks?)/|mock[^/]*$"), "mock_source").when(p.rlike(r"(^|/)(tests?|__tests__)/|(\.|_)(test|spec)\.[^/]+$|tests?\.java$|(^|/)test_[^/]+$"), "test_source").otherwise("main_source")
+        F.when(p.rlike(VENDORED), "vendored").when(p.rlike(GENERATED), "generated").when(F.substring_index(p, "/", -1).isin(*BUILD_FILES), "build_config")
+        .when(p.rlike(RESOURCES) | language_of(path).isNull(), "resource_config").when(p.rlike(MOCKS), "mock_source").when(p.rlike(TESTS), "test_source").otherwise("main_source")
     )
 
 
@@ -60,32 +70,30 @@ _LINE_RULES = (
 
 
 def python_facts(path: str, text: str) -> list[tuple]:
-    """Symbols, imports and calls of a Python file by its syntax tree."""
+    """Symbols, imports and calls of a Python file by its syntax tree, in the order of a walk with a stack of its own."""
     try:
         tree = ast.parse(text)
-    except (SyntaxError, ValueError):
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
         return [(path, "parse_error", None, None, 1, None, 0.0)]
     out: list[tuple] = []
-
-    def walk(node: ast.AST, owner: str | None) -> None:
-        for child in ast.iter_child_nodes(node):
-            inner = owner
-            if isinstance(child, (ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef)):
-                kind = "class" if isinstance(child, ast.ClassDef) else "method" if isinstance(node, ast.ClassDef) else "function"
-                out.append((path, kind, child.name, owner, child.lineno, child.end_lineno, 1.0))
-                inner = f"{owner}.{child.name}" if owner else child.name
-            elif isinstance(child, ast.Import):
-                out.extend((path, "import", a.name, owner, child.lineno, child.end_lineno, 1.0) for a in child.names)
-            elif isinstance(child, ast.ImportFrom):
-                out.append((path, "import", "." * child.level + (child.module or ""), owner, child.lineno, child.end_lineno, 1.0))
-            elif isinstance(child, ast.Call):
-                f = child.func
-                name = f.id if isinstance(f, ast.Name) else f.attr if isinstance(f, ast.Attribute) else None
-                if name:
-                    out.append((path, "call", name, owner, child.lineno, child.end_lineno, 0.8))
-            walk(child, inner)
-
-    walk(tree, None)
+    todo: list[tuple[ast.AST, bool, str | None]] = [(tree, False, None)]  # node, inside a class, owner
+    while todo:
+        node, in_class, owner = todo.pop()
+        inner, opens = owner, False
+        if isinstance(node, (ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef)):
+            opens = isinstance(node, ast.ClassDef)
+            out.append((path, "class" if opens else "method" if in_class else "function", node.name, owner, node.lineno, node.end_lineno, 1.0))
+            inner = f"{owner}.{node.name}" if owner else node.name
+        elif isinstance(node, ast.Import):
+            out.extend((path, "import", a.name, owner, node.lineno, node.end_lineno, 1.0) for a in node.names)
+        elif isinstance(node, ast.ImportFrom):
+            out.append((path, "import", "." * node.level + (node.module or ""), owner, node.lineno, node.end_lineno, 1.0))
+        elif isinstance(node, ast.Call):
+            f = node.func
+            name = f.id if isinstance(f, ast.Name) else f.attr if isinstance(f, ast.Attribute) else None
+            if name:
+                out.append((path, "call", name, owner, node.lineno, node.end_lineno, 0.8))
+        todo.extend((child, opens, inner) for child in reversed(list(ast.iter_child_nodes(node))))
     return out
 
 
