@@ -94,14 +94,15 @@ class _Grown:
 
 def _runs(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The places start, start + 1, ... (n of them) of each run, one run after another."""
+    n = n.astype(np.int64)
     ends = np.cumsum(n)
-    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - n), n)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start.astype(np.int64) - (ends - n), n)
 
 
 class PieceEncoder:
     """``max_pieces`` and ``max_piece_bytes`` bound the cache's memory, never the work."""
 
-    def __init__(self, path: str, max_pieces: int = 1_000_000, max_piece_bytes: int = 64):
+    def __init__(self, path: str, max_pieces: int = 500_000, max_piece_bytes: int = 64):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -112,11 +113,12 @@ class PieceEncoder:
         mark = _ALPHABET["\n"]
         self.words.pre_tokenizer = pre_tokenizers.Split(mark, "isolated")
         self.mark_id = self.words.encode(mark).ids
+        self.kind = np.uint16 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
         self._reset()
 
     def _reset(self) -> None:
-        self.arena, self.pos, self.length = _Grown(np.uint8), _Grown(np.int64), _Grown(np.int64)
-        self.flat, self.off, self.count = _Grown(np.uint32), _Grown(np.int64), _Grown(np.int64)
+        self.arena, self.pos, self.length = _Grown(np.uint8), _Grown(np.uint32), _Grown(np.uint16)
+        self.flat, self.off, self.count = _Grown(self.kind), _Grown(np.int64), _Grown(np.uint32)
         self.hash, self.used = _Grown(np.uint64), _Grown(bool)
         self._table(1 << 12)
 
@@ -150,8 +152,8 @@ class PieceEncoder:
 
     def _append(self, arena: np.ndarray, length: np.ndarray, flat: np.ndarray, count: np.ndarray, hashes: np.ndarray) -> None:
         first = self.hash.n
-        self.pos.append(self.arena.n + np.cumsum(length) - length)
-        self.off.append(self.flat.n + np.cumsum(count) - count)
+        self.pos.append(self.arena.n + np.cumsum(length, dtype=np.int64) - length)
+        self.off.append(self.flat.n + np.cumsum(count, dtype=np.int64) - count)
         for grown, values in ((self.arena, arena), (self.length, length), (self.flat, flat), (self.count, count), (self.hash, hashes), (self.used, np.zeros(len(count), bool))):
             grown.append(values)
         while 2 * self.hash.n > len(self.slots):
@@ -189,7 +191,7 @@ class PieceEncoder:
         found[here[self.length.data[e] != n[here]]] = -2
         while len(here):
             e, size = found[here], n[here]
-            pos = self.pos.data[e]
+            pos = self.pos.data[e].astype(np.int64)
             wrong = ((lanes[s[here] + 8 * k] ^ arena[np.minimum(pos + 8 * k, len(arena) - 1)]) & _MASK[np.minimum(size - 8 * k, 8)]) != 0
             if wrong.any():
                 found[here[wrong]] = -2
@@ -270,10 +272,9 @@ class PieceEncoder:
         if not len(body):
             return np.zeros(0, np.uint32), np.zeros(len(starts), np.int64)
         s = piece_starts(body, starts)
-        kept = self.hash.n
         entry = self._entries(raw, s, np.diff(s, append=len(body)))
-        count = self.count.data[entry]
-        ids = self.flat.data[_runs(self.off.data[entry], count)]
+        count = self.count.data[entry].astype(np.int64)
+        ids = self.flat.data[_runs(self.off.data[entry], count)].astype(np.uint32)
         kept = self.hash.n
         if self.off.n > kept:
             self.flat.cut(int(self.off.data[kept]))
