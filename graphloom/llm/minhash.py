@@ -241,7 +241,8 @@ def _groups(made: DataFrame, docs: DataFrame, width: int) -> tuple[DataFrame, Da
     crowd = crowded.groupBy("doc_id").agg(F.sum(F.log2("c")).alias("crowd"))
     rows = stage(crowded.select("doc_id", "n", "bucket").join(crowd, "doc_id"), "buckets")
     unstage(bands)
-    texts = documents(docs).join(rows.select("doc_id").distinct(), "doc_id", "left_semi")
+    # merged at every size: a broadcast of the smaller inputs' ids would only hide what the larger ones shuffle
+    texts = documents(docs).join(rows.select("doc_id").distinct().hint("shuffle_merge"), "doc_id", "left_semi")
     texts = stage(texts, "texts")
     links = label = hubs = None
     for turn in range(HUB_ROUNDS + 1):
@@ -290,4 +291,4 @@ def first_of_groups(docs: DataFrame, columns: tuple[str, ...], width: int = 5) -
     if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
         docs = stage(docs, "rows")
     gone = near_duplicates(docs, width).filter("NOT first").select("row")
-    return keyed(docs, *columns).join(gone, "row", "left_anti").select(*columns)
+    return keyed(docs, *columns).join(gone.hint("shuffle_merge"), "row", "left_anti").select(*columns)
