@@ -152,3 +152,36 @@ def trace_groups(edges: DataFrame, files: int = 8, samples: int = 3) -> DataFram
     best = top_per_key(ends, keys, [F.desc("c"), F.col("file")], files).withColumn("x", F.col("file").cast("string"))
     few = top_per_key(edges, keys, [F.col("a"), F.col("b")], samples).withColumn("x", F.concat_ws(">", "a", "b"))
     return n.join(listed(best, "files"), keys).join(listed(few, "samples"), keys)
+
+
+def named_calls(calls: DataFrame, symbol: str, end: str, limit: int) -> DataFrame:
+    """Calls of whose ``end`` (caller: callees of a symbol; callee: its callers) one of the symbol's names is all (``pass`` 0),
+    then those that contain one, by tier, confidence and place."""
+    from .filters import named_edges
+    from .relational import rank_of
+    from .resolution import lookup_terms
+
+    found = named_edges(calls, lookup_terms(symbol), (end,))
+    order = [F.col("pass"), rank_of("tier", ("provider", "primary")), F.desc("confidence"), F.col("file"), F.col("line"), F.col("caller"), F.col("callee")]
+    return found.orderBy(*order).limit(limit)
+
+
+def neighbours(edges: DataFrame, seeds: DataFrame, files: DataFrame, language: str | None = None) -> DataFrame:
+    """file, hits: files (file, role, language) of the main source one edge from a seed, with how many edges lead there."""
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.join(seeds.select(F.col("file").alias("a")).distinct(), "a", "left_semi").join(seeds.select(F.col("file").alias("b")).distinct(), "b", "left_anti")
+    own = files.filter("role = 'main_source'")
+    if language:
+        own = own.filter(F.col("language").isNull() | F.col("language").isin("", language))
+    return near.groupBy(F.col("b").alias("file")).agg(F.count(F.lit(1)).alias("hits")).join(own.select("file"), "file", "left_semi")
+
+
+def central_files(files: DataFrame, edges: DataFrame, words: list[str], least: int = 2) -> DataFrame:
+    """path, coverage, in_degree: files whose basename has ``least`` words of a query or more, the most imported ones first."""
+    from ..functions.text import base_name, word_parts
+
+    asked = F.array(*(F.lit(w) for w in dict.fromkeys(words) if len(w) >= 3))
+    own = F.array_distinct(word_parts(F.regexp_replace(base_name(F.col("path")), r"\.[^./]+$", "")))
+    found = files.select("path", F.size(F.array_intersect(own, asked)).alias("coverage")).filter(F.col("coverage") >= least)
+    n = edges.groupBy(F.col("b").alias("path")).agg(F.countDistinct("a").alias("in_degree"))
+    return found.join(n, "path", "left").fillna(0, ["in_degree"]).orderBy(F.desc("coverage"), F.desc("in_degree"), "path")

@@ -85,3 +85,13 @@ def calculation_sinks(lines: DataFrame, file: str = "file", line: str = "line")
     risk = F.when(F.col(line).rlike(r"/|\bround|setScale|toFixed"), 2).when(F.col(line).rlike(r"[-+*]"), 1).otherwise(0)
     rows = lines.select(file, F.lower(name).alias("output"), risk.alias("risk")).filter("output <> ''")
     return rows.groupBy("output").agg(F.count(ONE).alias("n"), F.countDistinct(file).alias("n_files"), F.max("risk").alias("risk"))
+
+
+def symbol_packet(symbols: DataFrame, calls: DataFrame, endpoints: DataFrame, is_test: Column) -> DataFrame:
+    """id, fq_name, n_callers, n_callees, n_endpoints, n_tests: what hangs on a symbol (as_callee, as_caller, file), by counts
+    of each side made once; ``is_test`` tells a calling file's role."""
+    incoming = calls.groupBy(F.col("callee").alias("as_callee")).agg(F.count(ONE).alias("n_callers"), F.countDistinct(F.when(is_test, F.col("file"))).alias("n_tests"))
+    outgoing = calls.groupBy(F.col("caller").alias("as_caller")).agg(F.count(ONE).alias("n_callees"))
+    served = endpoints.groupBy("file").agg(F.count(ONE).alias("n_endpoints"))
+    out = symbols.join(incoming, "as_callee", "left").join(outgoing, "as_caller", "left").join(served, "file", "left")
+    return out.fillna(0, ["n_callers", "n_callees", "n_endpoints", "n_tests"]).select("id", "fq_name", "n_callers", "n_callees", "n_endpoints", "n_tests")
