@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str) -> DataFrame:
     """A level written to the shared checkpoint folder, so that plans don't grow with depth."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -24,7 +24,7 @@ def _cut(df: DataFrame, name: str) -> DataFrame:
 
 
 def _staged(edges: DataFrame) -> DataFrame:
-    return edges if edges._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation" else _cut(edges, "edges")
+    return edges if edges._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation" else written(edges, "edges")
 
 
 def reach(edges: DataFrame, seeds: DataFrame, depth: int, a: str = "a", b: str = "b") -> DataFrame:
@@ -33,12 +33,12 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int, a: str = "a", b: str =
     Edges that are not a table of files already are written once: each level then reads them instead of making them anew.
     """
     edges = _staged(edges.select(a, b))
-    seen = _cut(seeds.select(F.col(seeds.columns[0]).alias("node")).distinct().withColumn("depth", F.lit(0)), "reach")
+    seen = written(seeds.select(F.col(seeds.columns[0]).alias("node")).distinct().withColumn("depth", F.lit(0)), "reach")
     front, parts = seen, [seen]
     for d in range(1, depth + 1):
         nxt = front.join(edges, front.node == edges[a]).select(F.col(b).alias("node")).distinct()
         nxt = nxt.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(d))
-        front = _cut(nxt, "reach")
+        front = written(nxt, "reach")
         if front.isEmpty():
             break
         parts.append(front)
@@ -79,13 +79,13 @@ def degrees(*edges: DataFrame) -> DataFrame:
 
 def ancestors(parent: DataFrame, depth: int | None = None) -> DataFrame:
     """child, ancestor, depth: the closure of a child-parent table, whole without ``depth``; a cycle ends where a pair comes again."""
-    parent = _cut(parent.select("child", "parent").distinct(), "parents")
+    parent = written(parent.select("child", "parent").distinct(), "parents")
     now = parent.selectExpr("child", "parent AS ancestor", "1 AS depth")
     every, d = now, 1
     while depth is None or d < depth:
         d += 1
         nxt = now.join(parent.selectExpr("child AS ancestor", "parent AS up"), "ancestor").selectExpr("child", "up AS ancestor", f"{d} AS depth").distinct()
-        nxt = _cut(nxt.join(every, ["child", "ancestor"], "left_anti"), "ancestors")
+        nxt = written(nxt.join(every, ["child", "ancestor"], "left_anti"), "ancestors")
         if nxt.isEmpty():
             break
         now, every = nxt, every.union(nxt)
@@ -101,18 +101,18 @@ def call_chain(calls: DataFrame, start: str, depth: int = 3, per_node: int = 25,
     from ..functions.text import last_segments
 
     spark = calls.sparkSession
-    calls = _cut(calls.select("caller", "callee", "file", "line", "confidence", "tier_rank"), "calls")
-    names = _cut(calls.select("caller").distinct(), "callers")
+    calls = written(calls.select("caller", "callee", "file", "line", "confidence", "tier_rank"), "calls")
+    names = written(calls.select("caller").distinct(), "callers")
     seen = now = spark.createDataFrame([(start,)], "name string")
     out = None
     for level in range(1, depth + 1):
         # names are few (at most limit * per_node a level); callers meet them by substring
         met = names.join(F.broadcast(now), F.contains(F.lower("caller"), F.lower("name"))).select("caller", "name")
         found = top_per_key(met.join(calls, "caller"), ["name"], [F.col("tier_rank"), F.desc("confidence"), F.col("line"), F.col("file"), F.col("caller"), F.col("callee")], per_node)
-        found = _cut(found.select(F.lit(level).alias("level"), "name", "rn", "caller", "callee", "file", "line", "confidence").orderBy("name", "rn").limit(limit), "chain")
+        found = written(found.select(F.lit(level).alias("level"), "name", "rn", "caller", "callee", "file", "line", "confidence").orderBy("name", "rn").limit(limit), "chain")
         out = found if out is None else out.union(found)
         nxt = found.select(last_segments(F.col("callee")).alias("name")).distinct().join(seen, "name", "left_anti")
-        now = _cut(nxt, "names")
+        now = written(nxt, "names")
         if now.isEmpty():
             break
         seen = seen.union(now)

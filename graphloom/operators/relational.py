@@ -56,16 +56,34 @@ def unique_match(names: DataFrame, key: str, value: str) -> DataFrame:
     return names.groupBy(key).agg(F.count(F.lit(1)).alias("c"), F.min(value).alias(value)).filter("c = 1").drop("c")
 
 
+#: Lines of a bucket: a span is in as many buckets as it touches, a point in one.
+BUCKET = 64
+
+
 def containing(points: DataFrame, spans: DataFrame, file: str = "file", at: str = "at", kinds: tuple[str, ...] = ("method", "field", "class", "interface", "enum")) -> DataFrame:
     """For each point (file, at) the span that holds it: by kind, then the smallest, then the latest; where none does,
-    the span nearest to it.  Both in one join on the file."""
-    holds = (F.col("line") <= F.col(at)) & (F.coalesce("end_line", "line") >= F.col(at))
-    order = [
-        F.when(holds, 0).otherwise(1), F.when(holds, rank_of("kind", kinds)).otherwise(0), F.when(holds, F.coalesce("end_line", "line") - F.col("line")).otherwise(F.abs(F.col("line") - F.col(at))),
-        F.when(holds, -F.col("line")).otherwise(F.col("line")), F.col("fq_name"),
-    ]
-    found = points.join(spans, file).withColumn("how", F.when(holds, "containing").otherwise("nearest"))
-    return top_per_key(found, [file, at], order, 1).select(file, at, "fq_name", "kind", "how")
+    the span nearest to it.
+
+    Spans and points meet by file and bucket of lines, so that a large file makes no product of its points and spans.  What is
+    left over finds its neighbours in one pass over the file's span starts.
+    """
+    points = points.select(file, at).distinct()
+    spans = spans.select(file, "fq_name", "kind", "line", F.coalesce("end_line", "line").alias("end_line"))
+    bucket = lambda c: F.floor(F.col(c) / BUCKET)
+    dealt = spans.filter("end_line >= line").withColumn("_b", F.explode(F.sequence(bucket("line"), bucket("end_line"))))
+    met = points.withColumn("_b", bucket(at)).join(dealt, [file, "_b"]).filter((F.col("line") <= F.col(at)) & (F.col("end_line") >= F.col(at)))
+    best = F.min(F.struct(rank_of("kind", kinds).alias("r"), (F.col("end_line") - F.col("line")).alias("w"), (-F.col("line")).alias("l"), "fq_name", "kind")).alias("m")
+    inside = met.groupBy(file, at).agg(best).select(file, at, "m.fq_name", "m.kind", F.lit("containing").alias("how"))
+    left = points.join(inside, [file, at], "left_anti")
+    starts = spans.groupBy(file, "line").agg(F.min(F.struct("fq_name", "kind")).alias("s"))
+    marks = starts.select(file, F.col("line").alias("_at"), F.lit(0).alias("_p"), F.struct("line", "s.fq_name", "s.kind").alias("_s"))
+    marks = marks.union(left.select(file, F.col(at).alias("_at"), F.lit(1), F.lit(None).cast(marks.schema["_s"].dataType)))
+    w = W.partitionBy(file).orderBy("_at", "_p")
+    marks = marks.withColumn("_before", F.last("_s", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("_after", F.first("_s", ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing)))
+    gap = lambda c: F.abs(F.col(f"{c}.line") - F.col("_at"))
+    near = F.when(F.col("_after").isNull() | (gap("_before") <= gap("_after")), F.col("_before")).otherwise(F.col("_after"))
+    found = marks.filter("_p = 1").withColumn("n", near).filter("n IS NOT NULL")
+    return inside.union(found.select(file, F.col("_at").alias(at), "n.fq_name", "n.kind", F.lit("nearest").alias("how")))
 
 
 def longest_prefix(paths: DataFrame, roots: DataFrame, path: str = "path", root: str = "root") -> DataFrame:
@@ -124,20 +142,29 @@ def line_set_members(texts: DataFrame, key: str, text: str) -> DataFrame:
     return sets.join(classes, "h").select(key, "representative", F.col("n").alias("n_lines"), "class_size")
 
 
-def shared_lines(texts: DataFrame, key: str, text: str, least: int = 4, ratio: float = 0.6, max_docs: int | None = None) -> DataFrame:
+def shared_lines(texts: DataFrame, key: str, text: str, least: int = 4, ratio: float = 0.6) -> DataFrame:
     """a, b, shared, ratio: pairs whose non-trivial trimmed lines (8 characters or more, not only brackets) overlap.
 
     Equal line sets are compared once, through their smallest key (``line_set_members`` tells whose it is); the
-    denominator is the smaller set.
+    denominator is the smaller set.  Two sets that share enough share a line among the rarest of the smaller one and one
+    among all but the ``least`` - 1 commonest of the larger one, so only those meet; what meets is counted on whole sets.
     """
     lines = _lines(texts, key, text)
-    sizes = _line_sets(lines, key)
-    reps = sizes.groupBy("h").agg(F.min(key).alias(key), F.first("n").alias("n")).select(key, "n")
-    lines = lines.join(reps, key)
-    a = lines.select(F.col(key).alias("a"), F.col("n").alias("na"), "line")
-    b = lines.select(F.col(key).alias("b"), F.col("n").alias("nb"), "line")
-    shared = a.join(b, "line").filter("a < b").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared"))
-    share = F.col("shared") / F.least("na", "nb")
+    sets = lines.groupBy(key).agg(F.sort_array(F.collect_list(F.xxhash64("line"))).alias("h"))
+    reps = sets.groupBy("h").agg(F.min(key).alias(key)).select(key, "h", F.size("h").alias("n")).filter(F.col("n") >= least)
+    rows = reps.select(key, "n", F.explode("h").alias("line"))
+    often = rows.groupBy("line").agg(F.count(F.lit(1)).alias("df"))
+    ordered = rows.join(often.filter("df > 1"), "line").groupBy(key, "n").agg(F.sort_array(F.collect_list(F.struct("df", "line"))).alias("own"))  # a line of one set leads to none
+    # the lines left out by df are rare ones: the prefix counts them as its first
+    alone = F.col("n") - F.size("own")
+    need = F.greatest(F.lit(least), F.ceil(F.col("n") * ratio - 1e-9).cast("int"))
+    small = ordered.select(F.col(key).alias("a"), F.col("n").alias("na"), F.explode(F.slice("own", F.lit(1), F.greatest(F.col("n") - need + 1 - alone, F.lit(0)))["line"]).alias("line"))
+    large = ordered.select(F.col(key).alias("b"), F.col("n").alias("nb"), F.explode(F.slice("own", F.lit(1), F.greatest(F.col("n") - least + 1 - alone, F.lit(0)))["line"]).alias("line"))
+    met = small.join(large, "line").filter("na < nb OR na = nb AND a < b").select("a", "b").distinct()
+    whole = lambda end: reps.select(F.col(key).alias(end), F.col("h").alias(f"h{end}"))
+    both = met.join(whole("a"), "a").join(whole("b"), "b")
+    shared = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.size(F.array_intersect("ha", "hb")).cast("bigint").alias("shared"), F.least(F.size("ha"), F.size("hb")).alias("n"))
+    share = F.col("shared") / F.col("n")
     return shared.filter((F.col("shared") >= least) & (share >= ratio)).select("a", "b", "shared", F.round(share, 6).alias("ratio"))
 
 

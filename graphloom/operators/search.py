@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .graph import written
+
 K1, B = 1.2, 0.75
 
 
@@ -15,20 +17,26 @@ def query_terms(text: str, most: int = 12) -> list[str]:
     return list(dict.fromkeys(t for t in re.findall("[a-z0-9]+", text.lower()) if len(t) >= 3))[:most]
 
 
-def _starting(prefix: str):
-    return lambda w: w.startswith(prefix)
+def phrase_counts(docs: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:
+    """key, len, tf0, tf1, ...: a document's words and how many begin with each term.
+
+    Words are laid one space apart; a word that begins with a term is then the term behind a space, and counting is one
+    replacement and two lengths, all of it compiled.
+    """
+    spaced = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")))
+    n = lambda t: ((F.length("s") - F.length(F.replace(F.col("s"), F.lit(t), F.lit("")))) / len(t)).cast("int")
+    rows = docs.select(key, spaced.alias("s"))
+    return rows.select(key, F.when(F.col("s") == " ", 0).otherwise(n(" ")).alias("len"), *(n(f" {t}").alias(f"tf{k}") for k, t in enumerate(terms)))
 
 
 def bm25(docs: DataFrame, key: str, text: str, query: str) -> DataFrame:
     """key, score: sum over the query's prefixes of idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean length)).
 
-    A prefix is one phrase: its tf counts all words that start with it.  One pass makes each document's length and
-    tf by phrase; only rows with a hit go on.  idf is floored at 1e-6.
+    A prefix is one phrase: its tf counts all words that start with it.  Texts are read once: their counts are written,
+    and both the statistics and the scores come from those.  idf is floored at 1e-6.
     """
     terms = query_terms(query)
-    words = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
-    tf = [F.size(F.filter("w", _starting(t))).alias(f"tf{k}") for k, t in enumerate(terms)]
-    rows = docs.select(key, words.alias("w")).select(key, F.size("w").alias("len"), *tf)
+    rows = written(phrase_counts(docs, key, text, terms), "counts")
     stats = rows.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(terms))])
     score: Column = F.lit(0.0)
     hit: Column = F.lit(False)
@@ -69,3 +77,39 @@ def keyword_search(rows: DataFrame, key: str, text: str, query: str) -> DataFram
     score = sum((F.col(f"h{k}") * (1 + F.log(F.col("n_rows") / F.greatest(F.col(f"d{k}"), F.lit(1)))) for k in range(len(stems))), F.lit(0.0))
     hits = sum((F.col(f"h{k}") for k in range(len(stems))), F.lit(0))
     return flags.join(F.broadcast(stats)).select(key, hits.alias("hits"), score.alias("score")).filter("hits > 0")
+
+
+def relevant_tests(files: DataFrame, symbols: DataFrame, calls: DataFrame, terms: dict[str, list[str]]) -> DataFrame:
+    """file, score: test files (role) by 4 points for a path, 3 for a symbol and 6 for a call that names a term; ``terms`` has the exact
+    names of calls for each term."""
+    test = F.col("role").isin("test_source", "mock_source")
+    low = lambda c: F.lower(F.col(c))
+    points = lambda hits: sum((F.when(h, n).otherwise(0) for h, n in hits), F.lit(0))
+    f = files.filter(test).select(F.col("path").alias("file"), points((low("path").contains(t.lower()), 4) for t in terms).alias("n"))
+    names = [F.max(low("name").contains(t.lower()) | low("fq_name").contains(t.lower())).alias(f"t{k}") for k, t in enumerate(terms)]
+    s = symbols.filter(test).groupBy("file").agg(*names).select("file", points((F.col(f"t{k}"), 3) for k in range(len(terms))).alias("n"))
+    named = [F.max(F.col("caller").isin(*exact) | F.col("callee").isin(*exact)).alias(f"t{k}") for k, exact in enumerate(terms.values())]
+    c = calls.filter(test).groupBy("file").agg(*named).select("file", points((F.col(f"t{k}"), 6) for k in range(len(terms))).alias("n"))
+    return f.union(s).union(c).groupBy("file").agg(F.sum("n").alias("score")).filter("score > 0").orderBy(F.desc("score"), "file")
+
+
+def term_artifact(docs: DataFrame, key: str, text: str, most: int = 160) -> DataFrame:
+    """key, term, weight: the ``most`` frequent words of three letters or more of each document: what is left to search by when there
+    is no index."""
+    from .relational import top_per_key
+
+    words = docs.select(key, F.explode(F.split(F.lower(text), "[^a-z0-9]+")).alias("term")).filter(F.length("term") >= 3)
+    return top_per_key(words.groupBy(key, "term").agg(F.count(F.lit(1)).alias("weight")), [key], [F.desc("weight"), F.col("term")], most).drop("rn")
+
+
+def artifact_ranking(docs: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:
+    """key, score, matched: documents by the weights of the terms in their artifact."""
+    hits = term_artifact(docs, key, text).filter(F.col("term").isin(*terms))
+    return hits.groupBy(key).agg(F.sum("weight").alias("score"), F.array_join(F.sort_array(F.collect_list("term")), " ").alias("matched"))
+
+
+def live_scan(docs: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:
+    """key, hits, first_line: a scan of the lines themselves, a hit for each term that a line holds."""
+    lines = docs.select(key, F.posexplode(F.split(text, "\n")).alias("k", "l"))
+    n = sum((F.contains(F.lower("l"), F.lit(t)).cast("int") for t in terms), F.lit(0))
+    return lines.select(key, "k", n.alias("n")).filter("n > 0").groupBy(key).agg(F.sum("n").alias("hits"), (F.min("k") + 1).cast("bigint").alias("first_line"))

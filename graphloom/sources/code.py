@@ -150,6 +150,15 @@ def diff_hunks(diffs: DataFrame, text: str = "diff") -> DataFrame:
     return body.drop("d")
 
 
+def diff_blocks(diffs: DataFrame, text: str = "diff") -> DataFrame:
+    """file, added, removed, block: a row for each file's block of a unified diff (what follows a ``diff --git`` line)."""
+    parts = F.filter(F.split(text, r"(?:^|\n)diff --git "), lambda x: x != "")
+    rows = diffs.select(F.explode(parts).alias("block"))
+    lines = F.split("block", "\n")
+    n = lambda sign, head: F.size(F.filter(lines, lambda l: l.startswith(sign) & ~l.startswith(head)))
+    return rows.select(F.regexp_extract("block", r"\n\+\+\+ (?:b/)?(\S+)", 1).alias("file"), n("+", "+++ ").alias("added"), n("-", "--- ").alias("removed"), "block")
+
+
 def json_log(spark: SparkSession, path: str) -> DataFrame:
     """ts, tool, session, duration_ms, bad: JSON lines; blank lines are skipped, broken ones marked."""
     lines = spark.read.text(path).filter(F.trim("value") != "")

@@ -22,9 +22,10 @@ def changed_paths(stream: DataFrame, act: Callable[[DataFrame, int], None], ever
 
 
 def ledger(stream: DataFrame, ttl: str = "1 day") -> DataFrame:
-    """session, key, reused: whether the session had the key before, in its current snapshot.
+    """session, key, reused: whether the session had the key before, in the snapshot it is in now.
 
-    State is a set of keys a session, dropped when its snapshot changes or after ``ttl`` without rows.
+    State is one snapshot id for each session and key, so a batch reads and writes only the keys that it has; it goes
+    after ``ttl`` without rows.  Snapshots follow one another: one that has been left does not come back.
     """
     ms = int(pd.Timedelta(ttl).total_seconds() * 1000)
 
@@ -32,17 +33,13 @@ def ledger(stream: DataFrame, ttl: str = "1 day") -> DataFrame:
         if state.hasTimedOut:
             state.remove()
             return
-        snapshot, seen = state.get if state.exists else (None, [])
-        have = set(seen)
+        last = state.get[0] if state.exists else None
         for pdf in pdfs:
-            out = []
-            for snap, k in zip(pdf["snapshot"], pdf["key"]):
-                if snap != snapshot:
-                    snapshot, have = snap, set()
-                out.append((key[0], k, k in have))
-                have.add(k)
-            yield pd.DataFrame(out, columns=["session", "key", "reused"])
-        state.update((snapshot, sorted(have)))
+            now = pdf["snapshot"].tolist()
+            before = [last, *now[:-1]]
+            last = now[-1] if now else last
+            yield pd.DataFrame({"session": key[0], "key": key[1], "reused": [a == b for a, b in zip(before, now)]})
+        state.update((last,))
         state.setTimeoutDuration(ms)
 
-    return stream.groupBy("session").applyInPandasWithState(run, "session string, key string, reused boolean", "snapshot string, seen array<string>", "append", "ProcessingTimeTimeout")
+    return stream.groupBy("session", "key").applyInPandasWithState(run, "session string, key string, reused boolean", "snapshot string", "append", "ProcessingTimeTimeout")
