@@ -20,7 +20,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, lean, rows_per_group, stage
-from .hashed import Texts, mix
+from .hashed import Texts, groups, mix
 
 ALPHA, ORDER = 0.4, 2
 BLOCK_BYTES, TABLE_NGRAMS = 6 << 20, 3_000_000
@@ -43,11 +42,9 @@ def _blocks(block_bytes: int):
 
         def flush() -> pa.RecordBatch:
             nonlocal ids, texts, held, k
-            t = Texts(texts, lower=True)
             body = struct.pack(f"<{len(texts)}q", *map(len, texts)) + b"".join(texts)
             raw = zstandard.ZstdCompressor(level=3).compress(body)
-            s, _, h = t.words()
-            out = pa.RecordBatch.from_arrays([pa.array([part << 32 | k], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([len(h)], pa.int64()), pa.array([raw], pa.binary())], names=["block", "ids", "n_words", "body"])
+            out = pa.RecordBatch.from_arrays([pa.array([part << 32 | k], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([len(words_of(texts)[0])], pa.int64()), pa.array([raw], pa.binary())], names=["block", "ids", "n_words", "body"])
             ids, texts, held, k = [], [], 0, k + 1
             return out
 
@@ -75,14 +72,27 @@ def _texts(ids: list[int], body: bytes) -> list[bytes]:
     return out
 
 
+def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the texts' words one after another, and where each text's begin and end; about 1 MB of text is worked on at a time."""
+    hashes, first, last, n = [np.zeros(0, np.uint64)], [], [], 0
+    for a, b in groups(texts):
+        t = Texts(texts[a:b], lower=True)
+        s, _, h = t.words()
+        x, y = t.spans(s)
+        hashes.append(h)
+        first.append(x + n)
+        last.append(y + n)
+        n += len(h)
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(hashes), np.concatenate(first or none), np.concatenate(last or none)
+
+
 class Block:
     """A block's n-grams: ``keys`` are the distinct hashes; ``at[k]`` indexes them for the (k + 1)-gram that begins at each
     word, and ``real[k]`` tells where the text goes on for so long."""
 
     def __init__(self, texts: list[bytes], order: int):
-        t = Texts(texts, lower=True)
-        s, _, h = t.words()
-        self.first, self.last = t.spans(s)
+        h, self.first, self.last = words_of(texts)
         left = np.repeat(self.last, self.last - self.first) - np.arange(len(h))  # words from here to the text's end
         gram, grams, self.real = h, [mix(h ^ np.uint64(0x5851F42D4C957F2D))], [np.ones(len(h), bool)]
         for k in range(1, order):
@@ -134,14 +144,20 @@ def _requests(tables: int, order: int):
     return run
 
 
-def _add_up(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+def _add_up(key: tuple, group: pa.Table) -> pa.Table:
     """A count table: totals of its n-grams, given back to each block in the block's order."""
-    parts = [_unpack(x) for x in pdf.grams]
-    sizes = [len(k) for k, _ in parts]
-    _, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    total = np.bincount(at, weights=np.concatenate([c for _, c in parts]))[at].astype("<i8")
+    sizes, keys, counts = [], [], []
+    for raw in group.column("grams"):
+        k, c = _unpack(raw.as_buffer())
+        sizes.append(len(k))
+        keys.append(k)
+        counts.append(c)
+    distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+    del keys
+    total = np.bincount(at, weights=np.concatenate(counts), minlength=len(distinct)).astype("<i8")
     ends = np.cumsum(sizes)
-    return pd.DataFrame({"block": pdf.block, "tab": key[0], "totals": [zlib.compress(total[e - n : e].tobytes(), 1) for e, n in zip(ends, sizes)]})
+    packed = [zlib.compress(total[at[e - n : e]].tobytes(), 1) for e, n in zip(ends, sizes)]
+    return pa.table({"block": group.column("block"), "tab": pa.array([key[0].as_py()] * len(group), pa.int32()), "totals": pa.array(packed, pa.binary())})
 
 
 def _own(index: np.ndarray, doc: np.ndarray, n_keys: int) -> np.ndarray:
@@ -187,7 +203,7 @@ def scores(docs: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYTES,
     n_words = blocks.agg(F.sum("n_words")).first()[0] or 0
     tables = rows_per_group(order * n_words, table_ngrams)
     asked = blocks.select("block", "ids", "body").mapInArrow(lean(_requests(tables, order)), "tab int, block long, grams binary")
-    told = stage(asked.groupBy("tab").applyInPandas(_add_up, "block long, tab int, totals binary"), "totals")
+    told = stage(asked.groupBy("tab").applyInArrow(_add_up, "block long, tab int, totals binary"), "totals")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
