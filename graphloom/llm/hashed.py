@@ -60,6 +60,7 @@ class Texts:
         self.start = np.concatenate([[0], np.cumsum(sizes + PAD)[:-1]]).astype(np.int64) if len(texts) else np.zeros(0, np.int64)
         self.end = self.start + sizes
         self._words: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+        self._chars: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
     def grams(self, n: int, bits: int) -> np.ndarray:
         """A feature for each byte place: the n bytes from there (n at most 8)."""
@@ -76,6 +77,24 @@ class Texts:
         x *= np.uint64(_RATIO + 2 * n)
         return (x >> np.uint64(64 - bits)).astype(np.int32)
 
+    def char_grams(self, n: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A feature for each character place (code point): the n characters from there; and each text's places."""
+        if self._chars is None:
+            points = [np.frombuffer(self.raw[a:b].tobytes().decode("utf-8", "replace").encode("utf-32-le"), "<u4") for a, b in zip(self.start.tolist(), self.end.tolist())]
+            sizes = np.fromiter(map(len, points), np.int64, len(points))
+            pad = np.zeros(PAD, np.uint32)
+            flat = np.concatenate([x for p in points for x in (p, pad)] or [pad])
+            first = np.concatenate([[0], np.cumsum(sizes + PAD)[:-1]]).astype(np.int64) if len(points) else np.zeros(0, np.int64)
+            self._chars = flat.astype(np.uint64), first, first + sizes
+        flat, first, last = self._chars
+        m = len(flat) - PAD
+        x = np.full(m, n, np.uint64)
+        for k in range(n):
+            x = x * np.uint64(_RATIO) + flat[k : m + k]
+        x ^= x >> np.uint64(29)
+        x *= _MIX[0]
+        return (x >> np.uint64(64 - bits)).astype(np.int32), first, last
+
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts, ends and 64-bit hashes of the words (runs without white space)."""
         if self._words is None:

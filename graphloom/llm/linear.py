@@ -44,14 +44,14 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, max_byte
 
 
 def vectors(texts: list[bytes], bits: int) -> np.ndarray:
-    """Dense features of whole texts: shares of hashed byte 3- and 4-grams, words and word pairs (4 << bits columns)."""
+    """Dense features of whole texts: shares of hashed character 3- and 4-grams, words and word pairs (4 << bits columns)."""
     size = 1 << bits
     out = np.zeros((len(texts), 4 * size), np.float32)
     for a, b in groups(texts):
         t = Texts(texts[a:b], lower=False)
         s, _, h = t.words()
         wa, wb = t.spans(s)
-        kinds = [(t.grams(3, bits), t.start, t.end), (t.grams(4, bits), t.start, t.end), (fold(h, bits), wa, wb), (fold(pairs(h, s, t), bits), wa, wb)]
+        kinds = [t.char_grams(3, bits), t.char_grams(4, bits), (fold(h, bits), wa, wb), (fold(pairs(h, s, t), bits), wa, wb)]
         for k, (index, x, y) in enumerate(kinds):
             for d in range(b - a):
                 if y[d] > x[d]:
@@ -67,7 +67,7 @@ def linear_scores(texts: list[bytes], weights: np.ndarray, bias: float, bits: in
         t = Texts(texts[a:b], lower=False)
         s, _, h = t.words()
         wa, wb = t.spans(s)
-        for k, index, x, y in ((0, t.grams(3, bits), t.start, t.end), (1, t.grams(4, bits), t.start, t.end), (2, fold(h, bits), wa, wb), (3, fold(pairs(h, s, t), bits), wa, wb)):
+        for k, (index, x, y) in enumerate((t.char_grams(3, bits), t.char_grams(4, bits), (fold(h, bits), wa, wb), (fold(pairs(h, s, t), bits), wa, wb))):
             out[a:b] += sums(w[k][index], x, y) / np.maximum(y - x, 1)
     return out
 

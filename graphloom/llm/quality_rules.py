@@ -1,6 +1,6 @@
 """Operator 3: rules on counts, then a calibrated hashed n-gram classifier against a fixed threshold.
 
-The classifier is a logistic regression on shares of hashed byte 3-grams, byte 4-grams, words and word pairs of the
+The classifier is a logistic regression on shares of hashed character 3- and 4-grams, words and word pairs of the
 whole text, fitted on a bounded sample of labelled rows (``MAX_FIT`` a class, texts of up to ``MAX_FIT_BYTES``),
 its probability calibrated by Platt's method on the fifth of the sample that fitting leaves out.
 """

@@ -20,6 +20,17 @@ from .common import rows_per_group, stage
 CELL_ROWS = 2_500
 
 
+def _earlier(count: DataFrame, *by: str, chunk: int = 4096) -> DataFrame:
+    """``count`` (by, cell, c) with ``earlier``: the rows in earlier cells.  Sums of ``chunk`` cells are ordered first, then the
+    cells of each chunk, so that no task orders all cells."""
+    before = lambda order, *keys: W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    count = count.withColumn("chunk", F.floor(F.col("cell") / chunk))
+    sums = count.groupBy(*by, "chunk").agg(F.sum("c").alias("t"))
+    sums = sums.select(*by, "chunk", F.coalesce(F.sum("t").over(before("chunk", *by)), F.lit(0)).alias("base"))
+    inside = F.coalesce(F.sum("c").over(before("cell", *by, "chunk")), F.lit(0))
+    return count.join(sums, [*by, "chunk"]).withColumn("earlier", F.col("base") + inside).drop("base", "chunk")
+
+
 def interleave(docs: DataFrame, n_shards: int = 8, seed: str = "mix", cell_rows: int = CELL_ROWS) -> DataFrame:
     """doc_id, source, size, text_crc32, law, shard, slot, grown_shard.
 
@@ -36,13 +47,8 @@ def interleave(docs: DataFrame, n_shards: int = 8, seed: str = "mix", cell_rows:
     )
     cells = rows_per_group(n, cell_rows)
     base = base.withColumn("cell", F.expr(f"cast(floor(conv(substring(mixed, 1, 8), 16, 10) * {cells}D / 4294967296D) as int)"))
-    before = W.partitionBy("source").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
     count = base.groupBy("source", "cell").agg(F.count(F.lit(1)).alias("c"))
-    count = count.select(
-        "source", "cell",
-        F.coalesce(F.sum("c").over(before), F.lit(0)).alias("earlier"),
-        F.sum("c").over(W.partitionBy("source")).alias("n_source"),
-    )
+    count = _earlier(count, "source").join(count.groupBy("source").agg(F.sum("c").alias("n_source")), "source").drop("c")
     rank = F.row_number().over(W.partitionBy("source", "cell").orderBy("mixed", "doc_id")) - 1
     ranked = base.withColumn("r", rank).join(count, ["source", "cell"])
     ranked = ranked.select(
@@ -50,9 +56,7 @@ def interleave(docs: DataFrame, n_shards: int = 8, seed: str = "mix", cell_rows:
         ((2 * (F.col("r") + F.col("earlier")) + 1) / (2 * F.col("n_source"))).alias("part"),
     )
     ranked = stage(ranked.withColumn("cell", F.floor(F.col("part") * cells).cast("int")), "shard-rank")
-    before = W.orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
-    count = ranked.groupBy("cell").agg(F.count(F.lit(1)).alias("c"))
-    count = count.select("cell", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("earlier"))  # one row a cell
+    count = _earlier(ranked.groupBy("cell").agg(F.count(F.lit(1)).alias("c"))).drop("c")
     rank = F.row_number().over(W.partitionBy("cell").orderBy("part", "mixed", "doc_id")) - 1
     placed = ranked.withColumn("r", rank).join(count, "cell").withColumn("g", F.col("r") + F.col("earlier"))
     shard = F.expr(f"cast(g * {n_shards} div {max(n, 1)} as int)")
