@@ -92,7 +92,8 @@ def jn04_module_call_edges(spark, sf_dir):
  LEFT JOIN (SELECT substr(callee,2)::BIGINT AS id, count(*) AS n FROM calls WHERE tier <> 'low_signal' GROUP BY 1) c USING (id)"""))
 def jn03_hotspots(spark, sf_dir):
     d, n = dependencies(spark, sf_dir), F.count(F.lit(1))
-    out = symbols(spark, sf_dir).select("id").join(d.groupBy(F.col("b").alias("id")).agg(n.alias("n_in")), "id", "left").join(d.groupBy(F.col("a").alias("id")).agg(n.alias("n_out")), "id", "left")
+    ends = d.select(F.explode(F.array(F.struct(F.col("b").alias("id"), F.lit(1).alias("i")), F.struct(F.col("a").alias("id"), F.lit(0).alias("i")))).alias("x")).select("x.*")
+    out = symbols(spark, sf_dir).select("id").join(ends.groupBy("id").agg(F.sum("i").alias("n_in"), (n - F.sum("i")).alias("n_out")), "id", "left")
     c = R.visible_calls(calls(spark, sf_dir)).groupBy(F.expr("cast(substring(callee, 2) AS bigint)").alias("id")).agg(n.alias("n_calls"))
     out = out.join(c, "id", "left").fillna(0)
     return out.withColumn("risk", F.expr("3 * n_in + 2 * n_out + 2 * n_calls"))
