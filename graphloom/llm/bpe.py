@@ -3,7 +3,7 @@
 A pre-token's bytes are symbols; a segment tree's leaves hold the merge rank of each adjacent pair with its place.
 The root is the leftmost pair of the lowest rank; a merge changes three leaves, each a logarithmic update, and the
 work ends when the root says that no pair merges.  A pre-token of n bytes costs O(n log n) however long it is.
-Pre-tokens and white-space pieces that came before are looked up (bounded caches).  Short new pre-tokens of a batch
+Pieces of texts that came before are looked up (a bounded cache).  Short new pre-tokens of a batch
 are merged together: their trees are rows of one numpy array for each tree size, and a step takes every row's root.
 """
 
@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -21,11 +20,10 @@ import regex
 from pyspark.sql import DataFrame
 
 from .common import documents, lean
+from .encode import PieceCache, runs
 
 #: Unicode White_Space, as the pre-tokenizers' ``\s`` has it (fixed values).
 WHITE = "\\t\\n\\v\\f\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: Pieces that no pre-token crosses: white space and the characters after it, letters cut from following punctuation.
-PIECE = re.compile(rf"[{WHITE}]*+[^\W\d_]++(?=[.,;:!?])|[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 #: The byte-level pre-tokenizer's pattern with its white space spelled out (fixed values).
 PRETOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 
@@ -48,9 +46,9 @@ def byte_letters() -> dict[str, int]:
 
 
 class Codec:
-    """``max_known`` and ``max_known_chars`` bound the caches' memory, never the work."""
+    """``max_known`` bounds the cache of pieces, never the work."""
 
-    def __init__(self, path: str, max_known: int = 600_000, max_known_chars: int = 64):
+    def __init__(self, path: str, max_known: int = 500_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters = byte_letters()
@@ -75,9 +73,9 @@ class Codec:
         self.merge_ids = np.array([self.merges[k][1] for k in keys], np.int64)
         self.byte_table = np.array(self.byte_ids, np.int64)
         self.pattern = regex.compile(PRETOKEN)
-        self.max_known, self.max_known_chars = max_known, max_known_chars
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self.pretokens: dict[str, tuple[int, ...]] = {}
+        self.cache = _Pieces(self, size, max_known)
+        self.token_flat, self.token_at, self.token_size = _flat(self.token_bytes)
+        self.decimal_flat, self.decimal_at, self.decimal_size = _flat([f"{x},".encode() for x in self.decimal])
 
     def merge(self, raw: bytes) -> tuple[int, ...]:
         """Ids of one pre-token."""
@@ -191,24 +189,21 @@ class Codec:
         out = ids[keep].tolist()
         return [tuple(out[a:b]) for a, b in zip([0, *ends], ends)]
 
-    def _learn(self, fresh: list[str]) -> dict[str, tuple[int, ...]]:
-        """Ids of new pieces; those short enough are kept."""
-        if len(self.pieces) + len(fresh) > self.max_known:
-            self.pieces.clear()
-        parts, lacking = [], set()
-        for piece in fresh:
-            if self.special_split and self.special_split.search(piece):
-                tokens = []
-                for part in self.special_split.split(piece):
-                    tokens.extend([self.special[part]] if part in self.special else self.pattern.findall(part))
+    def learn(self, pieces: list[str]) -> list[tuple[int, ...]]:
+        """Ids of each piece: its pre-tokens merged, special tokens as they are."""
+        parts: list[tuple] = []
+        lacking: set[str] = set()
+        for piece in pieces:
+            bare = piece[1:] if piece[0] == " " else piece
+            if bare.isalpha() and max(bare) < "\u0100":  # a word is one pre-token
+                tokens = (piece,)
+            elif self.special_split and self.special_split.search(piece):
+                tokens = tuple(x for part in self.special_split.split(piece) for x in ([self.special[part]] if part in self.special else self.pattern.findall(part)))
             else:
-                tokens = self.pattern.findall(piece)
+                tokens = tuple(self.pattern.findall(piece))
             lacking.update(t for t in tokens if isinstance(t, str))
             parts.append(tokens)
-        if len(self.pretokens) + len(lacking) > self.max_known:
-            self.pretokens.clear()
-        lacking.difference_update(self.pretokens)
-        made: dict[str, tuple[int, ...]] = {}
+        made: dict[str | int, tuple[int, ...]] = {i: (i,) for i in self.special.values()}
         classes: dict[int, list[str]] = {}
         for t in lacking:
             n = len(t.encode())
@@ -220,36 +215,11 @@ class Codec:
             for k in range(0, len(own), 8192):
                 some = own[k : k + 8192]
                 made.update(zip(some, self._merge_rows([t.encode() for t in some], leaves)))
-        kept, out = self.pretokens, {}
-        for piece, tokens in zip(fresh, parts):
-            ids: list[int] = []
-            for t in tokens:
-                if isinstance(t, int):
-                    ids.append(t)
-                else:
-                    ids.extend(made[t] if t in made else kept[t])
-            out[piece] = tuple(ids)
-        kept.update((t, x) for t, x in made.items() if len(t) <= self.max_known_chars)
-        self.pieces.update((p, x) for p, x in out.items() if len(p) <= self.max_known_chars)
-        return out
+        return [made[p[0]] if len(p) == 1 else tuple(chain.from_iterable(map(made.__getitem__, p))) for p in parts]
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
         """Ids of whole texts."""
-        split = [PIECE.findall(t) for t in texts]
-        fresh: set[str] = set()
-        for pieces in split:
-            fresh.update(pieces)
-        if len(self.pieces) + len(fresh) > self.max_known:
-            self.pieces.clear()
-        fresh.difference_update(self.pieces)
-        passing = self._learn(list(fresh)) if fresh else {}
-        known = self.pieces
-        brief = [p for p in passing if p not in known]  # in the cache for this batch only
-        known.update((p, passing[p]) for p in brief)
-        out = [list(chain.from_iterable(map(known.__getitem__, pieces))) for pieces in split]
-        for p in brief:
-            del known[p]
-        return out
+        return [np.frombuffer(x, "<u4").tolist() for x in self.cache.encode(texts)]
 
     def encode(self, text: str) -> list[int]:
         return self.encode_batch([text])[0]
@@ -258,6 +228,25 @@ class Codec:
         return b"".join(map(self.token_bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
+def _flat(items: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte strings one after another, where each begins, and their sizes."""
+    sizes = np.fromiter(map(len, items), np.int64, len(items))
+    return np.frombuffer(b"".join(items), np.uint8), np.cumsum(sizes) - sizes, sizes
+
+
+class _Pieces(PieceCache):
+    """Pieces' ids by the segment trees of a codec."""
+
+    def __init__(self, owner: Codec, n_ids: int, max_pieces: int):
+        self.owner = owner
+        super().__init__(n_ids, max_pieces, 64)
+
+    def _learn(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = self.owner.learn([p.decode() for p in pieces])
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(counts.sum())), counts
+
+
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -266,6 +255,14 @@ def encoded(c: Codec, batch: pa.RecordBatch, most: int = 256) -> Iterator[list[i
         yield from c.encode_batch(batch.column("text").slice(k, most).to_pylist())
 
 
+def _joined(ids: np.ndarray, edges: np.ndarray, flat: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> Iterator[bytes]:
+    """For each text, the byte strings of its ids one after another."""
+    n = sizes[ids]
+    raw = flat[runs(at[ids], n)].tobytes()
+    ends = np.concatenate([[0], np.cumsum(n)])[edges].tolist()
+    return (raw[a:b] for a, b in zip(ends, ends[1:]))
+
+
 def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, n_tokens and the sha256 of the ids and of the text decoded from them.
 
@@ -276,12 +273,14 @@ def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(tokenizer)
         for batch in batches:
-            n, a, b = [], [], []
-            for ids in encoded(c, batch):
-                n.append(len(ids))
-                a.append(hashlib.sha256(",".join(map(c.decimal.__getitem__, ids)).encode()).hexdigest())
-                b.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], schema=schema)
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
+                ids, counts = c.cache.encode_column(part.column("text"))
+                edges = np.concatenate([[0], np.cumsum(counts)])
+                numbers, texts = (_joined(ids, edges, *x) for x in ((c.decimal_flat, c.decimal_at, c.decimal_size), (c.token_flat, c.token_at, c.token_size)))
+                a = [hashlib.sha256(x[:-1]).hexdigest() for x in numbers]  # the last id has no comma
+                b = [hashlib.sha256(x.decode("utf-8", "replace").encode()).hexdigest() for x in texts]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts), pa.array(a, pa.string()), pa.array(b, pa.string())], schema=schema)
 
     return documents(docs).mapInArrow(lean(run), DIGESTS)
 

@@ -92,30 +92,26 @@ class _Grown:
         self.n = n
 
 
-def _runs(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+def runs(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The places start, start + 1, ... (n of them) of each run, one run after another."""
     n = n.astype(np.int64)
     ends = np.cumsum(n)
     return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start.astype(np.int64) - (ends - n), n)
 
 
-class PieceEncoder:
-    """``max_pieces`` and ``max_piece_bytes`` bound the cache's memory, never the work."""
+class PieceCache:
+    """Ids of texts from ids of their pieces, each learnt once by ``_learn``; ``max_pieces`` and ``max_piece_bytes`` bound the
+    memory, never the work.  Ids are below ``n_ids``."""
 
-    def __init__(self, path: str, max_pieces: int = 500_000, max_piece_bytes: int = 64):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+    def __init__(self, n_ids: int, max_pieces: int, max_piece_bytes: int):
         self.max_pieces, self.max_piece_bytes = max_pieces, max_piece_bytes
-        ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
-        self.drops_space, self.lowers = ids("a ") == ids("a"), ids("A") == ids("a")
-        self.words = Tokenizer(self.tokenizer.model)
-        mark = _ALPHABET["\n"]
-        self.words.pre_tokenizer = pre_tokenizers.Split(mark, "isolated")
-        self.mark_id = self.words.encode(mark).ids
-        self.kind = np.uint16 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
+        self.kind = np.uint16 if n_ids <= 1 << 16 else np.uint32
         self._reset()
 
+    def _learn(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, one after another, and how many each has."""
+        raise NotImplementedError
+
     def _reset(self) -> None:
         self.arena, self.pos, self.length = _Grown(np.uint8), _Grown(np.uint32), _Grown(np.uint16)
         self.flat, self.off, self.count = _Grown(self.kind), _Grown(np.int64), _Grown(np.uint32)
@@ -144,7 +140,7 @@ class PieceEncoder:
                 self._reset()
             else:
                 pos, length, off, count, hashes = (x.data[keep] for x in (self.pos, self.length, self.off, self.count, self.hash))
-                arena, flat = self.arena.data[_runs(pos, length)], self.flat.data[_runs(off, count)]
+                arena, flat = self.arena.data[runs(pos, length)], self.flat.data[runs(off, count)]
                 self._reset()
                 self._append(arena, length, flat, count, hashes)
         while 2 * (self.hash.n + more) > len(self.slots):
@@ -199,35 +195,6 @@ class PieceEncoder:
             here = here[(size > 8 * k) & ~wrong & (e >= 0)]
         return found
 
-    def _learn(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of pieces by the library, one after another, and how many each has."""
-        out: list[np.ndarray | None] = [None] * len(pieces)
-        words, other = [], []
-        for k, p in enumerate(pieces):
-            t = p.decode()
-            bare = t[1:] if t[0] == " " else t
-            if bare.isalpha() and max(bare) < "Ā" and len(bare) < 256:
-                words.append((k, (bare if self.drops_space else t).lower() if self.lowers else t))
-            else:
-                other.append((k, t))
-        for first in range(0, len(words), 2048):
-            part = words[first : first + 2048]
-            text = "\n".join([t for _, t in part]).encode().decode("latin-1").translate(_TO_ALPHABET)
-            ids = np.array(self.words.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.append(np.flatnonzero(ids == self.mark_id[0]), len(ids)) if len(self.mark_id) == 1 else []
-            if len(ends) != len(part):
-                other += [(k, pieces[k].decode()) for k, _ in part]
-                continue
-            last = 0
-            for (k, _), e in zip(part, ends.tolist()):
-                out[k] = ids[last:e]
-                last = e + 1
-        for first in range(0, len(other), 2048):
-            part = other[first : first + 2048]
-            for (k, _), e in zip(part, self.tokenizer.encode_batch_fast([t for _, t in part], add_special_tokens=False)):
-                out[k] = np.array(e.ids, np.uint32)
-        return np.concatenate(out) if out else np.zeros(0, np.uint32), np.fromiter(map(len, out), np.int64, len(out))
-
     def _entries(self, raw: np.ndarray, s: np.ndarray, n: np.ndarray) -> np.ndarray:
         """The entry of each piece, new ones learnt; entries past ``self.hash.n`` hold for this call only."""
         lanes = _lanes(raw)
@@ -246,7 +213,7 @@ class PieceEncoder:
             one = new[first]
             ids, count = self._learn([raw[a : a + k].tobytes() for a, k in zip(at[one].tolist(), size[one].tolist())])
             kept = self.hash.n
-            self._append(raw[_runs(at[one], size[one])], size[one], ids, count, keys)
+            self._append(raw[runs(at[one], size[one])], size[one], ids, count, keys)
             again = new if kept == before else np.arange(len(rows))  # entries moved when room was made
             found[again] = self._find(lanes, at[again], size[again], h[again])
             if (found == -1).any():  # known before room was made: learn what is needed again
@@ -254,7 +221,7 @@ class PieceEncoder:
                 keys, first = np.unique(h[lost], return_index=True)
                 one = lost[first]
                 ids, count = self._learn([raw[a : a + k].tobytes() for a, k in zip(at[one].tolist(), size[one].tolist())])
-                self._append(raw[_runs(at[one], size[one])], size[one], ids, count, keys)
+                self._append(raw[runs(at[one], size[one])], size[one], ids, count, keys)
                 found[lost] = self._find(lanes, at[lost], size[lost], h[lost])
         entry[rows] = found
         passing = np.flatnonzero(entry < 0)  # too long to keep, or a clash of hashes
@@ -274,7 +241,7 @@ class PieceEncoder:
         s = piece_starts(body, starts)
         entry = self._entries(raw, s, np.diff(s, append=len(body)))
         count = self.count.data[entry].astype(np.int64)
-        ids = self.flat.data[_runs(self.off.data[entry], count)].astype(np.uint32)
+        ids = self.flat.data[runs(self.off.data[entry], count)].astype(np.uint32)
         kept = self.hash.n
         if self.off.n > kept:
             self.flat.cut(int(self.off.data[kept]))
@@ -335,6 +302,51 @@ class PieceEncoder:
         return [raw[a:b] for a, b in zip([0, *ends], ends)]
 
 
+class PieceEncoder(PieceCache):
+    """Pieces are encoded by the ``tokenizers`` library."""
+
+    def __init__(self, path: str, max_pieces: int = 500_000, max_piece_bytes: int = 64):
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        self.drops_space, self.lowers = ids("a ") == ids("a"), ids("A") == ids("a")
+        self.words = Tokenizer(self.tokenizer.model)
+        mark = _ALPHABET["\n"]
+        self.words.pre_tokenizer = pre_tokenizers.Split(mark, "isolated")
+        self.mark_id = self.words.encode(mark).ids
+        super().__init__(self.tokenizer.get_vocab_size(with_added_tokens=True), max_pieces, max_piece_bytes)
+
+    def _learn(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces by the library, one after another, and how many each has."""
+        out: list[np.ndarray | None] = [None] * len(pieces)
+        words, other = [], []
+        for k, p in enumerate(pieces):
+            t = p.decode()
+            bare = t[1:] if t[0] == " " else t
+            if bare.isalpha() and max(bare) < "Ā" and len(bare) < 256:
+                words.append((k, (bare if self.drops_space else t).lower() if self.lowers else t))
+            else:
+                other.append((k, t))
+        for first in range(0, len(words), 2048):
+            part = words[first : first + 2048]
+            text = "\n".join([t for _, t in part]).encode().decode("latin-1").translate(_TO_ALPHABET)
+            ids = np.array(self.words.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.append(np.flatnonzero(ids == self.mark_id[0]), len(ids)) if len(self.mark_id) == 1 else []
+            if len(ends) != len(part):
+                other += [(k, pieces[k].decode()) for k, _ in part]
+                continue
+            last = 0
+            for (k, _), e in zip(part, ends.tolist()):
+                out[k] = ids[last:e]
+                last = e + 1
+        for first in range(0, len(other), 2048):
+            part = other[first : first + 2048]
+            for (k, _), e in zip(part, self.tokenizer.encode_batch_fast([t for _, t in part], add_special_tokens=False)):
+                out[k] = np.array(e.ids, np.uint32)
+        return np.concatenate(out) if out else np.zeros(0, np.uint32), np.fromiter(map(len, out), np.int64, len(out))
+
+
 def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids with ``end_id`` after each text's, and where each text's begin (and the last one's end)."""
     edges = np.concatenate([[0], np.cumsum(counts + 1)])
