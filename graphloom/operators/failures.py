@@ -25,7 +25,8 @@ def lines_of(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def errors(logs: DataFrame, key: str = "id", text: str = "text", most: int = 40) -> DataFrame:
-    """key, file, line, message, from_line, to_line: the first ``most`` places that a log names, each once, with the 90 lines around."""
+    """key, file, line, message, from_line, to_line, left_out: the first ``most`` places that a log names, each once, with the 90
+    lines around; ``left_out`` counts the others."""
     rows = lines_of(logs, key, text)
 
     def part(group: int) -> Column:
@@ -33,8 +34,9 @@ def errors(logs: DataFrame, key: str = "id", text: str = "text", most: int = 40)
 
     found = rows.select(key, "k", part(0).alias("file"), part(1).cast("int").alias("line"), part(2).alias("message")).filter("file IS NOT NULL")
     once = found.groupBy(key, "file", "line").agg(F.min("k").alias("k"), F.min_by("message", "k").alias("message"))
-    first = top_per_key(once, [key], [F.col("k")], most)
-    return first.select(key, "file", "line", "message", F.greatest(F.col("line") - 25, F.lit(1)).alias("from_line"), (F.greatest(F.col("line") - 25, F.lit(1)) + 89).alias("to_line"))
+    n = once.groupBy(key).agg(F.greatest(F.count(F.lit(1)) - most, F.lit(0)).alias("left_out"))
+    first = top_per_key(once, [key], [F.col("k")], most).join(n, key)
+    return first.select(key, "file", "line", "message", F.greatest(F.col("line") - 25, F.lit(1)).alias("from_line"), (F.greatest(F.col("line") - 25, F.lit(1)) + 89).alias("to_line"), "left_out")
 
 
 def compressed_trace(logs: DataFrame, key: str = "id", text: str = "text") -> DataFrame:

@@ -115,3 +115,66 @@ def status(counts: DataFrame) -> DataFrame:
     state = F.when(F.col("files").isNull(), "missing").when(F.col("symbols") == 0, "unindexed").when(F.col("errors") * 10 > F.col("files"), "degraded").when(F.col("stale"), "stale").otherwise("ready")
     score = F.when(F.col("files").isNull(), 20).when(F.col("symbols") == 0, 50).otherwise(100 - F.when(F.col("stale"), 15).otherwise(0) - F.when(F.col("errors") * 10 > F.col("files"), 20).otherwise(0))
     return counts.withColumn("state", state).withColumn("score", score)
+
+
+def field_seeds(text: str, named: tuple[str, ...] = (), most: int = 80) -> list[str]:
+    """Names of fields that a request may mean: those given outright, then words of its text of four letters or more that are no
+    keywords, constants or words of a question; a dotted name comes whole and by its last part."""
+    import re
+
+    from ..functions.text import RESEARCH_STOP_WORDS
+
+    out: list[str] = []
+    for value, given in [*((n, True) for n in named), (text, False)]:
+        for token in re.findall(r"\b[A-Za-z_$][A-Za-z0-9_$]*(?:\.[A-Za-z_$][A-Za-z0-9_$]*)?\b", value):
+            last = token.rsplit(".", 1)[-1]
+            if len(last) < 2 or last in KEYWORDS or (not given and "." not in token and (len(last) < 4 or last.lower() in RESEARCH_STOP_WORDS)) or (re.fullmatch("[A-Z0-9_]+", last) and "." not in token):
+                continue
+            out += [token, last] if "." in token else [token]
+    return list(dict.fromkeys(out))[:most]
+
+
+#: Words of the languages themselves.
+KEYWORDS = (
+    "class", "interface", "enum", "public", "private", "protected", "static", "final", "return", "new", "void", "int", "long", "double", "float", "boolean", "char", "byte", "short", "if", "else", "for", "while", "switch", "case",
+    "try", "catch", "true", "false", "null", "this", "super", "package", "import",
+)
+
+
+def field_impact(seeds: list[str], fields: DataFrame, usages: DataFrame, calls: DataFrame, endpoints: DataFrame, is_test: Column) -> DataFrame:
+    """field, n_definitions, n_reads, n_writes, n_methods, n_callers, n_endpoints, n_test_files of the fields (name, owner) that a seed is part of.
+
+    ``usages``: field, access, method, file, confidence (0.5 or more count); ``calls``: callee (a method), caller; ``endpoints``:
+    file; ``is_test`` tells a using file's role.
+    """
+    hit = F.lit(False)
+    for s in seeds:
+        hit = hit | F.contains(F.lower("name"), F.lit(s.rsplit(".", 1)[-1].lower()))
+    defined = fields.filter(hit).groupBy(F.col("name").alias("field")).agg(F.count(F.lit(1)).alias("n_definitions"))
+    used = usages.filter("confidence >= 0.5").join(defined.select("field"), "field", "left_semi")
+    per = used.groupBy("field").agg(F.count_if(F.col("access").isin("read", "read_write")).alias("n_reads"), F.count_if(F.col("access").isin("write", "read_write", "init")).alias("n_writes"), F.countDistinct("method").alias("n_methods"), F.countDistinct(F.when(is_test, F.col("file"))).alias("n_test_files"))
+    callers = used.select("field", F.col("method").alias("callee")).distinct().join(calls.select("callee", "caller").distinct(), "callee").groupBy("field").agg(F.countDistinct("caller").alias("n_callers"))
+    served = used.select("field", "file").distinct().join(endpoints.groupBy("file").agg(F.count(F.lit(1)).alias("n")), "file").groupBy("field").agg(F.sum("n").alias("n_endpoints"))
+    out = defined.join(per, "field", "left").join(callers, "field", "left").join(served, "field", "left").fillna(0)
+    return out.select("field", "n_definitions", "n_reads", "n_writes", "n_methods", "n_callers", "n_endpoints", "n_test_files")
+
+
+def review_batches(files: DataFrame, budget: int, most: int) -> DataFrame:
+    """path, batch: changed files (path, size, risk) in batches of at most ``most`` files and about ``budget`` characters, riskiest first.
+
+    A file's batch follows from the characters and files before it, so batches are made in one pass over a review's files.
+    """
+    w = W.orderBy(F.desc("risk"), "path")  # files of one review
+    before = F.coalesce(F.sum("size").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rows = files.withColumn("by_size", F.floor(before / budget)).withColumn("by_count", F.floor((F.row_number().over(w) - 1) / most))
+    return rows.select("path", F.greatest("by_size", "by_count").alias("batch"))
+
+
+def review_result(findings: DataFrame, expected: DataFrame, reviewed: DataFrame) -> DataFrame:
+    """One row: unique findings by priority, coverage, and the exit code: 1 with a P0, 2 where a batch was not reviewed, else 0."""
+    unique = findings.groupBy("id").agg(F.min("priority").alias("priority"))
+    n = unique.agg(*(F.count_if(F.col("priority") == p).alias(p.lower()) for p in ("P0", "P1", "P2")))
+    both = expected.select("batch").distinct().join(reviewed.select("batch", F.lit(1).alias("r")).distinct(), "batch", "left").agg(F.count(F.lit(1)).alias("batches"), F.count("r").alias("done"))
+    one = F.lit(1).alias("_one")
+    out = n.select("*", one).join(both.select("*", one), "_one").drop("_one")
+    return out.withColumn("exit_code", F.when(F.col("p0") > 0, 1).when(F.col("done") < F.col("batches"), 2).otherwise(0))

@@ -15,6 +15,8 @@ from ..operators import search as S
 from ..operators import snapshots as N
 from ..operators.tables import calls, dependencies, file_endpoints, files, query_log, read, search_files, search_symbols, sql, symbols
 from ..sources import code as C
+from ..sources import frameworks as W
+from ..sources import specs as Y
 from .registry import query
 
 ONE = "*"  # what a count counts
@@ -50,6 +52,29 @@ def src11_merged_providers(spark, sf_dir):
     return N.merged_providers({"syntax": part(2), "index": part(3)}, ["file", "line", "name"]).select("file", "line", "name", "provider", "kind")
 
 
+@query("SELECT 'f' || doc_id AS path, n AS name, v AS value, CASE WHEN doc_id % 2 = 0 THEN 0 ELSE 1 END AS left_out FROM documents, (VALUES (1, 'a.b', '1'), (2, 'c-d', 'x y'), (3, 'e', '')) AS x(k, n, v) WHERE k <= 2 OR doc_id % 2 = 2")
+def src09_config_lines(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").selectExpr("concat('f', doc_id) AS path", "'properties' AS language", "encode(concat('# note\n a.b = 1\nc-d:  x y \n', CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'e=' END), 'UTF-8') AS content")
+    return C.config_facts(d, 2)
+
+
+_YAML = "concat('openapi: 3.0.0\nbasePath: /v', doc_id % 3, '\npaths:\n  /a', doc_id, ':\n    # get: no\n    get:\n      operationId: read', doc_id, '\n      responses:\n        get: x\n    parameters: []\n  \"/b/{id}\":\n    POST:\n      summary: s\ncomponents:\n  /c:\n    get:\n')"
+
+
+@query("SELECT 'f' || doc_id AS path, m AS method, '/v' || (doc_id % 3) || replace(r, '#', doc_id::VARCHAR) AS route, CASE m WHEN 'GET' THEN 'read' || doc_id END AS name, 0.75::DOUBLE AS confidence FROM documents, (VALUES ('GET', '/a#'), ('POST', '/b/{id}')) AS v(m, r) WHERE doc_id % 4 = 0")
+def src09_openapi_yaml(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").filter("doc_id % 4 = 0").selectExpr("concat('f', doc_id) AS path", f"replace({_YAML}, '        get: x\n', '        ok: x\n') AS content")
+    return Y.openapi_yaml_endpoints(d)
+
+
+_ES = "concat('{\"cluster.h', doc_id, '\":{\"url\":{\"paths\":[{\"path\":\"/_c/', doc_id, '\",\"methods\":[\"GET\",\"head\"]},{\"path\":\"/x\",\"methods\":[\"PUT\"]}]}}}')"
+
+
+@query("SELECT 'f' || doc_id AS path, m AS method, replace(r, '#', doc_id::VARCHAR) AS route, 'cluster.h' || doc_id AS name, 0.75::DOUBLE AS confidence FROM documents, (VALUES ('GET', '/_c/#'), ('HEAD', '/_c/#'), ('PUT', '/x')) AS v(m, r)")
+def src09_elastic_specs(spark, sf_dir):
+    return Y.elastic_endpoints(read(spark, sf_dir, "documents").selectExpr("concat('f', doc_id) AS path", f"{_ES} AS content"))
+
+
 _DIFF = "concat('diff --git a/f', doc_id % 50, ' b/f', doc_id % 50, '\\n--- a/f', doc_id % 50, '\\n+++ b/f', doc_id % 50, '\\n@@ -', doc_id + 1, ',3 +', doc_id + 2, ',4 @@\\n a\\n-b\\n+c\\n+d\\n@@ -900,1 +901,1 @@\\n-x\\n+y')"
 
 
@@ -209,7 +234,7 @@ def tg02_test_neighbours(spark, sf_dir):
 _LOG = "concat('x\\n', CASE doc_id % 4 WHEN 0 THEN concat('src/a', doc_id, '.ts(', doc_id + 30, ',4): error TS1: bad') WHEN 1 THEN concat('[ERROR] /w/B', doc_id, '.java:[7,2] cannot find') WHEN 2 THEN concat('\\tat com.x.C.run(C', doc_id, '.java:', doc_id + 1, ')') ELSE concat('src/d.py:', doc_id, ':3: E1 oops') END, '\\nend')"
 
 
-@query("SELECT doc_id AS id, CASE doc_id % 4 WHEN 0 THEN 'src/a' || doc_id || '.ts' WHEN 1 THEN '/w/B' || doc_id || '.java' WHEN 2 THEN 'C' || doc_id || '.java' ELSE 'src/d.py' END AS file, l AS line, CASE doc_id % 4 WHEN 0 THEN 'TS1: bad' WHEN 1 THEN 'cannot find' WHEN 2 THEN '' ELSE 'E1 oops' END AS message, greatest(l - 25, 1) AS from_line, greatest(l - 25, 1) + 89 AS to_line FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN doc_id + 30 WHEN 1 THEN 7 WHEN 2 THEN doc_id + 1 ELSE doc_id END::INT AS l FROM documents)")
+@query("SELECT doc_id AS id, CASE doc_id % 4 WHEN 0 THEN 'src/a' || doc_id || '.ts' WHEN 1 THEN '/w/B' || doc_id || '.java' WHEN 2 THEN 'C' || doc_id || '.java' ELSE 'src/d.py' END AS file, l AS line, CASE doc_id % 4 WHEN 0 THEN 'TS1: bad' WHEN 1 THEN 'cannot find' WHEN 2 THEN '' ELSE 'E1 oops' END AS message, greatest(l - 25, 1) AS from_line, greatest(l - 25, 1) + 89 AS to_line, 0 AS left_out FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN doc_id + 30 WHEN 1 THEN 7 WHEN 2 THEN doc_id + 1 ELSE doc_id END::INT AS l FROM documents)")
 def tg03_failures(spark, sf_dir):
     return X.errors(read(spark, sf_dir, "documents").selectExpr("doc_id AS id", f"{_LOG} AS text"))
 
@@ -355,3 +380,45 @@ def fn_words_and_stems(spark, sf_dir):
     words = F.sort_array(T.word_parts(F.regexp_replace("p_name", " ", "_")))
     stems = T.shares_stem(F.expr("CASE WHEN p_partkey % 2 = 0 THEN 'indexers' ELSE 'callback' END"), "indexing") | T.shares_stem(F.expr("CASE WHEN p_partkey % 2 = 0 THEN 'extract' ELSE 'testament' END"), "test")
     return p.select(F.col("p_partkey").alias("id"), (words == F.sort_array(F.split("p_name", " "))).alias("parts"), stems.alias("stems"))
+
+
+_ANN = "CASE p_partkey % 9 WHEN 0 THEN array('Override', 'RestController') WHEN 1 THEN array('Path', 'Controller') WHEN 2 THEN array('EnableTransactionManagement') WHEN 3 THEN array('OneToMany', 'JoinColumn') WHEN 4 THEN array('FutureOrPresent') WHEN 5 THEN array('CsrfProtected') WHEN 6 THEN array('Own') WHEN 7 THEN array('Value') ELSE cast(array() AS array<string>) END"
+
+
+@query("SELECT p_partkey AS id, CASE p_partkey % 9 WHEN 0 THEN 'spring:rest-controller' WHEN 1 THEN 'mvc:controller' WHEN 2 THEN 'spring:enable-tx' WHEN 3 THEN 'jakarta:relation' WHEN 4 THEN 'jakarta:validation' WHEN 5 THEN 'mvc:csrf-protected' WHEN 7 THEN 'spring:config-value' END AS role FROM part")
+def src07_framework_roles(spark, sf_dir):
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), W.framework_role(F.expr(_ANN)).alias("role"))
+
+
+@query("""SELECT 'C' || (p_partkey % 3) AS class, 'm' || p_partkey AS method, CASE p_partkey % 4 WHEN 0 THEN 'GET' WHEN 1 THEN 'ANY' ELSE 'DELETE' END AS verb, CASE p_partkey % 3 WHEN 0 THEN '/api' ELSE '' END || CASE p_partkey % 4 WHEN 0 THEN '/x' || p_partkey WHEN 1 THEN CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '/' END ELSE '/{Paths.ONE}' END AS path,
+ CASE WHEN p_partkey % 4 = 2 THEN 'partial' ELSE 'exact' END AS resolution, CASE WHEN p_partkey % 4 = 2 THEN 0.55 ELSE 0.85 END::DOUBLE AS confidence FROM part WHERE p_partkey % 4 <> 3""")
+def src07_annotated_endpoints(spark, sf_dir):
+    m = read(spark, sf_dir, "part").selectExpr("concat('C', p_partkey % 3) AS class", "concat('m', p_partkey) AS method", "CASE p_partkey % 4 WHEN 0 THEN 'GetMapping' WHEN 1 THEN 'RequestMapping' WHEN 2 THEN 'DeleteMapping' ELSE 'Bean' END AS annotation", "CASE p_partkey % 4 WHEN 0 THEN concat('value = {\"/x', p_partkey, '/\"}') WHEN 2 THEN ' Paths.ONE' END AS argument")
+    return W.annotated_endpoints(m, spark.createDataFrame([("C0", "/api/")], "class string, base string"))
+
+
+_USE = "SELECT 'f' || (l_partkey % 60) AS field, CASE l_linestatus WHEN 'O' THEN 'read' ELSE 'write' END AS access, 'S' || l_suppkey AS method, 'src/' || (l_orderkey % 97) || '.java' AS file, round(1 - l_discount * 5, 4) AS confidence FROM lineitem"
+
+
+@query(sql("calls", rest=f"""WITH u AS ({_USE}), d AS (SELECT 'f' || (p_partkey % 60) AS field, count(*) AS n_definitions FROM part GROUP BY 1 HAVING field LIKE '%7%'), o AS (SELECT u.* FROM u JOIN d USING (field) WHERE confidence >= 0.5), e AS (SELECT 'src/' || (p_partkey * 7 % 97) || '.java' AS file, count(*) AS n FROM part WHERE p_partkey % 5 = 0 GROUP BY 1)
+ SELECT d.field, d.n_definitions, count(*) FILTER (access = 'read') AS n_reads, count(*) FILTER (access = 'write') AS n_writes, count(DISTINCT method) AS n_methods, coalesce((SELECT count(DISTINCT c.caller) FROM calls c WHERE c.caller IN (SELECT method FROM o x WHERE x.field = d.field)), 0) AS n_callers, coalesce((SELECT sum(e.n) FROM e WHERE e.file IN (SELECT file FROM o x WHERE x.field = d.field)), 0)::BIGINT AS n_endpoints, count(DISTINCT file) FILTER (file LIKE '%3.java') AS n_test_files
+ FROM d LEFT JOIN o USING (field) GROUP BY d.field, d.n_definitions"""))
+def pack_field_impact(spark, sf_dir):
+    u = read(spark, sf_dir, "lineitem").selectExpr("concat('f', l_partkey % 60) AS field", "CASE l_linestatus WHEN 'O' THEN 'read' ELSE 'write' END AS access", "concat('S', l_suppkey) AS method", "concat('src/', l_orderkey % 97, '.java') AS file", "round(1 - l_discount * 5, 4) AS confidence")
+    f = read(spark, sf_dir, "part").selectExpr("concat('f', p_partkey % 60) AS name", "p_brand AS owner")
+    e = read(spark, sf_dir, "part").filter("p_partkey % 5 = 0").selectExpr("concat('src/', p_partkey * 7 % 97, '.java') AS file")
+    c = calls(spark, sf_dir).select(F.col("caller").alias("callee"), "caller")
+    return P.field_impact(["x.7"], f, u, c, e, F.col("file").endswith("3.java"))
+
+
+@query("WITH f AS (SELECT 'd' || doc_id AS path, n_chars AS size, doc_id % 10 AS risk FROM documents WHERE doc_id < 150) SELECT path, greatest(floor(coalesce(sum(size) OVER (ORDER BY risk DESC, path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 20000), floor((row_number() OVER (ORDER BY risk DESC, path) - 1) / 6))::BIGINT AS batch FROM f")
+def review_file_batches(spark, sf_dir):
+    f = read(spark, sf_dir, "documents").filter("doc_id < 150").selectExpr("concat('d', doc_id) AS path", "n_chars AS size", "doc_id % 10 AS risk")
+    return P.review_batches(f, 20000, 6)
+
+
+@query("WITH u AS (SELECT user_id || event_type AS id, min(CASE WHEN event_type = 'error' AND user_id % 50 = 1 THEN 'P0' WHEN event_type IN ('click', 'view') THEN 'P1' ELSE 'P2' END) AS priority FROM events GROUP BY 1) SELECT count(*) FILTER (priority = 'P0') AS p0, count(*) FILTER (priority = 'P1') AS p1, count(*) FILTER (priority = 'P2') AS p2, 10 AS batches, 9 AS done, CASE WHEN count(*) FILTER (priority = 'P0') > 0 THEN 1 ELSE 2 END AS exit_code FROM u")
+def review_outcome(spark, sf_dir):
+    f = read(spark, sf_dir, "events").selectExpr("concat(user_id, event_type) AS id", "CASE WHEN event_type = 'error' AND user_id % 50 = 1 THEN 'P0' WHEN event_type IN ('click', 'view') THEN 'P1' ELSE 'P2' END AS priority")
+    b = spark.range(10).toDF("batch")
+    return P.review_result(f, b, b.filter("batch <> 4"))

@@ -126,12 +126,15 @@ def extract(files: DataFrame) -> DataFrame:
 
 
 def config_facts(files: DataFrame, most: int = 300) -> DataFrame:
-    """path, name, value of properties and YAML-like ``key: value`` lines, the first ``most`` of a file."""
+    """path, name, value, left_out of properties and YAML-like ``key: value`` lines, the first ``most`` of a file; ``left_out``
+    counts the others."""
     lines = files.filter(F.col("language").isin("properties", "yaml")).select("path", F.posexplode(F.split(F.decode("content", "UTF-8"), "\n")).alias("k", "l"))
     pair = lines.select("path", "k", F.trim(F.regexp_extract("l", r"^\s*([\w.\-]+)\s*[=:]\s*(.*)$", 1)).alias("name"), F.trim(F.regexp_extract("l", r"^\s*([\w.\-]+)\s*[=:]\s*(.*)$", 2)).alias("value")).filter("name <> ''")
     from ..operators.relational import top_per_key
 
-    return top_per_key(pair, ["path"], [F.col("k")], most).select("path", "name", "value")
+    first = top_per_key(pair, ["path"], [F.col("k")], most)
+    n = pair.groupBy("path").agg(F.greatest(F.count(F.lit(1)) - most, F.lit(0)).alias("left_out"))
+    return first.join(n, "path").select("path", "name", "value", "left_out")
 
 
 def diff_hunks(diffs: DataFrame, text: str = "diff") -> DataFrame:

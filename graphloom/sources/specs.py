@@ -38,10 +38,14 @@ def _facts(files: DataFrame, read, schema: str) -> DataFrame:
 
 
 def xml_facts(files: DataFrame, most: int = 300) -> DataFrame:
-    """path, tag, name (its id or name attribute), value (own text), depth of the first ``most`` elements of a file."""
+    """path, tag, name (its id or name attribute), value (own text), depth of the first ``most`` elements of a file.
+
+    A row ``#cut`` counts the elements left out, and ``#entities`` stands for a file that defines entities.
+    """
 
     def read(text: str) -> Iterator[tuple]:
-        if "<!ENTITY" in text:  # entity definitions can expand without bound
+        if "<!ENTITY" in text:  # entity definitions can expand without bound: the file is named, not read
+            yield "#entities", None, None, 0
             return
         try:
             open_now = [(ElementTree.fromstring(text), 0)]
@@ -53,6 +57,8 @@ def xml_facts(files: DataFrame, most: int = 300) -> DataFrame:
             yield node.tag.rsplit("}", 1)[-1], node.get("id") or node.get("name"), (node.text or "").strip() or None, depth
             n += 1
             open_now.extend((child, depth + 1) for child in reversed(node))
+        if open_now:
+            yield "#cut", None, str(sum(1 for node, _ in open_now for _ in node.iter())), 0
 
     return _facts(files, read, _XML)
 
@@ -79,6 +85,35 @@ def openapi_endpoints(files: DataFrame) -> DataFrame:
     return rows.select("path", F.upper("m").alias("method"), route.alias("route"), F.get_json_object("op", "$.operationId").alias("name"), F.lit(0.75).alias("confidence"))
 
 
+def openapi_yaml_endpoints(files: DataFrame) -> DataFrame:
+    """path, method, route, name (operationId), confidence of OpenAPI or Swagger documents in block-style YAML, by the indents
+    of their lines: routes stand below ``paths``, methods one level below a route, ``operationId`` below a method."""
+    doc = files.filter(F.col("content").rlike(r"(?m)^(openapi|swagger)\s*:"))
+    rows = doc.select("path", F.posexplode(F.split("content", "\r?\n")).alias("k", "l")).filter(F.trim("l").rlike("^[^#]"))
+    rows = rows.select("path", "k", "l", F.length(F.regexp_extract("l", "^( *)", 1)).alias("d"))
+    w = W.partitionBy("path").orderBy("k").rowsBetween(W.unboundedPreceding, 0)  # one document's lines
+    last = lambda c: F.last(c, ignorenulls=True).over(w)
+    rows = rows.withColumn("top", last(F.when(F.col("d") == 0, F.regexp_extract("l", r"^([\w-]+)\s*:", 1))))
+    rows = rows.withColumn("base", last(F.when(F.col("l").rlike(r"^basePath\s*:"), F.trim(F.regexp_extract("l", r"^basePath\s*:\s*[\"']?([^\"'#]*)", 1)))))
+    route = F.when((F.col("top") == "paths") & F.col("l").rlike(r"^ +[\"']?/"), F.struct("d", F.regexp_extract("l", r"^ +[\"']?(/[^\"':]*)[\"']?\s*:", 1).alias("r")))
+    rows = rows.withColumn("route", last(route))
+    method = F.lower(F.regexp_extract("l", r"^ +(\w+)\s*:", 1))
+    opens = (F.col("top") == "paths") & F.col("route").isNotNull() & (F.col("d") > F.col("route.d")) & method.isin(*METHODS)
+    rows = rows.withColumn("m", last(F.when(opens, F.struct("k", "d", method.alias("m")))))
+    name = F.when(F.col("l").rlike(r"^ +operationId\s*:") & (F.col("d") > F.col("m.d")), F.trim(F.regexp_extract("l", r":\s*[\"']?([^\"'#]*)", 1)))
+    found = rows.filter("m IS NOT NULL AND k >= m.k").groupBy("path", "m").agg(F.first("route", ignorenulls=True).alias("route"), F.max("base").alias("base"), F.min(name).alias("name"))
+    full = F.regexp_replace(F.concat(F.coalesce("base", F.lit("")), F.lit("/"), F.col("route.r")), "/+", "/")
+    return found.select("path", F.upper("m.m").alias("method"), full.alias("route"), "name", F.lit(0.75).alias("confidence"))
+
+
+def elastic_endpoints(files: DataFrame) -> DataFrame:
+    """path, method, route, name, confidence of Elastic REST specifications in JSON: each API's paths and their methods."""
+    doc = F.from_json("content", "map<string, struct<url: struct<paths: array<struct<path: string, methods: array<string>>>>>>")
+    rows = files.select("path", F.explode(doc).alias("name", "api")).filter("api.url.paths IS NOT NULL")
+    rows = rows.select("path", "name", F.explode("api.url.paths").alias("p")).select("path", "name", F.col("p.path").alias("route"), F.explode("p.methods").alias("m"))
+    return rows.select("path", F.upper("m").alias("method"), "route", "name", F.lit(0.75).alias("confidence"))
+
+
 def postman_endpoints(files: DataFrame) -> DataFrame:
     """path, method, route, name of the requests of Postman collections, whatever folder they are in."""
 
