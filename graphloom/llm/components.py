@@ -82,7 +82,9 @@ def named(rows: DataFrame, group: str, row: str, own_id: str) -> DataFrame:
     ``component_id`` is the smallest ``own_id`` of the group (null where no row has one), ``kept`` says that it is the row's
     own (without ids: that the row is the first), ``first`` marks one row of each group: smallest id, then smallest ``row``.
     """
-    least = rows.filter(F.col(group).isNotNull()).groupBy(group).agg(F.min(F.struct(F.col(own_id).isNull(), F.col(own_id).alias("low"), F.col(row).alias("at"))).alias("_m"))
+    first = F.struct(F.col(own_id).isNull(), F.col(own_id).alias("low"), F.col(row).alias("at"))
+    some = rows.filter(F.col(group).isNotNull()).groupBy(group, F.pmod(F.xxhash64(row), F.lit(64)).alias("_part")).agg(F.min(first).alias("_m"))  # a large group in 64 parts first
+    least = some.groupBy(group).agg(F.min("_m").alias("_m"))
     out = rows.join(least, group, "left")
     alone = F.col("_m").isNull()
     component = F.when(alone, F.col(own_id)).otherwise(F.col("_m.low"))

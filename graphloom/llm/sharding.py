@@ -34,8 +34,8 @@ def _earlier(count: DataFrame, *by: str, chunk: int = 4096) -> DataFrame:
 def interleave(docs: DataFrame, n_shards: int = 8, seed: str = "mix", cell_rows: int = CELL_ROWS) -> DataFrame:
     """doc_id, source, size, text_crc32, law, shard, slot, grown_shard.
 
-    A null text has no bytes (size 1, crc32 0); a null source is a stratum of its own; equal rows each take
-    a slot of their own (their order among themselves is free); no rows give no rows.
+    A null text has no bytes (size 1, crc32 0); a null source is a stratum of its own; rows without an id are shuffled by their
+    text; equal rows each take a slot of their own (their order among themselves is free); no rows give no rows.
     """
     n = docs.count()
     base = docs.select(
@@ -43,7 +43,7 @@ def interleave(docs: DataFrame, n_shards: int = 8, seed: str = "mix", cell_rows:
         F.coalesce(F.col("source").cast("string"), F.lit("\0null")).alias("source"),
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col("text"), F.lit(""))).alias("text_crc32"),
-        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("mixed"),
+        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.crc32(F.coalesce(F.col("text"), F.lit(""))).cast("string"))))).alias("mixed"),
     )
     cells = rows_per_group(n, cell_rows)
     base = base.withColumn("cell", F.expr(f"cast(floor(conv(substring(mixed, 1, 8), 16, 10) * {cells}D / 4294967296D) as int)"))

@@ -488,6 +488,23 @@ def test_pipeline_rows_without_ids_and_repeated_rows(spark, docs, labels):
     assert texts(p.near_duplicates(spark, two, SF)) == texts(p.near_duplicates(spark, good, SF))
 
 
+def test_pipeline_of_odd_and_no_rows(spark, docs):
+    """Every stage takes an empty table, null and very long texts, null columns, repeated rows and other columns."""
+    import corpus_pipeline as p
+
+    none = docs.select(*p.COLUMNS).limit(0)
+    for name, f in p.STAGES:
+        assert f(spark, none, SF).count() == 0, name
+    long = " ".join(f"word{k % 900}" for k in range(60_000))
+    rows = [(1, None, None, None, None), (None, None, "en", "s", 0), (2, "", "en", "s", 0), (3, long, "en", None, 1), (3, long, "en", None, 1), (4, long.replace("word7 ", "other ", 1), "en", "s", 1), (None, "Hi", "en", "s", 2)]
+    odd = spark.createDataFrame([(*r, "x", 7) for r in rows], docs.select(*p.COLUMNS).schema.simpleString()[7:-1].replace(":", " ") + ", row string, path int")
+    assert p.quality(spark, odd, SF).columns == p.toxic(spark, odd, SF).columns == list(p.COLUMNS)
+    assert Counter(map(tuple, p.toxic(spark, odd, SF).collect())) <= Counter(rows)
+    left = Counter((r.doc_id, r.text) for r in p.near_duplicates(spark, odd, SF).collect())
+    assert left == Counter([(1, None), (None, None), (2, ""), (3, long), (None, "Hi")])
+    assert p.packed(spark, odd, SF).filter("piece = 0").count() == len(rows)
+
+
 def test_signatures_in_parts():
     """Signatures of parts of the elements, merged, equal those of all at once; empty sets anywhere."""
     rng, sizes = np.random.default_rng(3), np.array([0, 900, 2, 0, 130, 1, 0])
