@@ -31,7 +31,7 @@ RUNS_ALL = (
     r"(^|/)pom\.xml$", r"(^|/)build\.gradle(\.kts)?$", r"(^|/)settings\.gradle(\.kts)?$", r"(^|/)gradle\.properties$", r"(^|/)gradle/", r"(^|/)mvnw(\.cmd)?$", r"(^|/)\.mvn/", r"(^|/)package(-lock)?\.json$",
     r"(^|/)(yarn|pnpm-lock)\.(lock|yaml)$", r"(^|/)tsconfig[^/]*\.json$", r"(^|/)(vitest|jest|karma)\.config\.[^/]+$", r"^\.github/", r"(^|/)Dockerfile[^/]*$", r"(^|/)(docker-)?compose[^/]*\.ya?ml$", r"(^|/)src/main/resources/", r"\.(sql|properties)$",
 )
-IGNORABLE = (r"(^|/)\.codegraph(-[^/]*)?/", r"(?i)\.(md|markdown|adoc|txt)$", r"^docs/", r"(^|/)LICENSE[^/]*$", r"(^|/)\.gitignore$", r"(^|/)\.gitattributes$", r"(^|/)\.editorconfig$", r"(^|/)\.prettierrc[^/]*$", r"(^|/)\.husky/")
+IGNORABLE = (r"(^|/)\.graphloom(-[^/]*)?/", r"(?i)\.(md|markdown|adoc|txt)$", r"^docs/", r"(^|/)LICENSE[^/]*$", r"(^|/)\.gitignore$", r"(^|/)\.gitattributes$", r"(^|/)\.editorconfig$", r"(^|/)\.prettierrc[^/]*$", r"(^|/)\.husky/")
 
 
 def either(conditions) -> Column:

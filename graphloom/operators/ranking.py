@@ -256,7 +256,7 @@ def ranked_files(files: DataFrame, symbols: DataFrame, endpoints: DataFrame, q:
     special = [c for c, t in zip(parts, q.tokens) if not T.is_broad(t)]
     whole = _any(T.shares_stem(F.lower(base), t) for t in q.tokens if not T.is_broad(t))
     said = lambda pattern: re.search(pattern, q.text, re.IGNORECASE) is not None
-    wants = [
+    wants = [  # fixed values: what a query's words ask a file for, and the points that it gives
         (said(r"\bendpoint|route|controller\b"), "_e", 40), (said(r"\bservice\b"), "_service", 32), (said(r"\brepository|repo|dao\b"), "_repository", 32), (said(r"\bentity|model\b"), "_entity", 32),
         (said(r"\b(mybatis|mapper|sql|result\s*map|resultmap|mapper\s+xml|xml\s+mapper)\b"), "_mybatis", 60), (said(r"\b(openapi|swagger|postman|api\s+doc|api\s+spec|rest\s+api|yaml\s+rest|endpoint)\b"), "_spec", 55),
         (said(r"\b(docker|compose|container|port|service)\b"), "_docker", 45),

@@ -31,8 +31,9 @@ def coverage(expected: DataFrame, reviewed: DataFrame, key: str) -> DataFrame:
     return out.select("expected", "reviewed", F.round(F.col("reviewed") / F.greatest("expected", F.lit(1)), 3).alias("ratio"), (F.col("expected") == F.col("reviewed")).alias("complete"))
 
 
-#: What a hunk's kinds weigh, and how its lines tell them (in the added, or in both).
+#: What a hunk's kinds weigh.
 KINDS = {"security": 100, "sql": 85, "endpoint": 75, "contract": 65, "error-handling": 55, "config": 45, "debug-output": 35, "test": 10}
+#: Patterns of command execution, assertions, values that look secret, SQL put together from strings.
 EXEC = r"\b(Runtime\.getRuntime\(\)\.exec|new\s+ProcessBuilder|child_process\.exec|shell:\s*true)\b"
 ASSERTS = r"\b(assert|expect|verify|shouldThrow|assertThrows)\b"
 SECRET_VALUE = r"""(?i)\b(password|passwd|secret|token|api[_-]?key|private[_-]?key|credential)\b\s*[:=]\s*["'][^"']{6,}["']"""
@@ -44,7 +45,7 @@ CONFIG_FILE = r"(?i)\.(ya?ml|properties|json|xml|toml|ini|env)$|(^|/)Dockerfile"
 def hunk_kinds(file: Column, added: Column, removed: Column) -> Column:
     """The kinds of change of a hunk, from its file and its added and removed lines."""
     both = F.concat(added, F.lit("\n"), removed)
-    tells = {
+    tells = {  # fixed values: the patterns
         "config": file.rlike(CONFIG_FILE), "test": file.rlike(TEST_FILE) | both.rlike(r"\b(assert|expect|verify|@Test|describe\(|it\()\b"),
         "endpoint": both.rlike(r"@(GET|POST|PUT|PATCH|DELETE|Path|GetMapping|PostMapping|PutMapping|PatchMapping|DeleteMapping|RequestMapping)\b"),
         "contract": added.rlike(r"\b(public|export|interface|class|enum|record)\b"), "error-handling": both.rlike(r"\b(catch|throw|throws|Exception|Throwable|Error)\b"),
@@ -67,7 +68,7 @@ def hunk_findings(hunks: DataFrame, security: bool = False) -> DataFrame:
     """rule, priority, confidence, file: what a hunk (file, added, removed) says against itself, each rule once a file."""
     added, removed = F.col("added"), F.col("removed")
     grave = "P0" if security else "P1"
-    rules = (
+    rules = (  # fixed values: priorities, confidences and patterns
         ("secret", "P0", 0.82, added.rlike(SECRET_VALUE)), ("command-exec", grave, 0.76, added.rlike(EXEC)), ("broad-catch", "P1", 0.68, added.rlike(r"\bcatch\s*\(\s*(Exception|Throwable|Error)\b")),
         ("debug-output", "P2", 0.78, added.rlike(r"\b(console\.log|System\.out|printStackTrace|debugger)\b")), ("removed-assertion", "P1", 0.72, removed.rlike(ASSERTS) & ~added.rlike(ASSERTS)), ("sql-concat", grave, 0.7, added.rlike(SQL_TEXT)),
     )
