@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -109,6 +110,92 @@ def line_facts(path: str, text: str, confidence: float = 0.35) -> list[tuple]:
     return out
 
 
+_OFF = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`", re.S)
+_TYPE = re.compile(r"\b(class|interface|enum|record)\s+([A-Za-z_$][\w$]*)")
+_SUPER = re.compile(r"\b(extends|implements)\s+([\w$.<>\[\], ]+?)(?=\b(?:extends|implements|permits)\b|$)")
+_ROUTINE = re.compile(r"([A-Za-z_$][\w$]*)\s*(?:<[^<>()]*>)?\s*\((?:[^()]|\([^()]*\))*\)\s*(?:throws\s[\w$., ]+|:\s*[^={}]+)?$")
+_ARROW = re.compile(r"\b(?:const|let|var)\s+([\w$]+)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\((?:[^()]|\([^()]*\))*\)|[\w$]+)\s*(?::[^={}]+)?=>\s*$")
+_CALL = re.compile(r"(\bnew\s+)?((?:[A-Za-z_$][\w$]*\s*\.\s*)*[A-Za-z_$][\w$]*)\s*(?:<[\w$, ?]*>)?\s*\(")
+_JAVA_FIELD = re.compile(r"^(?:@[\w.]+\s*(?:\([^()]*\))?\s*)*(?:(?:public|private|protected|static|final|volatile|transient)\s+)*([A-Z][\w$.]*(?:<[^;=]*>)?(?:\[\])*|int|long|double|float|boolean|char|byte|short)\s+([A-Za-z_$][\w$]*)\s*(?:=.*)?$", re.S)
+_SCRIPT_FIELD = re.compile(r"^(?:@[\w.]+\s*(?:\([^()]*\))?\s*)*(?:(?:public|private|protected|static|readonly|declare)\s+)*([A-Za-z_$#][\w$]*)\s*[?!]?\s*:\s*([\w$.<>\[\], |]+?)\s*(?:=.*)?$", re.S)
+_NO_CALL = {"if", "for", "while", "switch", "catch", "return", "synchronized", "super", "this", "function", "throw", "new", "await", "typeof", "else", "do", "try", "constructor", "assert"}
+
+
+def brace_facts(path: str, text: str, language: str, confidence: float = 0.7) -> list[tuple]:
+    """Types, members, fields, calls, imports and supertypes of a Java, JavaScript or TypeScript file, with owners and last lines.
+
+    Comments and strings are blanked, then braces, semicolons and brackets are walked once with a stack of scopes: what
+    stands before a brace tells what it opens.  A file whose braces do not match is read line by line instead.
+    """
+    clean = _OFF.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
+    breaks = [m.start() for m in re.finditer("\n", clean)]
+    line = lambda at: bisect_left(breaks, at) + 1
+    out: list[tuple] = [(path, "import", m[1] or m[2], None, line(m.start()), line(m.start()), confidence) for m in re.finditer(r"(?m)^\s*import\b(?:\s+(?:static\s+)?([\w.*]+)\s*;|[^'\"\n;]*['\"]([^'\"\n]+)['\"])", text)]
+    scopes: list[tuple[str, str, int, int]] = []  # kind, name, first line, open brackets around
+    begin = brackets = 0
+
+    def names(kinds: tuple[str, ...]) -> str | None:
+        return ".".join(n for k, n, *_ in scopes if k in kinds and n) or None
+
+    def calls(part: str, at: int) -> None:
+        if any(k in ("method", "function") for k, *_ in scopes):
+            caller = names(("class", "interface", "enum", "record", "method", "function"))
+            for m in _CALL.finditer(part):
+                name = re.sub(r"\s+", "", m[2])
+                if name not in _NO_CALL:
+                    out.append((path, "call", f"{name}.new" if m[1] else name, caller, line(at + m.start(2)), line(at + m.start(2)), confidence))
+
+    def opened(head: str) -> tuple[str, str]:
+        if found := _TYPE.search(head):
+            return found[1], found[2]
+        inside = scopes[-1][0] if scopes else ""
+        if found := _ARROW.search(head):
+            return "function", found[1]
+        found = _ROUTINE.search(head)
+        if found and found[1] not in _NO_CALL - {"constructor"}:
+            if inside in ("class", "interface", "enum", "record") and not re.search(r"\bnew\s+[\w$.<>]+\s*\([^()]*\)$|=", head):
+                return "method", found[1]
+            if re.search(r"\bfunction\b", head):
+                return "function", found[1]
+        return "block", ""
+
+    for m in re.finditer(r"[{};()]", clean):
+        c, at = m[0], m.start()
+        if c in "()":
+            brackets = max(brackets + (1 if c == "(" else -1), 0)
+            continue
+        if c == ";" and brackets:
+            continue
+        part = clean[begin:at]
+        head = part.strip()
+        first = line(begin + len(part) - len(part.lstrip()))
+        if c == "{":
+            kind, name = opened(head[-2000:]) if not brackets else ("block", "")  # a header, not a file without braces
+            if kind == "block":
+                calls(part, begin)
+            elif kind in ("class", "interface", "enum", "record"):
+                for s in _SUPER.finditer(head):
+                    depth_free = re.sub(r"<[^<>]*>", "", re.sub(r"<[^<>]*>", "", s[2]))
+                    out.extend((path, s[1], x.strip(), ".".join(filter(None, [names(("class", "interface", "enum", "record")), name])), first, first, confidence) for x in depth_free.split(",") if x.strip())
+            scopes.append((kind, name, first, brackets))
+            brackets = 0
+        else:
+            top = scopes[-1][0] if scopes else ""
+            field = (_JAVA_FIELD if language == "java" else _SCRIPT_FIELD).match(head) if c == ";" and top in ("class", "record", "enum") else None
+            if field:
+                name = field[2] if language == "java" else field[1]
+                out.append((path, "field", name, names(("class", "interface", "enum", "record")), first, line(at), confidence))
+            calls(part, begin)
+            if c == "}":
+                if not scopes:
+                    return line_facts(path, text)
+                kind, name, start, brackets = scopes.pop()
+                if kind != "block":
+                    out.append((path, kind if kind != "record" else "class", name, names(("class", "interface", "enum", "record", "method", "function")), start, line(at), confidence))
+        begin = at + 1
+    return line_facts(path, text) if scopes else out
+
+
 def extract(files: DataFrame) -> DataFrame:
     """Facts of files (path, language, content): one row a symbol, import or call."""
     names = [x.split()[0] for x in FACTS.split(", ")]
@@ -119,7 +206,7 @@ def extract(files: DataFrame) -> DataFrame:
             rows: list[tuple] = []
             for path, lang, content in zip(*(batch.column(c).to_pylist() for c in ("path", "language", "content"))):
                 text = (content or b"").decode("utf-8", "replace")
-                rows += python_facts(path, text) if lang == "python" else line_facts(path, text)
+                rows += python_facts(path, text) if lang == "python" else brace_facts(path, text, lang)
             yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], schema=schema)
 
     return files.filter(F.col("language").isin(*PARSEABLE)).select("path", "language", "content").mapInArrow(run, FACTS)

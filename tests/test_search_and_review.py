@@ -80,6 +80,60 @@ def test_roles(spark):
     assert {r.path: r.r for r in df.select("path", code.role_of(F.col("path")).alias("r")).collect()} == want
 
 
+JAVA = """package com.a;
+import com.a.Gateway;
+import static java.util.List.of;
+/* class Not { } */
+@Service
+public class OrderService extends Base<Order, Long> implements Api, Other {
+    private final Gateway gateway = new Gateway("x; {");
+    @Inject private Map<String, List<Order>> byId;
+    public OrderService(Gateway g) { this.gateway = g; }
+    @Override
+    public Order place(Order o, int n) throws Failed, Broken {
+        if (check(o)) { gateway.process(o); }
+        items.forEach(i -> { audit.log(i); });
+        for (int i = 0; i < n; i++) { total(); }
+        return new Order(of(o));
+    }
+    enum State { A, B; int code() { return 1; } }
+    interface Api { void go(); }
+}
+"""
+SCRIPT = """import { x } from './a.js';
+import type { Y } from "./b";
+export class Cart extends Base implements Shop {
+  private items: Item[] = [];
+  constructor(private repo: Repo) { super(); }
+  async add(item: Item): Promise<void> {
+    await this.repo.save(item);
+    const s = `not(${item}) {`;
+  }
+}
+export function total(a: number) { return sum(a); }
+const go = async (n: number): Promise<number> => {
+  return total(n);
+};
+"""
+
+
+def test_facts_of_brace_languages():
+    java = {r[1:6] for r in code.brace_facts("a.java", JAVA, "java")}
+    assert {
+        ("import", "com.a.Gateway", None, 2, 2), ("import", "java.util.List.of", None, 3, 3), ("class", "OrderService", None, 5, 19), ("extends", "Base", "OrderService", 5, 5), ("implements", "Api", "OrderService", 5, 5), ("implements", "Other", "OrderService", 5, 5),
+        ("field", "gateway", "OrderService", 7, 7), ("field", "byId", "OrderService", 8, 8), ("method", "place", "OrderService", 10, 16), ("method", "OrderService", "OrderService", 9, 9), ("call", "check", "OrderService.place", 12, 12),
+        ("call", "gateway.process", "OrderService.place", 12, 12), ("call", "audit.log", "OrderService.place", 13, 13), ("call", "items.forEach", "OrderService.place", 13, 13), ("call", "total", "OrderService.place", 14, 14), ("call", "Order.new", "OrderService.place", 15, 15),
+        ("call", "of", "OrderService.place", 15, 15), ("enum", "State", "OrderService", 17, 17), ("method", "code", "OrderService.State", 17, 17), ("interface", "Api", "OrderService", 18, 18),
+    } <= java and not any(r[1] == "Not" for r in java)
+    script = {r[1:6] for r in code.brace_facts("a.ts", SCRIPT, "typescript")}
+    assert {
+        ("import", "./a.js", None, 1, 1), ("import", "./b", None, 2, 2), ("class", "Cart", None, 3, 10), ("extends", "Base", "Cart", 3, 3), ("field", "items", "Cart", 4, 4), ("method", "constructor", "Cart", 5, 5), ("method", "add", "Cart", 6, 9),
+        ("call", "this.repo.save", "Cart.add", 7, 7), ("function", "total", None, 11, 11), ("call", "sum", "total", 11, 11), ("function", "go", None, 12, 14), ("call", "total", "go", 13, 13),
+    } <= script
+    broken = code.brace_facts("a.ts", "export class A {\n  go() {\n", "typescript")
+    assert broken and all(r[6] == 0.35 for r in broken)
+
+
 def test_deep_python_files():
     deep = "x = " + "(" * 150 + "f()" + ")" * 150 + "\n" + "class A:\n" + "".join("    " * k + f"    def m{k}(self):\n" for k in range(60)) + "    " * 61 + "pass\n"
     got = code.python_facts("a.py", deep)
