@@ -108,14 +108,21 @@ def carry_forward(facts: DataFrame, old: DataFrame, new: DataFrame, key: str = "
 
 
 def right_size(rows: DataFrame, keys: list[str], score: str, keep_ratio: float = 0.8, min_keep: int = 1, tie: str = "id") -> DataFrame:
-    """Rows near the top: the anchor is the second score where the first is 1.4 times as large or more."""
-    w = W.partitionBy(*keys).orderBy(F.desc(score), F.col(tie))
-    every = W.partitionBy(*keys)
-    ranked = rows.withColumn("rn", F.row_number().over(w))
-    ranked = ranked.withColumn("s1", F.max(score).over(every)).withColumn("s2", F.max(F.when(F.col("rn") == 2, F.col(score))).over(every)).withColumn("n", F.count(F.lit(1)).over(every))
+    """Rows near the top, with their rank ``rn``: the anchor is the second score where the first is 1.4 times as large or more.
+
+    The two best scores of each key come from an aggregate of at most two rows a task; only rows that stay are ranked.
+    """
+    best = F.struct(F.coalesce(F.col(score), F.lit(0.0)).alias("s"), F.col(tie).alias("t"))
+    top = rows.groupBy(*keys).agg(F.max_by(best, best).alias("a"), F.count(F.lit(1)).alias("n"))
+    second = rows.join(top, keys).filter(~(F.col("a.t").eqNullSafe(F.col(tie)))).groupBy(*keys).agg(F.max(F.coalesce(F.col(score), F.lit(0.0))).alias("s2"))
+    marks = top.join(second, keys, "left").select(*keys, F.col("a.s").alias("s1"), "s2", "n")
     anchor = F.when((F.col("s2") > 0) & (F.col("s1") / F.col("s2") >= 1.4), F.col("s2")).otherwise(F.col("s1"))
-    keep = (F.col("n") <= min_keep) | (F.col("s1") <= 0) | (F.col("rn") <= min_keep) | (F.coalesce(F.col(score), F.lit(0.0)) >= anchor * keep_ratio)
-    return ranked.filter(keep).drop("s1", "s2", "n")
+    rows = rows.join(marks.withColumn("cut", anchor * keep_ratio), keys)
+    near = (F.col("n") <= min_keep) | (F.col("s1") <= 0) | (F.coalesce(F.col(score), F.lit(0.0)) >= F.col("cut"))
+    w = W.partitionBy(*keys).orderBy(F.desc(score), F.col(tie))
+    if min_keep > 1:  # rows kept by rank alone
+        return rows.withColumn("rn", F.row_number().over(w)).filter(near | (F.col("rn") <= min_keep)).drop("s1", "s2", "n", "cut")
+    return rows.filter(near).withColumn("rn", F.row_number().over(w)).drop("s1", "s2", "n", "cut")
 
 
 def retained(snapshots: DataFrame, workspace: str, current: str, created: str, key: str, n: int = 3) -> DataFrame:

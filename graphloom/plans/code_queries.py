@@ -75,8 +75,8 @@ def ag15_language_summary(spark, sf_dir):
 @query(sql("files", rest="SELECT module, count(*) AS n_files, sum(size) AS bytes, count(*) FILTER (role = 'main_source') AS n_main, max(path) FILTER (rn = 1) AS top_file FROM (SELECT *, split_part(path,'/',1)||'/'||split_part(path,'/',2) AS module, row_number() OVER (PARTITION BY split_part(path,'/',1)||'/'||split_part(path,'/',2) ORDER BY size DESC, path) AS rn FROM files) GROUP BY module"))
 def ag16_module_rollup(spark, sf_dir):
     f = files(spark, sf_dir).withColumn("module", F.substring_index("path", "/", 2))
-    f = f.withColumn("rn", F.row_number().over(W.partitionBy("module").orderBy(F.desc("size"), "path")))
-    return f.groupBy("module").agg(F.count(F.lit(1)).alias("n_files"), F.sum("size").alias("bytes"), F.count_if(F.col("role") == "main_source").alias("n_main"), F.max(F.when(F.col("rn") == 1, F.col("path"))).alias("top_file"))
+    f = f.groupBy("module").agg(F.count(F.lit(1)).alias("n_files"), F.sum("size").alias("bytes"), F.count_if(F.col("role") == "main_source").alias("n_main"), F.min(F.struct(-F.col("size"), "path")).alias("top"))
+    return f.select("module", "n_files", "bytes", "n_main", F.col("top.path").alias("top_file"))
 
 
 @query(sql("symbols", "calls", rest="""SELECT c.file AS from_file, s.file AS to_file, sum(c.n) AS edge_count, max(c.best) AS confidence FROM (SELECT file, callee, count(*) AS n, max(confidence) AS best FROM calls WHERE tier <> 'low_signal' GROUP BY ALL) c

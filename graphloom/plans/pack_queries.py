@@ -39,6 +39,12 @@ def src02_reused_hashes(spark, sf_dir):
     return out.select("path", (F.col("blob_hash") == "old").alias("reused"))
 
 
+@query(sql("log", rest="SELECT id, tool FROM log WHERE ts >= TIMESTAMP '2024-01-03 00:00:00' AND ts <= TIMESTAMP '2024-01-20 12:00:00' AND tool = 'click' AND id % 2 = 0 ORDER BY ts DESC, id DESC LIMIT 30"))
+def src12_log_window(spark, sf_dir):
+    log = query_log(spark, sf_dir).withColumn("event", F.when(F.col("id") % 2 == 0, "query").otherwise("start"))
+    return C.log_window(log, "2024-01-03 00:00:00", "2024-01-20 12:00:00", "click", "query", 30).select("id", "tool")
+
+
 @query(sql("files", rest="SELECT path, CASE WHEN k IN (0, 1) THEN 'present' WHEN k = 2 THEN 'deleted' ELSE 'unknown' END AS status FROM (SELECT path, doc_id % 4 AS k FROM files WHERE doc_id % 3 = 1)"))
 def src03_scoped_paths(spark, sf_dir):
     f = files(spark, sf_dir).withColumn("k", F.col("doc_id") % 4)

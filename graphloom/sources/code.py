@@ -11,9 +11,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Languages by extension, and folders that are not scanned.
-LANGUAGES = {".java": "java", ".js": "javascript", ".json": "json", ".jsx": "javascript", ".kt": "kotlin", ".properties": "properties", ".py": "python", ".sql": "sql", ".ts": "typescript", ".tsx": "typescript", ".xml": "xml", ".yaml": "yaml", ".yml": "yaml"}
-SKIPPED = (".git", "node_modules", "dist", "build", "target")
+#: Languages by extension, folders that are not scanned, and built files that are no sources.
+LANGUAGES = {
+    ".java": "java", ".ts": "typescript", ".tsx": "typescript", ".js": "javascript", ".jsx": "javascript", ".py": "python", ".kt": "kotlin", ".kts": "kotlin", ".swift": "swift", ".cs": "csharp", ".php": "php",
+    ".xml": "xml", ".json": "json", ".yaml": "yaml", ".yml": "yaml", ".properties": "properties",
+}
+SKIPPED = (
+    ".git", ".graphloom", "benchmark-results", ".tmp", ".idea", ".vscode", "node_modules", "target", "build", "dist", "coverage", ".next", ".turbo", ".cache", "bin", "obj", ".gradle", "__pycache__", "vendor", "third_party", "third-party",
+)
+MINIFIED = r"(?i)(\.min\.(js|mjs|cjs|css)|\.bundle\.(js|mjs)|-min\.js)(\.map)?$"
 PARSEABLE = ("java", "javascript", "python", "typescript")
 
 
@@ -46,13 +52,13 @@ def role_of(path: Column) -> Column:
     )
 
 
-def manifest(spark: SparkSession, root: str, max_bytes: int = 2_000_000) -> DataFrame:
+def manifest(spark: SparkSession, root: str, max_bytes: int = 5 << 20) -> DataFrame:
     """path, size, mtime, blob_hash, language, role, content of the files below a folder."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     rel = F.regexp_replace(F.col("path"), "^.*?" + re.escape(root.rstrip("/")) + "/", "")
     out = found.select(rel.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "content").filter(F.col("size") <= max_bytes)
-    skip = "(^|/)(" + "|".join(map(re.escape, SKIPPED)) + ")/|\\.min\\.js$"
-    out = out.filter(~F.col("path").rlike(skip))
+    skip = "(^|/)(" + "|".join(map(re.escape, SKIPPED)) + ")/"
+    out = out.filter(~F.col("path").rlike(skip) & ~F.col("path").rlike(MINIFIED))
     return out.select("path", "size", "mtime", F.sha2("content", 256).alias("blob_hash"), language_of(F.col("path")).alias("language"), role_of(F.col("path")).alias("role"), "content")
 
 
@@ -255,3 +261,19 @@ def json_log(spark: SparkSession, path: str) -> DataFrame:
     ok = F.from_json("value", "ts string, event string, toolName string, durationMs double, args struct<sessionId: string>")
     bad = F.expr("try_parse_json(value) IS NULL")
     return lines.select(ok.alias("x"), bad.alias("bad")).select(F.col("x.ts").try_cast("timestamp").alias("ts") if hasattr(F.col("x"), "try_cast") else F.to_timestamp("x.ts").alias("ts"), F.col("x.event").alias("event"), F.col("x.toolName").alias("tool"), F.col("x.args.sessionId").alias("session"), F.col("x.durationMs").alias("duration_ms"), "bad")
+
+
+def log_window(log: DataFrame, since: str | None = None, until: str | None = None, tool: str | None = None, event: str | None = None, tail: int | None = None) -> DataFrame:
+    """Rows of a log (ts, tool, event) from ``since`` to ``until``, both in, of a tool and event, the last ``tail`` of them.
+
+    Rows without a time are dropped only where a time is asked for.
+    """
+    if since:
+        log = log.filter(F.col("ts") >= F.lit(since).cast("timestamp"))
+    if until:
+        log = log.filter(F.col("ts") <= F.lit(until).cast("timestamp"))
+    if tool:
+        log = log.filter(F.col("tool") == tool)
+    if event:
+        log = log.filter(F.col("event") == event)
+    return log.orderBy(F.desc_nulls_last("ts"), *(F.desc(c) for c in log.columns if c in ("id",))).limit(tail) if tail else log
