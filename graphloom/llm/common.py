@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import re
 import shutil
 import tempfile
 import uuid
@@ -89,8 +90,8 @@ BATCH_BYTES = 8 << 20
 def small_batches(spark: SparkSession) -> None:
     """Let no Arrow batch be larger than ``BATCH_BYTES`` from now on (a session that asks for less is left as it is)."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = int("".join(c for c in spark.conf.get(name) if c.isdigit() or c == "-"))
-    if not 0 < now <= BATCH_BYTES:
+    now = re.fullmatch(r"(\d+)\s*([kmgtp]?)b?", spark.conf.get(name, "").strip().lower())
+    if not now or not 0 < int(now[1]) << 10 * " kmgtp".index(now[2] or " ") <= BATCH_BYTES:
         spark.conf.set(name, f"{BATCH_BYTES}b")
 
 

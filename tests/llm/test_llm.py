@@ -505,6 +505,17 @@ def test_pipeline_of_odd_and_no_rows(spark, docs):
     assert p.packed(spark, odd, SF).filter("piece = 0").count() == len(rows)
 
 
+def test_batches_are_bounded(spark):
+    from graphloom.llm.common import BATCH_BYTES, small_batches
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    for asked, got in (("64m", f"{BATCH_BYTES}b"), ("16m", f"{BATCH_BYTES}b"), ("2m", "2m")):
+        spark.conf.set(name, asked)
+        small_batches(spark)
+        assert spark.conf.get(name) == got
+    spark.conf.unset(name)
+
+
 def test_signatures_in_parts():
     """Signatures of parts of the elements, merged, equal those of all at once; empty sets anywhere."""
     rng, sizes = np.random.default_rng(3), np.array([0, 900, 2, 0, 130, 1, 0])
