@@ -178,3 +178,17 @@ def review_result(findings: DataFrame, expected: DataFrame, reviewed: DataFrame)
     one = F.lit(1).alias("_one")
     out = n.select("*", one).join(both.select("*", one), "_one").drop("_one")
     return out.withColumn("exit_code", F.when(F.col("p0") > 0, 1).when(F.col("done") < F.col("batches"), 2).otherwise(0))
+
+
+def atlas(files: DataFrame, modules: DataFrame, module_edges: DataFrame, hotspots: DataFrame, endpoints: DataFrame, symbols: DataFrame, most: int = 10) -> DataFrame:
+    """Languages by bytes, modules by files, module dependencies by edges, hotspots by weight, entry points (endpoints, then main
+    methods and application classes): the first ``most`` of each."""
+    languages = files.groupBy("language").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+    mains = symbols.filter("kind = 'method' AND name = 'main' OR kind = 'class' AND name LIKE '%Application'").select(F.col("fq_name").alias("key"), F.col("kind").alias("value"), F.lit(1).alias("p"))
+    entries = endpoints.select(F.concat_ws(" ", "method", "path").alias("key"), F.col("file").alias("value"), F.lit(0).alias("p")).union(mains).distinct()
+    edges = module_edges.select(F.concat_ws(" > ", "source", "target").alias("key"), "edge_count")
+    return together([
+        section(languages, "languages", "language", "bytes", [F.desc("bytes"), F.col("language")], most), section(modules.groupBy("module").agg(F.count(F.lit(1)).alias("n")), "modules", "module", "n", [F.desc("n"), F.col("module")], most),
+        section(edges, "module dependencies", "key", "edge_count", [F.desc("edge_count"), F.col("key")], most), section(hotspots, "hotspots", "path", "weight", [F.desc("weight"), F.col("path")], most),
+        section(entries, "entry points", "key", "value", [F.col("p"), F.col("key"), F.col("value")], most),
+    ])

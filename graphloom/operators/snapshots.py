@@ -164,3 +164,16 @@ def graph_page(edges: DataFrame, title: str, most: int = 2000) -> str:
     """A page with the ``most`` heaviest edges (source, type, target, edge_count) as a table that filters as one types."""
     rows = [[r.source, r.type, r.target, r.edge_count] for r in edges.orderBy(F.desc("edge_count"), "source", "target", "type").limit(most).collect()]
     return _PAGE.format(title=title, rows=json.dumps(rows).replace("</", "<\\/"))
+
+
+def cached_parses(files: DataFrame, cache: DataFrame, provider: str, version: str) -> DataFrame:
+    """Files (path, blob_hash, ...) with ``hit``: whether the cache (provider, version, blob_hash) has their parse; equal contents
+    are parsed once, whatever their paths."""
+    known = cache.filter((F.col("provider") == provider) & (F.col("version") == version)).select("blob_hash", F.lit(True).alias("hit")).distinct()
+    return files.join(known, "blob_hash", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+
+
+def to_parse(files: DataFrame, cache: DataFrame, provider: str, version: str) -> DataFrame:
+    """One file of each content that the cache lacks: the first path stands for it."""
+    rest = cached_parses(files, cache, provider, version).filter("NOT hit")
+    return rest.groupBy("blob_hash").agg(F.min("path").alias("path"), F.count(F.lit(1)).alias("n_files"))

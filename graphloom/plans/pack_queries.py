@@ -428,3 +428,21 @@ def review_outcome(spark, sf_dir):
     f = read(spark, sf_dir, "events").selectExpr("concat(user_id, event_type) AS id", "CASE WHEN event_type = 'error' AND user_id % 50 = 1 THEN 'P0' WHEN event_type IN ('click', 'view') THEN 'P1' ELSE 'P2' END AS priority")
     b = spark.range(10).toDF("batch")
     return P.review_result(f, b, b.filter("batch <> 4"))
+
+
+@query(sql("files", rest="WITH c AS (SELECT DISTINCT blob_hash FROM files WHERE doc_id % 3 = 0) SELECT f.blob_hash, min(f.path) AS path, count(*) AS n_files FROM files f WHERE f.blob_hash NOT IN (SELECT blob_hash FROM c) GROUP BY f.blob_hash"))
+def snk08_files_to_parse(spark, sf_dir):
+    f = files(spark, sf_dir).select("path", "blob_hash", "doc_id")
+    cache = f.selectExpr("'syntax' AS provider", "CASE WHEN doc_id % 3 = 0 THEN '2' ELSE '1' END AS version", "blob_hash")
+    return N.to_parse(f.select("path", "blob_hash"), cache, "syntax", "2")
+
+
+@query(sql("files", "found_symbols", "deps", "endpoints", "found_endpoints", rest="""WITH l AS (SELECT language AS key, sum(size) AS v FROM files GROUP BY 1), m AS (SELECT package AS key, count(DISTINCT file) AS v FROM found_symbols GROUP BY 1), e AS (SELECT x.package || ' > ' || y.package AS key, count(*) AS v FROM deps JOIN found_symbols x ON x.id = deps.a JOIN found_symbols y ON y.id = deps.b WHERE x.package <> y.package GROUP BY 1), h AS (SELECT file AS key, count(*) * 3 AS v FROM found_symbols GROUP BY 1),
+ p AS (SELECT DISTINCT method || ' ' || path AS key, file AS v, 0 AS p FROM found_endpoints UNION SELECT DISTINCT fq_name, kind, 1 FROM found_symbols WHERE kind = 'method' AND name = 'main' OR kind = 'class' AND name LIKE '%Application')
+ SELECT section, place::INT AS place, key, value FROM (SELECT 'languages' AS section, row_number() OVER (ORDER BY v DESC, key) AS place, key, v::VARCHAR AS value FROM l UNION ALL SELECT 'modules', row_number() OVER (ORDER BY v DESC, key), key, v::VARCHAR FROM m UNION ALL SELECT 'module dependencies', row_number() OVER (ORDER BY v DESC, key), key, v::VARCHAR FROM e UNION ALL SELECT 'hotspots', row_number() OVER (ORDER BY v DESC, key), key, v::VARCHAR FROM h UNION ALL SELECT 'entry points', row_number() OVER (ORDER BY p, key, v), key, v FROM p) WHERE place <= 10"""))
+def pack_atlas(spark, sf_dir):
+    s = search_symbols(spark, sf_dir)
+    of = lambda end, name: s.select(F.col("id").alias(end), F.col("package").alias(name))
+    e = dependencies(spark, sf_dir).join(of("a", "source"), "a").join(of("b", "target"), "b").filter("source <> target").groupBy("source", "target").agg(F.count(ONE).alias("edge_count"))
+    h = s.groupBy(F.col("file").alias("path")).agg((F.count(ONE) * 3).alias("weight"))
+    return P.atlas(files(spark, sf_dir), s.select(F.col("file").alias("path"), F.col("package").alias("module")).distinct(), e, h, file_endpoints(spark, sf_dir), s)
