@@ -79,3 +79,45 @@ def graph_json(edges: DataFrame) -> DataFrame:
     """value: one JSON line a node and an edge of (source, target, type, edge_count), ready for a text sink."""
     nodes = edges.select(F.explode(F.array("source", "target")).alias("id")).distinct().select(F.to_json(F.struct(F.lit("node").alias("record"), "id")).alias("value"))
     return nodes.union(edges.select(F.to_json(F.struct(F.lit("edge").alias("record"), "source", "target", "type", "edge_count"))))
+
+
+#: Lines of a build that say nothing, and those that are kept; lines of an error, and its frames.
+NOISE = r"(?i)^\s*(Downloading from |Downloaded from |Uploading to |Uploaded to |Progress \(|Transferring |> Task :[^ ]+\s+(UP-TO-DATE|SKIPPED|NO-SOURCE)\s*$)"
+KEPT = (
+    r"(?i)\bBUILD (FAILURE|FAILED|SUCCESS)\b|\bTests run:\s*\d+|\bFailures:\s*[1-9]|\bErrors:\s*[1-9]|\bFailed tests?:|\bCompilation failure\b|\bThere are test failures\b",
+    r"\b(Exception|Error|AssertionError)\b|\bCaused by:|^\[ERROR\]|^\[WARNING\]|^\s*at\s+[\w.$]+\(.*:\d+\)", r"(?i)^>\s*Task .* FAILED\b",
+)
+TELLING = r"(?i)(error|exception|failed|failure|panic|fatal|assertion|caused by|expected|received|actual)"
+FRAMES = r"^\s*at\s+|^\s*File \".+\", line \d+|^\s*#\d+\s+"
+
+
+def _first_of(rows: DataFrame, key: str, section: str, most: int, last: bool = False) -> DataFrame:
+    """The first (or last) ``most`` distinct lines of each log as a section, in their order."""
+    once = rows.select(key, F.rtrim("line").alias("line"), "k").groupBy(key, "line").agg(F.min("k").alias("k"))
+    return top_per_key(once, [key], [F.desc("k") if last else F.col("k")], most).select(key, F.lit(section).alias("section"), "k", "line")
+
+
+def build_digest(logs: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
+    """key, section, k, line of a build's log: telling lines (180), the first 12 and the last 20 that are no noise; each line once a section."""
+    rows = lines_of(logs, key, text).filter(~F.col("line").rlike(NOISE))
+    keep = F.col("line").rlike(KEPT[0]) | F.col("line").rlike(KEPT[1]) | F.col("line").rlike(KEPT[2])
+    said = rows.filter(F.trim("line") != "")
+    return _first_of(rows.filter(keep), key, "kept", 180).union(_first_of(said, key, "first", 12)).union(_first_of(said, key, "last", 20, True))
+
+
+def error_digest(logs: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
+    """key, section, k, line of an error's text: telling lines (120), frames (24) and the last 20 lines; each line once a section."""
+    rows = lines_of(logs, key, text)
+    return _first_of(rows.filter(F.col("line").rlike(TELLING)), key, "summary", 120).union(_first_of(rows.filter(F.col("line").rlike(FRAMES)), key, "frames", 24)).union(_first_of(rows, key, "last", 20, True))
+
+
+def log_kind(text: str | Column) -> Column:
+    """What a tool's output is: java-trace, build-log, error-summary, json-result or plain, the first that fits."""
+    t = F.col(text) if isinstance(text, str) else text
+    frames = F.size(F.regexp_extract_all(t, F.lit(r"(?m)^\s*at\s+[\w.$]+\(.*:\d+\)"), F.lit(0))) >= 3
+    trace = t.rlike(r"(?:^|\n)(?:Exception in thread|Caused by:|[\w.$]+(?:Exception|Error):)") & frames
+    build = t.rlike(r"\b(mvn|Maven|Gradle|gradlew|BUILD FAILURE|BUILD FAILED|Tests run:)") & t.rlike(r"(?i)\b(Downloading from|Transferring|BUILD FAILURE|BUILD FAILED|Tests run:)")
+    wrong = t.rlike(r"(?i)(error|exception|failed|failure|panic|fatal|assertion)") & (F.length(t) > 800)
+    body = F.trim(t)
+    shaped = (F.length(body) > 200) & ((body.startswith("{") & body.endswith("}")) | (body.startswith("[") & body.endswith("]")))
+    return F.when(trace, "java-trace").when(build, "build-log").when(shaped, "json-result").when(wrong, "error-summary").otherwise("plain")

@@ -446,3 +446,23 @@ def pack_atlas(spark, sf_dir):
     e = dependencies(spark, sf_dir).join(of("a", "source"), "a").join(of("b", "target"), "b").filter("source <> target").groupBy("source", "target").agg(F.count(ONE).alias("edge_count"))
     h = s.groupBy(F.col("file").alias("path")).agg((F.count(ONE) * 3).alias("weight"))
     return P.atlas(files(spark, sf_dir), s.select(F.col("file").alias("path"), F.col("package").alias("module")).distinct(), e, h, file_endpoints(spark, sf_dir), s)
+
+
+_BUILD = "concat('Downloading from x', doc_id, '\\nstart ', doc_id, '\\n\\n[ERROR] bad ', doc_id % 3, '\\n> Task :a UP-TO-DATE\\n[ERROR] bad ', doc_id % 3, '\\nTests run: 3, Failures: 1\\n  at a.B.c(B.java:1)\\nend')"
+_LINES = "(VALUES (1, 'start #'), (3, '[ERROR] bad %'), (6, 'Tests run: 3, Failures: 1'), (7, '  at a.B.c(B.java:1)'), (8, 'end')) AS v(k, l)"
+
+
+@query(f"SELECT doc_id AS id, s AS section, k, replace(replace(l, '#', doc_id::VARCHAR), '%', (doc_id % 3)::VARCHAR) AS line FROM documents, {_LINES}, (VALUES ('kept'), ('first'), ('last')) AS w(s) WHERE s <> 'kept' OR k IN (3, 6, 7)")
+def fn_build_digest(spark, sf_dir):
+    return X.build_digest(read(spark, sf_dir, "documents").selectExpr("doc_id AS id", f"{_BUILD} AS text"))
+
+
+@query("SELECT doc_id AS id, 'summary' AS section, k, l AS line FROM documents, (VALUES (3, '[ERROR] bad 0'), (6, 'Tests run: 3, Failures: 1')) AS v(k, l) WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 'frames', 7, '  at a.B.c(B.java:1)' FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 'last', k, replace(l, '#', doc_id::VARCHAR) FROM documents, (VALUES (0, 'Downloading from x#'), (1, 'start #'), (2, ''), (3, '[ERROR] bad 0'), (4, '> Task :a UP-TO-DATE'), (6, 'Tests run: 3, Failures: 1'), (7, '  at a.B.c(B.java:1)'), (8, 'end')) AS v(k, l) WHERE doc_id % 3 = 0")
+def fn_error_digest(spark, sf_dir):
+    return X.error_digest(read(spark, sf_dir, "documents").filter("doc_id % 3 = 0").selectExpr("doc_id AS id", f"{_BUILD} AS text"))
+
+
+@query("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'java-trace' WHEN 1 THEN 'build-log' WHEN 2 THEN 'json-result' WHEN 3 THEN 'error-summary' ELSE 'plain' END AS kind FROM documents")
+def fn_log_kinds(spark, sf_dir):
+    t = F.expr("CASE doc_id % 5 WHEN 0 THEN concat('a.MyException: x\\n', repeat('\\tat a.B.c(B.java:1)\\n', 3)) WHEN 1 THEN 'mvn -q\\nDownloading from r' WHEN 2 THEN concat('[', repeat('1, ', 90), '2]') WHEN 3 THEN concat('it failed', repeat(' x', 500)) ELSE 'failed' END")
+    return read(spark, sf_dir, "documents").select("doc_id", X.log_kind(t).alias("kind"))
