@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Spark SQL's pattern for one word: a run of anything but space, tab, LF, VT, FF and CR.
@@ -90,7 +90,7 @@ BATCH_BYTES = 8 << 20
 def small_batches(spark: SparkSession) -> None:
     """Let no Arrow batch be larger than ``BATCH_BYTES`` from now on (a session that asks for less is left as it is)."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = re.fullmatch(r"(\d+)\s*([kmgtp]?)b?", spark.conf.get(name, "").strip().lower())
+    now = re.fullmatch(r"(\d+)\s*([kmgtp]?)b?", spark.conf.get(name, f"{1 << 30}b").strip().lower())
     if not now or not 0 < int(now[1]) << 10 * " kmgtp".index(now[2] or " ") <= BATCH_BYTES:
         spark.conf.set(name, f"{BATCH_BYTES}b")
 
@@ -132,6 +132,10 @@ def rows_per_group(n: int, size: int) -> int:
     return max(1, -(-n // size))
 
 
+#: Files whose names are broadcast to number a table's rows (some 100 bytes each).
+MAX_FILES = 1 << 18
+
+
 def keyed(df: DataFrame, *columns: str) -> DataFrame:
     """``columns`` of ``df`` and ``row``, a key of each row that every read sees alike: its file and place there.
 
@@ -139,7 +143,8 @@ def keyed(df: DataFrame, *columns: str) -> DataFrame:
     """
     if df._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
         df = stage(df.select(*columns), "rows")
-    paths = sorted(r.file_path for r in df.select("_metadata.file_path").distinct().collect())  # a row a file
-    files = df.sparkSession.createDataFrame(list(zip(paths, range(len(paths)))), "file_path string, file long")
-    rows = df.select(*columns, "_metadata.file_path", "_metadata.row_index").join(F.broadcast(files), "file_path")
+    number = (F.row_number().over(Window.orderBy("file_path")) - 1).cast("long")  # a row a file
+    files = stage(df.select("_metadata.file_path").distinct().withColumn("file", number), "files")
+    files = F.broadcast(files) if files.count() <= MAX_FILES else files  # more files than that are joined by shuffling
+    rows = df.select(*columns, "_metadata.file_path", "_metadata.row_index").join(files, "file_path")
     return rows.select(*columns, (F.shiftleft("file", 40) + F.col("row_index")).alias("row"))
