@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, importance, lm_score, metric_join, minhash, packing, quality_rules, sharding, token_store, toxicity
+from . import bpe, decontaminate, divergence, importance, lm_score, metric_join, minhash, packing, quality_rules, sharding, token_store, toxicity
 from .common import table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -53,7 +53,15 @@ def op10_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_bpe_segment_tree, op3_quality_rules, op4_stupid_backoff, op5_importance_resampling, op6_super_minhash, op7_mil_toxicity, op8_metric_range_join, op9_stratified_shards, op10_bin_completion)}
+def op12_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digests(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+def op13_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_bpe_segment_tree, op3_quality_rules, op4_stupid_backoff, op5_importance_resampling, op6_super_minhash, op7_mil_toxicity, op8_metric_range_join, op9_stratified_shards, op10_bin_completion, op12_wu_manber, op13_divergence_audit)}
 
 _A, _Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -83,4 +91,47 @@ WITH doc AS (
 SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_backoff, 0) AS n_backoff, round(coalesce(t, 0.0), 5) AS log_score,
   CASE WHEN n_words > 0 THEN round(t / n_words, 5) END AS mean_log_score
 FROM doc d LEFT JOIN a USING (doc_id)""",
+    "op12_wu_manber": rf"""
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_A}', '{_Z}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), item AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(coalesce(text, ''), '{_A}', '{_Z}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark
+), cut AS (
+  SELECT item, ws, unnest(range(0, greatest(len(ws) - 9, 1))) AS k FROM item WHERE len(ws) > 0
+), win AS (SELECT DISTINCT item, least(len(ws), 10) AS size, array_to_string(ws[k + 1 : k + 10], ' ') AS w FROM cut
+), place AS (SELECT r, unnest(range(0, len(ws))) AS k, ws FROM doc
+), gram AS (
+  SELECT r, k, size, array_to_string(ws[k + 1 : k + size], ' ') AS w FROM place, (SELECT DISTINCT size FROM win) WHERE k + size <= len(ws)
+), occ AS (SELECT r, k, gram.size, item FROM gram JOIN win USING (w, size)
+), hit AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(k, k + size)) AS k FROM (SELECT DISTINCT r, k, size FROM occ)) GROUP BY r
+), named AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM occ) GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM doc LEFT JOIN hit USING (r) LEFT JOIN named USING (r)""",
+    "op13_divergence_audit": rf"""
+WITH doc AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), '{_A}', '{_Z}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents
+), tok AS (SELECT r, lang, source, unnest(ws) AS term FROM doc
+), kept AS (SELECT lang, term, count(*) AS n FROM tok GROUP BY ALL HAVING count(DISTINCT r) >= 10
+), v AS (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY lang
+), grp AS (SELECT DISTINCT lang, source FROM doc
+), own AS (SELECT lang, source, term, count(*) AS c FROM tok GROUP BY ALL
+), full_ AS (
+  SELECT g.lang, g.source, k.term, CAST(coalesce(o.c, 0) AS HUGEINT) AS c, CAST(k.n AS HUGEINT) AS n
+  FROM grp g JOIN kept k USING (lang) LEFT JOIN own o ON o.lang = g.lang AND o.source = g.source AND o.term = k.term
+), tot AS (SELECT lang, source, sum(c) AS n FROM full_ GROUP BY ALL
+), p AS (
+  SELECT f.lang, f.source, f.term, f.c, 1 + (1000000000 * (f.c + 2)) // CAST(tot.n + 2 * v.v AS HUGEINT) AS p, 1 + (1000000000 * (f.n + 2)) // CAST(v.n + 2 * v.v AS HUGEINT) AS q
+  FROM full_ f JOIN tot ON tot.lang = f.lang AND tot.source = f.source JOIN v ON v.lang = f.lang
+), far AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), al AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(far.value, 0) AS BIGINT) AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN far ON far.lang = a.lang AND far.source = a.source AND far.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, CAST(((p - q) * (p - q)) // (p + q) AS BIGINT) FROM p WHERE c > 0 AND p > q
+)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM al
+QUALIFY part = 'pair' OR row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) <= 10""",
 }
