@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, divergence, importance, lm_score, metric_join, minhash, packing, quality_rules, sharding, token_store, toxicity
+from . import bpe, decontaminate, divergence, hard_negatives, importance, lm_score, metric_join, minhash, packing, quality_rules, sharding, token_store, toxicity
 from .common import table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -53,6 +53,10 @@ def op10_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op11_voronoi_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
 def op12_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digests(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -61,7 +65,7 @@ def op13_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_bpe_segment_tree, op3_quality_rules, op4_stupid_backoff, op5_importance_resampling, op6_super_minhash, op7_mil_toxicity, op8_metric_range_join, op9_stratified_shards, op10_bin_completion, op12_wu_manber, op13_divergence_audit)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_bpe_segment_tree, op3_quality_rules, op4_stupid_backoff, op5_importance_resampling, op6_super_minhash, op7_mil_toxicity, op8_metric_range_join, op9_stratified_shards, op10_bin_completion, op11_voronoi_negatives, op12_wu_manber, op13_divergence_audit)}
 
 _A, _Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -91,6 +95,18 @@ WITH doc AS (
 SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_backoff, 0) AS n_backoff, round(coalesce(t, 0.0), 5) AS log_score,
   CASE WHEN n_words > 0 THEN round(t / n_words, 5) END AS mean_log_score
 FROM doc d LEFT JOIN a USING (doc_id)""",
+    "op11_voronoi_negatives": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, a.label AS own, v.vec_id, v.label, CAST(list_dot_product(a.e, v.e) AS BIGINT) AS s FROM v a JOIN v ON a.vec_id <> v.vec_id WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, s AS positive_score FROM s WHERE label = own QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY s DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.vec_id AS negative_id, positive_score, s.s AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.label <> s.own AND 30 * positive_score <= 100 * s.s AND 100 * s.s <= 90 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.s DESC, s.vec_id) QUALIFY rank <= 10""",
     "op12_wu_manber": rf"""
 WITH doc AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_A}', '{_Z}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
