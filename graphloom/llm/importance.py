@@ -1,11 +1,13 @@
 """Operator 5: quality by importance resampling.
 
 Two generative models of hashed n-grams (words, word pairs, byte 4-grams, each ``1 << BITS`` cells with add-one
-smoothing): the target from a bounded sample of rows labelled good, the raw one counted over all documents.  A
-document's log weight is the sum over its n-grams of log(target / raw); its mean an n-gram is what documents of all
-lengths compare by, as if each had ``LENGTH`` n-grams.  Gumbel noise, a hash of the id, is added to ``LENGTH`` times the
-mean, and the k largest are drawn: sampling without replacement in proportion to the weights.  k is the number of documents
-whose mean is at least ``floor``, the level that all but ``MISS`` of the labelled target sample reach.
+smoothing): the target from a bounded sample of rows labelled good (``MAX_FIT`` rows and ``MAX_FIT_BYTES`` of text, of all
+lengths), the raw one counted over all documents.  A document's log weight is the sum over its n-grams of log(target / raw).
+That sum grows with the text, so documents are weighed as if each had ``SPAN`` n-grams: a weight is exp(SPAN * mean log
+ratio), which is the sum at a temperature of n_grams / SPAN.  The k largest of log weight plus Gumbel noise, a hash of seed
+and id, are drawn: sampling without replacement in proportion to the weights.  k is a parameter; by default it is how many
+documents look like the target: those whose mean is at least the level that all but ``MISS`` of the target sample reach.  Which
+documents those k are is left to chance and weight.
 """
 
 from __future__ import annotations
@@ -21,11 +23,11 @@ from .common import carried, documents, lean, stage
 from .hashed import Texts, fold, groups, pairs, sums
 from .linear import labelled
 
-BITS, MAX_FIT, MAX_FIT_BYTES = 14, 2000, 16_384
+BITS, MAX_FIT, MAX_FIT_BYTES = 14, 2000, 16 << 20
 #: Share of the target sample that may lie below the floor, and slack under it.
 MISS, SLACK = 0.002, 0.05
-#: N-grams that each document's weight is taken for, and the mean log weight that ranks documents without n-grams last.
-LENGTH, LAST = 1000, -1e6
+#: N-grams that each document is weighed for, and the mean log weight that ranks documents without n-grams last.
+SPAN, LAST = 20, -1e6
 
 
 def _items(t: Texts) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -117,22 +119,21 @@ def first_rows(df: DataFrame, columns: tuple[str, ...], k: int) -> Column:
     return out | tied
 
 
-def resample(docs: DataFrame, labels: DataFrame, seed: int = 7, k: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_grams, log_weight, mean_log_weight, gumbel_key, sampled: one row a row of ``docs``, with its columns ``carry``.
+def gumbel(seed: int) -> Column:
+    """Gumbel noise of a scored row: a hash of seed and id, or, without an id, of seed and content."""
+    h = F.when(F.col("_id").isNull(), F.xxhash64(F.lit(seed), F.lit("row"), "n_grams", "log_weight")).otherwise(F.xxhash64(F.lit(seed), "_id"))
+    return -F.log(-F.log((F.pmod(h, F.lit(1 << 52)) + 0.5) / float(1 << 52)))
 
-    Exactly k rows are drawn (all, if there are fewer): ties of keys go by hashes of the row, then by its place.  A null or
-    empty text has no n-grams, weight 0 and a null mean, and is drawn after all others.  Rows of one id share their noise;
-    rows without an id have noise of their own by their content.  Without labelled good rows all weights are 0 and every
-    row is drawn.  An empty table gives no rows.
-    """
-    sample = [t.encode() for t, y in labelled(docs, labels, "quality", MAX_FIT, MAX_FIT_BYTES, classes=(1,)) if y == 1]
-    raw = corpus_counts(docs)
-    ratio = log_ratio(counts(sample), raw) if sample else np.zeros(3 << BITS, np.float32)
-    floor = -np.inf
+
+def weighed(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = ()) -> tuple[DataFrame, dict[str, str], float | None]:
+    """_id, n_grams, log_weight, mean_log_weight and the columns ``carry`` under names of their own; those names; the mean from which on a
+    document looks like the target (None without labelled good rows)."""
+    sample = [t.encode() for t, _ in labelled(docs, labels, "quality", MAX_FIT, MAX_FIT_BYTES, classes=(1,))]
+    ratio = log_ratio(counts(sample), corpus_counts(docs)) if sample else np.zeros(3 << BITS, np.float32)
+    floor = None
     if sample:
         w, n = log_weights(sample, ratio)
-        if (n > 0).any():
-            floor = float(np.quantile((w / np.maximum(n, 1))[n > 0], MISS)) - SLACK
+        floor = float(np.quantile((w / np.maximum(n, 1))[n > 0], MISS)) - SLACK if (n > 0).any() else -np.inf
     sent = docs.sparkSession.sparkContext.broadcast(ratio)  # of fixed size: 3 << BITS floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,14 +143,28 @@ def resample(docs: DataFrame, labels: DataFrame, seed: int = 7, k: int | None =
 
     own, names, kinds = carried(docs, carry)
     scored = own.mapInArrow(lean(run), "_id long, n_grams long, log_weight double" + kinds)
-    mean = F.when(F.col("n_grams") > 0, F.col("log_weight") / F.col("n_grams"))
-    noise = F.when(F.col("_id").isNull(), F.xxhash64(F.lit(seed), F.lit("row"), "n_grams", "log_weight")).otherwise(F.xxhash64(F.lit(seed), "_id"))
-    u = (F.pmod(noise, F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    scored = scored.withColumn("mean_log_weight", mean).withColumn("gumbel_key", LENGTH * F.coalesce("mean_log_weight", F.lit(LAST)) - F.log(-F.log(u)))
+    return scored.withColumn("mean_log_weight", F.when(F.col("n_grams") > 0, F.col("log_weight") / F.col("n_grams"))), names, floor
+
+
+def gumbel_key(seed: int) -> Column:
+    """What the k largest of are drawn: the log weight of ``SPAN`` n-grams plus noise."""
+    return SPAN * F.coalesce("mean_log_weight", F.lit(LAST)) + gumbel(seed)
+
+
+def resample(docs: DataFrame, labels: DataFrame, seed: int = 7, k: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_grams, log_weight, mean_log_weight, gumbel_key, sampled: one row a row of ``docs``, with its columns ``carry``.
+
+    Exactly k rows are drawn (all, if there are fewer): ties of keys go by hashes of the row, then by its place.  A null or
+    empty text has no n-grams, weight 0 and a null mean, and is drawn after all others.  Rows of one id share their noise;
+    rows without an id have noise of their own by their content.  Without labelled good rows all weights are 0 and, unless k is
+    given, every row is drawn.  An empty table gives no rows.
+    """
+    scored, names, floor = weighed(docs, labels, carry)
+    scored = scored.withColumn("gumbel_key", gumbel_key(seed))
     # the order of drawing: key, hash, place
     scored = scored.select("*", (-F.col("gumbel_key")).alias("_first"), F.xxhash64("_id", "n_grams", "log_weight").alias("_then"), F.monotonically_increasing_id().alias("_place"))
     scored = stage(scored, "importance")
-    if k is None:
-        k = scored.filter(F.col("mean_log_weight") >= floor).count() if sample else None
+    if k is None and floor is not None:
+        k = scored.filter(F.col("mean_log_weight") >= floor).count()
     drawn = F.lit(True) if k is None or k >= scored.count() else first_rows(scored, ("_first", "_then", "_place"), k)
     return scored.select(F.col("_id").alias("doc_id"), "n_grams", "log_weight", "mean_log_weight", "gumbel_key", drawn.alias("sampled"), *(F.col(n).alias(c) for c, n in names.items() if c != "doc_id"))

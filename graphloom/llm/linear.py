@@ -11,35 +11,35 @@ from pyspark.sql import functions as F
 from .hashed import Texts, fold, groups, pairs, sums
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, max_bytes: int | None, where: Column | None = None, per_class: tuple[float, float] = (1, 1), all_bytes: int | None = None, classes: tuple[int, ...] = (0, 1)) -> list[tuple[str, int]]:
-    """A bounded sample for fitting: up to ``most`` times ``per_class`` labelled rows of each class whose text has at most ``max_bytes`` bytes.
+def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, all_bytes: int, where: Column | None = None, per_class: tuple[float, float] = (1, 1), classes: tuple[int, ...] = (0, 1)) -> list[tuple[str, int]]:
+    """A bounded sample for fitting: up to ``most`` times ``per_class`` labelled rows of each class, of all lengths.
 
-    With ``all_bytes`` the bytes of a class's texts together, up to ``all_bytes`` times ``per_class``, are bounded; only rows
-    that no longer fit in are passed over.  Rows are taken in the order of a hash of their id, which no label or text decides; contradicting labels
-    count as their largest; only ``classes`` are fetched.  Only fitting is bounded; what is scored never is.
+    The bytes of a class's texts together are at most ``all_bytes`` times ``per_class``; only rows that no longer fit in are
+    passed over.  Rows are taken in the order of a hash of their id, which no label or text decides; contradicting labels
+    count as their largest, and of several texts of one id the smallest is taken; only ``classes`` are fetched.  Only fitting is
+    bounded; what is scored never is.
     """
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).dropna()
     if where is not None:
         marks = marks.filter(where)
     marks = marks.groupBy("doc_id").agg(F.max("y").alias("y"))
-    short = F.lit(True) if max_bytes is None else F.octet_length("text") <= max_bytes
-    sizes = docs.filter(short).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"))
+    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"))
     marks = marks.join(sizes.groupBy("doc_id").agg(F.max("n").alias("n")), "doc_id")
     order = F.md5(F.concat(F.lit("fit:"), F.col("doc_id").cast("string")))
     ids = []
     for y in classes:
-        room = None if all_bytes is None else int(all_bytes * per_class[y])
+        room = int(all_bytes * per_class[y])
         for r in marks.filter(F.col("y") == y).orderBy(order, "doc_id").limit(int(most * per_class[y])).collect():
-            if room is None or r.n <= room:
+            if r.n <= room:
                 ids.append((r.doc_id, r.y))
-                room = None if room is None else room - r.n
+                room -= r.n
     if not ids:
         return []
     want = dict(ids)
     low = min(want)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(short).filter(F.col("doc_id") >= low)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("doc_id") >= low)
     chosen = docs.sparkSession.createDataFrame(ids, "doc_id long, y int")
-    rows = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).collect()
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect()
     return sorted(((r.text or "", int(r.y)) for r in rows), key=lambda x: (zlib.crc32(x[0].encode()), x))
 
 

@@ -1,7 +1,7 @@
 """Operator 3: rules on counts, then a calibrated hashed n-gram classifier against a fixed threshold.
 
 The classifier is a logistic regression on shares of hashed character 3- and 4-grams, words and word pairs of the
-whole text, fitted on a bounded sample of labelled rows (``MAX_FIT`` a class, texts of up to ``MAX_FIT_BYTES``),
+whole text, fitted on a bounded sample of labelled rows of all lengths (``MAX_FIT`` rows and ``MAX_FIT_BYTES`` of text a class),
 its probability calibrated by Platt's method on the fifth of the sample that fitting leaves out.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import documents, lean
 from .linear import calibrate, fit_logistic, labelled, linear_scores, logistic, vectors
 
-MAX_FIT, MAX_FIT_BYTES, BITS = 1500, 16_384, 11
+MAX_FIT, MAX_FIT_BYTES, BITS = 1500, 8 << 20, 11
 #: A text is kept at this probability of good quality or more.
 KEEP_AT = 0.3
 #: Base rules: fewest words, and most repeated words in a hundred.
@@ -88,7 +88,11 @@ RESULT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_line
 
 
 def score(docs: DataFrame, model: Quality | None, keep_at: float = KEEP_AT) -> DataFrame:
-    """One row a document.  A null or empty text has no words, fails the base rules and has a null quality."""
+    """One row a row of ``docs``, each by its own text whatever its id or its other columns are.
+
+    A null or empty text has no words, fails the base rules and has a null quality.  Texts of any length count whole.  A quality of
+    exactly ``keep_at`` is kept.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: 4 << BITS weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -210,37 +210,63 @@ def test_importance_resampling(spark, docs, labels, odd, none):
 
 
 def test_importance_weights_by_definition(docs, labels):
-    """Log weights, their means and the order of drawing, recomputed with Counters of n-grams instead of arrays of cells."""
+    """Log weights and their means, recomputed with Counters of n-grams that plain Python finds."""
     got = {r.doc_id: r for r in importance.resample(docs, labels).collect()}
     texts = {r.doc_id: r.text.encode() for r in docs.collect()}
     sample = [t.encode() for t, y in linear.labelled(docs, labels, "quality", importance.MAX_FIT, importance.MAX_FIT_BYTES) if y == 1]
+    of: tuple[dict, dict, dict] = ({}, {}, {})  # an n-gram's cell, which must be one
+
+    def grams(raw):
+        words = raw.split()  # at ASCII white space
+        return words, [*zip(words, words[1:]), *((w,) for w in words[-1:])], [(raw + b"\0" * 4)[k : k + 4] for k in range(len(raw))]
 
     def cells(raw):
-        """Cells of each kind of n-gram, one n-gram at a time (words, pairs with the last word's own, bytes in place)."""
         t = importance.Texts([raw], lower=False)
-        return [Counter(np.asarray(f)[x[0] : y[0]].tolist()) for f, x, y in importance._items(t)]
+        out = []
+        for kind, (own, (f, x, y)) in enumerate(zip(grams(raw), importance._items(t))):
+            cell = np.asarray(f)[x[0] : y[0]].tolist()
+            assert len(cell) == len(own) and all(of[kind].setdefault(g, c) == c for g, c in zip(own, cell))
+            out.append(Counter(cell))
+        return out
 
     add = lambda parts: [sum((p[k] for p in parts), Counter()) for k in range(3)]
     raw, target = add([cells(t) for t in texts.values()]), add([cells(t) for t in sample])
     size = 1 << importance.BITS
-    means, floor_of = {}, []
-    for i, t in [*texts.items(), *((None, t) for t in sample)]:
+    assert all(len(set(x.values())) > 0.5 * min(len(x), size) for x in of)  # n-grams are spread over the cells
+    for i, t in texts.items():
         w = n = 0
         for k, c in enumerate(cells(t)):
             whole = [sum(x[k].values()) + size for x in (target, raw)]
             for cell, m in c.items():
                 w, n = w + m * np.log((target[k][cell] + 1) / whole[0] * whole[1] / (raw[k][cell] + 1)), n + m
-        if i is None:
-            floor_of.append(w / n)
-        else:
-            assert got[i].n_grams == n and abs(got[i].log_weight - w) < 1e-3 * max(1, abs(w))
-            means[i] = w / n if n else -1e6
-    floor = np.quantile(floor_of, importance.MISS) - importance.SLACK
-    k = sum(m >= floor for m in means.values())
-    drawn = {i for i, r in got.items() if r.sampled}
-    assert abs(len(drawn) - k) <= 1
-    # what is drawn is what is above the floor, apart from noise of a few hundredths
-    assert all(means[i] > floor - 0.02 for i in drawn) and all(means[i] < floor + 0.02 for i in set(means) - drawn)
+        assert got[i].n_grams == n and abs(got[i].log_weight - w) < 1e-3 * max(1, abs(w))
+        assert (got[i].mean_log_weight is None) == (n == 0)
+
+
+def test_importance_draws_in_proportion_to_weights(spark, docs, labels):
+    """Over many seeds, rows are drawn as often as sampling without replacement by exp(SPAN * mean) draws them: neither a
+    threshold nor the k largest weights."""
+    seeds, k = range(300), 90
+    scored, _, _ = importance.weighed(docs, labels)
+    pdf = scored.filter("n_grams > 0").select("_id", "mean_log_weight", *(importance.gumbel_key(s).alias(f"k{s}") for s in seeds)).toPandas()
+    weight = np.exp(importance.SPAN * pdf.mean_log_weight.to_numpy())
+    drawn = np.zeros(len(pdf))
+    overlap = []
+    top = set(np.argsort(-weight, kind="stable")[:k].tolist())
+    for s in seeds:
+        own = np.argsort(-pdf[f"k{s}"].to_numpy())[:k]
+        drawn[own] += 1
+        overlap.append(len(top & set(own.tolist())) / k)
+    # one row after another, in proportion to what is left
+    rng, want = np.random.default_rng(5), np.zeros(len(pdf))
+    for _ in range(2000):
+        want[rng.choice(len(pdf), k, replace=False, p=weight / weight.sum())] += 1
+    gap = np.abs(drawn / len(seeds) - want / 2000)
+    assert gap.max() < 0.15 and gap.mean() < 0.03
+    assert 0.5 < np.mean(overlap) < 0.9 and 0.1 < (drawn > 0).mean() and ((drawn > 0) & (drawn < len(seeds))).mean() > 0.5
+    for s in (0, 3):
+        ids = {r.doc_id for r in importance.resample(docs, labels, seed=s, k=k).filter("sampled").collect()}
+        assert ids == set(pdf.sort_values(f"k{s}", ascending=False)._id[:k])
 
 
 def test_first_rows_breaks_ties(spark):
@@ -344,8 +370,8 @@ def test_toxicity_of_long_texts(spark, docs, labels):
     # texts of all lengths are drawn; only those that no longer fit into the bytes of all are passed over
     d = spark.createDataFrame([(k, "x " * 10_000 if k < 4 else "y") for k in range(8)], "doc_id long, text string")
     lab = d.select("doc_id", (d.doc_id % 2).cast("int").alias("toxic"))
-    assert sum(len(t) for t, _ in linear.labelled(d, lab, "toxic", 10, None, all_bytes=1 << 20)) == 4 * 20_001
-    assert sorted(len(t) for t, _ in linear.labelled(d, lab, "toxic", 10, None, all_bytes=25_000)) == [1] * 4 + [20_000] * 2
+    assert sum(len(t) for t, _ in linear.labelled(d, lab, "toxic", 10, 1 << 20)) == 4 * 20_001
+    assert sorted(len(t) for t, _ in linear.labelled(d, lab, "toxic", 10, 25_000)) == [1] * 4 + [20_000] * 2
 
 
 def test_metric_join(spark):
