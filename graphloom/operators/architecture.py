@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .graph import written
 from .relational import longest_prefix, top_per_key
 
 #: Files that mark a module's root.
@@ -101,5 +102,13 @@ def within_caps(nodes: DataFrame, edges: DataFrame, most_nodes: int = 800, most_
 
 
 def ordered_distinct(rows: DataFrame, key: str, place: str) -> DataFrame:
-    """Each key once, in the order of its first place."""
-    return rows.groupBy(key).agg(F.min(place).alias(place)).withColumn("rank", F.row_number().over(W.orderBy(place, key)))
+    """Each key once with its rank in the order of first places.
+
+    Keys are dealt to ranges of places; a rank is the keys of earlier ranges plus the place in its own, so no task orders all keys.
+    """
+    first = rows.groupBy(key).agg(F.min(place).alias(place)).repartitionByRange(place, key).withColumn("_range", F.spark_partition_id())
+    first = written(first, "ranges")  # a range must stay what it was when it was counted
+    count = first.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # a row a range
+    earlier = count.select("_range", F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = F.row_number().over(W.partitionBy("_range").orderBy(place, key))
+    return first.withColumn("_own", own).join(earlier, "_range").withColumn("rank", (F.col("_before") + F.col("_own")).cast("bigint")).drop("_range", "_own", "_before")

@@ -60,12 +60,51 @@ def trace(edges: DataFrame, seeds: DataFrame, depth: int, limit: int | None = No
     return out.orderBy("depth", "a", "b").limit(limit) if limit else out
 
 
+def shortest_tree(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    """node, depth, parent: every node within ``depth`` edges (a, b) of a seed, at its first depth, and the least node of the level
+    before that has an edge to it (null for seeds)."""
+    edges = _staged(edges.select("a", "b").filter("a <> b"))
+    kind = dict(edges.dtypes)["a"]
+    seen = written(seeds.select(F.col(seeds.columns[0]).cast(kind).alias("node")).distinct().withColumns({"depth": F.lit(0), "parent": F.lit(None).cast(kind)}), "tree")
+    front, out = seen, seen
+    for d in range(1, depth + 1):
+        nxt = front.select(F.col("node").alias("a")).join(edges, "a").groupBy(F.col("b").alias("node")).agg(F.min("a").alias("parent"))
+        front = written(nxt.join(seen.select("node"), "node", "left_anti").select("node", F.lit(d).alias("depth"), "parent"), "tree")
+        if front.isEmpty():
+            break
+        out = seen = seen.union(front)
+    return out
+
+
+def paths_to(tree: DataFrame, targets: DataFrame) -> DataFrame:
+    """target, depth, path: for each target in a ``shortest_tree`` the nodes from its seed to it, by walking back level by level.
+
+    All targets walk at once: a level is one join of as many rows as there are targets.
+    """
+    now = tree.join(targets.select(F.col(targets.columns[0]).alias("node")).distinct(), "node").select(F.col("node").alias("target"), "depth", "parent", F.array("node").alias("path"))
+    deepest = now.agg(F.max("depth")).first()[0] or 0
+    for _ in range(deepest):
+        up = tree.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
+        moved = now.join(up, "parent", "left")
+        on = F.col("parent").isNotNull()
+        now = written(moved.select("target", "depth", F.when(on, F.col("above")).alias("parent"), F.when(on, F.concat(F.array("parent"), "path")).otherwise(F.col("path")).alias("path")), "paths")
+    return now.select("target", "depth", "path")
+
+
+def flow_paths(edges: DataFrame, seeds: DataFrame, targets: DataFrame, depth: int = 4) -> DataFrame:
+    """target, depth, path: one shortest path (of least parents) from a seed to each target within ``depth`` edges."""
+    return paths_to(shortest_tree(edges, seeds, depth), targets)
+
+
 def affected_tests(edges: DataFrame, roles: DataFrame, changed: DataFrame, depth: int = 4) -> DataFrame:
-    """node, distance: tests that reach a changed file over imports (``a`` imports ``b``); traversal passes through tests."""
-    back = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    found = reach(back, changed, depth)
-    tests = roles.filter("role = 'test_source'").select(F.col("node"))
-    return found.join(tests, "node", "left_semi").select("node", F.col("depth").alias("distance"))
+    """node, distance, via: tests that reach a changed file over imports (``a`` imports ``b``), and the imported file that they reach it by
+    (the least of the nearest).  Traversal passes through tests; a changed test counts only if it imports such a file."""
+    edges = _staged(edges.select("a", "b").filter("a <> b"))
+    near = reach(edges.select(F.col("b").alias("a"), F.col("a").alias("b")), changed, depth - 1)
+    tests = roles.filter("role in ('test_source', 'mock_source')").select(F.col("node").alias("a")).distinct()
+    met = edges.join(tests, "a", "left_semi").join(near.select(F.col("node").alias("b"), "depth"), "b")
+    first = met.groupBy(F.col("a").alias("node")).agg(F.min(F.struct("depth", "b")).alias("m"))
+    return first.select("node", (F.col("m.depth") + 1).alias("distance"), F.col("m.b").alias("via"))
 
 
 def degrees(*edges: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Versioned task checkpoints with optimistic concurrency."""
+"""Phases of task checkpoints, and the state of their claims (``versions`` keeps the checkpoints)."""
 
 from __future__ import annotations
 
@@ -7,17 +7,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def latest(checkpoints: DataFrame) -> DataFrame:
-    """The newest version of each task."""
-    return checkpoints.groupBy("task").agg(F.max("version").alias("version"), F.max_by("phase", "version").alias("phase"))
-
-
-def conflicts(saves: DataFrame) -> DataFrame:
-    """Saves whose expected version is not the one before them."""
-    before = F.coalesce(F.lag("version").over(W.partitionBy("task").orderBy("version", "expected")), F.lit(0))
-    return saves.withColumn("before", before).filter("expected <> before")
-
-
 #: The phases that may follow each phase (every phase may stay).
 TRANSITIONS = {"discovery": ("impact", "implementation"), "impact": ("implementation",), "implementation": ("verification",), "verification": ("implementation", "review", "complete"), "review": ("implementation", "verification", "complete"), "complete": ()}
 

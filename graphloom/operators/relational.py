@@ -194,6 +194,29 @@ def reserved_slots(df: DataFrame, key: str, kind: str, order: list[Column], rese
     return ranked.withColumn("place", place).filter(F.col("place") <= most).drop("_k")
 
 
+def spent_budget(rows: DataFrame, keys: list[str], order: list, size: str, budget: int, least: int = 500, most: int = 5, each: str | int | None = None) -> DataFrame:
+    """``rows`` that a key's budget is spent on, one after another in their order, with ``place``, ``taken``, ``truncated`` and ``used`` (so far).
+
+    A row takes its ``size``, at most ``each`` (a number, or a column of the row) and what is left; with less than ``least`` left no more
+    are taken, nor after ``most`` rows.  Rows without a size take nothing and no place.  As each row takes something, a key's first
+    ``most`` rows decide; only they are gathered.
+    """
+    some = top_per_key(rows.filter(F.col(size) > 0), keys, order, most)
+    own = [c for c in some.columns if c not in (*keys, "rn")]
+    at_most = F.col(size) if each is None else F.least(F.col(size), F.lit(each) if isinstance(each, int) else F.col(each))
+    listed = some.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rn", at_most.cast("bigint").alias("want"), F.col(size).cast("bigint").alias("whole")))).alias("r"))
+
+    def take(used, row):
+        left = F.lit(budget) - used["used"]
+        n = F.when(used["open"] & (left >= least), F.least(row["want"], left)).otherwise(0)
+        taken = F.struct(row["rn"].alias("rn"), n.alias("taken"), (n < row["whole"]).alias("truncated"), (used["used"] + n).alias("used"))
+        return F.struct((used["used"] + n).alias("used"), (used["open"] & (left >= least)).alias("open"), F.concat(used["rows"], F.array(taken)).alias("rows"))
+
+    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.lit(True).alias("open"), F.expr("cast(array() as array<struct<rn: int, taken: bigint, truncated: boolean, used: bigint>>)").alias("rows"))
+    spent = listed.select(*keys, F.explode(F.filter(F.aggregate("r", start, take)["rows"], lambda x: x["taken"] > 0)).alias("x")).select(*keys, "x.*")
+    return some.select(*keys, "rn", *own).join(spent, [*keys, "rn"]).withColumnRenamed("rn", "place")
+
+
 def within_budget(df: DataFrame, keys: list[str], order: list[Column], size: str, budget: int, most: int) -> DataFrame:
     """The first rows of a key (``most`` at most) whose sizes so far, ``used``, stay within the budget."""
     w = W.partitionBy(*keys).orderBy(*order)

@@ -21,15 +21,24 @@ LOW_SIGNAL = (
 NAME = r"^[A-Za-z_$][A-Za-z0-9_$]*(\.[A-Za-z_$][A-Za-z0-9_$]*)*$"
 
 
-def classified(calls: DataFrame) -> DataFrame:
+def edge_fault(longest: int | None = 2048) -> Column:
+    """Why a call is no edge: no name at an end, a line break or more than ``longest`` characters there (None: any length); null for others."""
+    bad = lambda c: F.when(F.coalesce(F.trim(c), F.lit("")) == "", "no name").when(F.trim(c).rlike(r"[\r\n]"), "line break").when(F.lit(longest is not None) & (F.length(F.trim(c)) > F.lit(longest or 0)), "too long")
+    return F.coalesce(bad("caller"), bad("callee"))
+
+
+def left_out(calls: DataFrame, longest: int | None = 2048) -> DataFrame:
+    """fault, n: calls that ``classified`` leaves out."""
+    return calls.groupBy(edge_fault(longest).alias("fault")).agg(F.count(F.lit(1)).alias("n")).filter("fault is not null")
+
+
+def classified(calls: DataFrame, longest: int | None = 2048) -> DataFrame:
     """Calls (caller, callee, confidence, resolution) with tier, reasons and confidence by what is known of them.
 
-    A call without a name at one end, or with more than 2,048 characters or a line break there, is no edge.
+    Calls with an ``edge_fault`` are no edges (``left_out`` counts them).
     """
     ends = [F.trim(c) for c in ("caller", "callee")]
-    rows = calls.withColumns({"caller": ends[0], "callee": ends[1]})
-    for c in ("caller", "callee"):
-        rows = rows.filter((F.col(c) != "") & (F.length(c) <= 2048) & ~F.col(c).rlike(r"[\r\n]"))
+    rows = calls.filter(edge_fault(longest).isNull()).withColumns({"caller": ends[0], "callee": ends[1]})
     provided = F.col("resolution").eqNullSafe("scip-reference")
     reasons = F.array_compact(F.array(
         F.when(~F.col("caller").rlike(NAME), "caller is an expression"), F.when(~F.col("callee").rlike(NAME), "callee is an expression"),
@@ -84,6 +93,23 @@ def resolved_owners(calls: DataFrame, methods: DataFrame, fields: DataFrame, ext
     return rows.select(*calls.columns, F.when(found, F.concat_ws(".", owner, "method")).alias("resolved"), F.when(found, how).alias("how"), F.when(found, sure).alias("sure"))
 
 
+def bare_names(calls: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Calls (file, callee, tier, resolution, confidence, ...) with bare names resolved to symbols (fq_name, name, kind, file, role).
+
+    Only primary calls by name alone and without a dot: to the first function or method of that name in the same file (0.8), else to the only
+    one of that name anywhere (0.75).  Symbols count if they are of the main or generated source; what is ambiguous stays as it is.
+    """
+    own = symbols.filter(F.col("kind").isin("function", "method") & F.col("role").isin("main_source", "generated")).select("fq_name", "name", "file")
+    local = own.groupBy("file", F.col("name").alias("callee")).agg(F.min("fq_name").alias("_local"))
+    only = own.groupBy(F.col("name").alias("callee")).agg(F.count(F.lit(1)).alias("_n"), F.min("fq_name").alias("_only")).filter("_n = 1").drop("_n")
+    rows = calls.join(local, ["file", "callee"], "left").join(only, "callee", "left")
+    bare = (F.col("resolution") == "name-only") & (F.col("tier") == "primary") & ~F.contains("callee", F.lit("."))
+    near, far = bare & F.col("_local").isNotNull(), bare & F.col("_only").isNotNull()
+    pick = lambda a, b, c: F.when(near, a).when(far, b).otherwise(c)
+    new = {"callee": pick(F.col("_local"), F.col("_only"), F.col("callee")), "resolution": pick(F.lit("name-local"), F.lit("name-unique"), F.col("resolution")), "confidence": pick(F.lit(0.8), F.lit(0.75), F.col("confidence"))}
+    return rows.select(*(new.get(c, F.col(c)).alias(c) for c in calls.columns))
+
+
 def unresolved_imports(imports: DataFrame, symbols: DataFrame, external: Column, most: int = 200, top: int = 20) -> DataFrame:
     """source, n: imports of no type that is known by its full or last name, of the ``most`` frequent ones."""
     n = imports.filter(~external).groupBy("source").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "source").limit(most)
@@ -96,25 +122,34 @@ def unresolved_imports(imports: DataFrame, symbols: DataFrame, external: Column,
 def not_called(fields: DataFrame, texts: DataFrame) -> DataFrame:
     """Fields (name, type) that look like services and whose type and name no called text (``text``) contains.
 
-    Containment is an equi-join: the called texts' substrings of the lengths that the fields' names have (a few dozen).
+    Containment is an equi-join with substrings of the lengths that the fields' names have (a few dozen).  A name of identifier
+    characters can only be within one of the texts' identifiers, so only their vocabulary is cut; whole texts are cut for other names.
     """
     kind = F.trim(F.regexp_replace(F.coalesce("type", F.lit("")), "<.*>$", ""))
     like = F.when(kind != "", kind).otherwise(F.concat(F.upper(F.substring("name", 1, 1)), F.substring(F.col("name"), F.lit(2), F.length("name"))))
     rows = fields.withColumn("service", like).filter(F.col("service").rlike("(Service|Client|Gateway|Repository|Dao|Manager)$"))
     needles = rows.select(F.explode(F.array(F.lower("service"), F.lower("name"))).alias("needle")).distinct()
-    lengths = [r.n for r in needles.select(F.length("needle").alias("n")).distinct().collect()]  # as many as names have lengths
-    if not lengths:
+    plain = F.col("needle").rlike(f"^{_PLAIN}$")
+    lengths = needles.groupBy(plain.alias("plain"), F.length("needle").alias("n")).count().collect()  # as many as names have lengths
+    called = None
+    for is_plain in {r.plain for r in lengths}:
+        own = texts.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(_PLAIN), F.lit(0))).alias("t")) if is_plain else texts.select(F.lower("text").alias("t"))
+        inside = own.distinct().select(F.explode(F.array_distinct(F.concat(*(_cuts(F.col("t"), r.n) for r in sorted(lengths) if r.plain == is_plain)))).alias("needle")).distinct()
+        hit = needles.filter(plain == is_plain).join(inside, "needle", "left_semi")
+        called = hit if called is None else called.union(hit)
+    if called is None:
         return rows
-    t = F.lower("text")
-    parts = [F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - (n - 1), F.lit(1))), _cut(t, n))).otherwise(F.array().cast("array<string>")) for n in sorted(lengths)]
-    inside = texts.select("text").distinct().select(F.explode(F.array_distinct(F.concat(*parts))).alias("needle")).distinct()
-    called = needles.join(inside, "needle", "left_semi")
     out = rows.join(called.withColumnRenamed("needle", "n1"), F.lower("service") == F.col("n1"), "left_anti")
     return out.join(called.withColumnRenamed("needle", "n2"), F.lower("name") == F.col("n2"), "left_anti")
 
 
-def _cut(t: Column, n: int):
-    return lambda k: F.substring(t, k, F.lit(n))
+_PLAIN = "[a-z0-9_$.]+"
+
+
+def _cuts(t: Column, n: int) -> Column:
+    """The substrings of ``n`` characters."""
+    at = F.sequence(F.lit(1), F.greatest(F.length(t) - (n - 1), F.lit(1)))
+    return F.when(F.length(t) >= n, F.transform(at, lambda k: F.substring(t, k, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
 
 def lookup_terms(symbol: str) -> list[str]:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import filters
-from .graph import affected_tests
+from .graph import affected_tests, written
 
 
 def changed_paths(changes: DataFrame, files: DataFrame) -> DataFrame:
@@ -20,12 +20,12 @@ def changed_paths(changes: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def selected_tests(changes: DataFrame, files: DataFrame, edges: DataFrame, depth: int = 4, limit: int = 200) -> DataFrame:
-    """path, distance: tests that reach a traced change, and changed tests themselves at 0; ``limit`` nearest ones."""
+    """path, distance, via: the ``limit`` nearest tests that reach a traced change, and changed tests that none of them is, at 0 by themselves."""
     traced = changed_paths(changes, files).filter("decision = 'traced'")
     reached = affected_tests(edges, files.selectExpr("path AS node", "role"), traced.selectExpr("path AS node"), depth)
-    own = traced.filter(F.col("role").isin("test_source", "mock_source")).selectExpr("path", "0 AS distance")
-    every = reached.filter("distance > 0").selectExpr("node AS path", "distance").orderBy("distance", "path").limit(limit).union(own)
-    return every.groupBy("path").agg(F.max("distance").alias("distance"))
+    near = written(reached.selectExpr("node AS path", "distance", "via").orderBy("distance", "path").limit(limit), "tests")
+    own = traced.filter(F.col("role").isin("test_source", "mock_source")).selectExpr("path", "0 AS distance", "path AS via").distinct()
+    return near.union(own.join(near, "path", "left_anti"))
 
 
 def selection_verdict(changes: DataFrame, files: DataFrame, tests: DataFrame, limit: int = 200) -> DataFrame:

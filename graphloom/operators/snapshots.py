@@ -3,45 +3,37 @@
 from __future__ import annotations
 
 import json
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import versions
+
 #: Most changed files of an incremental refresh, and their share of all.
 MOST_CHANGED, CHANGED_SHARE = 500, 0.2
 
 
-def _fs(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
 def write_facts(tables: dict[str, DataFrame], base: str, snapshot: str) -> None:
     """Each table of a snapshot below ``base``/table/snapshot_id=...; a repeated write replaces what was there."""
     for name, df in tables.items():
         df.write.mode("overwrite").option("compression", "zstd").parquet(f"{base}/{name}/snapshot_id={snapshot}")
 
 
-def commit(spark: SparkSession, base: str, snapshot: str) -> None:
-    """Make a written snapshot the current one: the pointer is renamed into place, so readers see the old or the new one."""
-    fs, target = _fs(spark, f"{base}/current.json")
-    _, draft = _fs(spark, f"{base}/current-{uuid.uuid4().hex[:12]}")
-    out = fs.create(draft, True)
-    out.write(bytearray(json.dumps({"snapshot": snapshot}).encode()))
-    out.close()
-    fs.delete(target, False)
-    if not fs.rename(draft, target):
-        raise OSError(f"{base}: the pointer could not be renamed")
+def commit(spark: SparkSession, base: str, snapshot: str, expected: int | None = None) -> int:
+    """Make a written snapshot the current one; gives the new version of the pointer.
+
+    With ``expected`` it fails with ``versions.Conflict`` unless that is the pointer's version; without, it follows whatever is there.
+    The pointer is a log of versions: readers see the old one or the new one, always one of them.
+    """
+    log = f"{base}/_current"
+    return versions.update(spark, log, lambda _: {"snapshot": snapshot}) if expected is None else versions.append(spark, log, {"snapshot": snapshot}, expected)
 
 
 def current(spark: SparkSession, base: str) -> str | None:
     """The current snapshot's id; None before the first commit."""
-    fs, target = _fs(spark, f"{base}/current.json")
-    if not fs.exists(target):
-        return None
-    return json.loads(spark.read.text(f"{base}/current.json", wholetext=True).first().value)["snapshot"]
+    _, body = versions.read_version(spark, f"{base}/_current")
+    return body and body["snapshot"]
 
 
 def read_facts(spark: SparkSession, base: str, name: str, snapshot: str | None = None) -> DataFrame:

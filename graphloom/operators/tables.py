@@ -68,12 +68,12 @@ _RICH = (
 
 def search_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, fq_name, name, kind, file, line, package, role, framework_role, signature, db_name, synthetic, annotations, in_degree"""
-    s = read(spark, sf_dir, "part").selectExpr(*_split(_RICH), "CASE p_size % 5 WHEN 0 THEN array('Transactional') WHEN 1 THEN array('Cacheable', 'Valid') ELSE cast(array() AS array<string>) END AS annotations")
+    s = read(spark, sf_dir, "part").selectExpr(*split_columns(_RICH), "CASE p_size % 5 WHEN 0 THEN array('Transactional') WHEN 1 THEN array('Cacheable', 'Valid') ELSE cast(array() AS array<string>) END AS annotations")
     n = calls(spark, sf_dir).filter("tier IN ('primary', 'provider')").groupBy(F.expr("cast(substring(callee, 2) AS bigint)").alias("id")).agg(F.count(F.lit(1)).alias("in_degree"))
     return s.join(n, "id", "left")
 
 
-def _split(columns: str) -> list[str]:
+def split_columns(columns: str) -> list[str]:
     """The expressions of a select list: cut at commas outside brackets and quotes."""
     out, depth, quoted = [""], 0, False
     for c in columns:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import graph as G
 from ..operators import relational as R
+from ..operators import resolution as N
 from ..operators.tables import calls, dependencies, endpoints, files, query_log, read, sql, symbols
 from .registry import query
 
@@ -105,19 +106,14 @@ def jn09_unique_names(spark, sf_dir):
     return R.unique_match(s, "name", "fq_name")
 
 
-@query(sql("symbols", "calls", rest="""SELECT c.callee, c.n, CASE WHEN l.fq_name IS NOT NULL THEN 'name-local' WHEN g.fq_name IS NOT NULL THEN 'name-unique' ELSE 'name-only' END AS resolution, coalesce(l.fq_name, g.fq_name) AS fq_name, CASE WHEN l.fq_name IS NOT NULL THEN 0.8::DOUBLE WHEN g.fq_name IS NOT NULL THEN 0.75::DOUBLE END AS confidence, c.file
- FROM (SELECT file, callee, count(*) AS n FROM calls WHERE tier = 'primary' GROUP BY ALL) c
- LEFT JOIN (SELECT file, 'P'||(id % 300) AS callee, min(fq_name) AS fq_name FROM symbols GROUP BY ALL) l ON l.file = c.file AND l.callee = c.callee
- LEFT JOIN (SELECT callee, min(fq_name) AS fq_name FROM (SELECT 'P'||(id % 1700) AS callee, fq_name FROM symbols) GROUP BY callee HAVING count(*) = 1) g ON g.callee = c.callee"""))
+@query(sql("symbols", "calls", rest="""WITH own AS (SELECT fq_name, 'P'||(id % 300) AS name, file FROM symbols WHERE kind IN ('method', 'enum') AND id % 10 > 2), c AS (SELECT file, caller, line, tier, confidence, CASE WHEN line = 3 THEN 'x.'||callee ELSE callee END AS callee, CASE WHEN line % 5 = 0 THEN 'import' ELSE 'name-only' END AS resolution FROM calls),
+ k AS (SELECT *, tier = 'primary' AND resolution = 'name-only' AND NOT contains(callee, '.') AS bare FROM c), l AS (SELECT file, name, min(fq_name) AS fq FROM own GROUP BY ALL), g AS (SELECT name, min(fq_name) AS fq FROM own GROUP BY name HAVING count(*) = 1)
+ SELECT k.file, k.caller, k.line, CASE WHEN bare THEN coalesce(l.fq, g.fq, callee) ELSE callee END AS callee, CASE WHEN bare AND l.fq IS NOT NULL THEN 'name-local' WHEN bare AND g.fq IS NOT NULL THEN 'name-unique' ELSE resolution END AS resolution, CASE WHEN bare AND l.fq IS NOT NULL THEN 0.8::DOUBLE WHEN bare AND g.fq IS NOT NULL THEN 0.75::DOUBLE ELSE confidence END AS confidence
+ FROM k LEFT JOIN l ON l.file = k.file AND l.name = k.callee LEFT JOIN g ON g.name = k.callee"""))
 def gr21_bare_name_resolution(spark, sf_dir):
-    c = calls(spark, sf_dir).filter("tier = 'primary'").groupBy("file", "callee").agg(F.count(F.lit(1)).alias("n"))
-    s = symbols(spark, sf_dir)
-    local = s.groupBy("file", F.concat(F.lit("P"), F.col("id") % 300).alias("callee")).agg(F.min("fq_name").alias("l"))
-    every = R.unique_match(s.select(F.concat(F.lit("P"), F.col("id") % 1700).alias("callee"), F.col("fq_name").alias("g")), "callee", "g")
-    out = c.join(local, ["file", "callee"], "left").join(every, "callee", "left")
-    how = F.when(F.col("l").isNotNull(), "name-local").when(F.col("g").isNotNull(), "name-unique").otherwise("name-only")
-    sure = F.when(F.col("l").isNotNull(), F.lit(0.8)).when(F.col("g").isNotNull(), F.lit(0.75))
-    return out.select("callee", "n", how.alias("resolution"), F.coalesce("l", "g").alias("fq_name"), sure.alias("confidence"), "file")
+    c = calls(spark, sf_dir).withColumns({"callee": F.expr("CASE WHEN line = 3 THEN concat('x.', callee) ELSE callee END"), "resolution": F.expr("CASE WHEN line % 5 = 0 THEN 'import' ELSE 'name-only' END")})
+    s = symbols(spark, sf_dir).selectExpr("fq_name", "concat('P', id % 300) AS name", "CASE kind WHEN 'enum' THEN 'function' ELSE kind END AS kind", "file", "CASE WHEN id % 10 = 0 THEN 'test_source' WHEN id % 10 < 3 THEN 'mock_source' WHEN id % 10 = 3 THEN 'generated' ELSE 'main_source' END AS role")
+    return N.bare_names(c, s).select("file", "caller", "line", "callee", "resolution", "confidence")
 
 
 @query(sql("symbols", rest="""WITH pts AS (SELECT DISTINCT 'src/'||(l_orderkey % 97)||'.java' AS file, (l_orderkey % 61)::BIGINT AS pos FROM lineitem), x AS (SELECT p.file, p.pos, s.*, s.line <= p.pos AND s.end_line >= p.pos AS holds FROM pts p JOIN symbols s ON s.file = p.file),
@@ -234,10 +230,10 @@ def gr03_trace_dependencies(spark, sf_dir):
     return G.trace(dependencies(spark, sf_dir), spark.range(1).select(F.col("id").alias("node")), 2)
 
 
-@query(sql("deps", rest="--recursive WITH walk AS (SELECT 11::BIGINT AS node, 0 AS depth UNION SELECT d.a, w.depth + 1 FROM walk w JOIN deps d ON d.b = w.node WHERE w.depth < 2) SELECT node, min(depth)::INT AS distance FROM walk WHERE node % 10 = 0 GROUP BY node"))
+@query(sql("deps", rest="--recursive WITH seeds AS (SELECT p_partkey AS node FROM part WHERE p_partkey IN (10, 11)), walk AS (SELECT node, 0 AS depth FROM seeds UNION SELECT d.a, w.depth + 1 FROM walk w JOIN deps d ON d.b = w.node WHERE w.depth < 1), n AS (SELECT node, min(depth) AS depth FROM walk GROUP BY node), m AS (SELECT d.a, n.depth + 1 AS distance, n.node FROM deps d JOIN n ON n.node = d.b WHERE d.a % 10 IN (0, 3)), k AS (SELECT a, min(distance) AS distance FROM m GROUP BY a) SELECT m.a AS node, k.distance::INT AS distance, min(m.node) AS via FROM m JOIN k ON k.a = m.a AND k.distance = m.distance GROUP BY ALL"))
 def gr09_affected_tests(spark, sf_dir):
-    roles = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.when(F.col("p_partkey") % 10 == 0, "test_source").otherwise("main_source").alias("role"))
-    return G.affected_tests(dependencies(spark, sf_dir), roles, spark.range(11, 12).select(F.col("id").alias("node")), 2)
+    roles = read(spark, sf_dir, "part").selectExpr("p_partkey AS node", "CASE p_partkey % 10 WHEN 0 THEN 'test_source' WHEN 3 THEN 'mock_source' ELSE 'main_source' END AS role")
+    return G.affected_tests(dependencies(spark, sf_dir), roles, spark.range(10, 12).select(F.col("id").alias("node")), 2)
 
 
 @query(sql("deps", "calls", rest="SELECT t.id, i.n AS dependents, coalesce(c.n, 0) AS callers, i.n + coalesce(c.n, 0) AS score, CASE WHEN i.n + coalesce(c.n, 0) >= 10 THEN 'high' WHEN i.n + coalesce(c.n, 0) >= 3 THEN 'medium' ELSE 'low' END AS radius FROM (SELECT DISTINCT b AS id FROM deps) t JOIN (SELECT b AS id, count(*) AS n FROM deps GROUP BY b) i USING (id) LEFT JOIN (SELECT substr(callee, 2)::BIGINT AS id, count(DISTINCT caller) AS n FROM calls WHERE tier <> 'low_signal' GROUP BY 1) c USING (id)"))

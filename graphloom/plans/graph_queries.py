@@ -87,7 +87,7 @@ def gr10_changed_paths(spark, sf_dir):
     return C.changed_paths(ch, files(spark, sf_dir)).select("path", "decision")
 
 
-_CI = "part_files AS (SELECT 'p' || p_partkey AS path, CASE p_partkey % 10 WHEN 0 THEN 'test_source' WHEN 3 THEN 'build_config' ELSE 'main_source' END AS role FROM part), e AS (SELECT 'p' || a AS a, 'p' || b AS b FROM deps), ch AS (SELECT 'p' || p_partkey AS path FROM part WHERE p_partkey IN (11, 20, 33, 47)), tr AS (SELECT path, role FROM ch JOIN part_files USING (path) WHERE role <> 'build_config'), w AS (SELECT path AS node, 0 AS depth FROM tr UNION SELECT e.a, w.depth + 1 FROM w JOIN e ON e.b = w.node WHERE w.depth < 2), t AS (SELECT node AS path, min(depth) AS distance FROM w JOIN part_files p ON p.path = w.node WHERE p.role = 'test_source' GROUP BY node)"
+_CI = "part_files AS (SELECT 'p' || p_partkey AS path, CASE p_partkey % 10 WHEN 0 THEN 'test_source' WHEN 3 THEN 'build_config' ELSE 'main_source' END AS role FROM part), e AS (SELECT 'p' || a AS a, 'p' || b AS b FROM deps), ch AS (SELECT 'p' || p_partkey AS path FROM part WHERE p_partkey IN (11, 20, 33, 47)), tr AS (SELECT path, role FROM ch JOIN part_files USING (path) WHERE role <> 'build_config'), w AS (SELECT path AS node, 0 AS depth FROM tr UNION SELECT e.a, w.depth + 1 FROM w JOIN e ON e.b = w.node WHERE w.depth < 2), n AS (SELECT node, min(depth) AS depth FROM w GROUP BY node), m AS (SELECT e.a, n.depth + 1 AS distance, n.node FROM e JOIN n ON n.node = e.b JOIN part_files p ON p.path = e.a WHERE p.role = 'test_source' AND n.depth < 2), k AS (SELECT a, min(distance) AS distance FROM m GROUP BY a), r AS (SELECT m.a AS path, k.distance, min(m.node) AS via FROM m JOIN k ON k.a = m.a AND k.distance = m.distance GROUP BY ALL), t AS (SELECT * FROM r UNION ALL SELECT path, 0, path FROM tr WHERE role = 'test_source' AND path NOT IN (SELECT path FROM r))"
 
 
 def _ci(spark, sf_dir):
@@ -97,7 +97,7 @@ def _ci(spark, sf_dir):
     return ch, f, e, C.selected_tests(ch, f, e, 2, 100_000)
 
 
-@query(sql("deps", rest=f"--recursive WITH {_CI} SELECT path, distance::INT AS distance FROM t"))
+@query(sql("deps", rest=f"--recursive WITH {_CI} SELECT path, distance::INT AS distance, via FROM t"))
 def gr10_selected_tests(spark, sf_dir):
     return _ci(spark, sf_dir)[3]
 
@@ -202,10 +202,10 @@ def ag23_review_coverage(spark, sf_dir):
     return Q.coverage(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), "doc_id")
 
 
-@query("""WITH e AS (SELECT 'K' || (l_suppkey % 10) || '.m' || l_suppkey AS caller, CASE WHEN l_partkey % 9 = 0 THEN 'Optional.of' WHEN l_partkey % 9 = 1 THEN 'go' ELSE 'x.K' || (l_partkey % 10) || '.run' END AS callee FROM lineitem), o AS (SELECT caller, split_part(callee, '.', 2) AS owner, count(*) AS n FROM e WHERE callee LIKE 'x.%' GROUP BY ALL),
+@query("""WITH e AS (SELECT 'K' || (l_suppkey % 10) || '.m' || l_suppkey AS caller, CASE WHEN l_partkey % 9 = 0 THEN 'Optional.of' WHEN l_partkey % 9 = 1 THEN 'go' ELSE 'x.K' || CASE WHEN l_partkey % 3 = 0 THEN l_suppkey * 3 % 10 ELSE l_partkey % 10 END || '.run' END AS callee FROM lineitem), o AS (SELECT caller, split_part(callee, '.', 2) AS owner, count(*) AS n FROM e WHERE callee LIKE 'x.%' GROUP BY ALL),
  w AS (SELECT caller, coalesce(max(n) FILTER (owner = split_part(caller, '.', 1)), 0) AS own, max_by(owner, (n, owner)) FILTER (owner <> split_part(caller, '.', 1)) AS envied, max(n) FILTER (owner <> split_part(caller, '.', 1)) AS n FROM o GROUP BY caller) SELECT caller, envied, n, own FROM w WHERE n >= 3 AND n >= 2 * own""")
 def ag25_feature_envy(spark, sf_dir):
-    e = read(spark, sf_dir, "lineitem").selectExpr("concat('K', l_suppkey % 10, '.m', l_suppkey) AS caller", "CASE WHEN l_partkey % 9 = 0 THEN 'Optional.of' WHEN l_partkey % 9 = 1 THEN 'go' ELSE concat('x.K', l_partkey % 10, '.run') END AS callee")
+    e = read(spark, sf_dir, "lineitem").selectExpr("concat('K', l_suppkey % 10, '.m', l_suppkey) AS caller", "CASE WHEN l_partkey % 9 = 0 THEN 'Optional.of' WHEN l_partkey % 9 = 1 THEN 'go' ELSE concat('x.K', CASE WHEN l_partkey % 3 = 0 THEN l_suppkey * 3 % 10 ELSE l_partkey % 10 END, '.run') END AS callee")
     return Q.feature_envy(e)
 
 

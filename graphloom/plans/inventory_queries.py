@@ -108,9 +108,9 @@ def jn12_first_declaration(spark, sf_dir):
     return c.join(first, "callee").select("caller", "callee", "best", F.col("m.file").alias("declared_in"))
 
 
-@query(sql("symbols", "calls", rest="SELECT id, fq_name FROM symbols s WHERE kind = 'field' AND NOT EXISTS (SELECT 1 FROM calls c WHERE c.tier = 'primary' AND c.callee = 'P'||s.id)"))
+@query(sql("symbols", "calls", rest="SELECT id, fq_name FROM symbols s WHERE kind = 'field' AND NOT EXISTS (SELECT 1 FROM calls c WHERE c.tier = 'primary' AND c.line = 7 AND c.callee = 'P'||s.id)"))
 def jn17_not_called(spark, sf_dir):
-    called = calls(spark, sf_dir).filter("tier = 'primary'").select(F.expr("cast(substring(callee, 2) AS bigint)").alias("id"))
+    called = calls(spark, sf_dir).filter("tier = 'primary' AND line = 7").select(F.expr("cast(substring(callee, 2) AS bigint)").alias("id"))
     return symbols(spark, sf_dir).filter("kind = 'field'").join(called, "id", "left_anti").select("id", "fq_name")
 
 

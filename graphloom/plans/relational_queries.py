@@ -263,11 +263,12 @@ def so05_ordered_distinct(spark, sf_dir):
     return A.ordered_distinct(s, "name", "first_id").select("name", "first_id", F.col("rank").cast("bigint").alias("rank"))
 
 
-@query(sql("calls", rest="""WITH e AS (SELECT caller, callee, max(confidence) AS score FROM calls GROUP BY ALL), n AS (SELECT id, max(score) AS score FROM (SELECT caller AS id, count(*)::DOUBLE AS score FROM calls GROUP BY 1 UNION ALL SELECT callee, count(*) FROM calls GROUP BY 1) GROUP BY id ORDER BY score DESC, id LIMIT 60)
+@query(sql("calls", rest="""WITH e AS (SELECT caller, callee, max(confidence) AS score FROM calls GROUP BY ALL), n AS (SELECT id, max(score) AS score FROM (SELECT caller AS id, (CASE WHEN caller IN ('S1', 'S2', 'S3') THEN 101 ELSE count(*) * 7919 % 101 END)::DOUBLE AS score FROM calls GROUP BY 1 UNION ALL SELECT callee, count(*) * 7919 % 101 FROM calls GROUP BY 1) GROUP BY id ORDER BY score DESC, id LIMIT 60)
  SELECT caller AS source, callee AS target, score FROM e WHERE caller IN (SELECT id FROM n) AND callee IN (SELECT id FROM n) ORDER BY score DESC, source, target LIMIT 100"""))
 def so06_capped_graph(spark, sf_dir):
     c = calls(spark, sf_dir)
-    n = c.groupBy(F.col("caller").alias("id")).agg(F.count(ONE).cast("double").alias("score")).union(c.groupBy("callee").agg(F.count(ONE).cast("double")))
+    n = c.select("caller").union(c.select("callee")).groupBy(F.col("caller").alias("id")).agg((F.count(ONE) * 7919 % 101).cast("double").alias("score"))
+    n = n.withColumn("score", F.when(F.col("id").isin("S1", "S2", "S3"), 101.0).otherwise(F.col("score")))
     return A.within_caps(n, c.select(F.col("caller").alias("source"), F.col("callee").alias("target"), F.col("confidence").alias("score")), 60, 100)[1]
 
 

@@ -34,9 +34,10 @@ def ft06_symbol_score(spark, sf_dir):
     return s.select("fq_name", S.symbol_score(F.col("name"), F.col("fq_name"), "red").cast("bigint").alias("score"))
 
 
-@query(sql("endpoints", rest="WITH h AS (SELECT id, contains(lower(path), 'artic')::INT AS h0, contains(lower(path), 'produ')::INT AS h1 FROM endpoints), s AS (SELECT count(*) AS n, sum(h0) AS d0, sum(h1) AS d1 FROM h) SELECT id, h0 + h1 AS hits, round(h0 * (1 + ln(n / greatest(d0, 1))) + h1 * (1 + ln(n / greatest(d1, 1))), 6) AS score FROM h CROSS JOIN s WHERE h0 + h1 > 0"))
+@query("WITH h AS (SELECT page_id AS id, contains(lower(url), 'blog')::INT AS h0, contains(lower(url), 'examp')::INT AS h1, contains(lower(url), 'org')::INT AS h2 FROM pages), s AS (SELECT count(*) AS n, sum(h0) AS d0, sum(h1) AS d1, sum(h2) AS d2 FROM h) SELECT id, h0 + h1 + h2 AS hits, round(h0 * (1 + ln(n / greatest(d0, 1))) + h1 * (1 + ln(n / greatest(d1, 1))) + h2 * (1 + ln(n / greatest(d2, 1))), 6) AS score FROM h CROSS JOIN s WHERE h0 + h1 + h2 > 0")
 def ft12_keyword_endpoints(spark, sf_dir):
-    return S.keyword_search(endpoints(spark, sf_dir), "id", "path", "article products").select("id", "hits", F.round("score", 6).alias("score"))
+    e = read(spark, sf_dir, "pages").selectExpr("page_id AS id", "url AS path")
+    return S.keyword_search(e, "id", "path", "blog examples org").select("id", "hits", F.round("score", 6).alias("score"))
 
 
 @query("SELECT count(*) AS n_lines, count(*) FILTER (starts_with(x, '+')) AS added, count(*) FILTER (starts_with(x, '-')) AS removed, count(DISTINCT doc_id) AS n_files FROM (SELECT doc_id, unnest(list_transform(string_split(text, chr(10)), lambda l, i: CASE i % 3 WHEN 0 THEN '+' WHEN 1 THEN '-' ELSE ' ' END || l)) AS x FROM documents WHERE text IS NOT NULL)")

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.relational import BUCKET
+
 METHODS = ("get", "put", "post", "delete", "options", "head", "patch", "trace")
 _XML = "path string, tag string, name string, value string, depth int"
 _ENDPOINT = "path string, method string, route string, name string"
@@ -160,6 +162,8 @@ def scip_calls(files: DataFrame) -> DataFrame:
     rows = scip_occurrences(files)
     at = rows.filter("NOT is_definition").select("file", "line", F.col("symbol").alias("callee"))
     spans = rows.filter("is_definition").select("file", F.col("symbol").alias("caller"), F.col("line").alias("a"), F.col("end_line").alias("z"))
-    held = at.distinct().join(spans, "file").filter("a <= line AND line <= z")
+    # lines and spans meet by file and bucket of lines
+    dealt = spans.filter("z >= a").withColumn("_b", F.explode(F.sequence(F.floor(F.col("a") / BUCKET), F.floor(F.col("z") / BUCKET))))
+    held = at.distinct().withColumn("_b", F.floor(F.col("line") / BUCKET)).join(dealt, ["file", "_b"]).filter("a <= line AND line <= z")
     w = W.partitionBy("file", "line", "callee").orderBy(F.col("z") - F.col("a"), F.desc("a"), "caller")
     return held.withColumn("rn", F.row_number().over(w)).filter("rn = 1").select("file", "line", "caller", "callee")

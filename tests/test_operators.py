@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
 from graphloom.operators import graph as G
-from graphloom.operators import ledger as L
 from graphloom.operators import relational as R
 from graphloom.operators import review as V
 from graphloom.sources import code as C
@@ -28,14 +27,6 @@ def test_right_size(spark):
     assert kept([100, 79]) == [0]
 
 
-def test_affected_tests(spark):
-    edges = spark.createDataFrame([("t/a", "a"), ("b", "a"), ("t/b", "b"), ("t/iso", "iso")], "a string, b string")
-    roles = spark.createDataFrame([("t/a", "test_source"), ("t/b", "test_source"), ("t/iso", "test_source")], "node string, role string")
-    changed = spark.createDataFrame([("a",)], "node string")
-    assert rows(G.affected_tests(edges, roles, changed), "node", "distance") == [("t/a", 1), ("t/b", 2)]
-    assert rows(G.affected_tests(edges, roles, changed, 1), "node") == [("t/a",)]
-
-
 def test_cycles_end(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "a string, b string")
     seed = spark.createDataFrame([("a",)], "node string")
@@ -91,12 +82,6 @@ def test_source_tree(spark, tmp_path):
     assert rows(C.config_facts(m), "name", "value") == [("a.b", "1"), ("c", "2")]
 
 
-def test_checkpoints(spark):
-    s = spark.createDataFrame([("t", 1, 0, "plan"), ("t", 2, 1, "edit"), ("t", 3, 1, "edit")], "task string, version long, expected long, phase string")
-    assert rows(L.latest(s), "task", "version", "phase") == [("t", 3, "edit")]
-    assert rows(L.conflicts(s), "version") == [(3,)]
-
-
 def test_stream_windows(spark, tmp_path):
     src = tmp_path / "in"
     spark.createDataFrame([("2024-01-01 00:10:00", "a", 2.0), ("2024-01-01 00:50:00", "a", 3.0), ("2024-01-01 03:00:00", "b", 1.0)], "t string, tool string, duration_ms double").selectExpr("to_timestamp(t) AS ts", "tool", "duration_ms").write.parquet(str(src))

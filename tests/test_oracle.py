@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from graphloom.plans import code_queries, graph_queries, inventory_queries, pack_queries, ranking_queries, relational_queries, search_queries  # noqa: F401
+from graphloom.plans import code_queries, graph_queries, inventory_queries, pack_queries, ranking_queries, relational_queries, search_queries, state_queries  # noqa: F401
 from graphloom.plans.registry import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"

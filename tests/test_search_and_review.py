@@ -229,8 +229,14 @@ def test_snapshots(spark, tmp_path):
 
 def test_gate(spark):
     assert H.gate_tokens("fix src/main/PaymentService.java now") == ["fix", "payment", "service", "paymentservice", "now"]
-    got = H.explicit_names("trace GET /api/orders/{id} in OrderService.find, see src/main/A.java")
-    assert got["endpoint"] == ["/api/orders/{id}"] and "OrderService.find" in got["members"] and "src/main/A.java" in got["files"][-1]
+    texts = [
+        "trace GET /api/orders/{id} in OrderService.find, see src\\main\\A.java.", "Find The Implementation in D:/work/app and /home/me/x/y", "the route /orders beats /src/main/java/a.java; POST /users wins", "open src/x.ts", None, "/v1/a or /v1/b (endpoint)",
+    ]
+    got = {r.id: r for r in H.explicit_names(spark.createDataFrame(list(enumerate(texts)), "id int, text string")).collect()}
+    assert got[0].endpoint == "/api/orders/{id}" and got[0].members == ["OrderService.find"] and got[0].classes == ["OrderService"] and "src/main/A.java" in got[0].files and "OrderService.ts" in got[0].files
+    assert (got[1].endpoint, got[1].members, got[1].classes) == (None, [], [])  # words that name nothing, a drive, a home folder
+    assert got[2].endpoint == "/users" and got[3].endpoint is None and got[3].files == ["src/x.ts"] and got[4].endpoint is None and got[4].files == []
+    assert got[5].endpoint == "/v1/a"  # of equal ones the first
     s = P.section(spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int"), "x", "k", "v", [F.desc("v")], 5)
     assert rows(s, "section", "place", "key") == [("x", 1, "b"), ("x", 2, "a")] and P.within(s, 2).count() == 1
 
