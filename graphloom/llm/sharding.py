@@ -21,42 +21,43 @@ CELL_ROWS = 2_500
 
 
 def _earlier(count: DataFrame, *by: str, chunk: int = 4096) -> DataFrame:
-    """``count`` (by, cell, c) with ``earlier``: the rows in earlier cells.  Sums of ``chunk`` cells are ordered first, then the
-    cells of each chunk, so that no task orders all cells."""
+    """``count`` (by, cell, c) with ``earlier``, the rows in earlier cells, and ``total``, all rows.  Sums of ``chunk`` cells are ordered
+    first, then the cells of each chunk, so that no task orders all cells."""
     before = lambda order, *keys: W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     count = count.withColumn("chunk", F.floor(F.col("cell") / chunk))
     sums = count.groupBy(*by, "chunk").agg(F.sum("c").alias("t"))
-    sums = sums.select(*by, "chunk", F.coalesce(F.sum("t").over(before("chunk", *by)), F.lit(0)).alias("base"))
+    sums = sums.select(*by, "chunk", F.coalesce(F.sum("t").over(before("chunk", *by)), F.lit(0)).alias("base"), F.sum("t").over(W.partitionBy(*by)).alias("total"))
     inside = F.coalesce(F.sum("c").over(before("cell", *by, "chunk")), F.lit(0))
-    return count.join(sums, [*by, "chunk"]).withColumn("earlier", F.col("base") + inside).drop("base", "chunk")
+    return count.join(sums, [*by, "chunk"]).select(*by, "cell", (F.col("base") + inside).alias("earlier"), "total")
 
 
 def interleave(docs: DataFrame, n_shards: int = 8, seed: str = "mix", cell_rows: int = CELL_ROWS) -> DataFrame:
     """doc_id, source, size, text_crc32, law, shard, slot, grown_shard.
 
     A null text has no bytes (size 1, crc32 0); a null source is a stratum of its own; rows without an id are shuffled by their
-    text; equal rows each take a slot of their own (their order among themselves is free); no rows give no rows.
+    place; rows of one id follow one another within their source, and equal rows each take a slot of their own (their order among
+    themselves is free); texts of any length count whole; no rows give no rows.
     """
-    n = docs.count()
     base = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("source").cast("string"), F.lit("\0null")).alias("source"),
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col("text"), F.lit(""))).alias("text_crc32"),
-        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.crc32(F.coalesce(F.col("text"), F.lit(""))).cast("string"))))).alias("mixed"),
+        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.monotonically_increasing_id())))).alias("mixed"),
     )
+    base = stage(base, "shard-rows")  # texts are read once, and a row's place stays what it was
+    n = base.count()
     cells = rows_per_group(n, cell_rows)
     base = base.withColumn("cell", F.expr(f"cast(floor(conv(substring(mixed, 1, 8), 16, 10) * {cells}D / 4294967296D) as int)"))
-    count = base.groupBy("source", "cell").agg(F.count(F.lit(1)).alias("c"))
-    count = _earlier(count, "source").join(count.groupBy("source").agg(F.sum("c").alias("n_source")), "source").drop("c")
+    count = _earlier(base.groupBy("source", "cell").agg(F.count(F.lit(1)).alias("c")), "source")
     rank = F.row_number().over(W.partitionBy("source", "cell").orderBy("mixed", "doc_id")) - 1
     ranked = base.withColumn("r", rank).join(count, ["source", "cell"])
     ranked = ranked.select(
         "doc_id", "source", "size", "text_crc32", "mixed",
-        ((2 * (F.col("r") + F.col("earlier")) + 1) / (2 * F.col("n_source"))).alias("part"),
+        ((2 * (F.col("r") + F.col("earlier")) + 1) / (2 * F.col("total"))).alias("part"),
     )
     ranked = stage(ranked.withColumn("cell", F.floor(F.col("part") * cells).cast("int")), "shard-rank")
-    count = _earlier(ranked.groupBy("cell").agg(F.count(F.lit(1)).alias("c"))).drop("c")
+    count = _earlier(ranked.groupBy("cell").agg(F.count(F.lit(1)).alias("c"))).drop("total")
     rank = F.row_number().over(W.partitionBy("cell").orderBy("part", "mixed", "doc_id")) - 1
     placed = ranked.withColumn("r", rank).join(count, "cell").withColumn("g", F.col("r") + F.col("earlier"))
     shard = F.expr(f"cast(g * {n_shards} div {max(n, 1)} as int)")

@@ -362,6 +362,39 @@ def test_toxicity(spark, docs, labels, odd, none):
     assert toxicity.score(odd, m).count() == len(ODD) and toxicity.score(none, m).count() == 0 and toxicity.score(odd, None).count() == len(ODD)
 
 
+def test_toxicity_scores_by_definition(docs, labels):
+    """Scores, verdicts and the worst sentence from a scorer that splits with re and sums an n-gram at a time."""
+    import re
+
+    m = toxicity.train(docs, labels)
+    got = {r.doc_id: r for r in toxicity.score(docs, m).collect()}
+    cell: dict = {}  # (kind, n-gram): the weights' place, from the operator's own hash of that n-gram alone
+
+    def weight(kind, gram):
+        if (kind, gram) not in cell:
+            t = toxicity.Texts([gram], lower=True)
+            places, f = toxicity._items(t)[kind]
+            cell[kind, gram] = float(m.weights[f[np.searchsorted(places, t.start[0])]])
+        return cell[kind, gram]
+
+    for r in docs.orderBy("doc_id").limit(60).collect():
+        raw = r.text.encode()
+        low = bytes(c + 32 if 65 <= c <= 90 else c for c in raw)
+        ends = sorted({x.end() for x in re.finditer(rb"[.!?]+(?=\s)|\n", raw)} | {len(raw)})
+        z = []
+        for a, b in zip([0, *ends], ends):
+            total = m.bias + sum(weight(0, low[x.start() : x.end()]) for x in re.finditer(rb"[^ \t-\r\0]+", low) if a <= x.start() < b)
+            for kind, n in ((1, 4), (2, 5), (3, 6)):
+                total += sum(weight(kind, low[k : k + n]) for k in range(a, b))
+            z.append((total, -a, b))
+        best = max(z)
+        own = got[r.doc_id]
+        p = 1 / (1 + np.exp(-best[0]))
+        assert abs(own.score - p) < 1e-4 and own.predicted == int(own.score >= toxicity.THRESHOLD) and own.n_sentences == len(z)
+        if sorted(z)[-2:][0][0] < best[0] - 1e-3 or len(z) == 1:
+            assert (own.worst_start, own.worst_end) == (-best[1], best[2])
+
+
 def test_toxicity_of_long_texts(spark, docs, labels):
     m = toxicity.train(docs, labels)
     got = toxicity.score(docs, m).filter("score < 0.05").join(labels.filter("toxic = 0"), "doc_id").join(docs.select("doc_id", "text"), "doc_id").orderBy("doc_id").limit(60).select("text", "score").collect()
@@ -429,6 +462,15 @@ def test_sharding(docs, odd, none, cell_rows):
     assert sharding.interleave(odd).count() == len(ODD) and sharding.interleave(none).count() == 0
 
 
+def test_sharding_of_rows_without_ids(spark):
+    """Rows without ids and of one text are spread over cells, and the law holds for them, too; a text of megabytes counts whole."""
+    rows = [(None, "same", "a") for _ in range(90)] + [(7, "same", "c") for _ in range(20)] + [(k, "é" * 10, None) for k in range(30)] + [(99, "x" * 3_000_000, "b")]
+    got = sharding.interleave(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3), cell_rows=5).toPandas()
+    sizes = got.groupby("shard").size()
+    assert len(got) == len(rows) and sizes.max() - sizes.min() <= 1 and all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
+    assert sorted(got["size"]) == sorted(len(t.encode()) + 1 for _, t, _ in rows) and got[got.doc_id.isna()].groupby("shard").size().max() <= 90 // 8 + 2
+
+
 def test_packing(docs, odd, none):
     t = Tokenizer.from_file(WORD)
     for df in (docs, odd):
@@ -456,6 +498,40 @@ def test_bin_completion():
     assert len(packing.bin_completion(np.bincount([6, 5, 3, 2, 2, 2], minlength=11), 10)) == 2
 
 
+def fewest_bins(lengths, capacity):
+    """By trying every place for every piece, largest first, and giving up where a packing is no better than the best one."""
+    lengths, best = sorted(lengths, reverse=True), [len(lengths)]
+
+    def place(k, bins):
+        if len(bins) >= best[0]:
+            return
+        if k == len(lengths):
+            best[0] = len(bins)
+            return
+        for left in set(bins):
+            if left >= lengths[k]:
+                i = bins.index(left)
+                place(k + 1, [*bins[:i], left - lengths[k], *bins[i + 1 :]])
+        place(k + 1, [*bins, capacity - lengths[k]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_bin_completion_is_the_best_packing():
+    rng = random.Random(11)
+    better = 0
+    for _ in range(200):
+        capacity = rng.choice([10, 17, 30, 60])
+        lengths = [rng.randint(1, capacity) if rng.random() < 0.3 else rng.randint(max(1, capacity // 6), capacity // 2 + 1) for _ in range(rng.randint(1, 11))]
+        counts = np.bincount(lengths, minlength=capacity + 1)
+        bins, first = packing.bin_completion(counts, capacity), packing.best_fit(counts, capacity)
+        assert sorted(sum(bins, [])) == sorted(lengths) and all(sum(b) <= capacity for b in bins)
+        assert len(bins) == fewest_bins(lengths, capacity) >= packing.lower_bound(counts, capacity)
+        better += len(bins) < len(first)
+    assert better > 0  # best fit alone is not enough
+
+
 def test_bins_of_many_pieces():
     # the best packing has bins of six pieces and more; best fit needs a bin more
     for lengths, capacity, best in (([900, 800, 700, 650] * 1000, 4096, 760), ([16, 2, 6, 8, 9, 14, 5, 6, 16, 9, 4, 10, 5, 10, 6, 4, 5, 6, 15, 8, 16, 7, 8, 6, 2, 30, 6, 1], 60, 4)):
