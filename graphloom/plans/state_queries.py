@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import certificate as C
+from ..operators import dataflow as D
 from ..operators import gate as H
 from ..operators import graph as G
 from ..operators import relational as R
@@ -121,3 +123,49 @@ _PAGE = "html || ' ' || CASE page_id % 5 WHEN 0 THEN 'GET ' || regexp_extract(ur
 def fn_explicit_names(spark, sf_dir):
     p = read(spark, sf_dir, "pages").selectExpr("page_id AS id", f"{_PAGE} AS text")
     return H.explicit_names(p).select("id", "endpoint", F.size("classes").alias("n_classes"))
+
+
+_NAMES = ("unitPrice", "alpha", "quantity", "tax_rate", "beta", "rawScore", "gamma", "lineTotal", "limitCheck", "timeWindow", "forecastSum", "delta")
+_T = "l_partkey % 12"
+_A, _B = "l_suppkey % ({t})".format(t=_T), "(l_linenumber * 5 + l_partkey) % ({t})".format(t=_T)
+
+
+_DUCK = "list_extract(['" + "', '".join(_NAMES) + "'], ({} + 1)::INT)"
+_FLOW = f"""WITH RECURSIVE x AS (SELECT CASE WHEN l_orderkey % 5 = 0 THEN 'src/test/F' ELSE 'src/main/F' END || l_orderkey AS file, {_T} AS t, l_linenumber % 3 AS form, CASE WHEN {_T} > 0 THEN {_A} END AS a, CASE WHEN {_T} > 0 THEN {_B} END AS b FROM lineitem),
+ asg AS (SELECT * FROM x WHERE form <> 2), e AS (SELECT DISTINCT file, a, t AS b FROM asg WHERE a IS NOT NULL UNION SELECT file, b, t FROM asg WHERE b IS NOT NULL AND form = 0),
+ o AS (SELECT DISTINCT file, t AS output FROM asg WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.file = asg.file AND e.a = asg.t)),
+ sl AS (SELECT file, output, output AS node FROM o UNION SELECT sl.file, sl.output, e.a FROM sl JOIN e ON e.file = sl.file AND e.b = sl.node),
+ h AS (SELECT DISTINCT file, output, CASE WHEN output = 5 THEN 'score_or_ranking' WHEN output = 8 THEN 'threshold_or_validation_decision' WHEN output = 2 THEN 'quantity_or_capacity' WHEN output IN (0, 3, 7) THEN 'amount_or_total' WHEN output = 9 THEN 'time_or_duration' WHEN output = 10 THEN 'allocation_or_forecast' WHEN file LIKE 'src/main/%' THEN 'unknown_runtime_calculation_sink' END AS grp FROM sl WHERE node IN (0, 1)),
+ n AS (SELECT grp, {_DUCK.format("output")} AS name, count(*) AS c FROM h WHERE grp IS NOT NULL GROUP BY ALL)"""
+
+
+@query(_FLOW + """ SELECT grp AS "group", CASE grp WHEN 'unknown_runtime_calculation_sink' THEN 'unknown' WHEN 'quantity_or_capacity' THEN 'high' WHEN 'time_or_duration' THEN 'high' WHEN 'allocation_or_forecast' THEN 'medium' ELSE 'critical' END AS risk, sum(c)::BIGINT AS n,
+ (SELECT string_agg(name, ' ' ORDER BY name) FROM (SELECT name FROM n m WHERE m.grp = n.grp ORDER BY name LIMIT 3)) AS names,
+ 'boundary values, zero/null/negative values' || CASE grp WHEN 'amount_or_total' THEN ', precision and rounding' || CASE WHEN bool_or(name = 'unitPrice') THEN ', unit conversion' ELSE '' END WHEN 'quantity_or_capacity' THEN ', unit conversion' WHEN 'score_or_ranking' THEN ', ordering or ranking stability' WHEN 'threshold_or_validation_decision' THEN ', threshold inclusivity' WHEN 'time_or_duration' THEN ', time-window boundary behavior' ELSE '' END AS obligations FROM n GROUP BY grp""")
+def calc_impact(spark, sf_dir):
+    pick = "element_at(array('" + "', '".join(_NAMES) + "'), cast({} + 1 AS int))"
+    right = f"CASE WHEN {_T} = 0 THEN '3' ELSE {{}} END"
+    a, b = right.format(pick.format(_A)), right.format(pick.format(_B))
+    lines = read(spark, sf_dir, "lineitem").selectExpr(
+        "concat(CASE WHEN l_orderkey % 5 = 0 THEN 'src/test/F' ELSE 'src/main/F' END, l_orderkey) AS file", "l_linenumber AS line",
+        f"CASE l_linenumber % 3 WHEN 0 THEN concat('final Map<String, Double> ', {pick.format(_T)}, ' = ', {a}, ' * this.field(', {b}, '); // alpha = beta') WHEN 1 THEN concat('  ', {pick.format(_T)}, ' += ', {a}, '.value + f(\"alpha\")') ELSE concat('if (', {pick.format(_T)}, ' == ', {a}, ') return;') END AS text")
+    assigned = D.assignments(lines)
+    changed = assigned.select("file", F.explode(F.concat("uses", F.array("target"))).alias("name")).filter("name in ('unitPrice', 'alpha')").distinct()
+    return D.calculation_impact(assigned, changed, depth=12)
+
+
+_SECTION = "CASE doc_id % 11 WHEN 0 THEN 'symbols' WHEN 1 THEN 'files' WHEN 2 THEN 'tests' WHEN 3 THEN 'evidence' WHEN 4 THEN 'call_edges' WHEN 5 THEN 'edit_ranges' ELSE 'other' END"
+_RUBRIC = ("handler", "mode_selection", "edit_ranges", "tests", "risks", "validation", "files", "evidence", "the_con", "zzz_qqq", "in", "heed_xqx")
+
+
+@query(f"""WITH d AS (SELECT source || '/' || lang || (doc_id % 7) AS packet, {_SECTION} AS section, lower(text) AS t FROM documents), p AS (SELECT packet, string_agg(t, chr(10)) AS hay, count(*) FILTER (section = 'evidence') AS n, list(DISTINCT section) AS s FROM d GROUP BY packet),
+ k AS (SELECT packet, hay, n, s, unnest({list(_RUBRIC)!r}) AS key FROM p), w AS (SELECT *, CASE key WHEN 'mode_selection' THEN ['mode', 'selection'] WHEN 'tests' THEN ['test'] WHEN 'risks' THEN ['risk', 'finding'] WHEN 'validation' THEN ['validation', 'command', 'test'] WHEN 'the_con' THEN ['the', 'con'] WHEN 'zzz_qqq' THEN ['zzz', 'qqq'] WHEN 'heed_xqx' THEN ['heed', 'xqx'] ELSE [] END AS a FROM k),
+ h AS (SELECT *, len(list_filter(a, lambda x: contains(hay, x))) AS f FROM w), c AS (SELECT packet, key, CASE key WHEN 'handler' THEN CASE WHEN list_has_any(s, ['symbols', 'endpoints']) THEN 'covered' WHEN n > 0 THEN 'partial' ELSE 'missing' END WHEN 'mode_selection' THEN CASE WHEN f = 2 OR list_contains(s, 'call_edges') THEN 'covered' WHEN n > 1 THEN 'partial' ELSE 'missing' END
+  WHEN 'edit_ranges' THEN CASE WHEN list_contains(s, 'edit_ranges') THEN 'covered' ELSE 'missing' END WHEN 'tests' THEN CASE WHEN list_contains(s, 'tests') THEN 'covered' WHEN f > 0 THEN 'partial' ELSE 'missing' END WHEN 'risks' THEN CASE WHEN f > 0 THEN 'covered' ELSE 'partial' END WHEN 'validation' THEN CASE WHEN f > 0 THEN 'covered' ELSE 'partial' END
+  WHEN 'files' THEN CASE WHEN list_contains(s, 'files') THEN 'covered' ELSE 'missing' END WHEN 'evidence' THEN CASE WHEN n > 0 THEN 'covered' ELSE 'missing' END WHEN 'in' THEN CASE WHEN n > 0 THEN 'covered' ELSE 'missing' END ELSE CASE WHEN f = 2 THEN 'covered' WHEN f > 0 OR n > 2 THEN 'partial' ELSE 'missing' END END AS status FROM h),
+ g AS (SELECT packet, count(*) FILTER (status = 'covered') AS n_covered, count(*) FILTER (status = 'partial') AS n_partial, count(*) FILTER (status = 'missing') AS n_missing, string_agg(key, ' ' ORDER BY key) FILTER (status = 'missing') AS m, string_agg(key, ' ' ORDER BY key) FILTER (status = 'partial') AS p FROM c GROUP BY packet)
+ SELECT packet, n_missing + n_partial = 0 AS answerable, n_covered, n_partial, n_missing, CASE WHEN n_missing > 0 THEN m WHEN n_partial > 0 THEN p ELSE '' END AS follow_up FROM g""")
+def cardo_certificate(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").selectExpr("concat(source, '/', lang, doc_id % 7) AS packet", f"{_SECTION} AS section", "text")
+    rubric = d.select("packet").distinct().select("packet", F.explode(F.array(*map(F.lit, _RUBRIC))).alias("key"))
+    return C.certificate(C.coverage(rubric, d))
