@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from .common import stage
 from .components import components, named
 
-#: Vectors to a pivot, and the most pivots (they are broadcast: MAX_PIVOTS vectors); rows of a block.
-CELL, MAX_PIVOTS, BLOCK = 2500, 1024, 2048
+#: Vectors to a pivot, the most pivots (they are broadcast: MAX_PIVOTS vectors), and the most vector lengths that have pivots (vectors of
+#: other lengths are one cell each); rows of a block.
+CELL, MAX_PIVOTS, MAX_LENGTHS, BLOCK = 2500, 1024, 64, 2048
 
 
 def unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,6 +57,10 @@ def _deal(pivots: dict[int, np.ndarray], reach: float):
                 for d in np.unique(dims).tolist():
                     own = part.filter(pa.array(dims == d))
                     units = own.column("unit")
+                    if d not in pivots:  # one cell
+                        one = pa.array(np.zeros(own.num_rows, np.int32))
+                        yield pa.RecordBatch.from_arrays([own.column("dims"), one, pa.array(np.ones(own.num_rows, bool)), own.column("rep"), own.column("copies"), units], names=["dims", "cell", "home", "rep", "copies", "unit"])
+                        continue
                     x = np.frombuffer(b"".join(units.to_pylist()), "<f8").reshape(-1, d)
                     near = x @ pivots[d].T
                     home = near.argmax(1)
@@ -115,16 +120,17 @@ def range_links(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     distinct = made.filter("same is not null").groupBy("same").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("unit").alias("unit"), F.first("dims").alias("dims"))
     distinct = stage(distinct, "distinct-vectors")
     cells = {}
-    for r in distinct.groupBy("dims").count().collect():
-        k = max(1, min(MAX_PIVOTS, r["count"] // CELL))
+    lengths = distinct.groupBy("dims").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= 2 * CELL).orderBy(F.desc("n"), "dims").limit(MAX_LENGTHS).collect()
+    for r in lengths:
+        k = max(1, min(MAX_PIVOTS * r.n // sum(x.n for x in lengths), r.n // CELL))
         chosen = distinct.filter(F.col("dims") == r.dims).orderBy(F.md5(F.col("rep").cast("string")), "rep").limit(k).collect()
         cells[r.dims] = np.stack([np.frombuffer(c.unit, "<f8") for c in chosen])
-    if cells:
+    if not distinct.isEmpty():
         reach = float(np.sqrt(2 - 2 * least))
         dealt = stage(distinct.mapInArrow(_deal(cells, reach), "dims int, cell int, home boolean, rep long, copies long, unit binary"), "cells")
         sizes = dealt.groupBy("dims", "cell").agg(F.count_if("home").alias("n_home"), F.count(F.lit(1)).alias("n_all"))
         sizes = sizes.select("dims", "cell", F.ceil(F.col("n_home") / BLOCK).cast("int").alias("h"), F.ceil(F.col("n_all") / (2 * BLOCK)).cast("int").alias("o"))
-        rows = dealt.join(F.broadcast(sizes), ["dims", "cell"])  # at most MAX_PIVOTS rows a vector length
+        rows = dealt.join(sizes, ["dims", "cell"])
         spread = F.xxhash64("rep")
         other = rows.select("dims", "cell", F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("i"), F.pmod(spread, F.col("o")).cast("int").alias("j"), F.lit(1).alias("side"), "rep", "copies", "unit")
         home = rows.filter("home").select("dims", "cell", F.pmod(spread, F.col("h")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("o") - 1)).alias("j"), F.lit(0).alias("side"), "rep", "copies", "unit")
