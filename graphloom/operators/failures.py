@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .relational import top_per_key
+from .relational import left_out, top_per_key
 
 #: The line formats of compilers and stack traces as (pattern, file, line, message groups; 0: none).
 FORMATS = (
@@ -91,24 +91,59 @@ TELLING = r"(?i)(error|exception|failed|failure|panic|fatal|assertion|caused by|
 FRAMES = r"^\s*at\s+|^\s*File \".+\", line \d+|^\s*#\d+\s+"
 
 
-def _first_of(rows: DataFrame, key: str, section: str, most: int, last: bool = False) -> DataFrame:
-    """The first (or last) ``most`` distinct lines of each log as a section, in their order."""
-    once = rows.select(key, F.rtrim("line").alias("line"), "k").groupBy(key, "line").agg(F.min("k").alias("k"))
-    return top_per_key(once, [key], [F.desc("k") if last else F.col("k")], most).select(key, F.lit(section).alias("section"), "k", "line")
+def _once(rows: DataFrame, key: str) -> DataFrame:
+    return rows.select(key, F.rtrim("line").alias("line"), "k").groupBy(key, "line").agg(F.min("k").alias("k"))
 
 
-def build_digest(logs: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-    """key, section, k, line of a build's log: telling lines (180), the first 12 and the last 20 that are no noise; each line once a section."""
+def _digest(sections: dict[str, tuple[DataFrame, int | None]], key: str) -> DataFrame:
+    """Of each log the first distinct lines (of ``last`` the last ones) of each section, in their order."""
+    out = None
+    for name, (rows, most) in sections.items():
+        part = top_per_key(_once(rows, key), [key], [F.desc("k") if name == "last" else F.col("k")], most).select(key, F.lit(name).alias("section"), "k", "line")
+        out = part if out is None else out.union(part)
+    return out
+
+
+def _left_out(sections: dict[str, tuple[DataFrame, int | None]], key: str) -> DataFrame:
+    out = None
+    for name, (rows, most) in sections.items():
+        part = left_out(_once(rows, key), [key], most).select(key, F.lit(name).alias("section"), "n", "left_out")
+        out = part if out is None else out.union(part)
+    return out
+
+
+def _build_sections(logs: DataFrame, key: str, text: str, most: int | None) -> dict[str, tuple[DataFrame, int | None]]:
     rows = lines_of(logs, key, text).filter(~F.col("line").rlike(NOISE))
     keep = F.col("line").rlike(KEPT[0]) | F.col("line").rlike(KEPT[1]) | F.col("line").rlike(KEPT[2])
     said = rows.filter(F.trim("line") != "")
-    return _first_of(rows.filter(keep), key, "kept", 180).union(_first_of(said, key, "first", 12)).union(_first_of(said, key, "last", 20, True))
+    return {"kept": (rows.filter(keep), most), "first": (said, 12), "last": (said, 20)}
+
+
+def build_digest(logs: DataFrame, key: str = "id", text: str = "text", most: int | None = 180) -> DataFrame:
+    """key, section, k, line of a build's log: telling lines (``most`` of them, None: all), the first 12 and the last 20 that are no noise; each
+    line once a section.  ``build_left_out`` counts the others."""
+    return _digest(_build_sections(logs, key, text, most), key)
 
 
-def error_digest(logs: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-    """key, section, k, line of an error's text: telling lines (120), frames (24) and the last 20 lines; each line once a section."""
+def build_left_out(logs: DataFrame, key: str = "id", text: str = "text", most: int | None = 180) -> DataFrame:
+    """key, section, n, left_out: distinct lines of each section, and those that the digest has no room for."""
+    return _left_out(_build_sections(logs, key, text, most), key)
+
+
+def _error_sections(logs: DataFrame, key: str, text: str, most: int | None, frames: int | None) -> dict[str, tuple[DataFrame, int | None]]:
     rows = lines_of(logs, key, text)
-    return _first_of(rows.filter(F.col("line").rlike(TELLING)), key, "summary", 120).union(_first_of(rows.filter(F.col("line").rlike(FRAMES)), key, "frames", 24)).union(_first_of(rows, key, "last", 20, True))
+    return {"summary": (rows.filter(F.col("line").rlike(TELLING)), most), "frames": (rows.filter(F.col("line").rlike(FRAMES)), frames), "last": (rows, 20)}
+
+
+def error_digest(logs: DataFrame, key: str = "id", text: str = "text", most: int | None = 120, frames: int | None = 24) -> DataFrame:
+    """key, section, k, line of an error's text: telling lines (``most``), ``frames`` (None: all) and the last 20 lines; each line once a
+    section.  ``error_left_out`` counts the others."""
+    return _digest(_error_sections(logs, key, text, most, frames), key)
+
+
+def error_left_out(logs: DataFrame, key: str = "id", text: str = "text", most: int | None = 120, frames: int | None = 24) -> DataFrame:
+    """key, section, n, left_out: distinct lines of each section, and those that the digest has no room for."""
+    return _left_out(_error_sections(logs, key, text, most, frames), key)
 
 
 def log_kind(text: str | Column) -> Column:

@@ -30,9 +30,9 @@ def within(sections: DataFrame, budget: int) -> DataFrame:
     return sections.withColumn("_u", F.sum(size).over(w)).filter(F.col("_u") <= budget).drop("_u")
 
 
-def slices(texts: DataFrame, wanted: DataFrame, most: int = 20) -> DataFrame:
-    """file, first, last, text: lines ``first`` to ``last`` (1-based, both in) of each wanted slice, the first ``most`` of them."""
-    few = wanted.orderBy("file", "first", "last").limit(most)
+def slices(texts: DataFrame, wanted: DataFrame, most: int | None = 20) -> DataFrame:
+    """file, first, last, text: lines ``first`` to ``last`` (1-based, both in) of each wanted slice, the first ``most`` of them (None: all)."""
+    few = wanted if most is None else wanted.orderBy("file", "first", "last").limit(most)
     rows = texts.join(few, "file")
     lines = F.split("text", "\r?\n")
     part = F.slice(lines, F.greatest("first", F.lit(1)), F.greatest(F.least(F.col("last"), F.size(lines)) - F.greatest("first", F.lit(1)) + 1, F.lit(0)))

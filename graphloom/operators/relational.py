@@ -35,9 +35,16 @@ def contains_text(c: str, needle: str) -> Column:
     return F.contains(F.lower(F.col(c)), F.lit(needle.lower()))
 
 
-def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
-    """The first n rows of each key by a total order."""
-    return df.withColumn("rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col("rn") <= n)
+def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int | None) -> DataFrame:
+    """The first n rows of each key by a total order (None: all)."""
+    ranked = df.withColumn("rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
+    return ranked if n is None else ranked.filter(F.col("rn") <= n)
+
+
+def left_out(rows: DataFrame, keys: list[str], most: int | None) -> DataFrame:
+    """The keys with n, the rows of each, and left_out, how many of them a limit of ``most`` a key drops."""
+    n = F.count(F.lit(1))
+    return rows.groupBy(*keys).agg(n.alias("n"), F.greatest(n - most, F.lit(0)).alias("left_out") if most is not None else F.lit(0).cast("bigint").alias("left_out"))
 
 
 def page(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:

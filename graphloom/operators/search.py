@@ -93,13 +93,24 @@ def relevant_tests(files: DataFrame, symbols: DataFrame, calls: DataFrame, terms
     return f.union(s).union(c).groupBy("file").agg(F.sum("n").alias("score")).filter("score > 0").orderBy(F.desc("score"), "file")
 
 
-def term_artifact(docs: DataFrame, key: str, text: str, most: int = 160) -> DataFrame:
-    """key, term, weight: the ``most`` frequent words of three letters or more of each document: what is left to search by when there
-    is no index."""
+def _weighed_terms(docs: DataFrame, key: str, text: str) -> DataFrame:
+    words = docs.select(key, F.explode(F.split(F.lower(text), "[^a-z0-9]+")).alias("term")).filter(F.length("term") >= 3)
+    return words.groupBy(key, "term").agg(F.count(F.lit(1)).alias("weight"))
+
+
+def term_artifact(docs: DataFrame, key: str, text: str, most: int | None = 160) -> DataFrame:
+    """key, term, weight: the ``most`` frequent words of three letters or more of each document (None: all): what is left to search by
+    when there is no index.  ``terms_left_out`` counts the others."""
     from .relational import top_per_key
 
-    words = docs.select(key, F.explode(F.split(F.lower(text), "[^a-z0-9]+")).alias("term")).filter(F.length("term") >= 3)
-    return top_per_key(words.groupBy(key, "term").agg(F.count(F.lit(1)).alias("weight")), [key], [F.desc("weight"), F.col("term")], most).drop("rn")
+    return top_per_key(_weighed_terms(docs, key, text), [key], [F.desc("weight"), F.col("term")], most).drop("rn")
+
+
+def terms_left_out(docs: DataFrame, key: str, text: str, most: int | None = 160) -> DataFrame:
+    """key, n, left_out: terms of each document, and those beyond its artifact."""
+    from .relational import left_out
+
+    return left_out(_weighed_terms(docs, key, text), [key], most)
 
 
 def artifact_ranking(docs: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:

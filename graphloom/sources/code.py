@@ -52,13 +52,24 @@ def role_of(path: Column) -> Column:
     )
 
 
-def manifest(spark: SparkSession, root: str, max_bytes: int = 5 << 20) -> DataFrame:
-    """path, size, mtime, blob_hash, language, role, content of the files below a folder."""
+def _found(spark: SparkSession, root: str, max_bytes: int | None) -> DataFrame:
+    """path, size, mtime, content of all files below a folder, and why one is not read (null for others)."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     rel = F.regexp_replace(F.col("path"), "^.*?" + re.escape(root.rstrip("/")) + "/", "")
-    out = found.select(rel.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "content").filter(F.col("size") <= max_bytes)
     skip = "(^|/)(" + "|".join(map(re.escape, SKIPPED)) + ")/"
-    out = out.filter(~F.col("path").rlike(skip) & ~F.col("path").rlike(MINIFIED))
+    why = F.when(F.col("path").rlike(skip), "folder").when(F.col("path").rlike(MINIFIED), "minified").when(F.lit(max_bytes is not None) & (F.col("size") > F.lit(max_bytes or 0)), "too large")
+    return found.select(rel.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "content").withColumn("why", why)
+
+
+def not_read(spark: SparkSession, root: str, max_bytes: int | None = 5 << 20) -> DataFrame:
+    """path, size, why: files below a folder that ``manifest`` leaves out: too large, minified or in a skipped folder."""
+    return _found(spark, root, max_bytes).filter("why is not null").select("path", "size", "why")
+
+
+def manifest(spark: SparkSession, root: str, max_bytes: int | None = 5 << 20) -> DataFrame:
+    """path, size, mtime, blob_hash, language, role, content of the files below a folder of at most ``max_bytes`` (None: any size);
+    ``not_read`` names the others."""
+    out = _found(spark, root, max_bytes).filter("why is null")
     return out.select("path", "size", "mtime", F.sha2("content", 256).alias("blob_hash"), language_of(F.col("path")).alias("language"), role_of(F.col("path")).alias("role"), "content")
 
 
@@ -69,6 +80,7 @@ def reuse_hashes(now: DataFrame, before: DataFrame) -> DataFrame:
 
 
 FACTS = "path string, fact string, name string, owner string, line long, end_line long, confidence double"
+#: What a line declares where there is no tree.
 _LINE_RULES = (
     ("import", re.compile(r"^\s*import\b.*?['\"]([^'\"]+)['\"]")), ("import", re.compile(r"^\s*import\s+(?:static\s+)?([\w.]+)\s*;")),
     ("class", re.compile(r"\b(?:class|interface|enum)\s+(\w+)")), ("function", re.compile(r"^\s*(?:export\s+)?(?:async\s+)?function\s+(\w+)")),

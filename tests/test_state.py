@@ -9,11 +9,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.operators import architecture as A
+from graphloom.operators import failures as X
+from graphloom.operators import gate as H
 from graphloom.operators import graph as G
 from graphloom.operators import relational as R
 from graphloom.operators import resolution as N
+from graphloom.operators import search as S
 from graphloom.operators import versions
 from graphloom.operators import versions as V
+from graphloom.sources import code as CO
 from graphloom.sources import frameworks as FW
 from graphloom.sources import nested as J
 from graphloom.streaming import folds, refresh
@@ -370,3 +374,21 @@ def test_framework_roles(spark):
     fields = spark.createDataFrame([("f", "User", "name", 4, False), ("f", "User", "COUNT", 5, True), ("f", "Plain", "x", 10, False)], "file string, class string, field string, line long, is_static boolean")
     made = rows(FW.lombok_members(c, fields), "class", "name", "kind", "line", "is_static")
     assert made == sorted(("User", n, k, l, s) for n, k, l, s in [("log", "field", 3, True), ("equals", "method", 3, False), ("hashCode", "method", 3, False), ("toString", "method", 3, False), ("User", "method", 3, False), ("getName", "method", 4, False), ("setName", "method", 4, False), ("withName", "method", 4, False), ("getCOUNT", "method", 5, False), ("withCOUNT", "method", 5, False)])
+
+
+def test_what_limits_leave_out_is_counted(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "aaa bbb bbb ccc"), (2, "aaa"), (3, None)], "id int, text string")
+    assert rows(S.terms_left_out(docs, "id", "text", 2), "id", "n", "left_out") == [(1, 3, 1), (2, 1, 0)]
+    assert S.term_artifact(docs, "id", "text", None).count() == 4
+    lines = spark.createDataFrame([("f", k, "class Foo {" if k % 2 else "use Foo") for k in range(9)], "file string, line int, text string")
+    assert rows(H.text_impact_left_out(lines, ["Foo"], 3, None), "kind", "n", "left_out") == [("definition", 4, 1), ("usage", 5, 0)]
+    assert H.text_impact(lines, ["Foo"], 3, None).count() == 8
+    log = spark.createDataFrame([(1, "\n".join(f"[ERROR] e{k}" for k in range(30)))], "id int, text string")
+    assert rows(X.build_left_out(log, most=10), "section", "n", "left_out") == [("first", 30, 18), ("kept", 30, 20), ("last", 30, 10)]
+    assert X.build_digest(log, most=None).filter("section = 'kept'").count() == 30
+    assert rows(X.error_left_out(log, most=10), "section", "left_out") == [("last", 10), ("summary", 20)]
+    (tmp_path / "node_modules").mkdir()
+    for name, n in (("a.py", 10), ("big.py", 5000), ("node_modules/x.js", 5)):
+        (tmp_path / name).write_text("x" * n)
+    assert rows(CO.not_read(spark, str(tmp_path), 1000), "path", "size", "why") == [("big.py", 5000, "too large"), ("node_modules/x.js", 5, "folder")]
+    assert CO.manifest(spark, str(tmp_path), 1000).count() == 1 and CO.manifest(spark, str(tmp_path), None).count() == 2
