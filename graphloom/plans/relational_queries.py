@@ -64,10 +64,10 @@ def flt10_external_imports(spark, sf_dir):
     return i.filter(~V.common_external(F.col("source"))).groupBy("source").agg(F.count(ONE).alias("n"))
 
 
-@query(f"WITH i AS (SELECT {_SRC} AS source FROM lineitem), n AS (SELECT source, count(*) AS n FROM i WHERE starts_with(source, 'com.') OR starts_with(source, 'javax_own.') GROUP BY source ORDER BY n DESC, source LIMIT 200) SELECT source, n FROM n WHERE split_part(source, '.', -1) NOT IN (SELECT 'P' || p_partkey FROM part WHERE p_partkey % 5 IN (0, 1, 4) AND p_partkey % 3 = 0) ORDER BY n DESC, source LIMIT 20")
+@query(f"WITH i AS (SELECT {_SRC} AS source FROM lineitem), n AS (SELECT source, count(*) AS n FROM i WHERE starts_with(source, 'com.') OR starts_with(source, 'javax_own.') GROUP BY source ORDER BY n DESC, source LIMIT 200) SELECT source, n FROM n WHERE split_part(source, '.', -1) NOT IN (SELECT CASE p_partkey % 3 WHEN 0 THEN 'P' ELSE 'Q' END || p_partkey FROM part WHERE p_partkey % 5 IN (0, 1, 4)) ORDER BY n DESC, source LIMIT 20")
 def ag03_unresolved_imports(spark, sf_dir):
     i = read(spark, sf_dir, "lineitem").selectExpr(f"{_SRC} AS source")
-    s = symbols(spark, sf_dir).filter("id % 3 = 0").select(F.concat(F.lit("zz."), "id").alias("fq_name"), F.concat(F.lit("P"), "id").alias("name"), "kind")
+    s = symbols(spark, sf_dir).select(F.concat(F.lit("zz."), "id").alias("fq_name"), F.expr("concat(CASE id % 3 WHEN 0 THEN 'P' ELSE 'Q' END, id)").alias("name"), "kind")
     return N.unresolved_imports(i, s, V.common_external(F.col("source")))
 
 
@@ -184,11 +184,11 @@ def jn15_listed_names(spark, sf_dir):
 
 
 @query("""WITH f AS (SELECT p_partkey AS id, 'repo' || p_partkey AS name, CASE p_partkey % 3 WHEN 0 THEN 'Part' || (p_partkey % 500) || 'Repository' WHEN 1 THEN 'Plain' || p_partkey WHEN 2 THEN 'Box' || p_partkey || 'Client<T>' END AS type FROM part),
- t AS (SELECT DISTINCT lower(CASE l_linenumber % 3 WHEN 0 THEN 'this.Part' || (l_partkey % 90) || 'Repository.save' WHEN 1 THEN 'box' || l_partkey || 'client.get' ELSE 'x.repo' || l_partkey || '.go' END) AS t FROM lineitem WHERE l_partkey % 2 = 0)
+ t AS (SELECT DISTINCT lower(CASE l_linenumber % 3 WHEN 0 THEN 'this.Part' || (l_partkey % 90) || 'Repository.save' WHEN 1 THEN 'box' || (l_partkey - l_partkey % 2) || 'client.get' ELSE 'x.repo' || (l_partkey - l_partkey % 2) || '.go' END) AS t FROM lineitem)
  SELECT id, name FROM f WHERE id % 3 <> 1 AND NOT EXISTS (SELECT 1 FROM t WHERE contains(t.t, lower(replace(f.type, '<T>', ''))) OR contains(t.t, f.name))""")
 def jn17_not_called_services(spark, sf_dir):
     f = read(spark, sf_dir, "part").selectExpr("p_partkey AS id", "concat('repo', p_partkey) AS name", "CASE p_partkey % 3 WHEN 0 THEN concat('Part', p_partkey % 500, 'Repository') WHEN 1 THEN concat('Plain', p_partkey) ELSE concat('Box', p_partkey, 'Client<T>') END AS type")
-    t = read(spark, sf_dir, "lineitem").filter("l_partkey % 2 = 0").selectExpr("CASE l_linenumber % 3 WHEN 0 THEN concat('this.Part', l_partkey % 90, 'Repository.save') WHEN 1 THEN concat('box', l_partkey, 'client.get') ELSE concat('x.repo', l_partkey, '.go') END AS text")
+    t = read(spark, sf_dir, "lineitem").selectExpr("CASE l_linenumber % 3 WHEN 0 THEN concat('this.Part', l_partkey % 90, 'Repository.save') WHEN 1 THEN concat('box', l_partkey - l_partkey % 2, 'client.get') ELSE concat('x.repo', l_partkey - l_partkey % 2, '.go') END AS text")
     return N.not_called(f, t).select("id", "name")
 
 

@@ -159,17 +159,29 @@ _SECTION = "CASE doc_id % 11 WHEN 0 THEN 'symbols' WHEN 1 THEN 'files' WHEN 2 TH
 _RUBRIC = ("handler", "mode_selection", "edit_ranges", "tests", "risks", "validation", "files", "evidence", "the_con", "zzz_qqq", "in", "heed_xqx")
 
 
-@query(f"""WITH d AS (SELECT source || '/' || lang || (doc_id % 7) AS packet, {_SECTION} AS section, lower(text) AS t FROM documents), p AS (SELECT packet, string_agg(t, chr(10)) AS hay, count(*) FILTER (section = 'evidence') AS n, list(DISTINCT section) AS s FROM d GROUP BY packet),
+_COVERED = f"""WITH d AS (SELECT source || '/' || lang || (doc_id % 7) AS packet, {_SECTION} AS section, lower(text) AS t FROM documents), p AS (SELECT packet, string_agg(t, chr(10)) AS hay, count(*) FILTER (section = 'evidence') AS n, list(DISTINCT section) AS s FROM d GROUP BY packet),
  k AS (SELECT packet, hay, n, s, unnest({list(_RUBRIC)!r}) AS key FROM p), w AS (SELECT *, CASE key WHEN 'mode_selection' THEN ['mode', 'selection'] WHEN 'tests' THEN ['test'] WHEN 'risks' THEN ['risk', 'finding'] WHEN 'validation' THEN ['validation', 'command', 'test'] WHEN 'the_con' THEN ['the', 'con'] WHEN 'zzz_qqq' THEN ['zzz', 'qqq'] WHEN 'heed_xqx' THEN ['heed', 'xqx'] ELSE [] END AS a FROM k),
  h AS (SELECT *, len(list_filter(a, lambda x: contains(hay, x))) AS f FROM w), c AS (SELECT packet, key, CASE key WHEN 'handler' THEN CASE WHEN list_has_any(s, ['symbols', 'endpoints']) THEN 'covered' WHEN n > 0 THEN 'partial' ELSE 'missing' END WHEN 'mode_selection' THEN CASE WHEN f = 2 OR list_contains(s, 'call_edges') THEN 'covered' WHEN n > 1 THEN 'partial' ELSE 'missing' END
   WHEN 'edit_ranges' THEN CASE WHEN list_contains(s, 'edit_ranges') THEN 'covered' ELSE 'missing' END WHEN 'tests' THEN CASE WHEN list_contains(s, 'tests') THEN 'covered' WHEN f > 0 THEN 'partial' ELSE 'missing' END WHEN 'risks' THEN CASE WHEN f > 0 THEN 'covered' ELSE 'partial' END WHEN 'validation' THEN CASE WHEN f > 0 THEN 'covered' ELSE 'partial' END
-  WHEN 'files' THEN CASE WHEN list_contains(s, 'files') THEN 'covered' ELSE 'missing' END WHEN 'evidence' THEN CASE WHEN n > 0 THEN 'covered' ELSE 'missing' END WHEN 'in' THEN CASE WHEN n > 0 THEN 'covered' ELSE 'missing' END ELSE CASE WHEN f = 2 THEN 'covered' WHEN f > 0 OR n > 2 THEN 'partial' ELSE 'missing' END END AS status FROM h),
+  WHEN 'files' THEN CASE WHEN list_contains(s, 'files') THEN 'covered' ELSE 'missing' END WHEN 'evidence' THEN CASE WHEN n > 0 THEN 'covered' ELSE 'missing' END WHEN 'in' THEN CASE WHEN n > 0 THEN 'covered' ELSE 'missing' END ELSE CASE WHEN f = 2 THEN 'covered' WHEN f > 0 OR n > 2 THEN 'partial' ELSE 'missing' END END AS status FROM h)"""
+
+
+@query(_COVERED + """,
  g AS (SELECT packet, count(*) FILTER (status = 'covered') AS n_covered, count(*) FILTER (status = 'partial') AS n_partial, count(*) FILTER (status = 'missing') AS n_missing, string_agg(key, ' ' ORDER BY key) FILTER (status = 'missing') AS m, string_agg(key, ' ' ORDER BY key) FILTER (status = 'partial') AS p FROM c GROUP BY packet)
  SELECT packet, n_missing + n_partial = 0 AS answerable, n_covered, n_partial, n_missing, CASE WHEN n_missing > 0 THEN m WHEN n_partial > 0 THEN p ELSE '' END AS follow_up FROM g""")
 def cardo_certificate(spark, sf_dir):
+    return C.certificate(_covered(spark, sf_dir))
+
+
+@query(_COVERED + " SELECT packet, key, status FROM c")
+def cardo_evidence_coverage(spark, sf_dir):
+    return _covered(spark, sf_dir).select("packet", "key", "status")
+
+
+def _covered(spark, sf_dir):
     d = read(spark, sf_dir, "documents").selectExpr("concat(source, '/', lang, doc_id % 7) AS packet", f"{_SECTION} AS section", "text")
     rubric = d.select("packet").distinct().select("packet", F.explode(F.array(*map(F.lit, _RUBRIC))).alias("key"))
-    return C.certificate(C.coverage(rubric, d))
+    return C.coverage(rubric, d)
 
 
 # a class an order: a field, and for each line a method whose parameter an inner block hides
