@@ -8,6 +8,7 @@ from ..operators import certificate as C
 from ..operators import dataflow as D
 from ..operators import gate as H
 from ..operators import graph as G
+from ..operators import packets as K
 from ..operators import relational as R
 from ..operators import versions as V
 from ..operators.tables import dependencies, query_log, read, search_symbols, split_columns, sql
@@ -194,3 +195,42 @@ def src07_typed_receivers(spark, sf_dir):
     texts = rows.groupBy("l_orderkey").agg(body.alias("b")).select(F.concat(F.lit("C"), "l_orderkey").alias("file"), F.concat(F.expr("concat('class C { F', l_orderkey % 3, ' f;\n')"), "b", F.lit("\n}")).alias("text"))
     used = TY.code_lines(texts).select("file", "line", F.explode(F.regexp_extract_all("code", F.lit(r"(\w+)\.go\("), F.lit(1))).alias("receiver"))
     return TY.receiver_types(used, TY.typed_names(texts, "java")).select("file", "line", "receiver", "type")
+
+
+_STATEMENTS = "SELECT DISTINCT concat('m.Mapper', p_partkey % 40) AS namespace, concat('q', p_size % 25) AS id, CASE p_size % 2 WHEN 0 THEN 'select' ELSE 'insert' END AS kind FROM part"
+_MAPPERS = "SELECT DISTINCT concat('m.Mapper', p_partkey % 45) AS owner, concat('q', p_size % 30) AS name, concat('m.Mapper', p_partkey % 45, '.q', p_size % 30) AS fq_name FROM part"
+_RUNS = "SELECT DISTINCT concat(CASE l_linenumber % 3 WHEN 0 THEN 'm.' ELSE '' END, 'Mapper', l_partkey % 50, '.q', l_suppkey % 35) AS callee, concat('S', l_suppkey) AS caller, concat('src/', l_orderkey % 97, '.java') AS file, cast(l_linenumber AS bigint) AS line FROM lineitem"
+_MAPPED = f"WITH s AS ({_STATEMENTS}), m AS ({_MAPPERS}), c AS ({_RUNS})"
+
+
+def _mapped(spark, sf_dir):
+    read(spark, sf_dir, "part").createOrReplaceTempView("part")
+    read(spark, sf_dir, "lineitem").createOrReplaceTempView("lineitem")
+    return spark.sql(_STATEMENTS), spark.sql(_MAPPERS), spark.sql(_RUNS)
+
+
+@query(_MAPPED + """, j AS (SELECT s.*, m.fq_name AS method FROM s LEFT JOIN m ON m.owner = s.namespace AND m.name = s.id)
+ SELECT DISTINCT j.namespace, j.id, j.kind, j.method, c.caller, c.file, c.line FROM j LEFT JOIN c ON j.method IS NOT NULL AND (c.callee = j.method OR 'm.' || c.callee = j.method)""")
+def packet_mapper_flow(spark, sf_dir):
+    return K.mapper_flow(*_mapped(spark, sf_dir))
+
+
+@query(_MAPPED + " SELECT 'statement without method' AS gap, namespace, id FROM (SELECT DISTINCT namespace, id FROM s) x WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.owner = x.namespace AND m.name = x.id) UNION ALL SELECT 'method without statement', owner, name FROM m WHERE owner IN (SELECT namespace FROM s) AND NOT EXISTS (SELECT 1 FROM s WHERE s.namespace = m.owner AND s.id = m.name)")
+def packet_mapper_gaps(spark, sf_dir):
+    return K.mapper_gaps(*_mapped(spark, sf_dir)[:2])
+
+
+_PLAN = "SELECT DISTINCT concat('t', p_partkey % 20) AS task, CASE p_partkey % 3 WHEN 0 THEN concat('src/', p_size % 7, '/') ELSE concat('src/', p_size % 9, '/f', p_partkey % 15) END AS path, CASE p_partkey % 3 WHEN 0 THEN 'allowed' WHEN 1 THEN 'required' ELSE 'frozen' END AS part FROM part"
+_CHANGED = "SELECT DISTINCT concat('t', l_suppkey % 22) AS task, concat(CASE WHEN l_linenumber = 7 THEN 'test/f' ELSE concat('src/', l_partkey % 9, '/f') END, l_orderkey % 15) AS path FROM lineitem"
+_IMPORTED = "SELECT DISTINCT concat('test/f', l_orderkey % 11) AS a, concat('src/', l_suppkey % 8, '/f', l_partkey % 13) AS b FROM lineitem"
+
+
+@query(f"""WITH p AS ({_PLAN}), c AS ({_CHANGED}), e AS ({_IMPORTED}), t AS (SELECT DISTINCT path FROM c WHERE path LIKE 'test/%')
+ SELECT task, 'out of scope' AS invariant, path FROM c WHERE task IN (SELECT task FROM p WHERE part = 'allowed') AND NOT EXISTS (SELECT 1 FROM p WHERE p.task = c.task AND p.part = 'allowed' AND starts_with(c.path, p.path))
+ UNION ALL SELECT task, 'required but unchanged', path FROM p WHERE part = 'required' AND NOT EXISTS (SELECT 1 FROM c WHERE c.task = p.task AND c.path = p.path)
+ UNION ALL SELECT task, 'frozen but changed', path FROM c WHERE EXISTS (SELECT 1 FROM p WHERE p.task = c.task AND p.part = 'frozen' AND p.path = c.path)
+ UNION ALL SELECT task, 'no test imports it', path FROM c WHERE path NOT IN (SELECT path FROM t) AND path NOT IN (SELECT b FROM e WHERE a IN (SELECT path FROM t))""")
+def packet_scope_breaks(spark, sf_dir):
+    _mapped(spark, sf_dir)
+    changed = spark.sql(_CHANGED)
+    return K.scope_breaks(spark.sql(_PLAN), changed, spark.sql(_IMPORTED), changed.filter("path LIKE 'test/%'").select("path").distinct())

@@ -9,9 +9,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.operators import architecture as A
+from graphloom.operators import certificate as C
+from graphloom.operators import dataflow as D
 from graphloom.operators import failures as X
 from graphloom.operators import gate as H
 from graphloom.operators import graph as G
+from graphloom.operators import packets as K
 from graphloom.operators import relational as R
 from graphloom.operators import resolution as N
 from graphloom.operators import search as S
@@ -392,3 +395,48 @@ def test_what_limits_leave_out_is_counted(spark, tmp_path):
         (tmp_path / name).write_text("x" * n)
     assert rows(CO.not_read(spark, str(tmp_path), 1000), "path", "size", "why") == [("big.py", 5000, "too large"), ("node_modules/x.js", 5, "folder")]
     assert CO.manifest(spark, str(tmp_path), 1000).count() == 1 and CO.manifest(spark, str(tmp_path), None).count() == 2
+
+
+def test_packets(spark):
+    s = spark.createDataFrame([("n.M", "find", "select"), ("n.M", "lost", "update")], "namespace string, id string, kind string")
+    m = spark.createDataFrame([("n.M.find", "n.M", "find"), ("n.M.bare", "n.M", "bare"), ("n.Other.x", "n.Other", "x")], "fq_name string, owner string, name string")
+    c = spark.createDataFrame([("a.Service.run", "M.find", "f", 3), ("b.Job.go", "n.M.find", "g", 4), ("x", "Q.find", "h", 5), ("web.Api.get", "Service.run", "w", 1)], "caller string, callee string, file string, line int")
+    flow = K.mapper_flow(s, m, c)
+    assert sorted((r.id, r.method or "", r.caller or "") for r in flow.collect()) == [("find", "n.M.find", "a.Service.run"), ("find", "n.M.find", "b.Job.go"), ("lost", "", "")]
+    gaps = K.mapper_gaps(s, m)
+    assert rows(gaps, "gap", "id") == [("method without statement", "bare"), ("statement without method", "lost")]
+    got = rows(K.context_packet(flow, gaps, c), "section", "key", "value")
+    assert ("entry", "web.Api.get", "Service.run") in got and ("callers", "b.Job.go", "n.M.find") in got and ("gaps", "n.M.lost", "statement without method") in got
+    plan = spark.createDataFrame([("t", "src/", "allowed"), ("t", "docs/a.md", "allowed"), ("t", "src/must.py", "required"), ("t", "src/old.py", "frozen")], "task string, path string, part string")
+    ch = spark.createDataFrame([("t", "src/x/a.py"), ("t", "srcs/b.py"), ("t", "docs/a.md"), ("t", "src/old.py"), ("t", "test/t.py"), ("u", "any.py")], "task string, path string")
+    e = spark.createDataFrame([("test/t.py", "src/x/a.py"), ("src/x/a.py", "srcs/b.py")], "a string, b string")
+    breaks = K.scope_breaks(plan, ch, e, spark.createDataFrame([("test/t.py",)], "path string"))
+    assert rows(breaks, "task", "invariant", "path") == [
+        ("t", "frozen but changed", "src/old.py"), ("t", "no test imports it", "docs/a.md"), ("t", "no test imports it", "src/old.py"), ("t", "no test imports it", "srcs/b.py"),
+        ("t", "out of scope", "srcs/b.py"), ("t", "out of scope", "test/t.py"), ("t", "required but unchanged", "src/must.py"), ("u", "no test imports it", "any.py")]
+    packet = K.change_packet(breaks, spark.createDataFrame([("p", 1)], "path string, distance int"), "u")
+    assert rows(packet, "section", "key", "value") == [("impact", "p", "1"), ("invariants", "any.py", "no test imports it")]
+
+
+def test_calculations(spark):
+    lines = spark.createDataFrame([
+        ("src/a.java", 1, "double base = price * 2; // rate = x"), ("src/a.java", 2, "  base += fee.amount + round(extra)"), ("src/a.java", 3, "final Map<String, Double> orderTotal = base + \"tax = 3\";"), ("src/a.java", 4, "if (base == 3) return x;"), ("src/a.java", 5, "misc = other"),
+        ("src/a.java", 6, "result = price"), ("src/test/b.java", 1, "result = price"), ("src/a.java", 7, None)], "file string, line int, text string")
+    a = D.assignments(lines)
+    assert sorted((r.line, r.target, sorted(r.uses)) for r in a.filter("file = 'src/a.java'").collect()) == [(1, "base", ["price"]), (2, "base", ["base", "extra", "fee"]), (3, "orderTotal", ["base"]), (5, "misc", ["other"]), (6, "result", ["price"])]
+    assert rows(D.outputs(a), "file", "name") == [("src/a.java", "misc"), ("src/a.java", "orderTotal"), ("src/a.java", "result"), ("src/test/b.java", "result")]
+    cut = D.backward_slices(D.def_use(a), D.outputs(a).filter("name = 'orderTotal'"), 8)
+    assert rows(cut, "name", "depth") == [("base", 1), ("extra", 2), ("fee", 2), ("orderTotal", 0), ("price", 2)]
+    changed = spark.createDataFrame([("src/a.java", "price"), ("src/test/b.java", "price")], "file string, name string")
+    got = rows(D.calculation_impact(a, changed), "group", "risk", "n", "names", "obligations")
+    assert got == [("amount_or_total", "critical", 1, "orderTotal", "boundary values, zero/null/negative values, precision and rounding"), ("unknown_runtime_calculation_sink", "unknown", 1, "result", "boundary values, zero/null/negative values")]
+
+
+def test_certificates(spark):
+    s = spark.createDataFrame([("p", "symbols", "OrderService.run"), ("p", "evidence", "the FLOW of orders"), ("q", "files", None)], "packet string, section string, text string")
+    r = spark.createDataFrame([(p, k) for p in "pqz" for k in ("handler", "tests", "order_flow", "order_zzz", "a_b", "risks", "evidence")], "packet string, key string")
+    got = {(x.packet, x.key): (x.status, x.found, x.missing) for x in C.coverage(r, s).collect()}
+    assert got["p", "handler"][0] == "covered" and got["p", "order_flow"] == ("covered", "flow order", "") and got["p", "order_zzz"] == ("partial", "order", "zzz") and got["p", "a_b"][0] == "covered" and got["p", "risks"][0] == "partial"
+    assert got["q", "handler"][0] == "missing" and got["q", "a_b"][0] == "missing" and got["z", "order_flow"] == ("missing", "", "flow order") and got["q", "evidence"][0] == "missing"
+    c = {x.packet: x for x in C.certificate(C.coverage(r, s)).collect()}
+    assert not c["p"].answerable and c["p"].follow_up == "tests" and c["z"].n_missing == 6 and c["z"].n_partial == 1
