@@ -95,3 +95,47 @@ def symbol_packet(symbols: DataFrame, calls: DataFrame, endpoints: DataFrame, is
     served = endpoints.groupBy("file").agg(F.count(ONE).alias("n_endpoints"))
     out = symbols.join(incoming, "as_callee", "left").join(outgoing, "as_caller", "left").join(served, "file", "left")
     return out.fillna(0, ["n_callers", "n_callees", "n_endpoints", "n_tests"]).select("id", "fq_name", "n_callers", "n_callees", "n_endpoints", "n_tests")
+
+
+def impact_radius(targets: DataFrame, edges: DataFrame, calls: DataFrame, endpoints: DataFrame, most_calls: int = 100) -> DataFrame:
+    """target, dependents, callers, endpoints, score, radius: how far targets (target, file) reach.
+
+    Dependents are files that import the target's (``edges``: a imports b), callers the calls (callee) whose name ends with the target's
+    segments, at most ``most_calls`` of them, endpoints (file) those in dependents; high from 10 on, medium from 3.
+    """
+    own = targets.select("target", "file").distinct()
+    near = own.join(edges.select("a", F.col("b").alias("file")).distinct(), "file").select("target", "a")
+    n = near.groupBy("target").agg(F.countDistinct("a").alias("dependents"))
+    served = near.join(endpoints.groupBy(F.col("file").alias("a")).agg(F.count(ONE).alias("n")), "a").groupBy("target").agg(F.sum("n").alias("endpoints"))
+    # a callee's suffixes meet targets by equality; calls are counted by callee first
+    parts = F.split(F.regexp_replace("callee", r"\(.*\)$", ""), r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))
+    by_name = calls.groupBy("callee").agg(F.count(ONE).alias("n")).select(F.explode(F.array_distinct(suffixes)).alias("target"), "n")
+    met = by_name.groupBy("target").agg(F.least(F.sum("n"), F.lit(most_calls)).alias("callers"))
+    out = own.select("target").distinct()
+    for part in (n, met, served):
+        out = out.join(part, "target", "left")
+    out = out.fillna(0).withColumn("score", F.col("dependents") + F.col("callers") + F.col("endpoints"))
+    return out.withColumn("radius", F.when(F.col("score") >= 10, "high").when(F.col("score") >= 3, "medium").otherwise("low"))
+
+
+def cross_service(edges: DataFrame, services: DataFrame) -> DataFrame:
+    """from_service, to_service, n, files: edges (a, b) between files of different services (path, service), and in how many files they begin;
+    files of no service have no such edges."""
+    side = lambda end, name: services.select(F.col("path").alias(end), F.col("service").alias(name)).filter(F.col(name).isNotNull()).distinct()
+    met = edges.select("a", "b").distinct().join(side("a", "from_service"), "a").join(side("b", "to_service"), "b").filter("from_service <> to_service")
+    return met.groupBy("from_service", "to_service").agg(F.count(ONE).alias("n"), F.countDistinct("a").alias("files"))
+
+
+def interface_fanout(calls: DataFrame, implements: DataFrame, methods: DataFrame) -> DataFrame:
+    """``calls`` (caller, callee, confidence, tier, ...) and, for each call of an interface's method, one of each implementor's.
+
+    ``implements``: interface, implementor; ``methods``: owner, method.  The one implementor that has the method makes a primary edge (0.65), several
+    make low-signal ones of max(0.2, min(0.5, 0.6 / n)).  ``fanout`` is n, null for the calls as they were.
+    """
+    has = implements.select("interface", F.col("implementor").alias("owner")).distinct().join(methods.select("owner", "method").distinct(), "owner")
+    n = has.groupBy("interface", "method").agg(F.count(ONE).alias("fanout"))
+    target = has.join(n, ["interface", "method"]).select(F.concat_ws(".", "interface", "method").alias("callee"), F.concat_ws(".", "owner", "method").alias("_to"), "fanout")
+    one = F.col("fanout") == 1
+    made = calls.join(target, "callee").withColumns({"callee": F.col("_to"), "tier": F.when(one, "primary").otherwise("low_signal"), "confidence": F.when(one, 0.65).otherwise(F.greatest(F.lit(0.2), F.least(F.lit(0.5), 0.6 / F.col("fanout"))))})
+    return calls.withColumn("fanout", F.lit(None).cast("bigint")).select(*calls.columns, "fanout").union(made.select(*calls.columns, "fanout"))

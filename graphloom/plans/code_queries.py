@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import graph as G
+from ..operators import impact as I
 from ..operators import relational as R
 from ..operators import resolution as N
 from ..operators.tables import calls, dependencies, endpoints, files, query_log, read, sql, symbols
@@ -236,12 +237,12 @@ def gr09_affected_tests(spark, sf_dir):
     return G.affected_tests(dependencies(spark, sf_dir), roles, spark.range(10, 12).select(F.col("id").alias("node")), 2)
 
 
-@query(sql("deps", "calls", rest="SELECT t.id, i.n AS dependents, coalesce(c.n, 0) AS callers, i.n + coalesce(c.n, 0) AS score, CASE WHEN i.n + coalesce(c.n, 0) >= 10 THEN 'high' WHEN i.n + coalesce(c.n, 0) >= 3 THEN 'medium' ELSE 'low' END AS radius FROM (SELECT DISTINCT b AS id FROM deps) t JOIN (SELECT b AS id, count(*) AS n FROM deps GROUP BY b) i USING (id) LEFT JOIN (SELECT substr(callee, 2)::BIGINT AS id, count(DISTINCT caller) AS n FROM calls WHERE tier <> 'low_signal' GROUP BY 1) c USING (id)"))
+@query(sql("deps", "calls", "endpoints", rest="""WITH e AS (SELECT id, count(*) AS n FROM endpoints GROUP BY id), x AS (SELECT p_partkey AS id, 'P'||p_partkey AS target, (SELECT count(DISTINCT a) FROM deps WHERE b = p_partkey) AS dependents, least(100, (SELECT count(*) FROM calls WHERE tier <> 'low_signal' AND callee = 'P'||p_partkey)) AS callers,
+ coalesce((SELECT sum(e.n) FROM e WHERE e.id IN (SELECT a FROM deps WHERE b = p_partkey)), 0)::BIGINT AS endpoints FROM part) SELECT target, dependents, callers, endpoints, dependents + callers + endpoints AS score, CASE WHEN dependents + callers + endpoints >= 10 THEN 'high' WHEN dependents + callers + endpoints >= 3 THEN 'medium' ELSE 'low' END AS radius FROM x"""))
 def gr05_impact_radius(spark, sf_dir):
-    i = dependencies(spark, sf_dir).groupBy(F.col("b").alias("id")).agg(F.count(F.lit(1)).alias("dependents"))
-    c = R.visible_calls(calls(spark, sf_dir)).groupBy(F.expr("cast(substring(callee, 2) AS bigint)").alias("id")).agg(F.countDistinct("caller").alias("callers"))
-    out = i.join(c, "id", "left").fillna(0).withColumn("score", F.col("dependents") + F.col("callers"))
-    return out.withColumn("radius", F.when(F.col("score") >= 10, "high").when(F.col("score") >= 3, "medium").otherwise("low"))
+    t = read(spark, sf_dir, "part").selectExpr("concat('P', p_partkey) AS target", "p_partkey AS file")
+    c = R.visible_calls(calls(spark, sf_dir)).withColumn("callee", F.expr("CASE WHEN line % 2 = 0 THEN concat('x.y.', callee, '(int)') ELSE callee END"))
+    return I.impact_radius(t, dependencies(spark, sf_dir), c, endpoints(spark, sf_dir).select(F.col("id").alias("file")))
 
 
 @query(sql("deps", rest="WITH seeds AS (SELECT a AS id FROM deps WHERE a < 20 GROUP BY a) SELECT b AS neighbour, count(DISTINCT a) AS n_seeds FROM deps WHERE a IN (SELECT id FROM seeds) AND b NOT IN (SELECT id FROM seeds) GROUP BY b"))
@@ -264,14 +265,14 @@ def gr20_ancestors(spark, sf_dir):
     return G.ancestors(c.union(n))
 
 
-@query("""WITH m AS (SELECT c_nationkey AS t, c_mktsegment AS name, c_custkey AS impl FROM customer), k AS (SELECT t, name, count(*) AS n FROM m GROUP BY ALL)
- SELECT t, name, impl, CASE WHEN n = 1 THEN 'primary' ELSE 'low_signal' END AS tier, CASE WHEN n = 1 THEN 0.65 ELSE round(greatest(0.2, least(0.5, 0.6 / n)), 6) END AS confidence FROM m JOIN k USING (t, name)""")
+@query("""WITH im AS (SELECT DISTINCT 'I' || (c_nationkey % 20) AS i, 'K' || (c_custkey % 90) AS k FROM customer), me AS (SELECT DISTINCT 'K' || (c_custkey % 110) AS k, c_mktsegment AS m FROM customer WHERE c_acctbal > 5000), t AS (SELECT i, k, m, count(*) OVER (PARTITION BY i, m) AS n FROM im JOIN me USING (k)),
+ c AS (SELECT 'O' || o_orderkey AS caller, 'I' || (o_custkey % 25) || '.' || CASE o_orderkey % 3 WHEN 0 THEN 'BUILDING' WHEN 1 THEN 'MACHINERY' ELSE 'none' END AS callee, 0.4::DOUBLE AS confidence, 'primary' AS tier FROM orders)
+ SELECT caller, callee, confidence, tier, NULL::BIGINT AS fanout FROM c UNION ALL SELECT c.caller, t.k || '.' || t.m, CASE WHEN n = 1 THEN 0.65 ELSE round(greatest(0.2, least(0.5, 0.6 / n)), 6) END, CASE WHEN n = 1 THEN 'primary' ELSE 'low_signal' END, n FROM c JOIN t ON c.callee = t.i || '.' || t.m""")
 def gr19_interface_fanout(spark, sf_dir):
-    m = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("t"), F.col("c_mktsegment").alias("name"), F.col("c_custkey").alias("impl"))
-    n = m.groupBy("t", "name").agg(F.count(F.lit(1)).alias("n"))
-    one = F.col("n") == 1
-    sure = F.when(one, F.lit(0.65)).otherwise(F.round(F.greatest(F.lit(0.2), F.least(F.lit(0.5), 0.6 / F.col("n"))), 6))
-    return m.join(n, ["t", "name"]).select("t", "name", "impl", F.when(one, "primary").otherwise("low_signal").alias("tier"), sure.alias("confidence"))
+    c = read(spark, sf_dir, "customer")
+    made = read(spark, sf_dir, "orders").selectExpr("concat('O', o_orderkey) AS caller", "concat('I', o_custkey % 25, '.', CASE o_orderkey % 3 WHEN 0 THEN 'BUILDING' WHEN 1 THEN 'MACHINERY' ELSE 'none' END) AS callee", "0.4D AS confidence", "'primary' AS tier")
+    out = I.interface_fanout(made, c.selectExpr("concat('I', c_nationkey % 20) AS interface", "concat('K', c_custkey % 90) AS implementor"), c.filter("c_acctbal > 5000").selectExpr("concat('K', c_custkey % 110) AS owner", "c_mktsegment AS method"))
+    return out.withColumn("confidence", F.round("confidence", 6))
 
 
 @query(sql("endpoints", rest="SELECT method, path, count(*) AS n FROM endpoints WHERE method IN ('GET','POST') GROUP BY method, path"))

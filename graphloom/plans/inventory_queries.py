@@ -159,10 +159,10 @@ def gr15_overlay(spark, sf_dir):
     return I.overlay(s.select("file", "fq_name"), R.visible_calls(calls(spark, sf_dir)).select("file", "callee"), e.selectExpr("concat(method, ' ', path) AS endpoint", "concat('src/', id % 97, '.java') AS file"))
 
 
-@query(sql("calls", "endpoints", rest="SELECT c.file AS from_file, e.path, e.method, count(*) AS n FROM calls c JOIN (SELECT *, id % 7 AS service FROM endpoints) e ON c.callee = 'P'||e.id WHERE c.line <> e.service GROUP BY ALL"))
+@query(sql("deps", rest="WITH s AS (SELECT p_partkey AS path, CASE WHEN p_partkey % 11 <> 0 THEN p_brand END AS service FROM part) SELECT x.service AS from_service, y.service AS to_service, count(*) AS n, count(DISTINCT d.a) AS files FROM deps d JOIN s x ON x.path = d.a JOIN s y ON y.path = d.b WHERE x.service <> y.service GROUP BY ALL"))
 def gr18_cross_service(spark, sf_dir):
-    e = endpoints(spark, sf_dir).selectExpr("concat('P', id) AS callee", "method", "path", "id % 7 AS service")
-    return calls(spark, sf_dir).join(e, "callee").filter("line <> service").groupBy(F.col("file").alias("from_file"), "path", "method").agg(F.count(ONE).alias("n"))
+    services = read(spark, sf_dir, "part").selectExpr("p_partkey AS path", "CASE WHEN p_partkey % 11 <> 0 THEN p_brand END AS service")
+    return I.cross_service(dependencies(spark, sf_dir), services)
 
 
 @query(sql("calls", rest="SELECT caller, callee, file, line, tier, CASE tier WHEN 'low_signal' THEN least(confidence, 0.25) WHEN 'provider' THEN greatest(confidence, 0.9) ELSE confidence END AS capped FROM calls"))
