@@ -196,6 +196,21 @@ def _found(sent, only_hits: bool):
     return lean(run)
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of several blocks as runs that do not touch."""
+    for batch in batches:
+        out = []
+        for runs in batch.column("runs").to_pylist():
+            own: list[dict[str, int]] = []
+            for x in sorted(runs, key=lambda x: x["a"]):
+                if own and x["a"] <= own[-1]["b"]:
+                    own[-1]["b"] = max(own[-1]["b"], x["b"])
+                else:
+                    own.append(x)
+            out.append(own)
+        yield batch.set_column(batch.schema.get_field_index("runs"), "runs", pa.array(out, _RUN))
+
+
 def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items, runs, contaminated: one row a row of ``docs``.
 
@@ -224,10 +239,7 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, block_b
         found = part if found is None else found.union(part)
     if blocks > 1:
         found = found.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("runs")).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        found = found.withColumn("runs", F.expr("""aggregate(array_sort(runs), cast(array() as array<struct<a: bigint, b: bigint>>), (s, x) ->
-            case when size(s) > 0 and x.a <= element_at(s, -1).b
-                 then concat(slice(s, 1, size(s) - 1), array(named_struct('a', element_at(s, -1).a, 'b', greatest(element_at(s, -1).b, x.b))))
-                 else concat(s, array(x)) end)"""))
+        found = found.select("doc_id", "n_words", "runs", "items").mapInArrow(_merged, "doc_id long, n_words long, runs array<struct<a: long, b: long>>, items array<string>")
     n_hit = F.expr("aggregate(runs, 0L, (s, x) -> s + x.b - x.a)")
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "runs", (F.size("runs") > 0).alias("contaminated"))
 
