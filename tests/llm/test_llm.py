@@ -4,6 +4,7 @@ import hashlib
 import random
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers as P
@@ -11,7 +12,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from graphloom.llm import bpe, components, importance, linear, lm_score, metric_join, minhash, packing, quality_rules, sharding, token_store, toxicity
+from graphloom.llm import bpe, common, components, importance, linear, lm_score, metric_join, minhash, packing, quality_rules, sharding, token_store, toxicity
 from graphloom.llm.common import new_path, table
 from graphloom.llm.encode import PieceEncoder
 
@@ -431,6 +432,23 @@ def test_metric_join(spark):
     assert metric_join.range_links(df.limit(0)).count() == 0
 
 
+def test_metric_join_copies_no_vectors(spark):
+    """Random vectors can reach every cell: what is staged stays within a few times the vectors, and the links are those of all pairs."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 64)).astype(np.float32)
+    x[1500:1700] = x[:200] + rng.normal(size=(200, 64)).astype(np.float32) * 0.2
+    df = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "vec_id long, embedding array<float>")
+    cell, block, before = metric_join.CELL, metric_join.BLOCK, len(common._made)
+    metric_join.CELL, metric_join.BLOCK = 100, 150
+    try:
+        got = {r.vec_id: r.n_links for r in metric_join.range_links(df).collect()}
+    finally:
+        metric_join.CELL, metric_join.BLOCK = cell, block
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    assert got == dict(enumerate(((u @ u.T >= 0.95).sum(1) - 1).tolist())) and sum(got.values()) >= 300
+    assert sum(f.stat().st_size for path in common._made[before:] for f in Path(path).rglob("*.parquet")) < 4 * x.nbytes
+
+
 def test_metric_join_of_odd_ids(spark):
     """Rows of one id and rows without an id each have a result; other columns may have any names."""
     a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.99, 0.01, 0.0]
