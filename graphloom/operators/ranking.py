@@ -338,10 +338,42 @@ def definition_score(callee: Column, edge_file: Column) -> Column:
     )
 
 
+def definition_candidates(edges: DataFrame, symbols: DataFrame) -> DataFrame:
+    """callee, edge_file, line, fq_name, file, name, kind, role: for each distinct edge, the symbols of the callee's last name that can fit it best.
+
+    A score is made of what the symbol alone brings (role, kind) and of what it shares with the edge, which only adds to it: leading folders, the
+    extension, the fixture, the file, and whether its qualified name holds the callee.  Of symbols that are alike in all of these the first by line,
+    qualified name and file stands for the others, so an edge meets as many rows as there are such kinds, however many symbols have the name.
+    """
+    bare = lambda c: F.regexp_replace(c, r"\([^)]*\)$", "")
+    last = lambda c: F.lower(F.substring_index(F.regexp_replace(bare(c), r"\.new$", ""), ".", -1))
+    folders = "filter(split(coalesce({0}, ''), '/'), p -> p <> '')"
+    # '' and each leading run of folders, and the file itself (after a slash, so that it is no run)
+    places = lambda c: F.expr(f"array_compact(array_append(transform(sequence(0, size({folders.format(c)})), n -> array_join(slice({folders.format(c)}, 1, n), '/')), concat('/', {c})))")
+    e = edges.select("callee", F.col("file").alias("edge_file")).distinct().withColumns({"_last": last(F.col("callee")), "_called": F.lower(bare(F.col("callee")))})
+    s = symbols.select(F.lower("name").alias("_last"), F.lower("fq_name").alias("_fq"), "line", "fq_name", "file", "name", "kind", "role")
+    role = F.when(F.col("role").isin("main_source", "test_source"), F.col("role")).alias("_role")
+    kind = F.when(F.col("kind").isin("method", "function"), 1).when(F.col("kind").isin("class", "record", "interface", "enum"), 2).otherwise(0).alias("_kind")
+    fixture = F.regexp_extract("file", r"(?:^|/)tests/fixtures/([^/]+)/", 1).alias("_fixture")
+    alike = [role, kind, F.lower(F.regexp_extract("file", r"\.[^./]+$", 0)).alias("_ext"), fixture]
+    first = F.min(F.struct("line", "fq_name", "file", "name", "kind", "role")).alias("s")
+    near = s.groupBy("_last", "_fq", "file", *alike).agg(first).withColumn("_place", F.explode(places("file")))
+    group = ["_last", "_place", "_role", "_kind", "_ext", "_fixture"]
+    # parts of a qualified name that end in the name (or in its constructor): a callee that it holds is one of them
+    ends = "flatten(transform(filter(sequence(1, length(_fq) - length(_last) + 1), p -> substring(_fq, p, length(_last)) = _last), p -> array(p + length(_last), if(substring(_fq, p + length(_last), 4) = '.new', p + length(_last) + 4, null))))"
+    parts = F.expr(f"array_distinct(flatten(transform(array_compact({ends}), q -> transform(sequence(1, q), i -> substring(_fq, i, q - i)))))")
+    names = s.select("_last", "_fq").distinct().filter("length(_fq) >= length(_last)")
+    held = names.select("_last", "_fq", F.explode(parts).alias("_called")).join(e.select("_last", "_called").distinct(), ["_last", "_called"])
+    least = F.min("s").alias("s")
+    reps = near.groupBy(*group).agg(least)
+    holding = near.join(held, ["_last", "_fq"]).groupBy("_called", *group).agg(least)
+    at = e.withColumn("_place", F.explode(places("edge_file")))
+    met = at.join(reps, ["_last", "_place"]).select("callee", "edge_file", "s.*").union(at.join(holding, ["_last", "_called", "_place"]).select("callee", "edge_file", "s.*"))
+    return met
+
+
 def best_definitions(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     """callee, edge_file, fq_name, file, score: the symbol that fits each distinct edge best, among those of the callee's last name."""
-    last = lambda c: F.lower(F.substring_index(F.regexp_replace(F.regexp_replace(c, r"\([^)]*\)$", ""), r"\.new$", ""), ".", -1))
-    e = edges.select("callee", F.col("file").alias("edge_file")).distinct().withColumn("_last", last(F.col("callee")))
-    found = e.join(symbols.withColumn("_last", F.lower("name")), "_last").withColumn("score", definition_score(F.col("callee"), F.col("edge_file")).cast("bigint"))
+    found = definition_candidates(edges, symbols).withColumn("score", definition_score(F.col("callee"), F.col("edge_file")).cast("bigint"))
     best = F.min(F.struct((-F.col("score")).alias("s"), "line", "fq_name", "file")).alias("b")
     return found.groupBy("callee", "edge_file").agg(best).select("callee", "edge_file", "b.fq_name", "b.file", (-F.col("b.s")).alias("score"))
