@@ -80,9 +80,12 @@ def stem_of(word: str) -> str:
     return next((word[: -len(s)] for s in SUFFIXES if len(word) > 4 and word.endswith(s) and len(word) - len(s) >= 3), word)
 
 
-def shares_stem(c: Column, word: str) -> Column:
-    """Equal words or stems, or one stem of four characters or more begins the other and the rest is an inflection."""
-    own, s = stem_of(word), stem(c)
+def shares_stem(c: Column, word: str, stemmed: Column | None = None) -> Column:
+    """Equal words or stems, or one stem of four characters or more begins the other and the rest is an inflection.
+
+    ``stemmed``: the stem of ``c``, where it is a column already (its expression is long).
+    """
+    own, s = stem_of(word), stem(c) if stemmed is None else stemmed
     more = s.startswith(own) & F.substring(s, F.lit(len(own) + 1), F.length(s)).isin(*REMAINDERS) if len(own) >= 4 else F.lit(False)
     less = (F.length(s) >= 4) & (F.length(s) < len(own)) & F.startswith(F.lit(own), s) & F.substring(F.lit(own), F.length(s) + 1, F.lit(len(own))).isin(*REMAINDERS)
     return (c == word) | (s == own) | more | less

@@ -95,13 +95,18 @@ def endpoint_packet(endpoints: DataFrame, symbols: DataFrame, calls: DataFrame,
 
 
 def research_pack(text: str, files: DataFrame, symbols: DataFrame, endpoints: DataFrame, edges: DataFrame, calls: DataFrame, keep: float = 0.5, most: int = 12) -> DataFrame:
-    """Files (right-sized by score, three at least), symbols, files one edge away, and the most telling calls of those symbols."""
+    """Files (right-sized by score, three at least), symbols, files one edge away, and the most telling calls of those symbols.
+
+    What several sections read is written once, as are the few files and symbols found: their scores are long expressions over derived
+    columns, which each further use in the same plan would repeat.
+    """
     from ..functions.text import FILE_STOP_WORDS
-    from .graph import neighbours
+    from .graph import neighbours, written
 
+    symbols, files, endpoints = written(symbols, "symbols"), written(files, "files"), written(endpoints, "endpoints")
     f = K.search_files(files, symbols, endpoints, text, most).select("path", "score").withColumn("g", F.lit(1))
-    f = right_size(f, ["g"], "score", keep, 3, "path").drop("g", "rn")
-    s = K.ranked_symbols(symbols, K.asked(text, FILE_STOP_WORDS)).orderBy(*K.symbol_order()).limit(most)
+    f = written(right_size(f, ["g"], "score", keep, 3, "path").drop("g", "rn"), "found-files")
+    s = written(K.ranked_symbols(symbols, K.asked(text, FILE_STOP_WORDS)).orderBy(*K.symbol_order()).limit(most), "found-symbols")
     near = neighbours(edges, f.select(F.col("path").alias("file")), files.select(F.col("path").alias("file"), "role", "language"))
     told = calls.join(s.select(F.col("callee_name").alias("callee")), "callee", "left_semi").withColumn("score", K.call_edge_score())
     return together([

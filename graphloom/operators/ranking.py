@@ -105,8 +105,13 @@ def _pick(c: str, points: dict) -> Column:
     return out
 
 
-def _has_word(words: Column, token: str) -> Column:
-    return F.exists(words, lambda w: T.shares_stem(w, token))
+def _stemmed(words: Column) -> Column:
+    """Words with their stems."""
+    return F.transform(words, lambda w: F.struct(w.alias("w"), T.stem(w).alias("s")))
+
+
+def _has_stemmed(words: Column, token: str) -> Column:
+    return F.exists(words, lambda x: T.shares_stem(x["w"], token, x["s"]))
 
 
 def _marked(annotations: Column, c: Concept) -> Column:
@@ -230,31 +235,35 @@ def ranked_files(files: DataFrame, symbols: DataFrame, endpoints: DataFrame, q:
     """Files (path, language, role, degree, bm25) with ``score`` and ``n_matched``.
 
     Evidence is what a file's symbols (file, name, fq_name, kind, signature, framework_role, annotations) and endpoints
-    (file, method, path) say, in one aggregate each.
+    (file, method, path) say, in one aggregate each.  What the score asks for several times is a column of its own, so that its expression
+    stands in the plan once.
     """
-    path = F.lower("path")
+    path = F.col("_path")
     base = F.regexp_replace(T.base_name(F.col("path")), r"\.[^.]+$", "")
     text = F.lower(F.concat_ws(" ", "name", "fq_name", "kind", "signature", "framework_role", F.array_join("annotations", " ")))
-    covers = [_has_word(T.word_parts(F.col("name")), t) for t in q.tokens]
+    covers = [F.col(f"_w{k}") for k in range(len(q.tokens))]
     phrase = (_count(covers) >= 2) & _any(c for c, t in zip(covers, q.tokens) if not T.is_broad(t))
-    role, name = _lower("framework_role"), F.col("name")
+    role, name = F.col("_role"), F.col("name")
     like = {
         "service": role.contains("service") | name.endswith("Service"), "repository": role.contains("repository") | name.endswith("Repository") | name.endswith("Dao"),
         "entity": role.contains("entity") | name.endswith("Entity"), "mybatis": role.startswith("mybatis:"), "docker": role.startswith("docker:"),
         "spec": role.isin("openapi:endpoint", "postman:request") | role.startswith("elastic-rest:"),
     }
-    s = symbols.withColumn("_t", text).groupBy(F.col("file").alias("path")).agg(
+    s = symbols.select("*", text.alias("_t"), _lower("name").alias("_name"), _lower("framework_role").alias("_role"), _stemmed(T.word_parts(name)).alias("_words"))
+    s = s.select("*", *(_has_stemmed(F.col("_words"), t).alias(f"_w{k}") for k, t in enumerate(q.tokens))).groupBy(F.col("file").alias("path")).agg(
         F.max(phrase).alias("_phrase"), *(F.max(F.col("_t").contains(t)).alias(f"_s{k}") for k, t in enumerate(q.tokens)), *(F.max(v).alias(f"_{k}") for k, v in like.items()),
-        *(F.max(concept_points(_lower("name"), role, F.col("annotations"), c) > 0).alias(f"_c{k}") for k, c in enumerate(q.concepts)),
+        *(F.max(concept_points(F.col("_name"), role, F.col("annotations"), c) > 0).alias(f"_c{k}") for k, c in enumerate(q.concepts)),
     )
     told = F.lower(F.concat_ws(" ", "method", "path"))
     e = endpoints.select("file", told.alias("_t")).groupBy(F.col("file").alias("path")).agg(F.lit(True).alias("_e"), F.max(F.col("_t").contains(q.lower)).alias("_ep"), *(F.max(F.col("_t").contains(t)).alias(f"_e{k}") for k, t in enumerate(q.tokens)))
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     n = len(q.tokens)
-    in_path = [path.contains(t) for t in q.tokens]
-    parts = [_has_word(T.word_parts(base), t) for t in q.tokens]
+    other = F.lower(F.concat_ws(" ", "language", "role"))
+    asked_of = files.select("*", F.lower("path").alias("_path"), F.lower(T.base_name(F.col("path"))).alias("_name"), F.lower(base).alias("_base"), T.stem(F.lower(base)).alias("_stem"), _stemmed(T.word_parts(base)).alias("_words"), T.compact(F.lower("path")).alias("_small"), other.alias("_other"))
+    whole = _any(T.shares_stem(F.col("_base"), t, F.col("_stem")) for t in q.tokens if not T.is_broad(t))
+    asked_of = asked_of.select("*", whole.alias("_whole"), *(_has_stemmed(F.col("_words"), t).alias(f"_p{k}") for k, t in enumerate(q.tokens)), *(path.contains(t).alias(f"_in{k}") for k, t in enumerate(q.tokens)))
+    in_path, parts = ([F.col(f"{c}{k}") for k in range(n)] for c in ("_in", "_p"))
     special = [c for c, t in zip(parts, q.tokens) if not T.is_broad(t)]
-    whole = _any(T.shares_stem(F.lower(base), t) for t in q.tokens if not T.is_broad(t))
     said = lambda pattern: re.search(pattern, q.text, re.IGNORECASE) is not None
     wants = [  # fixed values: what a query's words ask a file for, and the points that it gives
         (said(r"\bendpoint|route|controller\b"), "_e", 40), (said(r"\bservice\b"), "_service", 32), (said(r"\brepository|repo|dao\b"), "_repository", 32), (said(r"\bentity|model\b"), "_entity", 32),
@@ -262,17 +271,16 @@ def ranked_files(files: DataFrame, symbols: DataFrame, endpoints: DataFrame, q:
         (said(r"\b(docker|compose|container|port|service)\b"), "_docker", 45),
     ]
     score = (
-        F.when((path == q.lower) | (F.lower(T.base_name(F.col("path"))) == q.lower), 120).when(path.contains(q.lower), 90).otherwise(0)
-        + (F.when(_count(in_path) == n, 70).otherwise(18 * _count(in_path)) if n else F.lit(0)) + F.when(whole, 90).otherwise(0) + 45 * _count(special)
+        F.when((path == q.lower) | (F.col("_name") == q.lower), 120).when(path.contains(q.lower), 90).otherwise(0)
+        + (F.when(_count(in_path) == n, 70).otherwise(18 * _count(in_path)) if n else F.lit(0)) + F.when(F.col("_whole"), 90).otherwise(0) + 45 * _count(special)
         + F.when((_count(parts) >= 2) & _any(special), 110).otherwise(0) + F.when(yes("_phrase"), 80).otherwise(0) + 70 * _count(path.contains(i) for i in T.identifier_terms(q.lower))
         + 20 * _count(yes(f"_s{k}") for k in range(n)) + F.when(yes("_ep"), 55).otherwise(24 * _count(yes(f"_e{k}") for k in range(n)))
         + sum((F.when(yes(c), points).otherwise(0) for on, c, points in wants if on), F.lit(0))
         + F.least(F.coalesce("degree", F.lit(0)), F.lit(10)) + F.coalesce("bm25", F.lit(0)) + T.half_up(_pick("role", ROLE_RANK) / 10)
         + F.least(BY_FILE * _count(yes(f"_c{k}") for k in range(len(q.concepts))), F.lit(CONCEPT_CAP))
     )
-    other = F.lower(F.concat_ws(" ", "language", "role"))
-    hits = _count(path.contains(t) | T.compact(path).contains(t) | other.contains(t) | yes(f"_s{k}") | yes(f"_e{k}") for k, t in enumerate(q.tokens))
-    out = files.join(s, "path", "left").join(e, "path", "left").select(*files.columns, score.cast("bigint").alias("score"), hits.alias("n_matched"), _any(yes(f"_c{k}") for k in range(len(q.concepts))).alias("_c"))
+    hits = _count(F.col(f"_in{k}") | F.col("_small").contains(t) | F.col("_other").contains(t) | yes(f"_s{k}") | yes(f"_e{k}") for k, t in enumerate(q.tokens))
+    out = asked_of.join(s, "path", "left").join(e, "path", "left").select(*files.columns, score.cast("bigint").alias("score"), hits.alias("n_matched"), _any(yes(f"_c{k}") for k in range(len(q.concepts))).alias("_c"))
     return out.filter((F.col("n_matched") > 0) | F.col("_c") | (F.col("score") > _pick("role", ROLE_RANK) / 10)).drop("_c")
 
 
