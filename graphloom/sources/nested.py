@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.graph import written
@@ -55,10 +56,11 @@ def json_digest(docs: DataFrame, key: str, text: str, fields: int = 80, items: i
     value = F.substring(F.regexp_replace(F.coalesce("value", F.lit("")), r"\s+", " "), 1, width)
     own = own.withColumn("line", F.when(F.col("kind") == "array", F.concat("path", F.lit(".length="), "value")).otherwise(F.concat("path", F.lit("="), value)))
     own = own.withColumn("signal", F.col("line").rlike(SIGNAL))
-    counts = own.groupBy(key).agg(F.bool_or("signal").alias("any"), F.count(F.lit(1)).alias("n"), F.count_if("signal").alias("n_signal"), F.sum("left_out").alias("elements"))
-    from ..operators.relational import top_per_key
-
-    first = top_per_key(own.join(counts.select(key, "any"), key).filter(F.col("signal") | ~F.col("any")), [key], [F.col("path")], fields)
-    lines = first.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "line"))), lambda x: x["line"]).alias("lines"))
-    n = F.when(F.col("any"), F.col("n_signal")).otherwise(F.col("n"))
-    return counts.join(lines, key).select(key, F.array_join("lines", "\n").alias("lines"), n.alias("n_fields"), (F.greatest(n - fields, F.lit(0)) + F.col("elements")).alias("left_out"))
+    # one shuffle by key and no join: neither the documents' counts nor their lines are broadcast
+    every = W.partitionBy(key)
+    own = own.filter(F.col(key).isNotNull()).withColumn("own", F.col("signal") | ~F.bool_or("signal").over(every))
+    own = own.withColumn("rn", F.row_number().over(every.orderBy(F.desc("own"), "path")))
+    shown = F.when(F.col("own") & (F.col("rn") <= fields), F.struct("rn", "line"))
+    per = own.groupBy(key).agg(F.count_if("own").alias("n_fields"), F.sum("left_out").alias("elements"), F.array_sort(F.collect_list(shown)).alias("shown"))
+    lines = F.array_join(F.transform("shown", lambda x: x["line"]), "\n")
+    return per.select(key, lines.alias("lines"), "n_fields", (F.greatest(F.col("n_fields") - fields, F.lit(0)) + F.col("elements")).alias("left_out"))
