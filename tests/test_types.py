@@ -89,3 +89,11 @@ def test_types_feed_receiver_resolution(spark, files):
     methods = spark.createDataFrame([("OrderRepository", "save")], "owner string, method string")
     pairs = spark.createDataFrame([("OrderService", "BaseService")], "child string, parent string")
     assert rows(N.resolved_owners(calls, methods, names, pairs, pairs.limit(0)), "callee" if "callee" in calls.columns else "resolved", "resolved", "how") == [("helper.run", "Helper.run", "receiver-field"), ("orders.save", "OrderRepository.save", "receiver-field")]
+
+
+def test_typed_names_do_not_join_lines_again(spark):
+    """Declarations know from their own line whether they are parameters: of the joins, none takes whole lines."""
+    files = spark.createDataFrame([("A", "class A {\n  B b;\n  void m(C c) {\n    D d;\n  }\n}")], "file string, text string")
+    found = T.typed_names(files, "java")
+    assert found._jdf.queryExecution().analyzed().toString().count("Join ") == 3
+    assert {(r.name, r.type, r.begin, r.end) for r in found.collect()} == {("b", "B", 1, 6), ("c", "C", 3, 5), ("d", "D", 3, 5)}
